@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, secret_scan
+from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, secret_scan
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_source_mix": mixing.op7_source_mix,
     "op9_html_text": html_text.op9_html_text,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op4_secret_scan": secret_scan.oracle(),
