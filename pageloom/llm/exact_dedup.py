@@ -113,7 +113,7 @@ def exact_groups(docs: DataFrame, *, bits: int = 62, rows_per_salt: int = ROWS_P
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key"))
     classes, todo, turn = prints.withColumn("turn", F.lit(0)), prints, 0
     while True:
-        groups = todo.groupBy("fp", "n_bytes").agg(first.alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        groups = written(todo.groupBy("fp", "n_bytes").agg(first.alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-groups")
         members = (
             todo.join(groups, ["fp", "n_bytes"])
             .groupBy("row_key", F.col("rep.row_key").alias("rep_key"))
@@ -133,7 +133,7 @@ def exact_groups(docs: DataFrame, *, bits: int = 62, rows_per_salt: int = ROWS_P
         moved = differ.withColumn("moved", F.lit(turn))
         classes = written(classes.join(moved, "row_key", "left").withColumn("turn", F.coalesce("moved", "turn")).drop("moved"), "exact-classes")
     key = ["fp", "n_bytes", "turn"]
-    sizes = classes.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    sizes = written(classes.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id")).alias("first"), F.count(F.lit(1)).alias("group_size")), "exact-sizes")
     again = F.row_number().over(Window.partitionBy("doc_id", *key).orderBy("row_key"))
     return (
         classes.withColumn("again", again)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, secret_scan
+from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, secret_scan
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
