@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, secret_scan
+from . import exact_dedup, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality, secret_scan
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_votes": quality.op1_quality_votes,
+    "op2_order_minhash": fingerprints.op2_order_minhash,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
