@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality, secret_scan
+from . import exact_dedup, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op1_quality_votes": quality.op1_quality_votes,
     "op2_order_minhash": fingerprints.op2_order_minhash,
     "op3_best_fit_packing": packing.op3_best_fit_packing,

@@ -49,3 +49,15 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Drop scratch tables that nothing reads any more, and let the cleaner drop the shuffle files of finished steps."""
+    import gc
+
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
