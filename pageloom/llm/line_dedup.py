@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .scratch import read_table, small_batches, written
+from .scratch import read_table, shield, small_batches, written
 from .shingles import SLICE, mix
 
 SHINGLE = 8
@@ -159,7 +159,8 @@ def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the lines that copy an earlier one; n_chars, if there, follows. Adds n_lines and n_removed."""
     small_batches(docs.sparkSession)
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    shielded, restore = shield(docs, ("doc_id", "text", "n_chars"))
+    keyed = shielded.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     rows = keyed.select("doc_id", F.col("_row_key").alias("row_key"), "text")
     found, parts = line_components(rows, percent)
     here = (F.col("keep.row_key") == F.col("row_key")) & (F.col("keep.place") == F.col("place")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id"))
@@ -184,7 +185,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     out = out.withColumn("n_removed", F.size("_lost").cast("long")).withColumn("text", F.col("_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
+    return restore(out, "n_lines", "n_removed")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

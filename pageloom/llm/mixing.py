@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import read_table, shield, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of sources up to this many rows is broadcast; beyond it Spark shuffles.
@@ -98,21 +98,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A cut document keeps its first words, joined by single spaces; documents of which nothing is taken go.
     """
-    clash = {"size", "source_size", "target", "taken"} & set(docs.columns)
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    rows = mix(renamed, carry=True).filter("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))))
+    shielded, restore = shield(docs, ("doc_id", "text", "source", "n_chars"))
+    rows = mix(shielded, carry=True).filter("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))))
     left = F.col("taken") - F.col("_copy") * F.col("size")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(left < F.col("size"), F.array_join(F.slice(words, 1, F.greatest(left, F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).drop("size", "source_size", "target", "taken", "_copy").withColumnsRenamed({f"_own_{c}": c for c in clash})
+    rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return restore(rows)
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
-    from .scratch import read_table
-
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .scratch import partitions, read_table, small_batches, written
+from .scratch import partitions, read_table, shield, small_batches, written
 from .shingles import mix, shingle_sets
 
 #: Counters for shingle frequencies: 2^22 of 4 bytes, whatever the corpus size. Broadcast, 16 MB.
@@ -170,10 +170,9 @@ def deduplicated(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
     found = similarity_classes(docs, n=n, percent=percent)
     twice = found.filter("set_id is not null").groupBy("doc_id", "row_key").count().withColumn("again", F.col("count") > 1)
     gone = found.filter("set_id is not null and not (doc_id <=> component_id)").select("row_key").distinct()
-    left = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti")
-    if twice.filter("again").isEmpty():
-        return left.select(*docs.columns)
-    return left.dropDuplicates(["_row_key"]).select(*docs.columns)
+    shielded, restore = shield(docs, ("doc_id", "text"))
+    left = shielded.withColumn("row_key", F.xxhash64("doc_id", "text")).join(gone, "row_key", "left_anti")
+    return restore(left if twice.filter("again").isEmpty() else left.dropDuplicates(["row_key"]))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

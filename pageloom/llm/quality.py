@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import read_table, small_batches
+from .scratch import read_table, shield, small_batches
 from .shingles import slices, word_hashes
 
 MAX_LABELLED = 4096
@@ -157,6 +157,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of quality, as they are."""
+    shielded, restore = shield(docs, ("doc_id", "text"))
+    return restore(scored(shielded, labels).filter("predicted = 1"))
+
+
 def op1_quality_votes(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

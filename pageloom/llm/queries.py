@@ -14,6 +14,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": pipeline,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op1_quality_votes": quality.op1_quality_votes,
     "op2_order_minhash": fingerprints.op2_order_minhash,

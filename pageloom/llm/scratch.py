@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
 
@@ -61,3 +62,13 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
+
+
+def shield(docs: DataFrame, used: tuple[str, ...]):
+    """``docs`` with its other columns under names that clash with nothing, and a function that gives them back."""
+    hidden = {c: f"_x{i}_" for i, c in enumerate(docs.columns) if c not in used}
+
+    def restore(out: DataFrame, *more: str) -> DataFrame:
+        return out.select(*(F.col(hidden[c]).alias(c) if c in hidden else F.col(c) for c in docs.columns), *(c for c in more if c not in docs.columns))
+
+    return docs.withColumnsRenamed(hidden), restore
