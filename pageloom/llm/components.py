@@ -1,8 +1,8 @@
 """Links among members of buckets, and their connected components, by joins alone.
 
 ``linked`` finds links of every two members of a bucket without making all pairs: first each member is compared with one
-member of its bucket, and components of what is linked so far are formed; then only members of different components are
-compared. A group of near copies costs its size, not the square, and no link that joins two components is missed.
+lead of its bucket, and components of what is linked so far are formed; in the end only members of different components
+are compared. What a lead gathers costs its size, not the square, and no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -39,25 +39,38 @@ def components(links: DataFrame) -> DataFrame:
     return pointers.select(F.col("u").alias("id"), F.col("v").alias("label")).union(roots.select("id", F.col("id").alias("label")))
 
 
-def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...), one row per key and id.
 
     ``may_link`` is a necessary condition on two members' columns, given their aliases; ``verify`` keeps the pairs
-    (a, b) that do link. Links inside a component that the first round already joined aren't all listed.
+    (a, b) that do link. In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
+    that does so outside the first one's component. Links inside a component that is formed by then aren't all listed.
     """
     shared = members.groupBy("key").count().filter("count > 1").select("key")
-    members = written(members.join(shared, "key", "left_semi"), "buckets")
+    members = members.join(shared, "key", "left_semi")
+    members = written(members.join(members.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "id").withColumn("label", F.col("id")), "buckets")
+    others = [c for c in members.columns if c not in ("key", "id", "met")]
 
-    def pairs(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
-        met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & extra & may_link("l", "r"))
+    def leads(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.max(F.struct("met", "id", *others)).alias("m")).select("key", "m.*")
+
+    def pairs(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
+        apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & may_link("l", "r")
+        met = left.alias("l").join(right.alias("r"), apart if extra is None else apart & extra)
         return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
-    leads = members.groupBy("key").agg(F.min(F.struct("id", *[c for c in members.columns if c not in ("key", "id")])).alias("m")).select("key", "m.*")
-    tried = written(pairs(leads, members, F.col("l.id") != F.col("r.id")), "tried")
-    links = written(verify(tried), "links-lead")
-    labels = components(links)
-    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rest = written(labelled.join(open_keys, "key", "left_semi"), "open-buckets")
-    more = pairs(rest, rest, (F.col("l.label") != F.col("r.label")) & (F.col("l.id") < F.col("r.id"))).join(tried, ["a", "b"], "left_anti")
-    return links.union(written(verify(written(more, "tried-rest")), "links-rest"))
+    tried = links = None
+    rest, chosen = members, leads(members)
+    for turn in range(rounds + 1):
+        found = pairs(chosen, rest) if turn < rounds else pairs(rest, rest, F.col("l.id") < F.col("r.id"))
+        found = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "tried")
+        more = written(verify(found), "links")
+        tried, links = (found, more) if tried is None else (tried.union(found), links.union(more))
+        if turn == rounds:
+            return links
+        labels = components(links).withColumnRenamed("label", "joined")
+        labelled = rest.join(labels, "id", "left").withColumn("label", F.coalesce("joined", "id")).drop("joined")
+        open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+        rest = written(labelled.join(open_keys, "key", "left_semi"), "open-buckets")
+        first = leads(rest).select("key", F.col("label").alias("lead"))
+        chosen = leads(rest.join(first, "key").filter("label <> lead").drop("lead"))
