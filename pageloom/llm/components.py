@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import release, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,9 +46,11 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     (a, b) that do link. In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
     that does so outside the first one's component. Links inside a component that is formed by then aren't all listed.
     """
-    shared = members.groupBy("key").count().filter("count > 1").select("key")
-    members = members.join(shared, "key", "left_semi")
-    members = written(members.join(members.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "id").withColumn("label", F.col("id")), "buckets")
+    met = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = written(members.withColumn("met", met).filter("met > 1").drop("met"), "shared-buckets")
+    release(members.sparkSession)
+    members = written(shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "id").withColumn("label", F.col("id")), "buckets")
+    release(members.sparkSession, shared)
     others = [c for c in members.columns if c not in ("key", "id", "met")]
 
     def leads(rows: DataFrame) -> DataFrame:

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .scratch import read_table, shield, small_batches, written
+from .ngram_join import similar
+from .scratch import read_table, release, shield, small_batches, written
 from .shingles import SLICE, mix
 
 SHINGLE = 8
 MIN_CHARS = 20
-BANDS, ROWS = 16, 6
+BANDS, ROWS = 9, 4
 BINS = BANDS * ROWS
 PERCENT = 80
 
@@ -127,33 +128,44 @@ def _sets_of(batches):
             for place, form in _lines(text.as_py()):
                 if place in pick:
                     lines.append(pick[place])
-                    sets.append(line_set(form).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(sets, pa.binary())], names=["line", "hashes"])
+                    sets.append(form)
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(sets, pa.binary())], names=["line", "form"])
+
+
+def _similar_lines(percent: int):
+    def run(batches):
+        for batch in batches:
+            sets = {form: line_set(form) for form in {*batch.column("x").to_pylist(), *batch.column("y").to_pylist()}}
+            keep = [similar(sets[x.as_py()], sets[y.as_py()], percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line); (line, label, nil, keep_id, keep_key, keep_place)."""
-    from .ngram_join import _similar_pairs
-
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = written(rows.mapInArrow(_signed, f"doc_id {id_type}, row_key long, place int, line long, bands array<long>"), "line-bands")
+    found = signed = written(rows.mapInArrow(_signed, f"doc_id {id_type}, row_key long, place int, line long, bands array<long>"), "line-bands")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
     firsts = written(found.groupBy("line").agg(F.min(place).alias("first")), "line-firsts")
     reps = found.join(firsts.select("line", F.col("first.row_key").alias("row_key"), F.col("first.place").alias("place")), ["line", "row_key", "place"], "left_semi").dropDuplicates(["line"])
+    reps = written(reps.select("line", "bands"), "line-reps")
+    found = written(found.drop("bands"), "line-places")
+    release(rows.sparkSession, signed)
     members = reps.select(F.explode("bands").alias("key"), F.col("line").alias("id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
         wanted = firsts.join(needed, "line").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
         texts = rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-        sets = written(texts.select("wanted", "text").mapInArrow(_sets_of, "line long, hashes binary"), "line-sets")
-        both = pairs.join(sets.select(F.col("line").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("line").alias("b"), F.col("hashes").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_similar_pairs(percent), "a long, b long")
+        sets = written(texts.select("wanted", "text").mapInArrow(_sets_of, "line long, form binary"), "line-forms")
+        both = pairs.join(sets.select(F.col("line").alias("a"), F.col("form").alias("x")), "a").join(sets.select(F.col("line").alias("b"), F.col("form").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a long, b long")
 
     labels = components(linked(members, lambda x, y: F.lit(True), verify))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
-    return found.drop("bands"), named.select("line", "label").join(least, "label")
+    return found, named.select("line", "label").join(least, "label")
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
