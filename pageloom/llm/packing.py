@@ -14,7 +14,9 @@ they occur. Texts are tokenised whole. No rows give no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import read_table, small_batches, written
+from .shingles import _BASE, _INVERSE, _powers, _table, mix, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -29,14 +32,34 @@ GROUPS = 512
 #: Pieces up to CAPACITY / SMALL_SHARE are small.
 SMALL_SHARE = 16
 ROWS_PER_SALT = 50_000
-#: Words whose ids a worker remembers before it starts over.
-REMEMBERED = 200_000
+#: Units of text whose ids a worker remembers before it starts over.
+REMEMBERED = 1_500_000
+
+
+def _unit_classes() -> np.ndarray:
+    """0 white space, 1 letter, 2 punctuation, 3 anything that makes a word one unit as it stands."""
+    out = np.full(256, 3, np.uint8)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[65:91] = out[97:123] = 1
+    out[0xC3] = 1  # with what follows: the letters of Latin-1, but for two signs
+    out[0x80:0xC0] = 1
+    out[np.frombuffer(b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~", np.uint8)] = 2
+    return out
+
+
+_UNIT_CLASS = _unit_classes()
 
 
-class WordIds:
-    """Ids of white-space separated words by a tokenizer that never joins across white space, as little-endian bytes."""
+class UnitIds:
+    """Ids of texts by a tokenizer that never joins across white space, nor letters with punctuation.
+
+    A text is cut into units in numpy: runs of letters and of punctuation, or a whole word if there is anything else in
+    it. Each distinct unit, by hash, is coded once; a text's ids are gathered from those. Unknown simple units are coded
+    as one text, where the pre-token of each id tells whose it is.
+    """
 
     def __init__(self, path: str | None) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
         if path is None:
@@ -44,21 +67,99 @@ class WordIds:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            found = list(new)
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)
-            for word, code in zip(found, coded, strict=True):
-                known[word] = np.array(code.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, "<u4"), 0
+
+    def _code(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def _keep(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while n + len(hashes) > len(self.begin):
+            self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + len(hashes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(hashes)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def _learn(self, hashes: list[int], units: list[str], simple: list[bool]) -> None:
+        easy = [i for i, s in enumerate(simple) if s]
+        for at in range(0, len(easy), 4096):
+            some = easy[at : at + 4096]
+            code = self._code(" ".join([units[i] for i in some]))
+            sizes = np.bincount(np.array(code.word_ids, np.int64), minlength=len(some))
+            self._keep([hashes[i] for i in some], np.array(code.ids, "<u4"), sizes)
+        for i, s in enumerate(simple):
+            if not s:
+                ids = np.array(self._code(units[i]).ids, "<u4")
+                self._keep([hashes[i]], ids, np.array([len(ids)]))
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column."""
+        for first, last, data, offsets in slices(column):
+            n = len(data)
+            kind = _UNIT_CLASS[data]
+            if n > 1:
+                signs = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+                kind[:-1][signs] = 3
+            inside = kind > 0
+            edge = np.zeros(n + 1, bool)
+            edge[offsets] = True
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1] | edge[1:n]
+            words = np.flatnonzero(begins)
+            if not len(words):
+                for _ in range(first, last):
+                    yield np.zeros(0, "<u4")
+                continue
+            whole = np.maximum.reduceat(kind, words) == 3
+            word = np.cumsum(begins) - 1
+            cut = begins.copy()
+            cut[1:] |= inside[1:] & inside[:-1] & (kind[1:] != kind[:-1]) & ~whole[word[1:]]
+            starts = np.flatnonzero(cut)
+            stops = inside.copy()
+            stops[:-1] &= ~inside[1:] | edge[1:n] | cut[1:]
+            ends = np.flatnonzero(stops) + 1
+            sums = np.zeros(n + 1, np.uint64)
+            lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+            np.cumsum(_table[lower] * _powers(_BASE, n), out=sums[1:])
+            hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts])
+            distinct, sample, home = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.known) + len(distinct) > REMEMBERED:
+                self._forget()
+            keys = distinct.tolist()
+            new = [i for i, k in enumerate(keys) if k not in self.known]
+            if new:
+                at = sample[new]
+                raw, lowered = data.tobytes(), lower.tobytes()
+                easy = ~whole[word[starts[at]]]
+                units = [(lowered if e else raw)[a:b].decode("utf-8", "replace") for a, b, e in zip(starts[at].tolist(), ends[at].tolist(), easy.tolist(), strict=True)]
+                self._learn([keys[i] for i in new], units, easy.tolist())
+            known = self.known
+            entry = np.fromiter((known[k] for k in keys), np.int64, len(keys))[home]
+            size = self.size[entry]
+            upto = np.concatenate(([0], np.cumsum(size)))
+            ids = self.pool[np.repeat(self.begin[entry] - upto[:-1], size) + np.arange(upto[-1])]
+            bounds = upto[np.searchsorted(starts, offsets)].tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield ids[a:b]
+
+
+_coders: dict[str | None, UnitIds] = {}
+
+
+def coder(path: str | None) -> UnitIds:
+    """One a worker process, so what it has learned serves the next task too."""
+    if path not in _coders:
+        _coders[path] = UnitIds(path)
+    return _coders[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -67,11 +168,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     end = SEPARATOR.to_bytes(4, "little")
 
     def run(batches):
-        words = WordIds(tokenizer_path)
+        words = coder(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.encode(text.as_py()) + end
+            for doc_id, code in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), strict=True):
+                ids = code.tobytes() + end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     for column, value in zip(rows, (doc_id, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
