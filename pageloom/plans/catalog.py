@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import document_plans, text_plans
+
+QUERIES: dict = text_plans.QUERIES | document_plans.QUERIES
+ORACLES: dict[str, str] = text_plans.ORACLES | document_plans.ORACLES
