@@ -39,17 +39,19 @@ def components(links: DataFrame) -> DataFrame:
     return pointers.select(F.col("u").alias("id"), F.col("v").alias("label")).union(roots.select("id", F.col("id").alias("label")))
 
 
-def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 1) -> DataFrame:
     """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...), one row per key and id.
 
     ``may_link`` is a necessary condition on two members' columns, given their aliases; ``verify`` keeps the pairs
-    (a, b) that do link. In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
+    (a, b) that do link. ``details`` gives columns that only ``may_link`` needs, by id, for the members of shared
+    buckets (a table of their ids). In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
     that does so outside the first one's component. Links inside a component that is formed by then aren't all listed.
     """
     met = F.count(F.lit(1)).over(Window.partitionBy("key"))
     shared = written(members.withColumn("met", met).filter("met > 1").drop("met"), "shared-buckets")
     release(members.sparkSession)
-    members = written(shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "id").withColumn("label", F.col("id")), "buckets")
+    ids = shared.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    members = written(shared.join(ids if details is None else ids.join(details(ids.select("id")), "id"), "id").withColumn("label", F.col("id")), "buckets")
     release(members.sparkSession, shared)
     others = [c for c in members.columns if c not in ("key", "id", "met")]
 

@@ -29,6 +29,7 @@ SHINGLE = 8
 MIN_CHARS = 20
 BANDS, ROWS = 9, 4
 BINS = BANDS * ROWS
+BITS = 2048
 PERCENT = 80
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -82,6 +83,29 @@ def bands(forms: list[bytes]) -> np.ndarray:
     return mix((values * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits that a set's hashes set, as longs."""
+    flags = np.zeros(BITS, bool)
+    flags[(hashes >> np.uint64(40)) % np.uint64(BITS)] = True
+    return np.packbits(flags).view(np.int64)
+
+
+def may_be_similar(x: str, y: str, percent: int = PERCENT):
+    """An exact bound: a bit that only one line sets stands for a shingle that only that line has.
+
+    A pair counts in the first band that it shares only.
+    """
+
+    def apart(a: str, b: str):
+        own = F.zip_with(f"{a}.bits", f"{b}.bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(own, F.lit(0), lambda acc, n: acc + n)
+
+    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+    enough = lambda common: (100 + percent) * common >= percent * (n + m)
+    shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    return enough(F.least(n, m)) & (F.get(shared, F.lit(0)) == F.col(f"{x}.key")) & enough(n - apart(x, y)) & enough(m - apart(y, x))
+
+
 def form_hash(forms: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -120,16 +144,16 @@ def _signed(batches):
             yield out()
 
 
-def _sets_of(batches):
+def _details(batches):
     for batch in batches:
-        lines, sets = [], []
+        lines, forms, sizes, bits = [], [], [], []
         for wanted, text in zip(batch.column("wanted"), batch.column("text"), strict=True):
             pick = {w["place"]: w["line"] for w in wanted.as_py()}
             for place, form in _lines(text.as_py()):
                 if place in pick:
-                    lines.append(pick[place])
-                    sets.append(form)
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(sets, pa.binary())], names=["line", "form"])
+                    own = line_set(form)
+                    lines.append(pick[place]), forms.append(form), sizes.append(len(own)), bits.append(bit_map(own))
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(forms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["line", "form", "size", "bits"])
 
 
 def _similar_lines(percent: int):
@@ -154,15 +178,23 @@ def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     release(rows.sparkSession, signed)
     members = reps.select(F.explode("bands").alias("key"), F.col("line").alias("id"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-        wanted = firsts.join(needed, "line").groupBy(F.col("first.row_key").alias("row_key")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
+    forms: list[DataFrame] = []
+
+    def details(ids: DataFrame) -> DataFrame:
+        """Text, set size and bit map of the lines that share a bucket: the texts are read once for all rounds."""
+        wanted = firsts.join(ids.select(F.col("id").alias("line")), "line").groupBy(F.col("first.row_key").alias("row_key"))
+        wanted = wanted.agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
         texts = rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-        sets = written(texts.select("wanted", "text").mapInArrow(_sets_of, "line long, form binary"), "line-forms")
-        both = pairs.join(sets.select(F.col("line").alias("a"), F.col("form").alias("x")), "a").join(sets.select(F.col("line").alias("b"), F.col("form").alias("y")), "b")
+        forms.append(written(texts.select("wanted", "text").mapInArrow(_details, "line long, form binary, size long, bits array<long>"), "line-forms"))
+        release(rows.sparkSession)
+        return forms[0].join(reps, "line").select(F.col("line").alias("id"), "size", "bits", "bands")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda end, name: forms[0].select(F.col("line").alias(end), F.col("form").alias(name))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a long, b long")
 
-    labels = components(linked(members, lambda x, y: F.lit(True), verify))
+    labels = components(linked(members, lambda x, y: may_be_similar(x, y, percent), verify, details))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
     return found, named.select("line", "label").join(least, "label")
