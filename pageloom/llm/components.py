@@ -39,12 +39,12 @@ def components(links: DataFrame) -> DataFrame:
     return pointers.select(F.col("u").alias("id"), F.col("v").alias("label")).union(roots.select("id", F.col("id").alias("label")))
 
 
-def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 1) -> DataFrame:
+def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, once: Callable[[str, str], Column] | None = None, rounds: int = 2) -> DataFrame:
     """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...), one row per key and id.
 
     ``may_link`` is a necessary condition on two members' columns, given their aliases; ``verify`` keeps the pairs
     (a, b) that do link. ``details`` gives columns that only ``may_link`` needs, by id, for the members of shared
-    buckets (a table of their ids). In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
+    buckets (a table of their ids). ``once`` holds in one of the buckets that two members share. In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
     that does so outside the first one's component. Links inside a component that is formed by then aren't all listed.
     """
     met = F.count(F.lit(1)).over(Window.partitionBy("key"))
@@ -66,7 +66,7 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     tried = links = None
     rest, chosen = members, leads(members)
     for turn in range(rounds + 1):
-        found = pairs(chosen, rest) if turn < rounds else pairs(rest, rest, F.col("l.id") < F.col("r.id"))
+        found = pairs(chosen, rest) if turn < rounds else pairs(rest, rest, (F.col("l.id") < F.col("r.id")) & (once("l", "r") if once else F.lit(True)))
         found = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "tried")
         more = written(verify(found), "links")
         tried, links = (found, more) if tried is None else (tried.union(found), links.union(more))
