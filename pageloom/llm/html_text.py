@@ -1,12 +1,12 @@
 """HTML extraction by line-block distribution (operator 9).
 
-Markup is stripped to lines: each block element (p, li, h1, td ...) is a line, and the edge of a container (div, nav,
-ul, section ...) leaves GAP empty lines. Elements that are never main text (scripts, styles, navigation, forms, asides,
-elements whose class or id names a menu, advert, notice or comment list) leave a gap too. A block is the sum of the text
+Markup is stripped to lines: each block element (p, li, h1, td ...) is a line, and the edge of a container (div, main,
+section ...) leaves GAP empty lines. Elements that are never main text (scripts, styles, navigation, forms, asides,
+elements whose class or id names a menu, advert, notice or comment list) leave nothing but a line's end. A block is the sum of the text
 lengths of GAP lines in a row. Where block lengths surge from nothing past SURGE a stretch begins, where they dive to
 nothing it ends; all lines between, short ones too, stay together. Where the page marks its article (article, main,
 role=main or itemprop=articleBody), only stretches in it count; else the longest one does, with those of at least a
-third of its text, and stretches that are mostly links don't count.
+third of its text and all between them, but for stretches that are mostly links.
 
 A null or empty page, and a page without text, gives an empty text. Pages are whole: nothing is cut or capped. Repeated
 rows give repeated results; a null id or url is passed on. No rows give no rows.
@@ -30,8 +30,8 @@ LINK_SHARE = 0.5
 #: HTML's element names by role.
 OPAQUE = frozenset("script style noscript template svg math iframe object canvas audio video head select textarea button".split())
 ASIDE = frozenset("nav footer aside form dialog menu".split())
-CONTAINER = frozenset("html body div main section article header ul ol dl table tbody thead tfoot fieldset figure details hgroup".split())
-BLOCK = frozenset("p li h1 h2 h3 h4 h5 h6 tr td th dt dd pre blockquote figcaption caption summary address hr option legend".split())
+CONTAINER = frozenset("html body div main section article header fieldset details".split())
+BLOCK = frozenset("ul ol dl table tbody thead tfoot figure hgroup p li h1 h2 h3 h4 h5 h6 tr td th dt dd pre blockquote figcaption caption summary address hr option legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class or id that mark what isn't the article.
 NAMED = re.compile(
@@ -90,10 +90,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     open_name, hides, article = stack.pop()
                     skip -= hides
                     links -= open_name == "a"
-                    if (open_name in CONTAINER or hides or open_name in ASIDE) and skip == 0:
-                        out.end_line(gap=True)
-                    elif open_name in BLOCK and skip == 0:
-                        out.end_line(gap=False)
+                    if skip == 0 and (open_name in CONTAINER or open_name in BLOCK or hides):
+                        out.end_line(gap=open_name in CONTAINER and not hides)
                     out.article -= article
                     if open_name == name:
                         break
@@ -107,10 +105,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             at = _RAW_END[name].search(page, at).end()
             out.end_line(gap=False) if name not in ("svg",) and skip == 0 and name in ("title",) else None
             continue
-        if skip == 0 and (name in CONTAINER or hides):
-            out.end_line(gap=True)
-        elif skip == 0 and name in BLOCK:
-            out.end_line(gap=False)
+        if skip == 0 and (name in CONTAINER or name in BLOCK or hides):
+            out.end_line(gap=name in CONTAINER and not hides)
         if name == "br" and not skip:
             out.parts.append(" ")
         if name in VOID or raw.rstrip().endswith("/"):
@@ -151,7 +147,8 @@ def main_text(page: str | None) -> str:
     if not marked:
         kept = [s for s in kept if sum(linked for _, linked, _ in s) <= LINK_SHARE * size(s)]
         most = max(map(size, kept), default=0)
-        kept = [s for s in kept if size(s) >= min(most, max(SURGE, most / 3))]
+        large = [i for i, s in enumerate(kept) if size(s) >= min(most, max(SURGE, most / 3))]
+        kept = kept[large[0] : large[-1] + 1] if large else []
     return "\n".join(text for s in kept for text, _, _ in s)
 
 
