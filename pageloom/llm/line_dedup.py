@@ -91,10 +91,7 @@ def bit_map(hashes: np.ndarray) -> np.ndarray:
 
 
 def may_be_similar(x: str, y: str, percent: int = PERCENT):
-    """An exact bound: a bit that only one line sets stands for a shingle that only that line has.
-
-    A pair counts in the first band that it shares only.
-    """
+    """An exact bound: a bit that only one line sets stands for a shingle that only that line has."""
 
     def apart(a: str, b: str):
         own = F.zip_with(f"{a}.bits", f"{b}.bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
@@ -102,8 +99,13 @@ def may_be_similar(x: str, y: str, percent: int = PERCENT):
 
     n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
     enough = lambda common: (100 + percent) * common >= percent * (n + m)
+    return enough(F.least(n, m)) & enough(n - apart(x, y)) & enough(m - apart(y, x))
+
+
+def first_shared(x: str, y: str):
+    """Whether the bucket that two lines meet in is the first band they share."""
     shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-    return enough(F.least(n, m)) & (F.get(shared, F.lit(0)) == F.col(f"{x}.key")) & enough(n - apart(x, y)) & enough(m - apart(y, x))
+    return F.get(shared, F.lit(0)) == F.col(f"{x}.key")
 
 
 def form_hash(forms: list[bytes]) -> np.ndarray:
@@ -194,7 +196,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a long, b long")
 
-    labels = components(linked(members, lambda x, y: may_be_similar(x, y, percent), verify, details))
+    labels = components(linked(members, lambda x, y: may_be_similar(x, y, percent), verify, details, first_shared))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
     return found, named.select("line", "label").join(least, "label")

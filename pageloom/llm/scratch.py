@@ -6,7 +6,9 @@ Intermediate results that several later steps read are written as Parquet below
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,14 +56,14 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Drop scratch tables that nothing reads any more, and let the cleaner drop the shuffle files of finished steps."""
-    import gc
-
     for table in tables:
         for file in table.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first collection finds, the cleaner lets go of, and the second one frees
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def shield(docs: DataFrame, used: tuple[str, ...]):

@@ -176,7 +176,8 @@ def _context_rows(length: int, gram: int):
                 keep = np.isin(x["at"], places)
                 base = offsets[x["text"]]
                 columns = [x["value"], x["context"], ids[first + x["text"]], x["lo"] - base, x["hi"] + length - base]
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep], pa.int64()) for c in columns], names=["value", "context", "doc", "begin", "end"])
+                types = [pa.int64()] * 3 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=["value", "context", "doc", "begin", "end"])
 
     return run
 
@@ -272,24 +273,41 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    shared = _shared_anchors(rows, length, gram)
+    release(spark)
+    marked = _marked_contexts(rows, shared, length, gram)
+    release(spark, shared)
+    partly = _partly_covered(rows, marked.filter("not whole"), length, contexts_per_shard)
+    release(spark)
+    return marked.filter("whole").select("doc", "begin", "end").union(partly)
+
+
+def _shared_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, at) of the anchors that more than one document has."""
     found = rows.mapInArrow(_anchor_rows(length, gram), "value long, doc long, at int")
     same = Window.partitionBy("value")
-    shared = written(found.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).filter("a < b").select("doc", "at"), "anchors")
-    release(spark)
+    return written(found.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).filter("a < b").select("doc", "at"), "anchors")
+
 
+def _marked_contexts(rows: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
+    """Contexts (value, context, doc, begin, end, whole): whole if a smaller document has it, else one of several of its anchor."""
     places = shared.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    contexts = rows.join(places, "doc").mapInArrow(_context_rows(length, gram), "value long, context long, doc long, begin long, end long")
+    contexts = rows.join(places, "doc").mapInArrow(_context_rows(length, gram), "value long, context long, doc long, begin int, end int")
+    same = Window.partitionBy("value")
     marked = (
         contexts.withColumn("least", F.min("doc").over(Window.partitionBy("value", "context")))
         .withColumn("other", F.min("context").over(same) != F.max("context").over(same))
         .filter("doc > least or other")
         .withColumn("whole", F.col("doc") > F.col("least"))
-        .drop("other", "least")
     )
-    marked = written(marked, "contexts")
-    release(spark, shared)
+    # Whole ones are spans already: their anchor isn't looked at again.
+    name = lambda c: F.when(~F.col("whole"), F.col(c)).alias(c)
+    return written(marked.select(name("value"), name("context"), "doc", "begin", "end", "whole"), "contexts")
+
 
-    edges = marked.filter("not whole")
+def _partly_covered(rows: DataFrame, edges: DataFrame, length: int, contexts_per_shard: int) -> DataFrame:
+    """(doc, begin, end) of what contexts share with others of their anchor, by suffix arrays."""
+    spark = rows.sparkSession
     firsts = edges.groupBy("value", "context").agg(F.min(F.struct("doc", "begin", "end")).alias("f")).select("value", "context", "f.*")
     crowd = firsts.groupBy("value").count().filter(F.col("count") > contexts_per_shard).select("value", F.ceil(F.col("count") / contexts_per_shard).cast("int").alias("shards"))
     dealt = firsts.join(crowd, "value", "left").withColumn("shard", F.when(F.col("shards").isNull(), -1).otherwise(F.pmod(F.xxhash64("context"), F.col("shards"))).cast("int"))
@@ -299,8 +317,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     shards = written(shards, "shards")
     merged = shards.filter("window is not null").repartition(partitions(spark), "window").mapInArrow(_merge, "value long, context long, begin long, end long")
     inner = shards.filter("window is null").select("value", "context", F.col("begin").alias("x"), F.col("end").alias("y")).union(merged)
-    partly = edges.join(inner, ["value", "context"]).select("doc", (F.col("begin") + F.col("x")).alias("begin"), (F.col("begin") + F.col("y")).alias("end"))
-    return marked.filter("whole").select("doc", "begin", "end").union(partly)
+    partly = edges.join(inner, ["value", "context"]).select("doc", (F.col("begin") + F.col("x")).cast("int").alias("begin"), (F.col("begin") + F.col("y")).cast("int").alias("end"))
+    return written(partly, "partly")
 
 
 def removed(docs: DataFrame, **how) -> DataFrame:
