@@ -40,7 +40,8 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, *, k: int = K, order
     steps = ", ".join(str(1 << b) for b in range(_PLACE_BITS - 1, -1, -1))
     marks = _MARKS.format(last=bins - 1, shift=arc)
     words = f"split(trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM `{text}`), '{_SPACE}')"
-    places = f"transform(array({words}), w -> transform(sequence(0, greatest(size(w) - {k}, 0)), i -> shiftleft({hashed(f'slice(w, i + 1, {k})')}, {_PLACE_BITS}) | (i + 1)))[0]"
+    gram = ", ".join(f"get(w, i + {j})" for j in range(k))  # words that a short text lacks are null and don't count
+    places = f"transform(array({words}), w -> transform(sequence(0, greatest(size(w) - {k}, 0)), i -> shiftleft({hashed(gram)}, {_PLACE_BITS}) | (i + 1)))[0]"
     # Later occurrences of a k-mer are points of their own: hash and occurrence number, hashed again.
     number = f"aggregate(array({steps}), 0, (o, s) -> if(j - o - s >= 0 and {g('get(_s, j - o - s)')} = {g('x')}, o + s, o))"
     numbered = f"transform(_s, (x, j) -> if(j > 0 and {g('get(_s, j - 1)')} = {g('x')}, shiftleft({hashed(f'{g("x")}, {number}')}, {_PLACE_BITS}) | {pos('x')}, x))"
