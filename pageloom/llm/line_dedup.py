@@ -169,11 +169,12 @@ def _similar_lines(percent: int):
 
 
 def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line); (line, label, nil, keep_id, keep_key, keep_place)."""
+    """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line) of all lines, and
+    (line, label, keep) of those that occur twice or are linked; ``keep`` is the place that stays."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = signed = written(rows.mapInArrow(_signed, f"doc_id {id_type}, row_key long, place int, line long, bands array<long>"), "line-bands")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
-    firsts = written(found.groupBy("line").agg(F.min(place).alias("first")), "line-firsts")
+    firsts = written(found.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
     reps = found.join(firsts.select("line", F.col("first.row_key").alias("row_key"), F.col("first.place").alias("place")), ["line", "row_key", "place"], "left_semi").dropDuplicates(["line"])
     reps = written(reps.select("line", "bands"), "line-reps")
     found = written(found.drop("bands"), "line-places")
@@ -197,9 +198,12 @@ def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a long, b long")
 
     labels = components(linked(members, lambda x, y: may_be_similar(x, y, percent), verify, details, first_shared))
-    named = firsts.join(labels, firsts["line"] == labels["id"], "left").select("line", F.coalesce("label", "line").alias("label"), "first")
+    named = firsts.join(labels, firsts["line"] == labels["id"], "left").filter("n > 1 or label is not null")
+    named = named.select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
-    return found, named.select("line", "label").join(least, "label")
+    parts = written(named.select("line", "label").join(least, "label"), "line-parts")
+    release(rows.sparkSession)
+    return found, parts
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
