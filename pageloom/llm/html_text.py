@@ -2,7 +2,7 @@
 
 Markup is stripped to lines: each block element (p, li, h1, td ...) is a line, and the edge of a container (div, main,
 section ...) leaves GAP empty lines. Elements that are never main text (scripts, styles, navigation, forms, asides,
-elements whose class or id names a menu, advert, notice or comment list) leave nothing but a line's end. A block is the sum of the text
+containers whose class or id names a menu, advert, notice or comment list) leave nothing but a line's end. A block is the sum of the text
 lengths of GAP lines in a row. Where block lengths surge from nothing past SURGE a stretch begins, where they dive to
 nothing it ends; all lines between, short ones too, stay together. Where the page marks its article (article, main,
 role=main or itemprop=articleBody), only stretches in it count; else the longest one does, with those of at least a
@@ -33,15 +33,20 @@ ASIDE = frozenset("nav footer aside form dialog menu".split())
 CONTAINER = frozenset("html body div main section article header fieldset details".split())
 BLOCK = frozenset("ul ol dl table tbody thead tfoot figure hgroup p li h1 h2 h3 h4 h5 h6 tr td th dt dd pre blockquote figcaption caption summary address hr option legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class or id that mark what isn't the article.
+#: Elements whose class and id names are looked at.
+NAMING = (CONTAINER - frozenset("html body article main".split())) | frozenset("ul ol dl table".split())
+#: Words in a class or id that mark what isn't the article; a name is made of nothing but these and words of place.
+_WORDS = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|site-?header|social|sponsor\w*|subscribe|toolbar|widget)"
+)
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|site-?header|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    rf"(?:(?:site|main|page|top|bottom|left|right|primary|secondary|global|post|article|blog)[_-])*{_WORDS}(?:[_-](?:{_WORDS}|list|area|section|box|bar|block|container|wrapper|wrap|inner|links?|items?|form|top|bottom|left|right|primary|secondary|\d+))*",
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>]+))?")
 _RAW_END = {name: re.compile(rf"</{name}\s*(?:>|$)|$", re.IGNORECASE) for name in ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "title")}
 _SPACE = re.compile(r"\s+")
 
@@ -66,7 +71,14 @@ class _Page:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw else {}
+    """Values by whole lower-case names; of a name that repeats the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw) if raw else ():
+        value = m[2] or ""
+        if value[:1] in ('"', "'"):
+            value = value[1:-1] if value[-1] == value[0] and len(value) > 1 else value[1:]
+        found.setdefault(m[1].lower(), entities.unescape(value))
+    return found
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -97,9 +109,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                         break
             continue
         attributes = _attributes(raw)
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        named = name in NAMING and any(map(NAMED.fullmatch, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
         in_article = out.article > 0
-        hides = name in OPAQUE or name in ASIDE or (name == "header" and not in_article) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or (name not in ("html", "body", "article", "main") and NAMED.search(named) is not None)
+        hides = name in OPAQUE or name in ASIDE or (name == "header" and not in_article) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or named
         article = name in ("article", "main") or attributes.get("role") == "main" or "articleBody" in attributes.get("itemprop", "")
         if name in _RAW_END:
             at = _RAW_END[name].search(page, at).end()

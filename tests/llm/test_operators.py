@@ -384,6 +384,18 @@ def test_html_text(spark):
     assert html_text.extract(rows.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("open_tag", ['<body style="overflow-x:hidden">', '<article style="overflow:hidden" data-hidden=no>', '<div class="content has-sidebar">', '<div title="a hidden role=dialog" class=post>'])
+def test_html_keeps_what_attributes_only_resemble(open_tag):
+    text = prose(8, 40)
+    assert html_text.main_text(f'{open_tag}<h2 id="related-work">Related</h2><p class="share">{text}</p>') == f"Related\n{text}"
+
+
+def test_html_hides_whole_names():
+    text = prose(8, 40)
+    for tag in ('div id="comments" width="100"', "div class='x main-nav y'", "div HIDDEN", "p hidden", "div class=cookie-notice", "ul class=menu", 'div data-id=1 id = "sidebar"'):
+        assert html_text.main_text(f"<article><p>{text}</p><{tag}>{text} no</{tag.split()[0]}></article>") == text, tag
+
+
 # Operator 10.
 
 
