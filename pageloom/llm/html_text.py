@@ -2,11 +2,16 @@
 
 Markup is stripped to lines: each block element (p, li, h1, td ...) is a line, and the edge of a container (div, main,
 section ...) leaves GAP empty lines. Elements that are never main text (scripts, styles, navigation, forms, asides,
-containers whose class or id names a menu, advert, notice or comment list) leave nothing but a line's end. A block is the sum of the text
-lengths of GAP lines in a row. Where block lengths surge from nothing past SURGE a stretch begins, where they dive to
-nothing it ends; all lines between, short ones too, stay together. Where the page marks its article (article, main,
-role=main or itemprop=articleBody), only stretches in it count; else the longest one does, with those of at least a
-third of its text and all between them, but for stretches that are mostly links.
+containers whose class or id names a menu, advert, notice or comment list) leave nothing but a line's end. A block is the
+sum of the text lengths of GAP lines in a row; lines that are mostly links count nothing. Where block lengths rise from
+nothing a stretch begins, where they dive to nothing it ends, and it is text if they surge to SURGE in between (or to
+the page's largest block, if that is less). Everything from the first such stretch to the last is kept.
+
+What surges only finds the text; its ends follow the markup, so that short and link-rich parts at the ends stay. Where
+the page marks its article (article, main, role=main or itemprop=articleBody), only lines in such elements count, and an
+element with a stretch is kept whole; before the first and after the last of these, others stay unless they are mostly
+links. Else the text reaches to the ends of the innermost container, sections not counted, that holds all stretches of
+at least a third of the longest one's length; if that is the page's body, to the ends of its sections.
 
 A null or empty page, and a page without text, gives an empty text. Pages are whole: nothing is cut or capped. Repeated
 rows give repeated results; a null id or url is passed on. No rows give no rows.
@@ -33,6 +38,8 @@ ASIDE = frozenset("nav footer aside form dialog menu".split())
 CONTAINER = frozenset("html body div main section article header fieldset details".split())
 BLOCK = frozenset("ul ol dl table tbody thead tfoot figure hgroup p li h1 h2 h3 h4 h5 h6 tr td th dt dd pre blockquote figcaption caption summary address hr option legend".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are parts of what holds them.
+PARTS = frozenset("section header fieldset details".split())
 #: Elements whose class and id names are looked at.
 NAMING = (CONTAINER - frozenset("html body article main".split())) | frozenset("ul ol dl table".split())
 #: Words in a class or id that mark what isn't the article; a name is made of nothing but these and words of place.
@@ -52,22 +59,24 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Page:
-    """Lines of a page: (text, characters in links, in the article); an empty text is a gap."""
+    """Lines of a page: (text, characters in links, outermost marked element or 0, open containers); an empty text is a gap."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, int, tuple]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.article = 0
+        self.region = 0
+        self.path: tuple = ()
 
     def end_line(self, gap: bool) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.linked, self.article > 0))
+            self.lines.append((text, self.linked, self.region if self.article else 0, self.path))
         self.parts.clear()
         self.linked = 0
         if gap and self.lines and self.lines[-1][0]:
-            self.lines += [("", 0, False)] * GAP
+            self.lines += [("", 0, 0, ())] * GAP
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,7 +90,7 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
+def page_lines(page: str) -> list[tuple[str, int, int, tuple]]:
     out, stack, at, skip, links = _Page(), [], 0, 0, 0
     for tag in iter(lambda: _TAG.search(page, at), None):
         if not skip and tag.start() > at:
@@ -104,6 +113,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     links -= open_name == "a"
                     if skip == 0 and (open_name in CONTAINER or open_name in BLOCK or hides):
                         out.end_line(gap=open_name in CONTAINER and not hides)
+                    if open_name in CONTAINER:
+                        out.path = out.path[:-1]
                     out.article -= article
                     if open_name == name:
                         break
@@ -127,7 +138,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             stack.pop()
         skip += hides
         links += name == "a"
-        out.article += article and not skip
+        if article and not skip:
+            out.region += out.article == 0
+            out.article += 1
+        if name in CONTAINER:
+            out.path += ((name, tag.start()),)
         stack.append((name, int(hides), int(article and not skip)))
     if at < len(page) and not skip:
         out.parts.append(entities.unescape(page[at:]))
@@ -135,33 +150,68 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return out.lines
 
 
-def stretches(lines: list[tuple[str, int, bool]]) -> list[list[tuple[str, int, bool]]]:
-    """Lines from each surge of the block lengths to its dive."""
-    lengths = [len(text) for text, _, _ in lines]
-    found, begin = [], None
-    for i, n in enumerate(lengths):
-        block = sum(lengths[i : i + GAP])
-        if begin is None and n:
-            begin = i
-        if begin is not None and block == 0:
-            found.append(lines[begin:i])
+def _weight(line: tuple[str, int, int, tuple]) -> int:
+    """Characters of a line, but none of one that is mostly links."""
+    return len(line[0]) if line[1] <= LINK_SHARE * len(line[0]) else 0
+
+
+def stretches(lines: list[tuple[str, int, int, tuple]]) -> list[tuple[int, int]]:
+    """Places of the lines from each rise of the block lengths to their dive, if they surge in between."""
+    weights = list(map(_weight, lines))
+    blocks = [sum(weights[i : i + GAP]) for i in range(len(weights))]
+    if not any(blocks):  # links only, or nothing
+        weights = [len(x[0]) for x in lines]
+        blocks = [sum(weights[i : i + GAP]) for i in range(len(weights))]
+    enough = min(SURGE, max(blocks, default=0))
+    found, begin, surges = [], None, False
+    for i, block in enumerate([*blocks, 0]):
+        if block and begin is None and weights[i]:
+            begin, surges = i, False
+        surges = surges or block >= enough
+        if block == 0 and begin is not None:
+            if surges:
+                found.append((begin, max(k for k in range(begin, i) if weights[k]) + 1))
             begin = None
-    if begin is not None:
-        found.append(lines[begin:])
-    return [[x for x in stretch if x[0]] for stretch in found]
+    return found
+
+
+def _marked_ends(lines: list[tuple[str, int, int, tuple]], found: list[tuple[int, int]]) -> tuple[int, int]:
+    """The marked elements, but for those at the ends that have no stretch and are mostly links."""
+    held = {lines[i][2] for begin, end in found for i in range(begin, end)}
+    size = lambda region, column: sum(column(x) for x in lines if x[2] == region)
+    regions = {x[2] for x in lines if x[0]}
+    good = held | {r for r in regions - held if size(r, lambda x: x[1]) <= LINK_SHARE * size(r, lambda x: len(x[0]))}
+    places = [i for i, x in enumerate(lines) if x[0] and x[2] in good]
+    return places[0], places[-1] + 1
+
+
+def _container_ends(lines: list[tuple[str, int, int, tuple]], found: list[tuple[int, int]]) -> tuple[int, int]:
+    """The ends of the container that holds the large stretches, or of the stretches where they reach further."""
+    sizes = [sum(len(x[0]) for x in lines[begin:end]) for begin, end in found]
+    large = [i for i, n in enumerate(sizes) if 3 * n >= max(sizes)]
+    paths = [x[3] for i in large for x in lines[found[i][0] : found[i][1]] if x[0]]
+    depth = 0
+    while all(len(p) > depth and p[depth] == paths[0][depth] for p in paths):
+        depth += 1
+    while depth and paths[0][depth - 1][0] in PARTS:
+        depth -= 1
+    shared = paths[0][:depth]
+    body = not shared or shared[-1][0] in ("html", "body")
+    inside = lambda p: p[:depth] == shared and (not body or (len(p) > depth and p[depth][0] in PARTS))
+    places = [i for i, x in enumerate(lines) if x[0] and inside(x[3])]
+    return min([found[0][0], *places]), max([found[-1][1], *(i + 1 for i in places)])
 
 
 def main_text(page: str | None) -> str:
     lines = page_lines(page or "")
-    marked = any(in_article for _, _, in_article in lines)
-    kept = stretches([x if x[2] or not x[0] else ("", 0, False) for x in lines] if marked else lines)
-    size = lambda s: sum(len(text) for text, _, _ in s)
-    if not marked:
-        kept = [s for s in kept if sum(linked for _, linked, _ in s) <= LINK_SHARE * size(s)]
-        most = max(map(size, kept), default=0)
-        large = [i for i, s in enumerate(kept) if size(s) >= min(most, max(SURGE, most / 3))]
-        kept = kept[large[0] : large[-1] + 1] if large else []
-    return "\n".join(text for s in kept for text, _, _ in s)
+    marked = any(region for _, _, region, _ in lines)
+    if marked:
+        lines = [x if x[2] or not x[0] else ("", 0, 0, ()) for x in lines]
+    found = stretches(lines)
+    if not found:
+        return ""
+    begin, end = (_marked_ends if marked else _container_ends)(lines, found)
+    return "\n".join(x[0] for x in lines[begin:end] if x[0])
 
 
 def _extract(batches):

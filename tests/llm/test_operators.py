@@ -384,6 +384,22 @@ def test_html_text(spark):
     assert html_text.extract(rows.filter("false")).count() == 0
 
 
+def test_html_surge_and_ends():
+    """Block sums find the text on every page; its ends follow the markup."""
+    long, links = prose(7, 60), "<section><a href=a>Sources of it</a> <a href=b>more of them</a></section>"
+    want = f"Early.\n{long}\nSources of it more of them\n{long}\nLate."
+    body = f"<section>Early.</section><section>{long}</section>{links}<section>{long}</section><section>Late.</section>"
+    nav = "<div><a href=x>Home</a> <a href=y>News</a></div>"
+    for page in (f"<article>{body}</article>", f"{nav}<div>{body}</div>{nav}", f"<body>{nav}{body}{nav}</body>"):
+        assert html_text.main_text(page) == want, page
+    ended = f"<div><p>{long}</p>{links}</div>"
+    assert html_text.main_text(f"<body>{nav}{ended}{nav}") == f"{long}\nSources of it more of them"
+    card = "<article><a href=z>Another page that may be read</a></article>"
+    assert html_text.main_text(f"{card}<article><p>{long}<p>End.</article>{card}") == f"{long}\nEnd."
+    assert html_text.main_text(f"<div>short</div><div>{long}</div>") == long
+    assert html_text.main_text(f"<body><h1>Title</h1><p>By me<p>Today<p>Here<p>{long}") == f"Title\nBy me\nToday\nHere\n{long}"
+
+
 @pytest.mark.parametrize("open_tag", ['<body style="overflow-x:hidden">', '<article style="overflow:hidden" data-hidden=no>', '<div class="content has-sidebar">', '<div title="a hidden role=dialog" class=post>'])
 def test_html_keeps_what_attributes_only_resemble(open_tag):
     text = prose(8, 40)
