@@ -1,15 +1,16 @@
 """Line dedup, fuzzy lines by MinHash (operator 10).
 
 A line is a text's part between newlines; its form for comparison has A-Z lowered and white space runs as one space,
-trimmed. Its set is the distinct SHINGLE-character (byte) shingles. The signature is one-permutation MinHash: a shingle's
+trimmed. Its set is the distinct shingles of SHINGLE characters (code points): one changed character inside a line breaks
+SHINGLE of them at most, so copies of 10 * SHINGLE - 1 characters pass PERCENT with one such change. The signature is one-permutation MinHash: a shingle's
 hash picks a bin and competes for its least value, and empty bins copy a bin chosen by their own number. BANDS bands of
 ROWS bins catch 99 % of the pairs at the threshold. Lines that meet in a band are verified by exact Jaccard similarity
 of their whole sets; components of verified links are formed by joins, and the first line (least doc_id, then position)
 of each component stays, all others go.
 
 Equal lines collapse to one before anything else, by a map-side minimum, so a line in a third of all texts costs one row
-a task. Lines of fewer than MIN_CHARS characters are left as they are: too short to tell copies from chance. Documents
-never go, but a document may keep no line; its text is then empty. Texts that lose no line stay as they are, nulls too.
+a task. Lines of fewer than MIN_CHARS characters are copies only if they are equal: too short to tell near copies from
+chance. Lines of white space are left as they are. Documents never go, but a document may keep no line; its text is then empty. Texts that lose no line stay as they are, nulls too.
 A null doc_id sorts last; repeated rows keep their lines once. No rows give no rows.
 """
 
@@ -25,7 +26,7 @@ from .ngram_join import similar
 from .scratch import read_table, release, shield, small_batches, written
 from .shingles import SLICE, mix
 
-SHINGLE = 8
+SHINGLE = 5
 MIN_CHARS = 20
 BANDS, ROWS = 9, 4
 BINS = BANDS * ROWS
@@ -42,8 +43,19 @@ def line_form(line: bytes) -> bytes:
     return b" ".join(line.translate(_SPACES).split())
 
 
+def code_points(form: bytes) -> np.ndarray:
+    return np.frombuffer(form.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def lengths(forms: list[bytes]) -> np.ndarray:
+    """Code points of each form: its bytes that don't continue one."""
+    ends = np.cumsum(np.fromiter(map(len, forms), np.int64, len(forms)))
+    starts = np.cumsum((np.frombuffer(b"".join(forms), np.uint8) & 0xC0) != 0x80)
+    return np.diff(np.concatenate(([0], starts))[ends], prepend=0)
+
+
 def shingle_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the SHINGLE bytes from each position on."""
+    """Hash of the SHINGLE code points from each position on."""
     sums = np.zeros(max(0, len(data) - SHINGLE + 1), np.uint64)
     wide = data.astype(np.uint64) + np.uint64(1)
     for j in range(SHINGLE):
@@ -52,13 +64,14 @@ def shingle_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def line_set(form: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(np.frombuffer(form, np.uint8)))
+    data = code_points(form)
+    return np.unique(shingle_hashes(data)) if len(data) >= MIN_CHARS else form_hash([form])
 
 
 def signatures(forms: list[bytes]) -> np.ndarray:
-    """One row of BINS least hashes per line; every line has SHINGLE bytes at least."""
-    sizes = np.fromiter(map(len, forms), np.int64, len(forms))
-    hashes = shingle_hashes(np.frombuffer(b"".join(forms), np.uint8))
+    """One row of BINS least hashes per line; every line has SHINGLE code points at least."""
+    sizes = lengths(forms)
+    hashes = shingle_hashes(code_points(b"".join(forms)))
     line = np.repeat(np.arange(len(forms)), sizes)[: len(hashes)]
     ends = np.cumsum(sizes)[line]
     whole = np.arange(len(hashes)) + SHINGLE <= ends
@@ -115,10 +128,10 @@ def form_hash(forms: list[bytes]) -> np.ndarray:
 
 
 def _lines(text: str | None):
-    """(position, form) of the lines that are long enough."""
+    """(position, form) of the lines that aren't white space."""
     for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
         form = line_form(line)
-        if len(form) >= MIN_CHARS and len(form.decode("utf-8", "replace")) >= MIN_CHARS:
+        if form:
             yield i, form
 
 
@@ -127,9 +140,11 @@ def _signed(batches):
         ids, keys, places, forms, held = [], [], [], [], 0
 
         def out(ids=ids, keys=keys, places=places, forms=forms):
-            table = bands(forms)
+            fuzzy = lengths(forms) >= MIN_CHARS
+            table = bands([x for x, long in zip(forms, fuzzy, strict=True) if long])
+            ends = np.concatenate(([0], np.cumsum(fuzzy * BANDS))).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(form_hash(forms).astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(table.astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))],
+                [pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(form_hash(forms).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(table.astype(np.int64).ravel()))],
                 names=["doc_id", "row_key", "place", "line", "bands"],
             )
 
@@ -226,7 +241,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         joined = joined.join(repeats.withColumn("_repeats", F.lit(True)), "_row_key", "left")
         again = F.when(F.col("_repeats"), F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))).otherwise(F.lit(1))
     joined = joined.withColumn("_again", again)
-    longs = F.filter(F.sequence(F.lit(0), F.size(parts_of) - 1), lambda i: F.length(F.trim(F.regexp_replace(F.get(parts_of, i), r"[\x20\x09-\x0D]+", " "))) >= MIN_CHARS)
+    longs = F.filter(F.sequence(F.lit(0), F.size(parts_of) - 1), lambda i: F.length(F.trim(F.regexp_replace(F.get(parts_of, i), r"[\x20\x09-\x0D]+", " "))) > 0)
     lost = F.when(F.col("_again") > 1, longs).otherwise(F.coalesce("_gone", F.array().cast("array<int>")))
     joined = joined.withColumn("_lost", lost)
     kept = F.filter(F.transform(parts_of, lambda x, i: F.when(~F.array_contains("_lost", i), x)), lambda x: x.isNotNull())

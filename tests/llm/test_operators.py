@@ -442,6 +442,16 @@ def test_line_dedup(docs, odd, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_short_and_slightly_changed_lines(spark):
+    line, foreign = prose(11, 9)[:52], "é" * 3 + prose(12, 9)[:48] + "ü"
+    changed = [x[:30] + "#" + x[31:] for x in (line, foreign)]
+    assert len(line.encode()) < 79 and changed[0] != line
+    rows = [(1, f"Les.\n{line}\n\n{foreign}"), (2, f"les.\n{changed[0]}\n\nDes."), (3, f"{changed[1]}\nNur hier\nDES. \n \nDe."), (4, "x\ny"), (4, "x\ny")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, rows[0][1], 0), (2, "\nDes.", 2), (3, "Nur hier\n \nDe.", 2), (4, "", 2), (4, "x\ny", 0)]
+    assert line_dedup.lengths(["aé".encode(), b"", "€".encode()]).tolist() == [2, 0, 1]
+
+
 def test_banding_finds_similar_lines():
     rng = np.random.default_rng(3)
     found = tried = 0
