@@ -13,7 +13,8 @@ bytes name the smallest document that holds them. An anchor with more than CONTE
 their sorted windows are merged by binary search, dealt by window, so no shard and no merge holds a whole hot anchor.
 
 Nulls are empty texts; texts shorter than LENGTH lose nothing. A null doc_id counts as the largest. Rows of one doc_id
-don't remove from each other; equal texts of larger ids lose all. No rows give no rows.
+don't remove from each other; where they have different texts, a hash of the text (``part``, else 0) tells them apart, so
+spans stay with the row they were found in. Equal texts of larger ids lose all. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -155,11 +156,12 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
 def _anchor_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
+            ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "part"))
             for first, _, data, offsets in slices(batch.column("text")):
                 x = anchors(data, offsets, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["value"]), pa.array(ids[first + x["text"]], pa.int64()), pa.array((x["at"] - offsets[x["text"]]).astype(np.int32))], names=["value", "doc", "at"]
+                    [pa.array(x["value"]), pa.array(ids[first + x["text"]], pa.int64()), pa.array(parts[first + x["text"]], pa.int64()), pa.array((x["at"] - offsets[x["text"]]).astype(np.int32))],
+                    names=["value", "doc", "part", "at"],
                 )
 
     return run
@@ -168,16 +170,16 @@ def _anchor_rows(length: int, gram: int):
 def _context_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
-            ids, wanted = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("places")
+            (ids, parts), wanted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "part")), batch.column("places")
             for first, last, data, offsets in slices(batch.column("text")):
                 x = anchors(data, offsets, length, gram)
                 local = wanted.slice(first, last - first)
                 places = np.concatenate([np.zeros(0, np.int64), *(np.asarray(p.as_py(), np.int64) + o for p, o in zip(local, offsets[:-1], strict=True))])
                 keep = np.isin(x["at"], places)
                 base = offsets[x["text"]]
-                columns = [x["value"], x["context"], ids[first + x["text"]], x["lo"] - base, x["hi"] + length - base]
-                types = [pa.int64()] * 3 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=["value", "context", "doc", "begin", "end"])
+                columns = [x["value"], x["context"], ids[first + x["text"]], parts[first + x["text"]], x["lo"] - base, x["hi"] + length - base]
+                types = [pa.int64()] * 4 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=["value", "context", "doc", "part", "begin", "end"])
 
     return run
 
@@ -268,31 +270,40 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array([hashlib.sha256(x).hexdigest() for x in out[3]])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with doc, a null doc_id being the largest number, and part, which tells texts of one doc apart."""
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
+    own = F.xxhash64("text")
+    several = rows.groupBy("doc").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x <> y").select("doc", F.lit(True).alias("several"))
+    # Written, so that its size is known: most often no doc has several texts, and the join moves none.
+    return rows.join(written(several, "several-texts"), "doc", "left").withColumn("part", F.when(F.col("several"), own).otherwise(F.lit(0).cast("long"))).drop("several")
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, contexts_per_shard: int = CONTEXTS_PER_SHARD) -> DataFrame:
-    """(doc, begin, end): bytes to remove, overlaps possible; ``doc`` is doc_id, a null one the largest number."""
+    """(doc, part, begin, end): bytes to remove of the ``keyed`` rows of ``docs``, overlaps possible."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    rows = keyed(docs).select("doc", "part", "text")
     shared = _shared_anchors(rows, length, gram)
     release(spark)
     marked = _marked_contexts(rows, shared, length, gram)
     release(spark, shared)
     partly = _partly_covered(rows, marked.filter("not whole"), length, contexts_per_shard)
     release(spark)
-    return marked.filter("whole").select("doc", "begin", "end").union(partly)
+    return marked.filter("whole").select("doc", "part", "begin", "end").union(partly)
 
 
 def _shared_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, at) of the anchors that more than one document has."""
-    found = rows.mapInArrow(_anchor_rows(length, gram), "value long, doc long, at int")
+    """(doc, part, at) of the anchors that more than one document has."""
+    found = rows.mapInArrow(_anchor_rows(length, gram), "value long, doc long, part long, at int")
     same = Window.partitionBy("value")
-    return written(found.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).filter("a < b").select("doc", "at"), "anchors")
+    return written(found.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).filter("a < b").select("doc", "part", "at"), "anchors")
 
 
 def _marked_contexts(rows: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
-    """Contexts (value, context, doc, begin, end, whole): whole if a smaller document has it, else one of several of its anchor."""
-    places = shared.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    contexts = rows.join(places, "doc").mapInArrow(_context_rows(length, gram), "value long, context long, doc long, begin int, end int")
+    """Contexts (value, context, doc, part, begin, end, whole): whole if a smaller document has it, else one of several of its anchor."""
+    places = shared.groupBy("doc", "part").agg(F.collect_list("at").alias("places"))
+    contexts = rows.join(places, ["doc", "part"]).mapInArrow(_context_rows(length, gram), "value long, context long, doc long, part long, begin int, end int")
     same = Window.partitionBy("value")
     marked = (
         contexts.withColumn("least", F.min("doc").over(Window.partitionBy("value", "context")))
@@ -302,22 +313,22 @@ def _marked_contexts(rows: DataFrame, shared: DataFrame, length: int, gram: int)
     )
     # Whole ones are spans already: their anchor isn't looked at again.
     name = lambda c: F.when(~F.col("whole"), F.col(c)).alias(c)
-    return written(marked.select(name("value"), name("context"), "doc", "begin", "end", "whole"), "contexts")
+    return written(marked.select(name("value"), name("context"), "doc", "part", "begin", "end", "whole"), "contexts")
 
 
 def _partly_covered(rows: DataFrame, edges: DataFrame, length: int, contexts_per_shard: int) -> DataFrame:
-    """(doc, begin, end) of what contexts share with others of their anchor, by suffix arrays."""
+    """(doc, part, begin, end) of what contexts share with others of their anchor, by suffix arrays."""
     spark = rows.sparkSession
-    firsts = edges.groupBy("value", "context").agg(F.min(F.struct("doc", "begin", "end")).alias("f")).select("value", "context", "f.*")
+    firsts = edges.groupBy("value", "context").agg(F.min(F.struct("doc", "part", "begin", "end")).alias("f")).select("value", "context", "f.*")
     crowd = firsts.groupBy("value").count().filter(F.col("count") > contexts_per_shard).select("value", F.ceil(F.col("count") / contexts_per_shard).cast("int").alias("shards"))
     dealt = firsts.join(crowd, "value", "left").withColumn("shard", F.when(F.col("shards").isNull(), -1).otherwise(F.pmod(F.xxhash64("context"), F.col("shards"))).cast("int"))
-    wanted = dealt.groupBy("doc").agg(F.collect_list(F.struct("value", "context", "begin", "end", "shard")).alias("wanted"))
-    cut = rows.join(wanted, "doc").mapInArrow(_cut_contexts, "value long, context long, doc long, bytes binary, shard int")
+    wanted = dealt.groupBy("doc", "part").agg(F.collect_list(F.struct("value", "context", "begin", "end", "shard")).alias("wanted"))
+    cut = rows.join(wanted, ["doc", "part"]).mapInArrow(_cut_contexts, "value long, context long, doc long, bytes binary, shard int")
     shards = cut.repartition(partitions(spark), "value", "shard").mapInArrow(_shard(length), "value long, context long, begin long, end long, doc long, window binary")
     shards = written(shards, "shards")
     merged = shards.filter("window is not null").repartition(partitions(spark), "window").mapInArrow(_merge, "value long, context long, begin long, end long")
     inner = shards.filter("window is null").select("value", "context", F.col("begin").alias("x"), F.col("end").alias("y")).union(merged)
-    partly = edges.join(inner, ["value", "context"]).select("doc", (F.col("begin") + F.col("x")).cast("int").alias("begin"), (F.col("begin") + F.col("y")).cast("int").alias("end"))
+    partly = edges.join(inner, ["value", "context"]).select("doc", "part", (F.col("begin") + F.col("x")).cast("int").alias("begin"), (F.col("begin") + F.col("y")).cast("int").alias("end"))
     return written(partly, "partly")
 
 
@@ -325,10 +336,10 @@ def removed(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
     spans = written(repeated_spans(docs, **how), "spans")
     release(docs.sparkSession)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
+    spans = spans.groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    rows = keyed(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(spans, ["doc", "part"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -348,6 +348,18 @@ def test_suffix_dedup(docs, odd, nothing):
     assert suffix_dedup.removed(odd).count() == 6 and suffix_dedup.removed(nothing).count() == 0
 
 
+def test_suffix_spans_stay_with_their_row(spark, odd):
+    """Rows of one id or of none lose only what they hold themselves."""
+    n = len(BASE)
+    counts = lambda df: sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in df.collect())
+    assert counts(suffix_dedup.removed(odd)) == [(5, n, 0), (5, n, 0), (5, n + 6, 0), (7, 0, 0), (99, 0, 0), (99, n, n)]
+    clean, mixed = prose(21, 200), prose(22, 60) + BASE[200:900] + prose(23, 60)
+    rows = spark.createDataFrame([(1, BASE), (8, mixed), (8, clean), (None, clean[:400]), (None, prose(24, 90)), (None, mixed)], "doc_id long, text string")
+    got = counts(suffix_dedup.removed(rows))
+    assert [x for x in got if x[2] == 0] == [(1, n, 0), (8, len(clean), 0), (99, len(prose(24, 90)), 0)]
+    assert (99, 400, 400) in got and (99, len(mixed), len(mixed)) in got and any(x[0] == 8 and x[2] >= 700 for x in got)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_array_and_prefixes(seed):
     data = np.random.default_rng(seed).integers(97, 97 + 1 + seed, 400, dtype=np.uint8)
