@@ -39,7 +39,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, *, k: int = K, order
     hashed = f"shiftrightunsigned(xxhash64({{}}), {64 - _HASH_BITS})".format
     steps = ", ".join(str(1 << b) for b in range(_PLACE_BITS - 1, -1, -1))
     marks = _MARKS.format(last=bins - 1, shift=arc)
-    words = f"split(trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM `{text}`), '{_SPACE}')"
+    words = f"split(trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM `{text}`), '{_SPACE}')"
     gram = ", ".join(f"get(w, i + {j})" for j in range(k))  # words that a short text lacks are null and don't count
     places = f"transform(array({words}), w -> transform(sequence(0, greatest(size(w) - {k}, 0)), i -> shiftleft({hashed(gram)}, {_PLACE_BITS}) | (i + 1)))[0]"
     # Later occurrences of a k-mer are points of their own: hash and occurrence number, hashed again.

@@ -173,6 +173,14 @@ def test_order_minhash(docs, odd, nothing):
     assert single.near_next == 1.0
 
 
+def test_order_minhash_trims_form_feeds_not_letters(spark):
+    texts = ["foo of", "oo o", "fff", "\x0cfoo of\x0c\x0b", "\x0c foo of", "f " + prose(31, 30) + " f"]
+    got = rows_of(fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        assert got[i]["fingerprint"] == "".join(f"{v:04x}" for v in signature(t)), t
+    assert got[0]["fingerprint"] == got[3]["fingerprint"] == got[4]["fingerprint"] != got[1]["fingerprint"]
+
+
 # Operator 3.
 
 
