@@ -1,18 +1,25 @@
-"""Links among members of buckets, and their connected components, by joins alone.
+"""Links among members of buckets, and their connected components.
 
-``linked`` finds links of every two members of a bucket without making all pairs: first each member is compared with one
-lead of its bucket, and components of what is linked so far are formed; in the end only members of different components
-are compared. What a lead gathers costs its size, not the square, and no link that joins two components is missed.
+``linked`` finds links of the members of a bucket without making all pairs. Buckets with one member go in a stream of
+sorted rows, which also names a lead of each bucket, its smallest id. Every member is compared with its lead, and
+components of what is linked so far are formed. Then only members outside their lead's component are compared with the
+others of their bucket, in blocks of bounded size, if they are in different components. What a lead gathers costs its
+size, not the square, and no link that joins two components is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import release, written
+from .scratch import dropped, partitions, written
+
+#: Members of a bucket that meet one row in a task.
+BLOCK = 512
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,42 +46,99 @@ def components(links: DataFrame) -> DataFrame:
     return pointers.select(F.col("u").alias("id"), F.col("v").alias("label")).union(roots.select("id", F.col("id").alias("label")))
 
 
-def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, once: Callable[[str, str], Column] | None = None, rounds: int = 2) -> DataFrame:
-    """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...), one row per key and id.
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it."""
+    if pa.types.is_binary(column.type):  # ids of one width
+        width = len(column[0].as_py())
+        data = np.frombuffer(column.buffers()[2], np.uint8)[: (column.offset + len(column)) * width]
+        rows = data.reshape(-1, width)[column.offset :]
+        return (rows[1:] != rows[:-1]).any(axis=1)
+    x = column.to_numpy(zero_copy_only=False)
+    return x[1:] != x[:-1]
+
+
+def _shared(extra: list[str]):
+    """Rows (key, id, ...) in order of key and id: those whose key has several ids, each id once, with their key's lead."""
+
+    def run(batches):
+        before = None  # the last row so far, and whether it is known to be shared
+        lead = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            known = False
+            if before is not None:
+                table, known = pa.concat_tables([before[0], table]), before[1]
+            table = table.combine_chunks()
+            key, own = (table.column(c).chunk(0) for c in ("key", "id"))
+            new_key = _differs(key)
+            keep = np.concatenate(([True], new_key | _differs(own)))
+            if not keep.all():
+                table = table.filter(pa.array(keep)).combine_chunks()
+                new_key = _differs(table.column("key").chunk(0))
+            n = len(table)
+            first = np.concatenate(([True], new_key))
+            shared = np.zeros(n, bool)
+            shared[1:] |= ~new_key
+            shared[:-1] |= ~new_key
+            shared[0] |= known
+            heads = np.flatnonzero(first)
+            at = heads[np.cumsum(first) - 1]
+            leads = table.select(["id", *extra])
+            if known or (before is not None and lead is not None):
+                leads = pa.concat_tables([lead, leads])  # the first row goes on with its own lead
+                at = np.where(at == 0, 0, at + 1)
+            out = table
+            for c in ("id", *extra):
+                out = out.append_column(f"lead_{c}", leads.column(c).take(pa.array(at)).combine_chunks())
+            done = shared.copy()
+            done[-1] = False
+            yield from out.filter(pa.array(done)).to_batches()
+            before = (table.slice(n - 1), bool(shared[-1]))
+            lead = leads.slice(int(at[-1]), 1)
+        if before is not None and before[1]:
+            out = before[0]
+            for c in ("id", *extra):
+                out = out.append_column(f"lead_{c}", lead.column(c))
+            yield from out.combine_chunks().to_batches()
+
+    return run
 
-    ``may_link`` is a necessary condition on two members' columns, given their aliases; ``verify`` keeps the pairs
-    (a, b) that do link. ``details`` gives columns that only ``may_link`` needs, by id, for the members of shared
-    buckets (a table of their ids). ``once`` holds in one of the buckets that two members share. In each of ``rounds`` a bucket has one lead: the member that shares most buckets, then the one
-    that does so outside the first one's component. Links inside a component that is formed by then aren't all listed.
+
+def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, surely: Callable[[str, str], Column] | None = None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...); equal rows count once.
+
+    ``may_link`` is a necessary condition on two members' columns, given their aliases, and ``surely`` one on the columns
+    that ``details`` gives by id, for a table of ids; ``verify`` keeps the pairs (a, b) that do link. Links inside a
+    component that the leads have formed aren't all listed.
     """
-    met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = written(members.withColumn("met", met).filter("met > 1").drop("met"), "shared-buckets")
-    release(members.sparkSession)
-    ids = shared.groupBy("id").agg(F.count(F.lit(1)).alias("met"))
-    members = written(shared.join(ids if details is None else ids.join(details(ids.select("id")), "id"), "id").withColumn("label", F.col("id")), "buckets")
-    release(members.sparkSession, shared)
-    others = [c for c in members.columns if c not in ("key", "id", "met")]
-
-    def leads(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.max(F.struct("met", "id", *others)).alias("m")).select("key", "m.*")
-
-    def pairs(left: DataFrame, right: DataFrame, extra: Column | None = None) -> DataFrame:
-        apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & may_link("l", "r")
-        met = left.alias("l").join(right.alias("r"), apart if extra is None else apart & extra)
-        return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-
-    tried = links = None
-    rest, chosen = members, leads(members)
-    for turn in range(rounds + 1):
-        found = pairs(chosen, rest) if turn < rounds else pairs(rest, rest, (F.col("l.id") < F.col("r.id")) & (once("l", "r") if once else F.lit(True)))
-        found = written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "tried")
-        more = written(verify(found), "links")
-        tried, links = (found, more) if tried is None else (tried.union(found), links.union(more))
-        if turn == rounds:
-            return links
-        labels = components(links).withColumnRenamed("label", "joined")
-        labelled = rest.join(labels, "id", "left").withColumn("label", F.coalesce("joined", "id")).drop("joined")
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        rest = written(labelled.join(open_keys, "key", "left_semi"), "open-buckets")
-        first = leads(rest).select("key", F.col("label").alias("lead"))
-        chosen = leads(rest.join(first, "key").filter("label <> lead").drop("lead"))
+    extra = [c for c in members.columns if c not in ("key", "id")]
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in members.columns), *(f"lead_{c} {kinds[c]}" for c in ("id", *extra))])
+    dealt = members.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key", "id")
+    shared = written(dealt.mapInArrow(_shared(extra), schema), "shared-buckets")
+    if details is not None:
+        details = details(shared.select("id").distinct())
+
+    def paired(pairs: DataFrame) -> DataFrame:
+        return written(pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "pairs")
+
+    own = F.struct("id", *extra).alias("l")
+    lead = F.struct(F.col("lead_id").alias("id"), *(F.col(f"lead_{c}").alias(c) for c in extra)).alias("r")
+    links = written(verify(paired(shared.filter("id <> lead_id").select(own, lead).filter(may_link("l", "r")))), "links")
+    labels = components(links)
+    rest = shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = written(rest, "labelled")
+    keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("leads"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("n"))
+    keys = keys.filter("x <> y").select("key", "major", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rest = rest.join(keys, "key")
+    rest = written(rest if details is None else rest.join(details, "id"), "open-buckets")
+    minor = rest.filter("not leads and label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = rest.filter("not leads").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    apart = (F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))) & may_link("l", "r")
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
+    more = minor.alias("l").join(others.alias("r"), same & (apart if surely is None else apart & surely("l", "r")))
+    more = written(verify(paired(more)), "links")
+    dropped(shared)
+    return links.union(more)

@@ -22,25 +22,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .ngram_join import similar
-from .scratch import read_table, release, shield, small_batches, written
+from .ngram_join import row_key, similar
+from .scratch import read_table, shield, small_batches, written
 from .shingles import SLICE, mix
 
 SHINGLE = 5
 MIN_CHARS = 20
-BANDS, ROWS = 9, 4
+BANDS, ROWS = 15, 6
 BINS = BANDS * ROWS
 BITS = 2048
 PERCENT = 80
+#: Lines a task knows as sent: an equal one isn't signed again.
+REMEMBERED = 1 << 16
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SPACES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WEIGHTS = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _DONORS = (mix(np.arange(BINS * 64, dtype=np.uint64).reshape(64, BINS)) % np.uint64(BINS)).astype(np.int64)
 
 
 def line_form(line: bytes) -> bytes:
-    return b" ".join(line.translate(_SPACES).split())
+    return b" ".join(line.lower().split())
 
 
 def code_points(form: bytes) -> np.ndarray:
@@ -65,7 +66,7 @@ def shingle_hashes(data: np.ndarray) -> np.ndarray:
 
 def line_set(form: bytes) -> np.ndarray:
     data = code_points(form)
-    return np.unique(shingle_hashes(data)) if len(data) >= MIN_CHARS else form_hash([form])
+    return np.unique(shingle_hashes(data)) if len(data) >= MIN_CHARS else np.frombuffer(line_id(form), np.uint64)
 
 
 def signatures(forms: list[bytes]) -> np.ndarray:
@@ -77,7 +78,8 @@ def signatures(forms: list[bytes]) -> np.ndarray:
     whole = np.arange(len(hashes)) + SHINGLE <= ends
     hashes, line = hashes[whole], line[whole]
     out = np.full(len(forms) * BINS, _EMPTY, np.uint64)
-    np.minimum.at(out, line * BINS + (hashes % np.uint64(BINS)).astype(np.int64), hashes)
+    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(out, line * BINS + bins, hashes << np.uint64(32) | hashes >> np.uint64(32))
     out = out.reshape(len(forms), BINS)
     filled = out != _EMPTY
     turn = 0
@@ -115,62 +117,77 @@ def may_be_similar(x: str, y: str, percent: int = PERCENT):
     return enough(F.least(n, m)) & enough(n - apart(x, y)) & enough(m - apart(y, x))
 
 
-def first_shared(x: str, y: str):
-    """Whether the bucket that two lines meet in is the first band they share."""
-    shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-    return F.get(shared, F.lit(0)) == F.col(f"{x}.key")
-
-
-def form_hash(forms: list[bytes]) -> np.ndarray:
+def line_id(form: bytes) -> bytes:
+    """16 bytes that name a line's form."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in forms), np.uint64, len(forms))
+    return xxhash.xxh3_128_digest(form)
 
 
-def _lines(text: str | None):
+def _lines(text: bytes):
     """(position, form) of the lines that aren't white space."""
-    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+    for i, line in enumerate(text.split(b"\n")):
         form = line_form(line)
         if form:
             yield i, form
 
 
-def _signed(batches):
+def _bytes(text) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def _found(batches):
+    """(row_key, place, line) of every line."""
     for batch in batches:
-        ids, keys, places, forms, held = [], [], [], [], 0
-
-        def out(ids=ids, keys=keys, places=places, forms=forms):
-            fuzzy = lengths(forms) >= MIN_CHARS
-            table = bands([x for x, long in zip(forms, fuzzy, strict=True) if long])
-            ends = np.concatenate(([0], np.cumsum(fuzzy * BANDS))).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(form_hash(forms).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(table.astype(np.int64).ravel()))],
-                names=["doc_id", "row_key", "place", "line", "bands"],
-            )
+        rows, places, lines = [], [], []
+        for i, text in enumerate(batch.column("text")):
+            for place, form in _lines(_bytes(text)):
+                rows.append(i), places.append(place), lines.append(line_id(form))
+        at = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_key").take(at), pa.array(places, pa.int32()), pa.array(lines, pa.binary())], names=["doc_id", "row_key", "place", "line"])
 
-        for doc_id, key, text in zip(*(batch.column(c) for c in ("doc_id", "row_key", "text")), strict=True):
-            for place, form in _lines(text.as_py()):
-                ids.append(doc_id.as_py()), keys.append(key.as_py()), places.append(place), forms.append(form)
+
+def _banded(batches):
+    """(key, id) of each band of the lines of MIN_CHARS characters at least; a task sends a line again only if it has met many others."""
+    seen: set[bytes] = set()
+    forms: list[bytes] = []
+    held = 0
+
+    def out():
+        table = bands(forms)
+        ids = pa.array([line_id(x) for x in forms], pa.binary()).take(pa.array(np.repeat(np.arange(len(forms)), BANDS)))
+        return pa.RecordBatch.from_arrays([pa.array(table.astype(np.int64).ravel()), ids], names=["key", "id"])
+
+    for batch in batches:
+        for text in batch.column("text"):
+            for _, form in _lines(_bytes(text)):
+                if len(form) < MIN_CHARS or (len(form) < 4 * MIN_CHARS and lengths([form])[0] < MIN_CHARS):
+                    continue
+                name = line_id(form)
+                if name in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(name)
+                forms.append(form)
                 held += len(form)
                 if held > SLICE:
                     yield out()
-                    for x in (ids, keys, places, forms):
-                        x.clear()
-                    held = 0
-        if forms:
-            yield out()
+                    forms, held = [], 0
+    if forms:
+        yield out()
 
 
 def _details(batches):
     for batch in batches:
-        lines, forms, sizes, bits = [], [], [], []
         for wanted, text in zip(batch.column("wanted"), batch.column("text"), strict=True):
             pick = {w["place"]: w["line"] for w in wanted.as_py()}
-            for place, form in _lines(text.as_py()):
-                if place in pick:
-                    own = line_set(form)
-                    lines.append(pick[place]), forms.append(form), sizes.append(len(own)), bits.append(bit_map(own))
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(forms, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["line", "form", "size", "bits"])
+            forms = [(pick[place], form) for place, form in _lines(_bytes(text)) if place in pick]
+            sets = [line_set(form) for _, form in forms]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in forms], pa.binary()), pa.array([x for _, x in forms], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_map(x) for x in sets], pa.list_(pa.int64()))],
+                names=["id", "form", "size", "bits"],
+            )
 
 
 def _similar_lines(percent: int):
@@ -187,67 +204,75 @@ def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line) of all lines, and
     (line, label, keep) of those that occur twice or are linked; ``keep`` is the place that stays."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = signed = written(rows.mapInArrow(_signed, f"doc_id {id_type}, row_key long, place int, line long, bands array<long>"), "line-bands")
+    found = written(rows.mapInArrow(_found, f"doc_id {id_type}, row_key binary, place int, line binary"), "line-places")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
     firsts = written(found.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    reps = found.join(firsts.select("line", F.col("first.row_key").alias("row_key"), F.col("first.place").alias("place")), ["line", "row_key", "place"], "left_semi").dropDuplicates(["line"])
-    reps = written(reps.select("line", "bands"), "line-reps")
-    found = written(found.drop("bands"), "line-places")
-    release(rows.sparkSession, signed)
-    members = reps.select(F.explode("bands").alias("key"), F.col("line").alias("id"))
-
+    members = rows.select("text").mapInArrow(_banded, "key long, id binary")
     forms: list[DataFrame] = []
 
     def details(ids: DataFrame) -> DataFrame:
-        """Text, set size and bit map of the lines that share a bucket: the texts are read once for all rounds."""
+        """Set size and bit map of the lines that share a bucket; their texts are read once, forms stay for ``verify``."""
         wanted = firsts.join(ids.select(F.col("id").alias("line")), "line").groupBy(F.col("first.row_key").alias("row_key"))
         wanted = wanted.agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
-        texts = rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-        forms.append(written(texts.select("wanted", "text").mapInArrow(_details, "line long, form binary, size long, bits array<long>"), "line-forms"))
-        release(rows.sparkSession)
-        return forms[0].join(reps, "line").select(F.col("line").alias("id"), "size", "bits", "bands")
+        texts = rows.select("row_key", "text").join(wanted, "row_key")
+        forms.append(written(texts.select("wanted", "text").mapInArrow(_details, "id binary, form binary, size long, bits array<long>"), "line-forms"))
+        return forms[0].select("id", "size", "bits")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda end, name: forms[0].select(F.col("line").alias(end), F.col("form").alias(name))
+        side = lambda end, name: forms[0].select(F.col("id").alias(end), F.col("form").alias(name))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a binary, b binary").distinct()
 
-    labels = components(linked(members, lambda x, y: may_be_similar(x, y, percent), verify, details, first_shared))
+    labels = components(linked(members, lambda x, y: F.lit(True), verify, details, lambda x, y: may_be_similar(x, y, percent)))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").filter("n > 1 or label is not null")
     named = named.select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
-    parts = written(named.select("line", "label").join(least, "label"), "line-parts")
-    release(rows.sparkSession)
-    return found, parts
+    return found, written(named.select("line", "label").join(least, "label"), "line-parts")
+
+
+def _without(columns: list[str]):
+    """Texts without the lines at ``_gone``; of a row that repeats an earlier one, without any line that isn't white space."""
+
+    def run(batches):
+        for batch in batches:
+            texts, lines, removed = [], [], []
+            for text, gone, again in zip(*(batch.column(c) for c in ("text", "_gone", "_again")), strict=True):
+                raw = _bytes(text)
+                parts = raw.split(b"\n")
+                lost = set(gone.as_py() or ()) if again.as_py() <= 1 else {i for i, _ in _lines(raw)}
+                texts.append(b"\n".join(x for i, x in enumerate(parts) if i not in lost) if lost else text.as_py())
+                lines.append(len(parts) if text.is_valid else 0)
+                removed.append(len(lost))
+            own = {"text": pa.array([x.decode("utf-8", "surrogatepass") if isinstance(x, bytes) else x for x in texts], pa.string()), "_lines_": pa.array(lines, pa.int64()), "_removed_": pa.array(removed, pa.int64())}
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in columns], names=columns)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the lines that copy an earlier one; n_chars, if there, follows. Adds n_lines and n_removed."""
+    """``docs`` without the lines that copy an earlier one; n_chars, if there, follows. Adds n_lines and n_removed, which
+    take the place of columns of these names."""
     small_batches(docs.sparkSession)
+    extra = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.select(*extra)
     shielded, restore = shield(docs, ("doc_id", "text", "n_chars"))
-    keyed = shielded.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    keyed = shielded.withColumn("_row_key", row_key("doc_id", "text"))
     rows = keyed.select("doc_id", F.col("_row_key").alias("row_key"), "text")
     found, parts = line_components(rows, percent)
-    here = (F.col("keep.row_key") == F.col("row_key")) & (F.col("keep.place") == F.col("place")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id"))
-    gone = found.join(parts, "line").filter(~here).select(F.col("row_key").alias("_row_key"), "place").distinct()
-    gone = gone.groupBy("_row_key").agg(F.collect_list("place").alias("_gone"))
-    firsts_too = found.join(parts, "line").filter(here).select(F.col("row_key").alias("_row_key")).distinct()
+    here = (F.col("keep.row_key") == F.col("row_key")) & (F.col("keep.place") == F.col("place"))
+    held = found.join(parts, "line").select(F.col("row_key").alias("_row_key"), "place", here.alias("here"))
+    gone = held.filter("not here").distinct().groupBy("_row_key").agg(F.collect_list("place").alias("_gone"))
     joined = keyed.join(gone, "_row_key", "left")
-    parts_of = F.split("text", "\n", -1)
     # Of rows that repeat a document wholly, the later ones lose the lines that the first one keeps.
-    repeats = keyed.groupBy("_row_key").count().filter("count > 1").select("_row_key").join(firsts_too, "_row_key", "left_semi")
+    repeats = keyed.groupBy("_row_key").count().filter("count > 1").select("_row_key", F.lit(True).alias("_repeats"))
     again = F.lit(1)
     if not repeats.isEmpty():
-        joined = joined.join(repeats.withColumn("_repeats", F.lit(True)), "_row_key", "left")
+        joined = joined.join(repeats, "_row_key", "left")
         again = F.when(F.col("_repeats"), F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))).otherwise(F.lit(1))
-    joined = joined.withColumn("_again", again)
-    longs = F.filter(F.sequence(F.lit(0), F.size(parts_of) - 1), lambda i: F.length(F.trim(F.regexp_replace(F.get(parts_of, i), r"[\x20\x09-\x0D]+", " "))) > 0)
-    lost = F.when(F.col("_again") > 1, longs).otherwise(F.coalesce("_gone", F.array().cast("array<int>")))
-    joined = joined.withColumn("_lost", lost)
-    kept = F.filter(F.transform(parts_of, lambda x, i: F.when(~F.array_contains("_lost", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.size("_lost") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    out = joined.withColumn("_text", text).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts_of)).cast("long"))
-    out = out.withColumn("n_removed", F.size("_lost").cast("long")).withColumn("text", F.col("_text"))
+    joined = joined.select(*shielded.columns, "_gone", again.alias("_again"))
+    columns = [*shielded.columns, "_lines_", "_removed_"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shielded.schema.fields), "_lines_ long", "_removed_ long"])
+    out = joined.mapInArrow(_without(columns), schema).withColumnsRenamed({"_lines_": "n_lines", "_removed_": "n_removed"})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return restore(out, "n_lines", "n_removed")

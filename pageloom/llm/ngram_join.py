@@ -3,20 +3,20 @@
 Equal sets are one class. Shingles are ordered rare first, by how often they occur in the whole corpus (counters over
 all texts, a table whose size is fixed; any fixed order gives right results, so a shared counter costs time only). Two
 sets that reach the threshold share a shingle among their first |x| - ceil(t |x|) + 1; classes meet on those. Length and
-positional filters are conditions of that join, the suffix filter bounds the overlap by counting both sets in equal
-hash ranges, and what is left is verified once per pair on whole sets. ``linked`` keeps near-copy groups from making all
+positional filters are conditions of that join, the suffix filter bounds the overlap by counts of both sets in RANGES equal
+hash ranges before whole sets are sent, and what is left is verified once per pair on whole sets. ``linked`` keeps near-copy groups from making all
 pairs; the classes' components are formed by joins.
 
 A text without words, or a null one, has an empty set and links with nothing. Repeated rows are one class. A null
 doc_id sorts last. Rows that repeat a doc_id are told apart by their texts. No rows give no rows. Shingles are 64-bit
-hashes, sets are named by a 64-bit sum of mixed hashes.
+hashes; rows and sets are named by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked
@@ -25,6 +25,7 @@ from .shingles import mix, shingle_sets
 
 #: Counters for shingle frequencies: 2^22 of 4 bytes, whatever the corpus size. Broadcast, 16 MB.
 LOG2_COUNTERS = 22
+RANGES = 16
 _BLOCK = 1 << 16
 
 
@@ -69,27 +70,46 @@ def shingle_counters(docs: DataFrame, n: int, log2: int = LOG2_COUNTERS) -> np.n
     return out.ravel()
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """16 bytes that name a row by its id and text."""
+    own = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(F.length(own).cast("string"), own, F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("-")))))
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def range_counts(hashes: np.ndarray, pieces: int = RANGES) -> np.ndarray:
+    """Members of a sorted set in each of ``pieces`` equal hash ranges."""
+    edges = np.arange(1, pieces, dtype=np.uint64) * np.uint64((1 << 64) // pieces)
+    return np.diff(np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)])))
+
+
+def set_id(hashes: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _prefixes(n: int, percent: int, log2: int, counters):
     shift = np.uint64(64 - log2)
 
     def run(batches):
         table = counters.value
         for batch in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names, prefixes, ranges = [], [], [], []
             for hashes in shingle_sets(batch.column("text"), n):
                 size = len(hashes)
                 sizes.append(size)
-                names.append(int((mix(hashes).sum(dtype=np.uint64) + np.uint64(size)).astype(np.int64)) if size else None)
+                names.append(set_id(hashes))
                 rare = np.minimum(table[(hashes >> shift).astype(np.int64)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24)
                 order = np.argsort(rare, kind="stable")[: prefix_size(size, percent)] if size else []
                 prefixes.append(hashes[order].astype(np.int64) if size else np.zeros(0, np.int64))
+                ranges.append(range_counts(hashes).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "row_key", "n_shingles", "set_id", "prefix"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))],
+                names=["doc_id", "row_key", "n_shingles", "set_id", "prefix", "ranges"],
             )
 
     return run
@@ -103,18 +123,11 @@ def _sets(n: int):
     return run
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray, pieces: int = 16) -> int:
-    """At most so many members in common: the smaller count in each of ``pieces`` equal hash ranges."""
-    edges = np.arange(1, pieces, dtype=np.uint64) * np.uint64((1 << 64) // pieces)
-    counts = [np.diff(np.concatenate(([0], np.searchsorted(x, edges), [len(x)]))) for x in (a, b)]
-    return int(np.minimum(*counts).sum())
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a and b| >= percent * |a or b|, for sorted distinct arrays."""
     total = len(a) + len(b)
     enough = lambda common: 100 * common >= percent * (total - common)
-    if not enough(min(len(a), len(b))) or not enough(suffix_bound(a, b)):
+    if not enough(min(len(a), len(b))):
         return False
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     return enough(int((b[at] == a).sum()))
@@ -134,13 +147,14 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, log2_c
     spark = docs.sparkSession
     small_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
     counters = spark.sparkContext.broadcast(shingle_counters(rows, n, log2_counters))
-    schema = f"doc_id {id_type}, row_key long, n_shingles long, set_id long, prefix array<long>"
+    schema = f"doc_id {id_type}, row_key binary, n_shingles long, set_id binary, prefix array<long>, ranges array<int>"
     prints = written(rows.mapInArrow(_prefixes(n, percent, log2_counters, counters), schema), "ngram-prefixes")
+    counters.destroy()
     filled = prints.filter("set_id is not null")
     classes = written(filled.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key")).alias("first")), "ngram-classes")
-    firsts = filled.join(classes.select(F.col("first.row_key").alias("row_key"), "set_id"), ["row_key", "set_id"], "left_semi").dropDuplicates(["set_id"])
+    firsts = filled.join(classes.select(F.col("first.row_key").alias("row_key"), "set_id"), ["row_key", "set_id"], "left_semi")
     members = firsts.select("set_id", "n_shingles", F.posexplode("prefix").alias("place", "key")).select("key", F.col("set_id").alias("id"), "n_shingles", "place")
 
     def may_link(x: str, y: str):
@@ -148,20 +162,30 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, log2_c
         overlap = F.least(size - F.col(f"{x}.place"), other - F.col(f"{y}.place"))
         return (100 * F.least(size, other) >= percent * F.greatest(size, other)) & ((100 + percent) * overlap >= percent * (size + other))
 
+    def surely(x: str, y: str):
+        most = F.aggregate(F.zip_with(f"{x}.ranges", f"{y}.ranges", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, k: acc + k)
+        return (100 + percent) * most >= percent * (F.aggregate(f"{x}.ranges", F.lit(0), lambda acc, k: acc + k) + F.aggregate(f"{y}.ranges", F.lit(0), lambda acc, k: acc + k))
+
+    def ranges(ids: DataFrame) -> DataFrame:
+        return filled.select(F.col("set_id").alias("id"), "ranges").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+        own = ranges(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        near = pairs.join(own.select(F.col("id").alias("a"), F.struct("ranges").alias("l")), "a").join(own.select(F.col("id").alias("b"), F.struct("ranges").alias("r")), "b")
+        near = written(near.filter(surely("l", "r")).select("a", "b"), "near-pairs")
+        needed = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
         chosen = classes.join(needed, "set_id").select("set_id", F.col("first.row_key").alias("row_key"))
-        sets = written(rows.select("row_key", "text").join(chosen, "row_key").dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(_sets(n), "set_id long, hashes binary"), "ngram-sets")
-        both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_similar_pairs(percent), "a long, b long")
+        sets = written(rows.select("row_key", "text").join(chosen, "row_key").dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(_sets(n), "set_id binary, hashes binary"), "ngram-sets")
+        both = near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_similar_pairs(percent), "a binary, b binary")
 
-    links = linked(members, may_link, verify)
+    links = linked(members, may_link, verify, ranges, surely)
     labels = components(links)
     named = classes.join(labels, classes["set_id"] == labels["id"]).select("set_id", "label", "first")
     least = named.groupBy("label").agg(F.min(F.struct("first.nil", "first.doc_id")).alias("least"))
     component = named.join(least, "label").select("set_id", F.col("least.doc_id").alias("linked_id"), F.lit(True).alias("linked"))
     own = classes.join(component, "set_id", "left").select("set_id", F.when(F.col("linked"), F.col("linked_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
-    whole = prints.drop("prefix").join(own, "set_id", "left")
+    whole = prints.drop("prefix", "ranges").join(own, "set_id", "left")
     return whole.select("doc_id", "row_key", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -171,7 +195,7 @@ def deduplicated(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame
     twice = found.filter("set_id is not null").groupBy("doc_id", "row_key").count().withColumn("again", F.col("count") > 1)
     gone = found.filter("set_id is not null and not (doc_id <=> component_id)").select("row_key").distinct()
     shielded, restore = shield(docs, ("doc_id", "text"))
-    left = shielded.withColumn("row_key", F.xxhash64("doc_id", "text")).join(gone, "row_key", "left_anti")
+    left = shielded.withColumn("row_key", row_key("doc_id", "text")).join(gone, "row_key", "left_anti")
     return restore(left if twice.filter("again").isEmpty() else left.dropDuplicates(["row_key"]))
 
 

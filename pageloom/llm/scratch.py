@@ -1,42 +1,13 @@
-"""Shared scratch tables.
-
-Intermediate results that several later steps read are written as Parquet below the folder in
-``spark.checkpoint.dir``, which every executor sees; a lost executor then costs a re-read, not the whole lineage.
-"""
+"""What the operators of this subpackage share about tables and batches; scratch tables are those of the library."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir`` (own temporary folder only where that is unset)."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageloom-")
-        root = f"{base.rstrip('/')}/pageloom-{app}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _roots[app] = root
-    return _roots[app]
+from pageloom.sources.scratch import dropped, setting, written
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return it as a table without its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "partitions", "read_table", "setting", "shield", "small_batches", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,24 +19,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows that carry whole texts go to Python in batches of at most ``rows``, so a batch of long texts fits in memory."""
+    """Rows that carry whole texts go to Python in batches of at most ``rows``, so a batch of long texts fits in memory.
+
+    The setting stays, as a DataFrame that is returned runs later; a lower one of the caller's is left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Drop scratch tables that nothing reads any more, and let the cleaner drop the shuffle files of finished steps."""
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):  # what the first collection finds, the cleaner lets go of, and the second one frees
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def shield(docs: DataFrame, used: tuple[str, ...]):
     """``docs`` with its other columns under names that clash with nothing, and a function that gives them back."""
     hidden = {c: f"_x{i}_" for i, c in enumerate(docs.columns) if c not in used}

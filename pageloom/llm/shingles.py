@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once; a longer text is a slice of its own.
-SLICE = 1 << 21
+#: Bytes of text that are hashed at once, so that arrays of numbers stay small; a longer text is a slice of its own.
+SLICE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -4,17 +4,23 @@ A byte goes if a LENGTH-byte window that covers it also starts in a document wit
 on the input and never cross documents.
 
 Which windows could meet is found first. Every window has an anchor: of the GRAM-byte strings in it, the leftmost of
-least hash. Equal windows have equal anchors, so windows whose anchor occurs in one document only are unique. The
-windows around one occurrence of a shared anchor form a context, of at most 2 * LENGTH - GRAM bytes. Where equal
-contexts meet, all but the one in the smallest document are removed whole. Contexts that differ but share an anchor go
-to a shard, once each: the shard's suffix array is sorted by Larsson-Sadakane doubling (only groups that aren't told
-apart are sorted again), common prefixes of neighbours come from Kasai's rule, and runs of suffixes that share LENGTH
-bytes name the smallest document that holds them. An anchor with more than CONTEXTS_PER_SHARD contexts is many shards;
-their sorted windows are merged by binary search, dealt by window, so no shard and no merge holds a whole hot anchor.
-
-Nulls are empty texts; texts shorter than LENGTH lose nothing. A null doc_id counts as the largest. Rows of one doc_id
-don't remove from each other; where they have different texts, a hash of the text (``part``, else 0) tells them apart, so
-spans stay with the row they were found in. Equal texts of larger ids lose all. No rows give no rows.
+least hash. Equal windows have equal anchors. The windows around one occurrence of an anchor form a context, of at most
+2 * LENGTH - GRAM bytes. Contexts meet by anchor and come in order of (anchor, context hash, document), so a stream tells
+copies (the context is in a smaller document), and contexts that differ but share their anchor. A task sends only one
+of the equal contexts it has read, so a passage in a third of all texts costs one row a task.
+
+Contexts that differ but share an anchor go to a shard, once each: the shard's suffix array is sorted by Larsson-Sadakane
+doubling (only groups that aren't told apart are sorted again), common prefixes of neighbours come from Kasai's rule, and
+runs of suffixes that share LENGTH bytes name the smallest document that holds them. An anchor with more than
+CONTEXTS_PER_SHARD contexts is many shards; their sorted windows are merged by binary search, dealt by window, so no
+shard and no merge holds a whole hot anchor. A task works off one shard after the other.
+
+Copies join to spans, each with the place in the smaller document that it repeats. Their bytes are read there, and are
+compared with the span's before it goes: hashes only propose, no byte is removed that wasn't compared.
+
+Nulls are empty texts; texts shorter than LENGTH lose nothing. A null doc_id counts as the largest; ids are integers. Rows
+of one doc_id don't remove from each other; where they have different texts, a hash of the text (``part``, else 0) tells them
+apart, so spans stay with the row they were found in. Equal texts of larger ids lose all. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,15 +29,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import partitions, read_table, release, small_batches, written
+from .scratch import dropped, partitions, read_table, small_batches, written
 from .shingles import _BASE, _INVERSE, _powers, _table, mix, slices
 
 LENGTH = 50
 GRAM = 16
-CONTEXTS_PER_SHARD = 50_000
+#: Bounds of what one task holds at a time: contexts of a shard, bytes of neighbouring shards, contexts read, spans cut from one text.
+CONTEXTS_PER_SHARD = 8_192
+SHARD_BYTES = 1 << 19
+TOGETHER = 1 << 18
+CUTS = 256
 _LAST = (1 << 63) - 1
 
 
@@ -153,116 +163,212 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-def _anchor_rows(length: int, gram: int):
+_CONTEXTS = "value long, context long, doc long, part long, begin long, end long, src_doc long, src_part long, src_begin long"
+_MARKED = f"{_CONTEXTS}, lead boolean"
+
+
+def _batch(columns: dict[str, np.ndarray], known: np.ndarray | None = None) -> pa.RecordBatch:
+    """Columns of numbers; those named src_ are null where ``known`` is false."""
+    nil = lambda k: ~known if known is not None and k.startswith("src_") else None
+    return pa.RecordBatch.from_arrays([pa.array(v, mask=nil(k)) for k, v in columns.items()], names=list(columns))
+
+
+def joined_copies(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Copies (doc, part, begin, end, src_doc, src_part, src_begin), those that overlap and repeat one stretch as one."""
+    order = np.lexsort((c["begin"], c["src_begin"] - c["begin"], c["src_part"], c["src_doc"], c["part"], c["doc"]))
+    c = {k: v[order] for k, v in c.items()}
+    if not len(order):
+        return c
+    new = np.ones(len(order), bool)
+    shift = c["src_begin"] - c["begin"]
+    new[1:] = c["begin"][1:] > c["end"][:-1]
+    for x in (c["doc"], c["part"], c["src_doc"], c["src_part"], shift):
+        new[1:] |= x[1:] != x[:-1]
+    heads = np.flatnonzero(new)
+    ends = np.maximum.reduceat(c["end"], heads)
+    return {k: (ends if k == "end" else v[heads]) for k, v in c.items()}
+
+
+def _met(waiting: list[tuple]) -> pa.RecordBatch:
+    """Contexts read by one task: of equal ones those of the least document, and the others as copies of it."""
+    names = ("value", "context", "doc", "part", "begin", "end")
+    c = {k: np.concatenate(v) for k, v in zip(names, zip(*waiting, strict=True), strict=True)}
+    order = np.argsort(mix(c["value"].view(np.uint64) + mix(c["context"].view(np.uint64))), kind="stable")
+    c = {k: v[order] for k, v in c.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (c["value"][1:] != c["value"][:-1]) | (c["context"][1:] != c["context"][:-1])
+    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+    least = np.minimum.reduceat(c["doc"], heads)[group]
+    place = np.arange(len(order))
+    source = np.minimum.reduceat(np.where(c["doc"] == least, place, len(order)), heads)[group]
+    copy = c["doc"] > least
+    own = {k: v[~copy] for k, v in c.items()}
+    source = source[copy]
+    copies = joined_copies({k: c[k][copy] for k in names[2:]} | {"src_doc": c["doc"][source], "src_part": c["part"][source], "src_begin": c["begin"][source]})
+    spread = mix(copies["doc"].view(np.uint64) ^ mix(copies["begin"].view(np.uint64))).view(np.int64)
+    n, m = len(own["doc"]), len(spread)
+    whole = {"value": np.concatenate((own["value"], spread)), "context": np.concatenate((own["context"], np.zeros(m, np.int64)))}
+    whole |= {k: np.concatenate((own[k], copies[k])) for k in names[2:]}
+    whole |= {k: np.concatenate((np.zeros(n, np.int64), copies[k])) for k in ("src_doc", "src_part", "src_begin")}
+    return _batch(whole, np.arange(n + m) >= n)
+
+
+def _contexts(length: int, gram: int, together: int):
     def run(batches):
+        waiting, held = [], 0
         for batch in batches:
             ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "part"))
             for first, _, data, offsets in slices(batch.column("text")):
                 x = anchors(data, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["value"]), pa.array(ids[first + x["text"]], pa.int64()), pa.array(parts[first + x["text"]], pa.int64()), pa.array((x["at"] - offsets[x["text"]]).astype(np.int32))],
-                    names=["value", "doc", "part", "at"],
-                )
+                if len(x["text"]):
+                    base, row = offsets[x["text"]], first + x["text"]
+                    waiting.append((x["value"], x["context"], ids[row], parts[row], x["lo"] - base, x["hi"] + length - base))
+                    held += len(row)
+                if held >= together:
+                    yield _met(waiting)
+                    waiting, held = [], 0
+        if waiting:
+            yield _met(waiting)
 
     return run
 
 
-def _context_rows(length: int, gram: int):
-    def run(batches):
-        for batch in batches:
-            (ids, parts), wanted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "part")), batch.column("places")
-            for first, last, data, offsets in slices(batch.column("text")):
-                x = anchors(data, offsets, length, gram)
-                local = wanted.slice(first, last - first)
-                places = np.concatenate([np.zeros(0, np.int64), *(np.asarray(p.as_py(), np.int64) + o for p, o in zip(local, offsets[:-1], strict=True))])
-                keep = np.isin(x["at"], places)
-                base = offsets[x["text"]]
-                columns = [x["value"], x["context"], ids[first + x["text"]], parts[first + x["text"]], x["lo"] - base, x["hi"] + length - base]
-                types = [pa.int64()] * 4 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep].astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=["value", "context", "doc", "part", "begin", "end"])
-
-    return run
+def _classes(batches):
+    """Contexts in order of (value, context, doc, part, begin): copies with their source, and, of values that have several
+    contexts and documents, the rows of each context's least document, the first of them as ``lead``."""
+    names = ("value", "context", "doc", "part", "begin", "end")
+    last: dict | None = None  # the value and context that the last batch ended in
+    for batch in batches:
+        known = batch.column("src_doc").is_valid().to_numpy(zero_copy_only=False)
+        if known.any():
+            done = pa.Table.from_batches([batch.filter(pa.array(known))])
+            yield from done.append_column("lead", pa.array(np.zeros(len(done), bool))).to_batches()
+        c = {k: batch.column(k).to_numpy(zero_copy_only=False)[~known] for k in names}
+        n = len(c["value"])
+        if not n:
+            continue
+        on = last is not None and last["value"] == c["value"][0]
+        again = on and last["context"] == c["context"][0]
+        new_value, lead = np.ones(n, bool), np.ones(n, bool)
+        new_value[1:] = c["value"][1:] != c["value"][:-1]
+        lead[1:] = new_value[1:] | (c["context"][1:] != c["context"][:-1])
+        lead[0] = not again
+        heads = np.flatnonzero(lead)
+        first = {k: np.concatenate((last["first"][k], c[k][heads])) if again else c[k][heads] for k in ("doc", "part", "begin")}
+        kind = np.cumsum(lead) - (0 if again else 1)
+        runs, run = np.flatnonzero(new_value), np.cumsum(new_value) - 1
+        low, high, kinds = np.minimum.reduceat(c["doc"], runs), np.maximum.reduceat(c["doc"], runs), np.add.reduceat(lead.astype(np.int64), runs)
+        if on:
+            low[0], high[0], kinds[0] = min(low[0], last["low"]), max(high[0], last["high"]), kinds[0] + last["kinds"]
+        copy = c["doc"] > first["doc"][kind]
+        several = (low < high) & (kinds > 1)
+        edge = ~copy & several[run]
+        take = copy | edge
+        source = {f"src_{k}": first[k][kind[take]] for k in first}
+        yield _batch({k: v[take] for k, v in c.items()} | source | {"lead": lead[take] & ~copy[take]}, copy[take])
+        held = last["held"] if on else []
+        if on and several[0]:
+            yield from held
+            held = []
+        elif on and len(runs) > 1:
+            held = []
+        if len(runs) > 1:
+            held = []
+        if not several[-1]:  # these rows are all of one document
+            rest = ~copy & (run == len(runs) - 1)
+            held = [*held, _batch({k: v[rest] for k, v in c.items()} | {f"src_{k}": np.zeros(int(rest.sum()), np.int64) for k in first} | {"lead": lead[rest]}, np.zeros(int(rest.sum()), bool))]
+        last = {"value": c["value"][-1], "context": c["context"][-1], "low": low[-1], "high": high[-1], "kinds": kinds[-1], "held": held, "first": {k: v[-1:] for k, v in first.items()}}
+
+
+def _joined(batches):
+    """Copies in order of (doc, part): joined where they overlap and repeat one stretch."""
+    for batch in batches:
+        names = batch.schema.names
+        yield _batch(joined_copies({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}))
 
 
-def _cut_contexts(batches):
+def _cut(batches):
+    """Bytes of wanted stretches, few at a time."""
     for batch in batches:
-        values, contexts, docs, texts, shards = [], [], [], [], []
-        for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+        names = ("value", "context", "shard", "doc", "part", "begin")
+        for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            for w in wanted.as_py():
-                if w["end"] <= len(data):
-                    for column, value in zip((values, contexts, docs, texts, shards), (w["value"], w["context"], doc, data[w["begin"] : w["end"]], w["shard"]), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(contexts, pa.int64()), pa.array(docs, pa.int64()), pa.array(texts, pa.binary()), pa.array(shards, pa.int32())], names=["value", "context", "doc", "bytes", "shard"])
-
-
-def _shard(length: int):
-    """One partition is one shard: intervals of each context, and the windows of split anchors (shard >= 0) for the merge."""
+            rows = [w for w in wanted.as_py() if w["to"] <= len(data)]
+            pieces = [data[w["at"] : w["to"]] for w in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array([w[k] for w in rows], pa.int64()) for k in names), pa.array(pieces, pa.binary())], names=[*names, "bytes"])
+
+
+def _worked_off(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Neighbouring shards: stretches of each context to remove, and the windows of split anchors (shard >= 0) for the merge."""
+    value, context, shard, doc = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:4])
+    texts = [r[4] for r in rows]
+    kind, home, start = window_classes(texts, length)
+    least = np.full(int(kind.max(initial=0)) + 1, _LAST, np.int64)
+    np.minimum.at(least, kind, doc[home])
+    gone = least[kind] < doc[home]
+    hit_home, hit_start = home[gone], start[gone]
+    out: dict[str, list] = {k: [] for k in ("value", "context", "begin", "end", "doc", "window")}
+    edges = np.flatnonzero(np.diff(hit_home)) + 1
+    if len(hit_home):
+        for i, starts in zip(hit_home[np.concatenate(([0], edges))], np.split(hit_start, edges), strict=True):
+            for begin, end in covered(starts, length):
+                for k, v in zip(out, (value[i], context[i], begin, end, doc[i], None), strict=True):
+                    out[k].append(v)
+    for i in np.flatnonzero(shard[home] >= 0):
+        j, s = home[i], int(start[i])
+        for k, v in zip(out, (value[j], context[j], s, s + length, doc[j], texts[j][s : s + length]), strict=True):
+            out[k].append(v)
+    return pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("value", "context", "begin", "end", "doc")), pa.array(out["window"], pa.binary())], names=list(out))
+
+
+def _shards(length: int, most: int):
+    """Contexts in order of (value, shard): whole shards are worked off when they have ``most`` bytes together."""
 
     def run(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.concat_tables(rows).combine_chunks()
-        texts, docs = table.column("bytes").to_pylist(), table.column("doc").to_numpy()
-        value, context, split = (table.column(c).to_numpy() for c in ("value", "context", "shard"))
-        kind, home, start = window_classes(texts, length)
-        least = np.full(int(kind.max(initial=0)) + 1, _LAST, np.int64)
-        np.minimum.at(least, kind, docs[home])
-        gone = least[kind] < docs[home]
-        hit_home, hit_start = home[gone], start[gone]
-        edges = np.flatnonzero(np.diff(hit_home)) + 1
-        out: dict[str, list] = {k: [] for k in ("value", "context", "begin", "end", "doc", "window")}
-        if len(hit_home):
-            for i, starts in zip(hit_home[np.concatenate(([0], edges))], np.split(hit_start, edges), strict=True):
-                for begin, end in covered(starts, length):
-                    for k, v in zip(out, (value[i], context[i], begin, end, docs[i], None), strict=True):
-                        out[k].append(v)
-        for i in np.flatnonzero(split[home] >= 0):
-            j, s = home[i], int(start[i])
-            for k, v in zip(out, (value[j], context[j], s, s + length, docs[j], texts[j][s : s + length]), strict=True):
-                out[k].append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("value", "context", "begin", "end", "doc")), pa.array(out["window"], pa.binary())], names=list(out))
+        rows, held = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("value", "context", "shard", "doc", "bytes")), strict=True):
+                if held >= most and (rows[-1][0], rows[-1][2]) != (row[0], row[2]):
+                    yield _worked_off(rows, length)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[4])
+        if rows:
+            yield _worked_off(rows, length)
 
     return run
 
 
 def _merge(batches):
-    """Windows of many shards: sorted runs of distinct windows are merged, then each window is looked up by binary search."""
-    known, least, held = np.zeros(0, f"S{LENGTH + 1}"), np.zeros(0, np.int64), []
+    """Windows of many shards, in order of (window, doc): each is looked up among the first of their kind by binary search."""
+    known, least = np.zeros(0, "S1"), np.zeros(0, np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
         windows = np.array([w + b"\1" for w in batch.column("window").to_pylist()], dtype=np.bytes_)
         docs = batch.column("doc").to_numpy()
-        held.append((batch, windows, docs))
-        order = np.lexsort((docs, windows))
-        run, run_docs = windows[order], docs[order]
-        first = np.concatenate(([True], run[1:] != run[:-1]))
-        run, run_docs = run[first], run_docs[first]
-        at = np.searchsorted(known, run)
-        old = at < len(known)
-        old[old] = known[at[old]] == run[old]
-        least[at[old]] = np.minimum(least[at[old]], run_docs[old])
-        known, least = np.insert(known.astype(run.dtype), at[~old], run[~old]), np.insert(least, at[~old], run_docs[~old])
-    for batch, windows, docs in held:
+        first = np.concatenate(([True], windows[1:] != windows[:-1]))
+        first[0] = not len(known) or known[-1] != windows[0]
+        known = np.concatenate((known[-1:].astype(windows.dtype), windows[first]))
+        least = np.concatenate((least[-1:], docs[first]))
         gone = least[np.searchsorted(known, windows)] < docs
         yield batch.select(["value", "context", "begin", "end"]).filter(pa.array(gone))
 
 
 def _remove(batches):
+    """Cuts a text's spans. A span that is said to repeat other bytes goes only if it does."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
             data, kept, at, removed, runs = (text.as_py() or "").encode("utf-8", "surrogatepass"), [], 0, 0, 0
             end = -1
-            for s in sorted((x["begin"], x["end"]) for x in spans.as_py() or ()):
-                if s[0] > end:
+            for begin, stop in sorted((x["begin"], x["end"]) for x in spans.as_py() or () if x["bytes"] is None or x["bytes"] == data[x["begin"] : x["end"]]):
+                if begin > end:
                     runs += 1
-                    kept.append(data[at : s[0]])
-                    at = s[0]
-                removed += max(0, s[1] - max(end, s[0]))
-                end = max(end, s[1])
+                    kept.append(data[at:begin])
+                    at = begin
+                removed += max(0, stop - max(end, begin))
+                end = max(end, stop)
                 at = end
             kept.append(data[at:])
             for column, v in zip(out, (len(data), removed, runs, b"".join(kept)), strict=True):
@@ -279,65 +385,68 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.join(written(several, "several-texts"), "doc", "left").withColumn("part", F.when(F.col("several"), own).otherwise(F.lit(0).cast("long"))).drop("several")
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, contexts_per_shard: int = CONTEXTS_PER_SHARD) -> DataFrame:
-    """(doc, part, begin, end): bytes to remove of the ``keyed`` rows of ``docs``, overlaps possible."""
-    spark = docs.sparkSession
+def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, contexts_per_shard: int = CONTEXTS_PER_SHARD, shard_bytes: int = SHARD_BYTES, together: int = TOGETHER, cuts: int = CUTS) -> DataFrame:
+    """(doc, part, begin, end, bytes): what to remove of ``keyed`` rows, overlaps possible; ``bytes``, where not null, are
+    those of a smaller document that the span is said to repeat."""
+    spark = rows.sparkSession
     small_batches(spark)
-    rows = keyed(docs).select("doc", "part", "text")
-    shared = _shared_anchors(rows, length, gram)
-    release(spark)
-    marked = _marked_contexts(rows, shared, length, gram)
-    release(spark, shared)
-    partly = _partly_covered(rows, marked.filter("not whole"), length, contexts_per_shard)
-    release(spark)
-    return marked.filter("whole").select("doc", "part", "begin", "end").union(partly)
-
-
-def _shared_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, part, at) of the anchors that more than one document has."""
-    found = rows.mapInArrow(_anchor_rows(length, gram), "value long, doc long, part long, at int")
-    same = Window.partitionBy("value")
-    return written(found.withColumn("a", F.min("doc").over(same)).withColumn("b", F.max("doc").over(same)).filter("a < b").select("doc", "part", "at"), "anchors")
-
-
-def _marked_contexts(rows: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
-    """Contexts (value, context, doc, part, begin, end, whole): whole if a smaller document has it, else one of several of its anchor."""
-    places = shared.groupBy("doc", "part").agg(F.collect_list("at").alias("places"))
-    contexts = rows.join(places, ["doc", "part"]).mapInArrow(_context_rows(length, gram), "value long, context long, doc long, part long, begin int, end int")
-    same = Window.partitionBy("value")
-    marked = (
-        contexts.withColumn("least", F.min("doc").over(Window.partitionBy("value", "context")))
-        .withColumn("other", F.min("context").over(same) != F.max("context").over(same))
-        .filter("doc > least or other")
-        .withColumn("whole", F.col("doc") > F.col("least"))
-    )
-    # Whole ones are spans already: their anchor isn't looked at again.
-    name = lambda c: F.when(~F.col("whole"), F.col(c)).alias(c)
-    return written(marked.select(name("value"), name("context"), "doc", "part", "begin", "end", "whole"), "contexts")
-
-
-def _partly_covered(rows: DataFrame, edges: DataFrame, length: int, contexts_per_shard: int) -> DataFrame:
+    parts = partitions(spark)
+    found = rows.select("doc", "part", "text").mapInArrow(_contexts(length, gram, together), _CONTEXTS)
+    found = found.repartition(parts, "value").sortWithinPartitions("value", "context", "doc", "part", "begin")
+    marked = written(found.mapInArrow(_classes, _MARKED), "contexts")
+    span = "doc long, part long, begin long, end long, src_doc long, src_part long, src_begin long"
+    copies = marked.filter("src_doc is not null").select("doc", "part", "begin", "end", "src_doc", "src_part", "src_begin")
+    copies = written(copies.repartition(parts, "doc", "part").sortWithinPartitions("doc", "part", "begin").mapInArrow(_joined, span), "copies")
+    edges = marked.filter("src_doc is null")
+    pieces = _pieces(rows, edges, copies, contexts_per_shard, cuts)
+    partly = _partly_covered(edges, pieces.filter("value is not null"), length, shard_bytes)
+    dropped(marked, copies)
+    none = F.lit(None).cast("binary").alias("bytes")
+    repeated = pieces.filter("value is null").select("doc", "part", "begin", (F.col("begin") + F.length("bytes")).alias("end"), "bytes")
+    return partly.select("doc", "part", "begin", "end", none).union(repeated)
+
+
+def _pieces(rows: DataFrame, edges: DataFrame, copies: DataFrame, contexts_per_shard: int, cuts: int) -> DataFrame:
+    """Bytes of contexts for the shards (value, context, shard, doc), and of what copies repeat (doc, part, begin): each
+    text is read for both at once, in turns of about ``cuts`` stretches."""
+    firsts = edges.filter("lead")
+    crowd = firsts.groupBy("value").count().filter(F.col("count") > contexts_per_shard).select("value", F.ceil(F.col("count") / contexts_per_shard).alias("shards"))
+    shard = F.when(F.col("shards").isNull(), -1).otherwise(F.pmod(F.xxhash64("context"), F.col("shards"))).cast("long")
+    dealt = firsts.join(written(crowd, "crowded-anchors"), "value", "left")
+    nil = F.lit(None).cast("long")
+    wanted = dealt.select(F.col("doc").alias("of"), F.col("part").alias("in"), F.struct("value", "context", shard.alias("shard"), "doc", nil.alias("part"), nil.alias("begin"), F.col("begin").alias("at"), F.col("end").alias("to")).alias("w"))
+    to = (F.col("src_begin") + F.col("end") - F.col("begin")).alias("to")
+    repeated = copies.select(F.col("src_doc").alias("of"), F.col("src_part").alias("in"), F.struct(nil.alias("value"), nil.alias("context"), nil.alias("shard"), "doc", "part", "begin", F.col("src_begin").alias("at"), to).alias("w"))
+    wanted = wanted.union(repeated)
+    often = wanted.groupBy("of", "in").count().select("of", "in", F.ceil(F.col("count") / cuts).alias("turns")).filter("turns > 1")
+    turn = F.pmod(F.xxhash64("w.context", "w.doc", "w.begin"), F.coalesce("turns", F.lit(1)))
+    lists = wanted.join(written(often, "often-cut"), ["of", "in"], "left").withColumn("turn", turn).groupBy("of", "in", "turn").agg(F.collect_list("w").alias("wanted"))
+    lists = lists.select(F.col("of").alias("doc"), F.col("in").alias("part"), "wanted")
+    cut = rows.select("doc", "part", "text").dropDuplicates(["doc", "part"]) if _repeats(rows) else rows.select("doc", "part", "text")
+    return written(cut.join(lists, ["doc", "part"]).mapInArrow(_cut, "value long, context long, shard long, doc long, part long, begin long, bytes binary"), "pieces")
+
+
+def _repeats(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc", "part").count().filter("count > 1").isEmpty()
+
+
+def _partly_covered(edges: DataFrame, pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """(doc, part, begin, end) of what contexts share with others of their anchor, by suffix arrays."""
-    spark = rows.sparkSession
-    firsts = edges.groupBy("value", "context").agg(F.min(F.struct("doc", "part", "begin", "end")).alias("f")).select("value", "context", "f.*")
-    crowd = firsts.groupBy("value").count().filter(F.col("count") > contexts_per_shard).select("value", F.ceil(F.col("count") / contexts_per_shard).cast("int").alias("shards"))
-    dealt = firsts.join(crowd, "value", "left").withColumn("shard", F.when(F.col("shards").isNull(), -1).otherwise(F.pmod(F.xxhash64("context"), F.col("shards"))).cast("int"))
-    wanted = dealt.groupBy("doc", "part").agg(F.collect_list(F.struct("value", "context", "begin", "end", "shard")).alias("wanted"))
-    cut = rows.join(wanted, ["doc", "part"]).mapInArrow(_cut_contexts, "value long, context long, doc long, bytes binary, shard int")
-    shards = cut.repartition(partitions(spark), "value", "shard").mapInArrow(_shard(length), "value long, context long, begin long, end long, doc long, window binary")
-    shards = written(shards, "shards")
-    merged = shards.filter("window is not null").repartition(partitions(spark), "window").mapInArrow(_merge, "value long, context long, begin long, end long")
+    parts = partitions(edges.sparkSession)
+    dealt = pieces.select("value", "context", "shard", "doc", "bytes").repartition(parts, "value", "shard").sortWithinPartitions("value", "shard")
+    shards = written(dealt.mapInArrow(_shards(length, shard_bytes), "value long, context long, begin long, end long, doc long, window binary"), "shards")
+    windows = shards.filter("window is not null").repartition(parts, "window").sortWithinPartitions("window", "doc")
+    merged = windows.mapInArrow(_merge, "value long, context long, begin long, end long")
     inner = shards.filter("window is null").select("value", "context", F.col("begin").alias("x"), F.col("end").alias("y")).union(merged)
-    partly = edges.join(inner, ["value", "context"]).select("doc", "part", (F.col("begin") + F.col("x")).cast("int").alias("begin"), (F.col("begin") + F.col("y")).cast("int").alias("end"))
-    return written(partly, "partly")
+    own = edges.select("value", "context", "doc", "part", "begin")
+    partly = own.join(inner, ["value", "context"]).select("doc", "part", (F.col("begin") + F.col("y")).alias("end"), (F.col("begin") + F.col("x")).alias("begin"))
+    return written(partly.select("doc", "part", "begin", "end"), "partly")
 
 
 def removed(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
-    spans = written(repeated_spans(docs, **how), "spans")
-    release(docs.sparkSession)
-    spans = spans.groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rows = keyed(docs)
+    spans = repeated_spans(rows, **how).groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end", "bytes")).alias("spans"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return rows.join(spans, ["doc", "part"], "left").select("doc_id", "text", "spans").mapInArrow(_remove, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
