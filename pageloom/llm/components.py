@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import dropped, partitions, written
+from .scratch import dropped, partitions, streamed, written
 
 #: Members of a bucket that meet one row in a task.
 BLOCK = 512
@@ -117,7 +117,7 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in members.columns), *(f"lead_{c} {kinds[c]}" for c in ("id", *extra))])
     dealt = members.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key", "id")
-    shared = written(dealt.mapInArrow(_shared(extra), schema), "shared-buckets")
+    shared = streamed(dealt.mapInArrow(_shared(extra), schema), "shared-buckets")
     if details is not None:
         details = details(shared.select("id").distinct())
 

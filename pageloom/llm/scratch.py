@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.sources.scratch import dropped, setting, written
 
-__all__ = ["dropped", "partitions", "read_table", "setting", "shield", "small_batches", "written"]
+__all__ = ["dropped", "partitions", "read_table", "setting", "shield", "small_batches", "streamed", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -28,6 +28,12 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+def streamed(df: DataFrame, name: str, rows: int = 16_384) -> DataFrame:
+    """``written``, for rows of numbers and short strings, which go to Python in batches of ``rows``."""
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        return written(df, name)
+
+
 def shield(docs: DataFrame, used: tuple[str, ...]):
     """``docs`` with its other columns under names that clash with nothing, and a function that gives them back."""
     hidden = {c: f"_x{i}_" for i, c in enumerate(docs.columns) if c not in used}

@@ -32,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import dropped, partitions, read_table, small_batches, written
+from .scratch import dropped, partitions, read_table, small_batches, streamed, written
 from .shingles import _BASE, _INVERSE, _powers, _table, mix, slices
 
 LENGTH = 50
 GRAM = 16
-#: Bounds of what one task holds at a time: contexts of a shard, bytes of neighbouring shards, contexts read, spans cut from one text.
+#: Bounds of what one task holds at a time: contexts of a shard, bytes of neighbouring shards, contexts read, bytes cut from one text.
 CONTEXTS_PER_SHARD = 8_192
 SHARD_BYTES = 1 << 19
 TOGETHER = 1 << 18
-CUTS = 256
+CUT_BYTES = 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -82,27 +82,25 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     keys = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    heads = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    order = np.argsort(keys)
+    head = np.ones(n + 1, bool)  # whether a place in the order begins a group that isn't told apart yet
+    head[1:n] = keys[order[1:]] != keys[order[:-1]]
+    rank = np.full(n + 1, -1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0))
     h = 8
     while h < depth:
-        size = np.diff(np.append(heads, n))
-        slots = np.flatnonzero(np.repeat(size > 1, size))  # places in the order that aren't told apart yet
+        slots = np.flatnonzero(~(head[:-1] & head[1:]))
         if not len(slots):
             break
         some = order[slots]
-        group, after = rank[some], rank[np.minimum(some + h, n)]
-        by = np.lexsort((after, group))
-        some, group, after = some[by], group[by], after[by]
+        pair = rank[some] * (n + 1) + rank[np.minimum(some + h, n)] + 1
+        by = np.argsort(pair)
+        some, pair = some[by], pair[by]
         order[slots] = some
-        split = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
-        inner = np.flatnonzero(split)
-        rank[some] = np.repeat(slots[inner], np.diff(np.append(inner, len(slots))))
-        heads = np.union1d(heads, slots[inner])
+        split = np.ones(len(slots), bool)
+        split[1:] = pair[1:] != pair[:-1]
+        head[slots[split]] = True
+        rank[some] = np.maximum.accumulate(np.where(split, slots, 0))
         h *= 2
     return order
 
@@ -140,29 +138,20 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, fixed: np.ndarray, most
     return out
 
 
-def window_classes(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, context, start) of each window, equal windows having equal classes that ascend with their bytes."""
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    begins = np.concatenate(([0], np.cumsum(sizes)))
+def window_classes(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, context, start) of each window of contexts in one buffer, equal windows having equal classes that ascend with
+    their bytes."""
+    sizes = np.diff(begins)
     order = suffix_array(data, length)
     shared = common_prefixes(data, order, begins[:-1][sizes > 0], 2 * length)
     run = np.empty(len(data), np.int64)
     run[order] = np.cumsum(shared[order] < length)
-    home = np.repeat(np.arange(len(contexts)), sizes)
+    home = np.repeat(np.arange(len(sizes)), sizes)
     start = np.arange(len(data)) - begins[home]
     windows = np.flatnonzero(start + length <= sizes[home])
     return run[windows], home[windows], start[windows]
 
 
-def covered(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Bytes under windows at sorted ``starts``, as intervals."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
-
-
 _CONTEXTS = "value long, context long, doc long, part long, begin long, end long, src_doc long, src_part long, src_begin long"
 _MARKED = f"{_CONTEXTS}, lead boolean"
 
@@ -193,7 +182,7 @@ def _met(waiting: list[tuple]) -> pa.RecordBatch:
     """Contexts read by one task: of equal ones those of the least document, and the others as copies of it."""
     names = ("value", "context", "doc", "part", "begin", "end")
     c = {k: np.concatenate(v) for k, v in zip(names, zip(*waiting, strict=True), strict=True)}
-    order = np.argsort(mix(c["value"].view(np.uint64) + mix(c["context"].view(np.uint64))), kind="stable")
+    order = np.argsort(mix(c["value"].view(np.uint64) + mix(c["context"].view(np.uint64))))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
     new[1:] = (c["value"][1:] != c["value"][:-1]) | (c["context"][1:] != c["context"][:-1])
@@ -287,54 +276,71 @@ def _joined(batches):
         yield _batch(joined_copies({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}))
 
 
+def gathered(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of stretches of one buffer."""
+    sizes = ends - begins
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], sizes)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[place])])
+
+
 def _cut(batches):
-    """Bytes of wanted stretches, few at a time."""
+    """Bytes of wanted stretches, those of few texts at a time."""
+    names = ["value", "context", "shard", "doc", "part", "begin"]
     for batch in batches:
-        names = ("value", "context", "shard", "doc", "part", "begin")
-        for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            rows = [w for w in wanted.as_py() if w["to"] <= len(data)]
-            pieces = [data[w["at"] : w["to"]] for w in rows]
-            yield pa.RecordBatch.from_arrays([*(pa.array([w[k] for w in rows], pa.int64()) for k in names), pa.array(pieces, pa.binary())], names=[*names, "bytes"])
+        lists = batch.column("wanted")
+        for first, last, data, offsets in slices(batch.column("text")):
+            some = lists.slice(first, last - first)
+            rows = some.flatten()
+            base = np.repeat(offsets[:-1], some.value_lengths().to_numpy())
+            begins, ends = (rows.field(k).to_numpy(zero_copy_only=False) + base for k in ("at", "to"))
+            yield pa.RecordBatch.from_arrays([*(rows.field(k) for k in names), gathered(data, begins, ends)], names=[*names, "bytes"])
 
 
-def _worked_off(rows: list[tuple], length: int) -> pa.RecordBatch:
+def _worked_off(table: pa.Table, length: int) -> pa.RecordBatch:
     """Neighbouring shards: stretches of each context to remove, and the windows of split anchors (shard >= 0) for the merge."""
-    value, context, shard, doc = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:4])
-    texts = [r[4] for r in rows]
-    kind, home, start = window_classes(texts, length)
+    table = table.combine_chunks()
+    value, context, shard, doc = (table.column(c).to_numpy() for c in ("value", "context", "shard", "doc"))
+    column = table.column("bytes").chunk(0)
+    begins = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data, begins = np.frombuffer(column.buffers()[2], np.uint8)[begins[0] : begins[-1]], begins - begins[0]
+    kind, home, start = window_classes(data, begins, length)
     least = np.full(int(kind.max(initial=0)) + 1, _LAST, np.int64)
     np.minimum.at(least, kind, doc[home])
     gone = least[kind] < doc[home]
-    hit_home, hit_start = home[gone], start[gone]
-    out: dict[str, list] = {k: [] for k in ("value", "context", "begin", "end", "doc", "window")}
-    edges = np.flatnonzero(np.diff(hit_home)) + 1
-    if len(hit_home):
-        for i, starts in zip(hit_home[np.concatenate(([0], edges))], np.split(hit_start, edges), strict=True):
-            for begin, end in covered(starts, length):
-                for k, v in zip(out, (value[i], context[i], begin, end, doc[i], None), strict=True):
-                    out[k].append(v)
-    for i in np.flatnonzero(shard[home] >= 0):
-        j, s = home[i], int(start[i])
-        for k, v in zip(out, (value[j], context[j], s, s + length, doc[j], texts[j][s : s + length]), strict=True):
-            out[k].append(v)
-    return pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("value", "context", "begin", "end", "doc")), pa.array(out["window"], pa.binary())], names=list(out))
+    hit, at = home[gone], start[gone]
+    new = np.ones(len(hit), bool)  # a stretch ends where no window begins in it
+    new[1:] = (hit[1:] != hit[:-1]) | (at[1:] > at[:-1] + length)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(hit)) - 1 if len(heads) else heads
+    split = np.flatnonzero(shard[home] >= 0)
+    row = np.concatenate((hit[heads], home[split]))
+    begin = np.concatenate((at[heads], start[split]))
+    end = np.concatenate((at[tails], start[split])) + length
+    windows = gathered(data, begins[home[split]] + start[split], begins[home[split]] + start[split] + length)
+    windows = pa.concat_arrays([pa.nulls(len(heads), pa.binary()), windows])
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (value[row], context[row], begin, end, doc[row])), windows], names=["value", "context", "begin", "end", "doc", "window"])
 
 
 def _shards(length: int, most: int):
     """Contexts in order of (value, shard): whole shards are worked off when they have ``most`` bytes together."""
 
     def run(batches):
-        rows, held = [], 0
+        waiting, held = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("value", "context", "shard", "doc", "bytes")), strict=True):
-                if held >= most and (rows[-1][0], rows[-1][2]) != (row[0], row[2]):
-                    yield _worked_off(rows, length)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
-        if rows:
-            yield _worked_off(rows, length)
+            waiting.append(batch)
+            held += batch.column("bytes").nbytes
+            if held < most:
+                continue
+            table = pa.Table.from_batches(waiting)
+            value, shard = (table.column(c).to_numpy() for c in ("value", "shard"))
+            cuts = np.flatnonzero((value[1:] != value[:-1]) | (shard[1:] != shard[:-1]))
+            if len(cuts):
+                yield _worked_off(table.slice(0, int(cuts[-1]) + 1), length)
+                waiting = table.slice(int(cuts[-1]) + 1).to_batches()
+                held = sum(x.column("bytes").nbytes for x in waiting)
+        if any(x.num_rows for x in waiting):
+            yield _worked_off(pa.Table.from_batches(waiting), length)
 
     return run
 
@@ -385,7 +391,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.join(written(several, "several-texts"), "doc", "left").withColumn("part", F.when(F.col("several"), own).otherwise(F.lit(0).cast("long"))).drop("several")
 
 
-def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, contexts_per_shard: int = CONTEXTS_PER_SHARD, shard_bytes: int = SHARD_BYTES, together: int = TOGETHER, cuts: int = CUTS) -> DataFrame:
+def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, contexts_per_shard: int = CONTEXTS_PER_SHARD, shard_bytes: int = SHARD_BYTES, together: int = TOGETHER, cut_bytes: int = CUT_BYTES) -> DataFrame:
     """(doc, part, begin, end, bytes): what to remove of ``keyed`` rows, overlaps possible; ``bytes``, where not null, are
     those of a smaller document that the span is said to repeat."""
     spark = rows.sparkSession
@@ -396,9 +402,9 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     marked = written(found.mapInArrow(_classes, _MARKED), "contexts")
     span = "doc long, part long, begin long, end long, src_doc long, src_part long, src_begin long"
     copies = marked.filter("src_doc is not null").select("doc", "part", "begin", "end", "src_doc", "src_part", "src_begin")
-    copies = written(copies.repartition(parts, "doc", "part").sortWithinPartitions("doc", "part", "begin").mapInArrow(_joined, span), "copies")
+    copies = streamed(copies.repartition(parts, "doc", "part").sortWithinPartitions("doc", "part", "begin").mapInArrow(_joined, span), "copies")
     edges = marked.filter("src_doc is null")
-    pieces = _pieces(rows, edges, copies, contexts_per_shard, cuts)
+    pieces = _pieces(rows, edges, copies, contexts_per_shard, cut_bytes)
     partly = _partly_covered(edges, pieces.filter("value is not null"), length, shard_bytes)
     dropped(marked, copies)
     none = F.lit(None).cast("binary").alias("bytes")
@@ -406,9 +412,9 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     return partly.select("doc", "part", "begin", "end", none).union(repeated)
 
 
-def _pieces(rows: DataFrame, edges: DataFrame, copies: DataFrame, contexts_per_shard: int, cuts: int) -> DataFrame:
+def _pieces(rows: DataFrame, edges: DataFrame, copies: DataFrame, contexts_per_shard: int, cut_bytes: int) -> DataFrame:
     """Bytes of contexts for the shards (value, context, shard, doc), and of what copies repeat (doc, part, begin): each
-    text is read for both at once, in turns of about ``cuts`` stretches."""
+    text is read for both at once, in turns of about ``cut_bytes``."""
     firsts = edges.filter("lead")
     crowd = firsts.groupBy("value").count().filter(F.col("count") > contexts_per_shard).select("value", F.ceil(F.col("count") / contexts_per_shard).alias("shards"))
     shard = F.when(F.col("shards").isNull(), -1).otherwise(F.pmod(F.xxhash64("context"), F.col("shards"))).cast("long")
@@ -418,7 +424,7 @@ def _pieces(rows: DataFrame, edges: DataFrame, copies: DataFrame, contexts_per_s
     to = (F.col("src_begin") + F.col("end") - F.col("begin")).alias("to")
     repeated = copies.select(F.col("src_doc").alias("of"), F.col("src_part").alias("in"), F.struct(nil.alias("value"), nil.alias("context"), nil.alias("shard"), "doc", "part", "begin", F.col("src_begin").alias("at"), to).alias("w"))
     wanted = wanted.union(repeated)
-    often = wanted.groupBy("of", "in").count().select("of", "in", F.ceil(F.col("count") / cuts).alias("turns")).filter("turns > 1")
+    often = wanted.groupBy("of", "in").agg(F.sum(F.col("w.to") - F.col("w.at")).alias("n")).select("of", "in", F.ceil(F.col("n") / cut_bytes).alias("turns")).filter("turns > 1")
     turn = F.pmod(F.xxhash64("w.context", "w.doc", "w.begin"), F.coalesce("turns", F.lit(1)))
     lists = wanted.join(written(often, "often-cut"), ["of", "in"], "left").withColumn("turn", turn).groupBy("of", "in", "turn").agg(F.collect_list("w").alias("wanted"))
     lists = lists.select(F.col("of").alias("doc"), F.col("in").alias("part"), "wanted")
@@ -434,7 +440,7 @@ def _partly_covered(edges: DataFrame, pieces: DataFrame, length: int, shard_byte
     """(doc, part, begin, end) of what contexts share with others of their anchor, by suffix arrays."""
     parts = partitions(edges.sparkSession)
     dealt = pieces.select("value", "context", "shard", "doc", "bytes").repartition(parts, "value", "shard").sortWithinPartitions("value", "shard")
-    shards = written(dealt.mapInArrow(_shards(length, shard_bytes), "value long, context long, begin long, end long, doc long, window binary"), "shards")
+    shards = streamed(dealt.mapInArrow(_shards(length, shard_bytes), "value long, context long, begin long, end long, doc long, window binary"), "shards")
     windows = shards.filter("window is not null").repartition(parts, "window").sortWithinPartitions("window", "doc")
     merged = windows.mapInArrow(_merge, "value long, context long, begin long, end long")
     inner = shards.filter("window is null").select("value", "context", F.col("begin").alias("x"), F.col("end").alias("y")).union(merged)

@@ -342,7 +342,7 @@ def test_suffix_dedup(docs, odd, nothing):
         b = (t or "").encode()
         for k in range(len(b) - 49):
             seen.setdefault(b[k : k + 50], i)
-    for how in ({}, {"contexts_per_shard": 1}):
+    for how in ({}, {"contexts_per_shard": 1, "together": 100, "cut_bytes": 500, "shard_bytes": 1}):
         got = rows_of(suffix_dedup.removed(docs, **how))
         for i, t in enumerate(TEXTS):
             b = (t or "").encode()
