@@ -294,7 +294,10 @@ def _cut(batches):
             rows = some.flatten()
             base = np.repeat(offsets[:-1], some.value_lengths().to_numpy())
             begins, ends = (rows.field(k).to_numpy(zero_copy_only=False) + base for k in ("at", "to"))
-            yield pa.RecordBatch.from_arrays([*(rows.field(k) for k in names), gathered(data, begins, ends)], names=[*names, "bytes"])
+            turn = np.cumsum(ends - begins) // CUT_BYTES
+            edges = np.flatnonzero(np.diff(turn, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([*(rows.field(k).slice(a, b - a) for k in names), gathered(data, begins[a:b], ends[a:b])], names=[*names, "bytes"])
 
 
 def _worked_off(table: pa.Table, length: int) -> pa.RecordBatch:
