@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .ngram_join import row_key, similar
+from .ngram_join import row_key
 from .scratch import read_table, shield, small_batches, written
 from .shingles import SLICE, mix
 
@@ -30,7 +30,7 @@ SHINGLE = 5
 MIN_CHARS = 20
 BANDS, ROWS = 15, 6
 BINS = BANDS * ROWS
-BITS = 2048
+BITS = 4096
 PERCENT = 80
 #: Lines a task knows as sent: an equal one isn't signed again.
 REMEMBERED = 1 << 16
@@ -117,6 +117,12 @@ def may_be_similar(x: str, y: str, percent: int = PERCENT):
     return enough(F.least(n, m)) & enough(n - apart(x, y)) & enough(m - apart(y, x))
 
 
+def first_shared(x: str, y: str):
+    """Whether the bucket that two lines meet in is the first band they share."""
+    shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    return F.get(shared, F.lit(0)) == F.col(f"{x}.key")
+
+
 def line_id(form: bytes) -> bytes:
     """16 bytes that name a line's form."""
     import xxhash
@@ -151,11 +157,12 @@ def _banded(batches):
     """(key, id) of each band of the lines of MIN_CHARS characters at least; a task sends a line again only if it has met many others."""
     seen: set[bytes] = set()
     forms: list[bytes] = []
+    names: list[bytes] = []
     held = 0
 
     def out():
         table = bands(forms)
-        ids = pa.array([line_id(x) for x in forms], pa.binary()).take(pa.array(np.repeat(np.arange(len(forms)), BANDS)))
+        ids = pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(forms)), BANDS)))
         return pa.RecordBatch.from_arrays([pa.array(table.astype(np.int64).ravel()), ids], names=["key", "id"])
 
     for batch in batches:
@@ -169,40 +176,62 @@ def _banded(batches):
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(name)
-                forms.append(form)
+                forms.append(form), names.append(name)
                 held += len(form)
                 if held > SLICE:
                     yield out()
-                    forms, held = [], 0
+                    forms, names, held = [], [], 0
     if forms:
         yield out()
 
 
-def _details(batches):
+def _forms(batches):
+    """(id, form) of the wanted places."""
     for batch in batches:
+        ids, forms = [], []
         for wanted, text in zip(batch.column("wanted"), batch.column("text"), strict=True):
-            pick = {w["place"]: w["line"] for w in wanted.as_py()}
-            forms = [(pick[place], form) for place, form in _lines(_bytes(text)) if place in pick]
-            sets = [line_set(form) for _, form in forms]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in forms], pa.binary()), pa.array([x for _, x in forms], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_map(x) for x in sets], pa.list_(pa.int64()))],
-                names=["id", "form", "size", "bits"],
-            )
+            parts = _bytes(text).split(b"\n")
+            for w in wanted.as_py():
+                ids.append(w["line"]), forms.append(line_form(parts[w["place"]]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(forms, pa.binary())], names=["id", "form"])
+
+
+def _sketches(batches):
+    """Set size, bit map and bands of lines."""
+    for batch in batches:
+        forms = batch.column("form").to_pylist()
+        if not forms:
+            continue
+        sets = [line_set(x) for x in forms]
+        table = bands(forms).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_map(x) for x in sets], pa.list_(pa.int64())), pa.array(list(table), pa.list_(pa.int64()))], names=["id", "size", "bits", "bands"]
+        )
+
+
+def shingles(form: str) -> set[str]:
+    return {form[i : i + SHINGLE] for i in range(len(form) - SHINGLE + 1)}
 
 
 def _similar_lines(percent: int):
     def run(batches):
         for batch in batches:
-            sets = {form: line_set(form) for form in {*batch.column("x").to_pylist(), *batch.column("y").to_pylist()}}
-            keep = [similar(sets[x.as_py()], sets[y.as_py()], percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            sets = {form: shingles(form.decode("utf-8", "surrogatepass")) for form in {*x, *y}}
+            keep = []
+            for a, b in zip(x, y, strict=True):
+                p, q = sets[a], sets[b]
+                n = len(p) + len(q)
+                keep.append((100 + percent) * min(len(p), len(q)) >= percent * n and (100 + percent) * len(p & q) >= percent * n)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = True) -> tuple[DataFrame, DataFrame]:
     """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line) of all lines, and
-    (line, label, keep) of those that occur twice or are linked; ``keep`` is the place that stays."""
+    (line, label, keep) of those that occur twice or are linked; ``keep`` is the place that stays. ``repeated``: whether
+    some rows may be equal."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = written(rows.mapInArrow(_found, f"doc_id {id_type}, row_key binary, place int, line binary"), "line-places")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
@@ -210,20 +239,25 @@ def line_components(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     members = rows.select("text").mapInArrow(_banded, "key long, id binary")
     forms: list[DataFrame] = []
 
-    def details(ids: DataFrame) -> DataFrame:
-        """Set size and bit map of the lines that share a bucket; their texts are read once, forms stay for ``verify``."""
+    def texts_of(ids: DataFrame) -> None:
+        """Forms of the lines that share a bucket: their texts are read once."""
         wanted = firsts.join(ids.select(F.col("id").alias("line")), "line").groupBy(F.col("first.row_key").alias("row_key"))
         wanted = wanted.agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
-        texts = rows.select("row_key", "text").join(wanted, "row_key")
-        forms.append(written(texts.select("wanted", "text").mapInArrow(_details, "id binary, form binary, size long, bits array<long>"), "line-forms"))
-        return forms[0].select("id", "size", "bits")
+        texts = rows.select("row_key", "text").join(wanted, "row_key").select("wanted", "text").mapInArrow(_forms, "id binary, form binary")
+        forms.append(written(texts.dropDuplicates(["id"]) if repeated else texts, "line-forms"))
+
+    def details(ids: DataFrame) -> DataFrame:
+        return forms[0].join(ids, "id", "left_semi").mapInArrow(_sketches, "id binary, size long, bits array<long>, bands array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda end, name: forms[0].select(F.col("id").alias(end), F.col("form").alias(name))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a binary, b binary").distinct()
+        return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a binary, b binary")
 
-    labels = components(linked(members, lambda x, y: F.lit(True), verify, details, lambda x, y: may_be_similar(x, y, percent)))
+    def surely(x: str, y: str):
+        return may_be_similar(x, y, percent) & first_shared(x, y)
+
+    labels = components(linked(members, lambda x, y: F.lit(True), verify, details, surely, texts_of))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").filter("n > 1 or label is not null")
     named = named.select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
@@ -258,15 +292,16 @@ def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     shielded, restore = shield(docs, ("doc_id", "text", "n_chars"))
     keyed = shielded.withColumn("_row_key", row_key("doc_id", "text"))
     rows = keyed.select("doc_id", F.col("_row_key").alias("row_key"), "text")
-    found, parts = line_components(rows, percent)
+    repeats = keyed.groupBy("_row_key").count().filter("count > 1").select("_row_key", F.lit(True).alias("_repeats"))
+    repeated = not repeats.isEmpty()
+    found, parts = line_components(rows, percent, repeated)
     here = (F.col("keep.row_key") == F.col("row_key")) & (F.col("keep.place") == F.col("place"))
     held = found.join(parts, "line").select(F.col("row_key").alias("_row_key"), "place", here.alias("here"))
     gone = held.filter("not here").distinct().groupBy("_row_key").agg(F.collect_list("place").alias("_gone"))
     joined = keyed.join(gone, "_row_key", "left")
     # Of rows that repeat a document wholly, the later ones lose the lines that the first one keeps.
-    repeats = keyed.groupBy("_row_key").count().filter("count > 1").select("_row_key", F.lit(True).alias("_repeats"))
     again = F.lit(1)
-    if not repeats.isEmpty():
+    if repeated:
         joined = joined.join(repeats, "_row_key", "left")
         again = F.when(F.col("_repeats"), F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))).otherwise(F.lit(1))
     joined = joined.select(*shielded.columns, "_gone", again.alias("_again"))
