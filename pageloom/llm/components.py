@@ -1,9 +1,9 @@
 """Links among members of buckets, and their connected components.
 
 ``linked`` finds links of the members of a bucket without making all pairs. Buckets with one member go in a stream of
-sorted rows, which also names a lead of each bucket, its smallest id. Every member is compared with its lead, and takes
-the smallest id it is linked with as its label. Then only members of another label than their lead's are compared with the
-others of their bucket, in blocks of bounded size, if no common neighbour joins them yet. What a lead gathers costs its
+sorted rows, which also names a lead of each bucket, its smallest id. Every member is compared with its lead, and
+components of what is linked so far are formed. Then only members outside their lead's component are compared with the
+others of their bucket, in blocks of bounded size, if they are in different components. What a lead gathers costs its
 size, not the square, and no link that joins two components is missed.
 """
 
@@ -111,8 +111,8 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
 
     ``may_link`` is a necessary condition on two members' columns, given their aliases, and ``surely`` one on the columns
     that ``details`` gives by id, for a table of the ids that are left; ``verify`` keeps the pairs (a, b) that do link.
-    ``before`` gets the ids of shared buckets first. Links between
-    members of one label aren't all listed.
+    ``before`` gets the ids of shared buckets first. Links inside a
+    component that the leads have formed aren't all listed.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
     kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
@@ -128,8 +128,7 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     own = F.struct("id", *extra).alias("l")
     lead = F.struct(F.col("lead_id").alias("id"), *(F.col(f"lead_{c}").alias(c) for c in extra)).alias("r")
     links = written(verify(paired(shared.filter("id <> lead_id").select(own, lead).filter(may_link("l", "r")))), "links")
-    ends = links.union(links.select("b", "a")).toDF("id", "other")
-    labels = ends.groupBy("id").agg(F.min(F.least("id", "other")).alias("label"))  # equal labels are linked to one id
+    labels = components(links)
     rest = shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     rest = written(rest, "labelled")
     keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("leads"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("n"))
