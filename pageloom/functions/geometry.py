@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Box = tuple[Column, Column, Column, Column]
-
+from pageloom.functions.text import let
 
-def box(alias: str) -> Box:
-    return tuple(F.col(f"{alias}.{c}") for c in ("x0", "y0", "x1", "y1"))
+Box = tuple[Column, Column, Column, Column]
 
 
 def intersects(a: Box, b: Box) -> Column:
@@ -20,6 +18,12 @@ def contains(outer: Box, inner: Box) -> Column:
     return (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (inner[2] <= outer[2]) & (inner[3] <= outer[3])
 
 
+def character_range(x: Column, width: Column, n: Column, x0: Column, x1: Column) -> tuple[Column, Column]:
+    """[lo, hi) of the characters of a run, all of one width, whose middle lies within x0 and x1."""
+    each = width / n
+    return F.greatest(F.ceil((x0 - x) / each - 0.5).cast("int"), F.lit(0)), F.least(F.floor((x1 - x) / each - 0.5).cast("int") + 1, n)
+
+
 def rotation(a: Column, b: Column) -> Column:
     """Clockwise degrees in [0, 360) of a matrix whose first row is (a, b)."""
     return F.pmod(F.degrees(F.atan2(-b, a)), F.lit(360.0))
@@ -39,9 +43,43 @@ def blend(mode: str, backdrop: Column, source: Column) -> Column:
         "Exclusion": b + s - 2 * b * s,
         "HardLight": hard,
         "Overlay": F.when(b <= 0.5, s * 2 * b).otherwise(s + (2 * b - 1) - s * (2 * b - 1)),
-        "ColorDodge": F.when(b == 0, 0.0).when(s >= 1, 1.0).otherwise(F.least(F.lit(1.0), b / (1 - F.least(s, F.lit(0.9999))))),
-        "ColorBurn": F.when(b >= 1, 1.0).when(s <= 0, 0.0).otherwise(1 - F.least(F.lit(1.0), (1 - b) / F.greatest(s, F.lit(0.0001)))),
+        "ColorDodge": F.when(b <= 0, 0.0).when(s >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(b, 1 - s))),
+        "ColorBurn": F.when(b >= 1, 1.0).when(s <= 0, 0.0).otherwise(1 - F.least(F.lit(1.0), F.try_divide(1 - b, s))),
+        "SoftLight": F.when(s <= 0.5, b - (1 - 2 * s) * b * (1 - b)).otherwise(b + (2 * s - 1) * (F.when(b <= 0.25, ((16 * b - 12) * b + 4) * b).otherwise(F.sqrt(b)) - b)),
     }[mode]
 
 
-MODES = ("Normal", "Multiply", "Screen", "Darken", "Lighten", "Difference", "Exclusion", "HardLight", "Overlay", "ColorDodge", "ColorBurn")
+MODES = ("Normal", "Multiply", "Screen", "Darken", "Lighten", "Difference", "Exclusion", "HardLight", "Overlay", "ColorDodge", "ColorBurn", "SoftLight")
+RGB_MODES = ("Hue", "Saturation", "Color", "Luminosity")
+
+
+def luminosity(c: Column) -> Column:
+    return 0.3 * F.get(c, F.lit(0)) + 0.59 * F.get(c, F.lit(1)) + 0.11 * F.get(c, F.lit(2))
+
+
+def _saturated(c: Column, amount: Column) -> Column:
+    """A colour with its channels spread from 0 to ``amount``."""
+    lo, hi = F.array_min(c), F.array_max(c)
+    return F.transform(c, lambda x: F.when(hi == lo, 0.0).otherwise(F.try_divide((x - lo) * amount, hi - lo)))
+
+
+def _lit(c: Column, light: Column) -> Column:
+    """A colour brought to a luminosity, then drawn towards grey until its channels are within 0 and 1."""
+
+    def inside(c: Column) -> Column:
+        level, lo, hi = luminosity(c), F.array_min(c), F.array_max(c)
+        raised = let(F.transform(c, lambda x: F.when((lo < 0) & (level != lo), level + F.try_divide((x - level) * level, level - lo)).otherwise(x)), lambda r: r)
+        return F.transform(raised, lambda x: F.when((hi > 1) & (hi != level), level + F.try_divide((x - level) * (1 - level), hi - level)).otherwise(x))
+
+    return let(F.transform(c, lambda x: x + (light - luminosity(c))), inside)
+
+
+def blend_rgb(mode: str, backdrop: Column, source: Column) -> Column:
+    """The modes that take hue, saturation and luminosity of whole colours from one side or the other."""
+    b, s = backdrop, source
+    spread = lambda c: F.array_max(c) - F.array_min(c)
+    if mode == "Hue":
+        return _lit(_saturated(s, spread(b)), luminosity(b))
+    if mode == "Saturation":
+        return _lit(_saturated(b, spread(s)), luminosity(b))
+    return {"Color": _lit(s, luminosity(b)), "Luminosity": _lit(b, luminosity(s))}[mode]

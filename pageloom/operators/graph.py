@@ -11,13 +11,32 @@ from pageloom.sources.scratch import written
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) for all that ``roots`` (node) reach over ``edges`` (src, dst), roots included; loops end by themselves.
 
-    Each step joins the frontier with the edges and drops what has been seen; both are written, so that a step reads
-    tables and not the steps before it.
+    Each step joins the frontier with the edges and drops what has been seen. Each frontier is written once; what has been
+    seen is all frontiers together.
     """
     edges = edges.select("src", "dst").distinct()
-    seen = frontier = written(roots.distinct(), "seen")
+    seen = frontier = written(roots.distinct(), "frontier")
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti"), "frontier")
-        seen = written(seen.unionByName(frontier), "seen")
+        seen = seen.unionByName(frontier)
     return seen
+
+
+def chain_ends(links: DataFrame, limit: int) -> DataFrame:
+    """(src, end, steps): where the chain from each src of ``links`` (src, dst) ends, a null dst being an end.
+
+    ``end`` and ``steps`` are null where a link names nothing or after more than ``limit`` steps, loops included. The reach of
+    every link is doubled again and again, so ``limit`` steps take a logarithm of joins.
+    """
+    here = links.select("src", F.col("dst").alias("at"), F.when(F.col("dst").isNull(), F.col("src")).alias("end"), F.when(F.col("dst").isNull(), 0).alias("steps"), F.lit(1).alias("far"))
+    jumps = written(here, "jumps")
+    reach = 1
+    while reach < limit + 1:
+        other = jumps.select(F.col("src").alias("at"), F.col("at").alias("_at"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("far").alias("_far"))
+        met = jumps.join(other, "at", "left")
+        done = F.col("end").isNotNull()
+        jumps = met.select("src", F.when(~done, F.col("_at")).alias("at"), F.when(done, F.col("end")).otherwise(F.col("_end")).alias("end"), F.when(done, F.col("steps")).otherwise(F.col("far") + F.col("_steps")).alias("steps"), F.when(done, F.col("far")).otherwise(F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"))
+        jumps, reach = written(jumps, "jumps"), reach * 2
+    near = F.col("steps") <= limit
+    return jumps.select("src", F.when(near, F.col("end")).alias("end"), F.when(near, F.col("steps")).alias("steps"))

@@ -27,15 +27,31 @@ def literal_marks(texts: DataFrame, rules: list[Rule], bounded: bool = True) ->
 
 
 def pattern_marks(texts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(doc_id, rule_id, ord, match) of each regular expression hit, in text order."""
-    parts = [texts.select("doc_id", F.lit(r.rule_id).alias("rule_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias("ord", "match")) for r in rules]
-    return reduce(DataFrame.unionByName, parts)
+    """(doc_id, rule_id, ord, match) of each regular expression hit, in text order; texts are read once."""
+    each = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)).alias("found")) for r in rules))
+    return texts.select("doc_id", F.explode(each).alias("m")).select("doc_id", "m.rule_id", F.posexplode("m.found").alias("ord", "match"))
 
 
 def spans(texts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(doc_id, rule_id, lo, hi) of each bounded literal hit."""
-    parts = [texts.select("doc_id", F.lit(r.rule_id).alias("rule_id"), F.explode(bounded_spans(F.col("text"), r.literal)).alias("s")) for r in rules]
-    return reduce(DataFrame.unionByName, parts).select("doc_id", "rule_id", "s.lo", "s.hi")
+    """(doc_id, n, rule_id, lo, hi) of each bounded literal hit in a text of n characters; texts are read once."""
+    each = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), bounded_spans(F.col("text"), r.literal).alias("found")) for r in rules))
+    found = texts.select("doc_id", F.length("text").alias("n"), F.explode(each).alias("m")).select("doc_id", "n", "m.rule_id", F.explode("m.found").alias("s"))
+    return found.select("doc_id", "n", "rule_id", "s.lo", "s.hi")
+
+
+#: What may stand around a recognised word, and the length from which a literal's words count alone.
+AROUND_WORD, LEAST_PART = ".,;:()[]{}\"'`?!", 3
+
+
+def matches_any_rule(word: Column, literals: list[str], patterns: list[str]) -> Column:
+    """Whether a single recognised word is covered by a rule: a literal stands in it as words, it is one of a literal's
+    words of LEAST_PART characters at least (what stands around it aside), or a pattern is found in it."""
+    bare = F.trim(word, F.lit(AROUND_WORD))
+    tests = [bounded_hits(word, x) > 0 for x in literals]
+    parts = sorted({p for x in literals for p in x.split() if len(p) >= LEAST_PART})
+    tests += [bare.isin(*parts)] if parts else []
+    tests += [word.rlike(x) for x in patterns]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def longest_first(rules: list[Rule]) -> list[Rule]:
@@ -52,7 +68,11 @@ def substitute(texts: DataFrame, rules: list[Rule], name: str = "text") -> DataF
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching (lo, hi) of the same ``keys`` as one: gaps and islands over the running end."""
+    """Overlapping or touching (lo, hi) of the same ``keys`` as one: gaps and islands over the running end. Where there is a
+    column n, ranges are cut to [0, n] first; empty ones go."""
+    if "n" in ranges.columns:
+        ranges = ranges.withColumns({"lo": F.greatest("lo", F.lit(0)), "hi": F.least("hi", "n")})
+    ranges = ranges.filter("lo < hi")
     order = Window.partitionBy(*keys).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)

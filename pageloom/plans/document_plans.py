@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.geometry import MODES, blend, rotation
+from pageloom.functions.dates import document_date, xmp_date
+from pageloom.functions.geometry import MODES, RGB_MODES, blend, blend_rgb, rotation
 from pageloom.functions.labels import format_label
-from pageloom.operators.graph import reachable
+from pageloom.operators.graph import chain_ends, reachable
 from pageloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -136,27 +137,42 @@ def inherited_value(spark, sf_dir):
     return found.groupBy("o_orderkey").agg(F.min_by("value", "depth").alias("value"), F.min("depth").alias("depth"))
 
 
-HEADINGS_SQL = "SELECT page_id, u.i AS ord, hs[u.i] AS h FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>[^<]*') AS hs FROM pages), unnest(range(1, len(hs) + 1)) AS u(i)"
+#: A heading, a leaf block: from its tag, with or without attributes, to the end tag; inner tags are no text.
+HEADING, BLOCK = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", r"(?is)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)\s*>"
+TEXT_SQL = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
-@query("struct_outline", f"SELECT page_id, CAST(ord - 1 AS INT) AS ord, CAST(substr(h, 3, 1) AS INT) AS level, trim(regexp_replace(h, '^<[^>]*>', '')) AS title FROM ({HEADINGS_SQL})")
+def _each_sql(pattern: str) -> str:
+    return f"SELECT page_id, u.i AS ord, hs[u.i] AS h FROM (SELECT page_id, regexp_extract_all(html, '{pattern}') AS hs FROM pages), unnest(range(1, len(hs) + 1)) AS u(i)"
+
+
+def _inner_text(block):
+    return F.trim(F.regexp_replace(F.regexp_replace(block, "<[^>]*>", ""), "[ \\t\\r\\n]+", " "))
+
+
+@query("struct_outline", f"SELECT page_id, CAST(ord - 1 AS INT) AS ord, CAST(substr(h, 3, 1) AS INT) AS level, {TEXT_SQL.format('h')} AS title FROM ({_each_sql(HEADING)})")
 def struct_outline(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>[^<]*"), F.lit(0))).alias("ord", "h"))
-    return found.select("page_id", "ord", F.substring("h", 3, 1).cast("int").alias("level"), F.trim(F.regexp_replace("h", "^<[^>]*>", "")).alias("title"))
+    """Headings in order with their level and whole text, inline tags left out."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HEADING), F.lit(0))).alias("ord", "h"))
+    return found.select("page_id", "ord", F.substring("h", 3, 1).cast("int").alias("level"), _inner_text(F.col("h")).alias("title"))
 
 
-@query("struct_text", """SELECT page_id, count(*) AS n_nodes, sha256(string_agg(regexp_replace(b, '^<[^>]*>', ''), chr(10) ORDER BY i)) AS text_sha256
-FROM (SELECT page_id, u.i, bs[u.i] AS b FROM (SELECT page_id, regexp_extract_all(html, '<(?:h1|p|li)>[^<]+') AS bs FROM pages), unnest(range(1, len(bs) + 1)) AS u(i)) GROUP BY page_id""")
+@query("struct_text", f"SELECT page_id, count(*) AS n_nodes, sha256(string_agg({TEXT_SQL.format('h')}, chr(10) ORDER BY ord)) AS text_sha256 FROM ({_each_sql(BLOCK)}) GROUP BY page_id")
 def struct_text(spark, sf_dir):
     """Text of the leaf blocks in order, a line each."""
-    blocks = F.regexp_extract_all("html", F.lit("<(?:h1|p|li)>[^<]+"), F.lit(0))
-    texts = F.transform("b", lambda x: F.regexp_replace(x, "^<[^>]*>", ""))
-    return table(spark, sf_dir, "pages").select("page_id", blocks.alias("b")).filter(F.size("b") > 0).select("page_id", F.size("b").cast("long").alias("n_nodes"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"))
+    blocks = F.regexp_extract_all("html", F.lit(BLOCK), F.lit(0))
+    return table(spark, sf_dir, "pages").select("page_id", blocks.alias("b")).filter(F.size("b") > 0).select("page_id", F.size("b").cast("long").alias("n_nodes"), F.sha2(F.array_join(F.transform("b", _inner_text), "\n"), 256).alias("text_sha256"))
+
+
+HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_HREF_SQL = HREF.replace("'", "''")
 
 
-@query("link_annotations", "SELECT page_id, u.i - 1 AS ord, regexp_extract(ls[u.i], '\"([^\"]*)', 1) AS url FROM (SELECT page_id, regexp_extract_all(html, 'href=\"[^\"]*') AS ls FROM pages), unnest(range(1, len(ls) + 1)) AS u(i)")
+@query("link_annotations", f"SELECT page_id, u.i - 1 AS ord, regexp_replace(ls[u.i], '^[\"'']|[\"'']$', '', 'g') AS url FROM (SELECT page_id, regexp_extract_all(html, '{_HREF_SQL}', 1) AS ls FROM pages), unnest(range(1, len(ls) + 1)) AS u(i)")
 def link_annotations(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)'), F.lit(1))).alias("ord", "url"))
+    """Addresses of links, in double, single or no quotes."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("ord", "url"))
+    return found.withColumn("url", F.regexp_replace("url", "^[\"']|[\"']$", ""))
 
 
 @query("metadata_fields", "SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(html, 'charset=\"([^\"]+)\"', 1) AS charset FROM pages")
@@ -166,24 +182,28 @@ def metadata_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", find("<title>([^<]*)").alias("title"), find('<html lang="([a-z]+)"').alias("lang"), find('charset="([^"]+)"').alias("charset"))
 
 
-@query("strip_metadata", "SELECT page_id, length(regexp_replace(html, '<(title|script|style)>[^<]*', '<\\1>', 'g')) AS n_left FROM pages")
+_STRIPPED = ("title", "script", "style")
+_STRIP_SQL = "html"
+for _tag in _STRIPPED:
+    _STRIP_SQL = f"regexp_replace({_STRIP_SQL}, '(?is)(<{_tag}\\b[^>]*>).*?(</{_tag}\\s*>)', '\\1\\2', 'g')"
+
+
+@query("strip_metadata", f"SELECT page_id, length({_STRIP_SQL}) AS n_left, sha256({_STRIP_SQL}) AS left_sha256 FROM pages")
 def strip_metadata(spark, sf_dir):
-    """Titles, scripts and styles emptied, the rest as it was."""
-    return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", "<(title|script|style)>[^<]*", "<$1>")).cast("long").alias("n_left"))
+    """Titles, scripts and styles emptied up to their end tags, the rest as it was."""
+    html = F.col("html")
+    for tag in _STRIPPED:
+        html = F.regexp_replace(html, rf"(?is)(<{tag}\b[^>]*>).*?(</{tag}\s*>)", "$1$2")
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("left")).select("page_id", F.length("left").cast("long").alias("n_left"), F.sha2("left", 256).alias("left_sha256"))
 
 
-AUDIT = {
-    "script": ("html contains a script", r"<script"),
-    "open": ("the document isn't closed", r"</html>"),
-    "noise": ("the heading holds symbols", r"<h1>[^<]*[%$#*]"),
-    "link": ("a link has no address", r'href=""'),
-}
+AUDIT = {"script": r"<script", "open": r"</html>", "noise": r"<h1>[^<]*[%$#*]", "link": r'href=""'}
 
 
 @query("audit_rules", "SELECT page_id, 'script' AS rule FROM pages WHERE regexp_matches(html, '<script') UNION ALL SELECT page_id, 'open' FROM pages WHERE NOT regexp_matches(html, '</html>') UNION ALL SELECT page_id, 'noise' FROM pages WHERE regexp_matches(html, '<h1>[^<]*[%$#*]') UNION ALL SELECT page_id, 'link' FROM pages WHERE regexp_matches(html, 'href=\"\"')")
 def audit_rules(spark, sf_dir):
     """One row per broken rule."""
-    found = {rule: F.col("html").rlike(pattern) for rule, (_, pattern) in AUDIT.items()}
+    found = {rule: F.col("html").rlike(pattern) for rule, pattern in AUDIT.items()}
     found["open"] = ~found["open"]
     broken = F.filter(F.array(*(F.when(cond, F.lit(rule)) for rule, cond in found.items())), lambda r: r.isNotNull())
     return table(spark, sf_dir, "pages").select("page_id", F.explode(broken).alias("rule"))
@@ -270,8 +290,9 @@ BLEND_SQL = {
     "Difference": f"abs({_B} - {_S})", "Exclusion": f"{_B} + {_S} - 2 * {_B} * {_S}",
     "HardLight": f"CASE WHEN {_S} <= 0.5 THEN {_B} * 2 * {_S} ELSE {_B} + (2 * {_S} - 1) - {_B} * (2 * {_S} - 1) END",
     "Overlay": f"CASE WHEN {_B} <= 0.5 THEN {_S} * 2 * {_B} ELSE {_S} + (2 * {_B} - 1) - {_S} * (2 * {_B} - 1) END",
-    "ColorDodge": f"CASE WHEN {_B} = 0 THEN 0 WHEN {_S} >= 1 THEN 1 ELSE least(1.0, {_B} / (1 - least({_S}, 0.9999))) END",
-    "ColorBurn": f"CASE WHEN {_B} >= 1 THEN 1 WHEN {_S} <= 0 THEN 0 ELSE 1 - least(1.0, (1 - {_B}) / greatest({_S}, 0.0001)) END",
+    "ColorDodge": f"CASE WHEN {_B} <= 0 THEN 0 WHEN {_S} >= 1 THEN 1 ELSE least(1.0, {_B} / (1 - {_S})) END",
+    "ColorBurn": f"CASE WHEN {_B} >= 1 THEN 1 WHEN {_S} <= 0 THEN 0 ELSE 1 - least(1.0, (1 - {_B}) / {_S}) END",
+    "SoftLight": f"CASE WHEN {_S} <= 0.5 THEN {_B} - (1 - 2 * {_S}) * {_B} * (1 - {_B}) ELSE {_B} + (2 * {_S} - 1) * (CASE WHEN {_B} <= 0.25 THEN ((16 * {_B} - 12) * {_B} + 4) * {_B} ELSE sqrt({_B}) END - {_B}) END",
 }
 
 
@@ -283,10 +304,42 @@ def blend_modes(spark, sf_dir):
     return sums.unpivot("l_partkey", list(MODES), "mode", "total")
 
 
-@query("cmyk_to_rgb", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(255 * (1 - least(1, l_discount * 5 + l_tax))) AS INT) AS r, CAST(round(255 * (1 - least(1, l_quantity / 50 + l_tax))) AS INT) AS g FROM lineitem")
+_LUM = "(0.3::DOUBLE * {0}[1] + 0.59::DOUBLE * {0}[2] + 0.11::DOUBLE * {0}[3])"
+_SAT = "(list_max({0}) - list_min({0}))"
+_TO_SAT = "CASE WHEN list_max({0}) = list_min({0}) THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [(x - list_min({0})) * {1} / (list_max({0}) - list_min({0})) FOR x IN {0}] END"
+RGB_SQL = f"""WITH c AS (SELECT l_partkey, [l_discount * 10, l_tax * 10, l_quantity / 50] AS b, [l_tax * 12, l_quantity / 50, l_discount * 9] AS s FROM lineitem
+), m AS (
+  SELECT l_partkey, 'Hue' AS mode, {_TO_SAT.format('s', _SAT.format('b'))} AS c, {_LUM.format('b')} AS l FROM c UNION ALL SELECT l_partkey, 'Saturation', {_TO_SAT.format('b', _SAT.format('s'))}, {_LUM.format('b')} FROM c
+  UNION ALL SELECT l_partkey, 'Color', s, {_LUM.format('b')} FROM c UNION ALL SELECT l_partkey, 'Luminosity', b, {_LUM.format('s')} FROM c
+), d AS (SELECT l_partkey, mode, [x + (l - {_LUM.format('c')}) FOR x IN c] AS c FROM m
+), e AS (SELECT l_partkey, mode, c, {_LUM.format('c')} AS l, list_min(c) AS lo, list_max(c) AS hi FROM d
+), f AS (SELECT l_partkey, mode, l, hi, CASE WHEN lo < 0 AND l <> lo THEN [l + (x - l) * l / (l - lo) FOR x IN c] ELSE c END AS c FROM e
+), g AS (SELECT l_partkey, mode, CASE WHEN hi > 1 AND hi <> l THEN [l + (x - l) * (1 - l) / (hi - l) FOR x IN c] ELSE c END AS c FROM f)
+SELECT l_partkey, mode, CAST(sum(CAST(round(c[1] * 1000) AS BIGINT)) AS BIGINT) AS r, CAST(sum(CAST(round(c[2] * 1000) AS BIGINT)) AS BIGINT) AS g, CAST(sum(CAST(round(c[3] * 1000) AS BIGINT)) AS BIGINT) AS b FROM g GROUP BY l_partkey, mode"""
+
+
+@query("blend_colours", RGB_SQL)
+def blend_colours(spark, sf_dir):
+    """The four modes that mix whole colours, summed over an object's samples, in thousandths."""
+    c = F.col
+    backdrop, source = F.array(c("l_discount") * 10, c("l_tax") * 10, c("l_quantity") / 50), F.array(c("l_tax") * 12, c("l_quantity") / 50, c("l_discount") * 9)
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", backdrop.alias("b"), source.alias("s"))
+    each = F.array(*(F.struct(F.lit(mode).alias("mode"), blend_rgb(mode, c("b"), c("s")).alias("c")) for mode in RGB_MODES))
+    mixed = rows.select("l_partkey", F.explode(each).alias("m")).select("l_partkey", "m.mode", "m.c")
+    total = lambda i, name: F.sum(F.round(F.get("c", F.lit(i)) * 1000).cast("long")).alias(name)
+    return mixed.groupBy("l_partkey", "mode").agg(total(0, "r"), total(1, "g"), total(2, "b"))
+
+
+def _channel_sql(ink: str) -> str:
+    return f"CAST(round(255 * (greatest(0, least(1, 1 - {ink})) * greatest(0, least(1, 1 - l_tax * 8)))) AS INT)"
+
+
+@query("cmyk_to_rgb", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_channel_sql('l_discount * 8')} AS r, {_channel_sql('l_quantity / 50')} AS g, {_channel_sql('l_extendedprice / 80000')} AS b FROM lineitem")
 def cmyk_to_rgb(spark, sf_dir):
-    channel = lambda c: F.round(255 * (1 - F.least(F.lit(1.0), c + F.col("l_tax")))).cast("int")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", channel(F.col("l_discount") * 5).alias("r"), channel(F.col("l_quantity") / 50).alias("g"))
+    """Without a profile: each channel is what its ink and black leave, (1 - ink)(1 - black)."""
+    left = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - c))
+    channel = lambda c: F.round(255 * (left(c) * left(F.col("l_tax") * 8))).cast("int")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", channel(F.col("l_discount") * 8).alias("r"), channel(F.col("l_quantity") / 50).alias("g"), channel(F.col("l_extendedprice") / 80000).alias("b"))
 
 
 @query("function_values", "SELECT p_partkey, round(CASE WHEN t < 0.3 THEN pow(t / 0.3, 2.0) ELSE 1 - 0.5 * pow((t - 0.3) / 0.7, 1.5) END, 6) AS v FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS t FROM part)")
@@ -305,13 +358,23 @@ def fit_size(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", size.alias("size"), (exact < 4.5).alias("too_wide"))
 
 
-@query("parse_dates", "SELECT o_orderkey, o_orderdate::TIMESTAMP AS whole, NULL::TIMESTAMP AS broken FROM orders")
+_AT = "(o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400))"
+DATES_SQL = f"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN date_trunc('second', {_AT}) WHEN 1 THEN date_trunc('minute', {_AT}) WHEN 2 THEN date_trunc('hour', {_AT}) WHEN 3 THEN date_trunc('day', {_AT}) END::TIMESTAMP AS at,
+CASE o_orderkey % 6 WHEN 0 THEN date_trunc('second', {_AT}) WHEN 1 THEN date_trunc('minute', {_AT}) WHEN 2 THEN date_trunc('day', {_AT}) WHEN 3 THEN date_trunc('month', {_AT}) WHEN 4 THEN date_trunc('year', {_AT}) END::TIMESTAMP AS xmp_at FROM orders"""
+
+
+@query("parse_dates", DATES_SQL)
 def parse_dates(spark, sf_dir):
-    """Dates behind D: by their length; a zone suffix is cut off and ignored; what isn't a date is null."""
-    raw = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("+02'00'"))
-    cut = lambda c: F.regexp_replace(F.regexp_replace(c, "^D:", ""), "[+\\-Z].*$", "")
-    whole, broken = F.try_to_timestamp(cut(raw), F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(cut(F.concat(F.lit("D:x"), F.col("o_orderpriority"))), F.lit("yyyyMMddHHmmss"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", whole.cast("timestamp_ntz").alias("whole"), broken.cast("timestamp_ntz").alias("broken"))
+    """Dates of every layout, and three that aren't dates: an odd length, a zone after eight digits, a month that isn't."""
+    at = F.expr("timestampadd(SECOND, o_orderkey % 86400, o_orderdate)")
+    form = lambda pattern, tail="": F.concat(F.lit("D:"), F.date_format(at, pattern), F.lit(tail))
+    kind = F.col("o_orderkey") % 7
+    raw = F.when(kind == 0, form("yyyyMMddHHmmss", "+02'00'")).when(kind == 1, form("yyyyMMddHHmm")).when(kind == 2, form("yyyyMMddHH")).when(kind == 3, form("yyyyMMdd"))
+    raw = raw.when(kind == 4, form("yyyyMMdd", "123")).when(kind == 5, form("yyyyMMdd", "+02'00'")).otherwise(F.concat(F.lit("D:"), F.date_format(at, "yyyy"), F.lit("1340")))
+    kind = F.col("o_orderkey") % 6
+    xmp = F.when(kind == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm")).when(kind == 2, F.date_format(at, "yyyy-MM-dd")).when(kind == 3, F.date_format(at, "yyyy-MM"))
+    xmp = xmp.when(kind == 4, F.date_format(at, "yyyy")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", document_date(raw).alias("at"), xmp_date(xmp).alias("xmp_at"))
 
 
 @query("signature_coverage", "SELECT l_orderkey, sum(l_quantity)::BIGINT AS length, max(l_linenumber)::BIGINT * 40 >= sum(l_quantity)::BIGINT - 2 AS covers FROM lineitem GROUP BY l_orderkey")
@@ -343,3 +406,17 @@ def tree_entries(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").join(leaves, "n_nationkey", "left").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     order = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_name")) - 1
     return rows.select("r_name", "n_name", order.cast("long").alias("ord"), F.coalesce("n_leaves", F.lit(0)).cast("long").alias("n_leaves"))
+
+
+REFERENCES_SQL = """WITH RECURSIVE link AS (SELECT o_orderkey AS src, CASE WHEN o_custkey % 5 > 0 THEN o_orderkey - 4 * (o_custkey % 5) END AS dst, o_orderpriority AS value FROM orders),
+walk AS (SELECT src AS start, dst AS at, value, 0 AS steps FROM link UNION ALL SELECT w.start, l.dst, l.value, w.steps + 1 FROM walk w JOIN link l ON l.src = w.at WHERE w.at IS NOT NULL AND w.steps < 32)
+SELECT s.src AS o_orderkey, w.value, coalesce(CAST(w.steps AS INT), -1) AS steps FROM link s LEFT JOIN walk w ON w.start = s.src AND w.at IS NULL"""
+
+
+@query("resolve_references", REFERENCES_SQL)
+def resolve_references(spark, sf_dir):
+    """What a reference names in the end, through at most 32 others; null, after -1 steps, where a link is broken or the chain is longer."""
+    orders = table(spark, sf_dir, "orders")
+    links = orders.select(F.col("o_orderkey").alias("src"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderkey") - 4 * (F.col("o_custkey") % 5)).alias("dst"))
+    ends = chain_ends(links, 32).join(orders.select(F.col("o_orderkey").alias("end"), F.col("o_orderpriority").alias("value")), "end", "left")
+    return ends.select(F.col("src").alias("o_orderkey"), "value", F.coalesce("steps", F.lit(-1)).alias("steps"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.geometry import contains, intersects
+from pageloom.functions.geometry import character_range, contains, intersects
 from pageloom.functions.text import dehyphenate, flatten_space
 from pageloom.operators import chains as C
 from pageloom.operators import redact as R
@@ -119,19 +119,22 @@ def scrub_strings(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text, 256).alias("text_sha256"), R.anywhere_hits(F.col("text"), "the").alias("n_first"))
 
 
-@query("reverse_roundtrip", "SELECT conv_id, turn, contains(text, 'th') AS changed, true AS restored FROM conversations")
+@query("reverse_roundtrip", "SELECT conv_id, turn, contains(text, 'th') AS changed, replace(replace(text, 'th', '⟦1⟧'), '⟦1⟧', 'th') = text AS restored, replace(replace(text, 'he', 'an'), 'an', 'he') = text AS restored_plain FROM conversations")
 def reverse_roundtrip(spark, sf_dir):
-    there = F.replace("text", F.lit("th"), F.lit("⟦1⟧"))
-    back = F.replace(there, F.lit("⟦1⟧"), F.lit("th"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (there != F.col("text")).alias("changed"), (back == F.col("text")).alias("restored"))
+    """Rules turned round bring a text back if their tokens don't occur in it; a token that is a common string doesn't."""
 
+    def there_and_back(literal: str, token: str):
+        return F.replace(F.replace("text", F.lit(literal), F.lit(token)), F.lit(token), F.lit(literal)) == F.col("text")
 
-@query("variant_expand", """WITH r AS (SELECT item_id AS rule_id, regexp_extract(text, '^[^ ]+ [^ ]+') || '-' || item_id AS lit FROM benchmark), f AS (
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.contains("text", F.lit("th")).alias("changed"), there_and_back("th", "⟦1⟧").alias("restored"), there_and_back("he", "an").alias("restored_plain"))
+
+
+@query("variant_expand", """WITH r AS (SELECT item_id AS rule_id, text || '-' || item_id AS lit FROM benchmark), f AS (
   SELECT rule_id, unnest([lit, replace(lit, ' ', chr(160)), replace(lit, '-', chr(173)), replace(replace(lit, ' ', chr(160)), '-', chr(173)), replace(lit, '-', chr(8209)),
     replace(replace(lit, ' ', chr(160)), '-', chr(8209))]) AS spelling FROM r)
 SELECT DISTINCT rule_id, spelling FROM f""")
 def variant_expand(spark, sf_dir):
-    rules = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.concat(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0), F.lit("-"), F.col("item_id").cast("string")).alias("literal"))
+    rules = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule_id"), F.concat("text", F.lit("-"), F.col("item_id").cast("string")).alias("literal"))
     return R.expand_variants(rules).select("rule_id", "spelling")
 
 
@@ -142,12 +145,15 @@ def variant_hits(spark, sf_dir):
     return R.literal_marks(docs, [R.Rule(1, "of the")], bounded=False).select("doc_id", "hits")
 
 
-@query("dehyphenate", "SELECT doc_id, sha256(text) AS text_sha256, len(string_split(text, 'tion')) - 1 AS n_breaks FROM documents")
+_BROKEN_SQL = "replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), ' de ', ' de -' || chr(10))"
+
+
+@query("dehyphenate", f"SELECT doc_id, sha256(regexp_replace({_BROKEN_SQL}, '([\\p{{L}}\\p{{Nd}}])[-\\x{{AD}}\\x{{2010}}\\x{{2011}}][ \\t]*\\n', '\\1', 'g')) AS text_sha256, len(string_split({_BROKEN_SQL}, '-' || chr(10))) - 1 AS n_breaks FROM documents")
 def dehyphenate_query(spark, sf_dir):
-    """Texts with a break put into each 'tion' come back whole."""
-    broken = F.replace("text", F.lit("tion"), F.lit("ti-\non"))
-    n = F.size(F.split(broken, "ti-\n", -1)) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace(dehyphenate(broken), "^on", "on"), 256).alias("text_sha256"), n.alias("n_breaks"))
+    """Texts with breaks inside words, which are joined, and hyphens of their own before a break, which stay."""
+    broken = F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit(" de "), F.lit(" de -\n"))
+    n = F.size(F.split(broken, "-\n", -1)) - 1
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(dehyphenate(broken), 256).alias("text_sha256"), n.alias("n_breaks"))
 
 
 @query("flatten_space", "SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS text_sha256 FROM documents")
@@ -174,11 +180,25 @@ SPANS_SQL = f"""{HITS_SQL}, span AS (
   SELECT doc_id, rule_id, CAST(list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * length(lit) AS INT) AS lo, length(lit) AS n FROM hit)"""
 
 
-@query("range_merge", f"""WITH {SPANS_SQL}, r AS (SELECT doc_id, lo, lo + n AS hi, max(lo + n) OVER (PARTITION BY doc_id ORDER BY lo, lo + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM span),
+@query("range_merge", f"""WITH {SPANS_SQL}, c AS (SELECT s.doc_id, greatest(lo - 3, 0) AS lo, least(lo + n + 3, length(d.text)) AS hi FROM span s JOIN documents d USING (doc_id)),
+r AS (SELECT doc_id, lo, hi, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c WHERE lo < hi),
 i AS (SELECT doc_id, lo, hi, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT doc_id, CAST(min(lo) AS INT) AS lo, CAST(max(hi) AS INT) AS hi FROM i GROUP BY doc_id, island""")
 def range_merge(spark, sf_dir):
-    return R.merge_ranges(R.spans(table(spark, sf_dir, "documents"), RULES), ["doc_id"]).select("doc_id", "lo", "hi")
+    """Hits with three characters around them, cut to their text and merged."""
+    wide = R.spans(table(spark, sf_dir, "documents"), RULES).withColumns({"lo": F.col("lo") - 3, "hi": F.col("hi") + 3})
+    return R.merge_ranges(wide, ["doc_id"]).select("doc_id", "lo", "hi")
+
+
+WORD_RULE_SQL = " OR ".join(f"regexp_matches(w, '(^|[^\\p{{L}}\\p{{Nd}}]){r.literal}([^\\p{{L}}\\p{{Nd}}]|$)')" for r in RULES if " " not in r.literal)
+
+
+@query("word_rules", f"""SELECT doc_id, count(*) AS n_words FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents)
+WHERE length(w) % 10 >= 3 AND ({WORD_RULE_SQL} OR trim(w, '.,;:()[]{{}}"''`?!') IN ('the', 'tion') OR regexp_matches(w, '[0-9]{{3}}-[0-9]{{4}}')) GROUP BY doc_id""")
+def word_rules(spark, sf_dir):
+    """Single words of enough confidence (their length stands in for it) that a rule covers, counted."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("w")).filter(F.length("w") % 10 >= 3)
+    return words.filter(R.matches_any_rule(F.col("w"), [r.literal for r in RULES], [r"[0-9]{3}-[0-9]{4}"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 RECTS_SQL = "rects(page, x0, y0, x1, y1) AS (VALUES " + ", ".join(f"({p}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for p, a, b, c, d in RECTS) + ")"
@@ -202,9 +222,28 @@ def area_partial_or_whole(spark, sf_dir):
     return _boxes(spark, sf_dir).groupBy("doc_id").agg(F.count_if("whole").alias("n_whole"), F.count(F.lit(1)).alias("n_any"))
 
 
-@query("group_lines")
+@query("area_characters", f"""WITH {RUNS_SQL}, {RECTS_SQL}, met AS (SELECT doc_id, ln, wn, r.x0 AS rx, greatest(CAST(ceil((r.x0 - x) / 5.0 - 0.5) AS INT), 0) AS lo, least(CAST(floor((r.x1 - x) / 5.0 - 0.5) AS INT) + 1, length(text)) AS hi
+FROM runs b JOIN rects r ON b.page = r.page AND x < r.x1 AND r.x0 < x + width AND y - 7.5 < r.y1 AND r.y0 < y + 2.5) SELECT doc_id, ln, wn, rx, lo, hi FROM met WHERE lo < hi""")
+def area_characters(spark, sf_dir):
+    """Characters of runs whose middle lies in an area."""
+    found = runs(table(spark, sf_dir, "documents")).alias("f")
+    areas = F.broadcast(spark.createDataFrame(RECTS, "page int, x0 double, y0 double, x1 double, y1 double")).alias("a")
+    c = lambda n: F.col(n)
+    box = (c("f.x"), c("f.y") - 7.5, c("f.x") + c("f.width"), c("f.y") + 2.5)
+    met = found.join(areas, (c("f.page") == c("a.page")) & intersects(box, tuple(c(f"a.{n}") for n in ("x0", "y0", "x1", "y1"))))
+    n = F.length("f.text")
+    lo, hi = character_range(c("f.x"), c("f.width"), n, c("a.x0"), c("a.x1"))
+    return met.select("doc_id", "ln", "wn", c("a.x0").alias("rx"), lo.alias("lo"), hi.alias("hi")).filter("lo < hi")
+
+
+@query("group_lines", f"""WITH RECURSIVE {RUNS_SQL}, seq AS (SELECT doc_id, page, ln, wn, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln, wn) AS k FROM runs
+), fold AS (
+  SELECT doc_id, page, k, y AS anchor, 0 AS line FROM seq WHERE k = 1
+  UNION ALL
+  SELECT f.doc_id, f.page, s.k, CASE WHEN abs(s.y - f.anchor) > 0.5 THEN s.y ELSE f.anchor END, CASE WHEN abs(s.y - f.anchor) > 0.5 THEN f.line + 1 ELSE f.line END FROM fold f JOIN seq s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1
+) SELECT doc_id, page, ln, wn, line FROM fold JOIN seq USING (doc_id, page, k)""")
 def group_lines(spark, sf_dir):
-    """Runs to lines by the first run's baseline; an ordered fold, tested against a plain loop."""
+    """Runs to lines by the first run's baseline: an ordered fold."""
     return C.grouped_lines(runs(table(spark, sf_dir, "documents")))
 
 
