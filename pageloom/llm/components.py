@@ -2,8 +2,9 @@
 
 ``linked`` finds links of the members of a bucket without making all pairs. Buckets with one member go in a stream of
 sorted rows, which also names a lead of each bucket, its smallest id. Every member is compared with its lead, and
-components of what is linked so far are formed. Then only members outside their lead's component are compared with the
-others of their bucket, in blocks of bounded size, if they are in different components. What a lead gathers costs its
+components of what is linked so far are formed; further leads, those that share most buckets, may follow. Then only
+members outside their first lead's component are compared with the others of their bucket, in blocks of bounded size, if
+they are in different components. What a lead gathers costs its
 size, not the square, and no link that joins two components is missed.
 """
 
@@ -106,12 +107,12 @@ def _shared(extra: list[str]):
     return run
 
 
-def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, surely: Callable[[str, str], Column] | None = None, before: Callable[[DataFrame], None] | None = None, block: int = BLOCK) -> DataFrame:
+def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, surely: Callable[[str, str], Column] | None = None, before: Callable[[DataFrame], None] | None = None, block: int = BLOCK, rounds: int = 1) -> DataFrame:
     """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...); equal rows count once.
 
     ``may_link`` is a necessary condition on two members' columns, given their aliases, and ``surely`` one on the columns
     that ``details`` gives by id, for a table of the ids that are left; ``verify`` keeps the pairs (a, b) that do link.
-    ``before`` gets the ids of shared buckets first. Links inside a
+    ``before`` gets the ids of shared buckets first. ``rounds``: leads that a bucket has, one after the other. Links inside a
     component that the leads have formed aren't all listed.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
@@ -128,10 +129,22 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     own = F.struct("id", *extra).alias("l")
     lead = F.struct(F.col("lead_id").alias("id"), *(F.col(f"lead_{c}").alias(c) for c in extra)).alias("r")
     links = written(verify(paired(shared.filter("id <> lead_id").select(own, lead).filter(may_link("l", "r")))), "links")
-    labels = components(links)
-    rest = shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = written(rest, "labelled")
-    keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("leads"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("n"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return written(rows.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+
+    rest = labelled(shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads"), F.col("lead_id").alias("first")))
+    for _ in range(rounds - 1):
+        # A further lead: the member that shares most buckets. It is compared with all that its bucket's others don't join to it.
+        often = written(rest.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "met")
+        chosen = rest.filter("not leads").join(often, "id").groupBy("key").agg(F.max(F.struct("met", "id", "label", *extra)).alias("m")).select("key", "m.*")
+        chosen = written(chosen, "leads")
+        met = rest.filter("not leads").alias("l").join(chosen.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & may_link("l", "r"))
+        links = links.union(written(verify(paired(met)), "links"))
+        flags = chosen.select("key", F.col("id").alias("_lead"))
+        rest = rest.drop("label").join(flags, "key", "left").withColumn("leads", F.col("leads") | F.coalesce(F.col("id") == F.col("_lead"), F.lit(False))).drop("_lead")
+        rest = labelled(rest)
+    keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("id") == F.col("first"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("n"))
     keys = keys.filter("x <> y").select("key", "major", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rest = written(rest.join(keys, "key"), "open-buckets")
     if details is not None:

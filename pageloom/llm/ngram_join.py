@@ -179,7 +179,7 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, log2_c
         both = near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_similar_pairs(percent), "a binary, b binary")
 
-    links = linked(members, may_link, verify, ranges, surely)
+    links = linked(members, may_link, verify, ranges, surely, rounds=2)
     labels = components(links)
     named = classes.join(labels, classes["set_id"] == labels["id"]).select("set_id", "label", "first")
     least = named.groupBy("label").agg(F.min(F.struct("first.nil", "first.doc_id")).alias("least"))
