@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .ngram_join import row_key
+from .ngram_join import row_key, similar
 from .scratch import read_table, shield, small_batches, written
 from .shingles import SLICE, mix
 
@@ -64,23 +64,51 @@ def shingle_hashes(data: np.ndarray) -> np.ndarray:
     return mix(sums)
 
 
-def line_set(form: bytes) -> np.ndarray:
-    data = code_points(form)
-    return np.unique(shingle_hashes(data)) if len(data) >= MIN_CHARS else np.frombuffer(line_id(form), np.uint64)
-
-
-def signatures(forms: list[bytes]) -> np.ndarray:
-    """One row of BINS least hashes per line; every line has SHINGLE code points at least."""
-    sizes = lengths(forms)
-    hashes = shingle_hashes(code_points(b"".join(forms)))
-    line = np.repeat(np.arange(len(forms)), sizes)[: len(hashes)]
-    ends = np.cumsum(sizes)[line]
-    whole = np.arange(len(hashes)) + SHINGLE <= ends
-    hashes, line = hashes[whole], line[whole]
-    out = np.full(len(forms) * BINS, _EMPTY, np.uint64)
+def shingle_codes(data: np.ndarray) -> np.ndarray | None:
+    """A number of the SHINGLE code points from each position on, a different one for different code points. None if
+    ``data`` has too many kinds of them for 64 bits."""
+    present = np.zeros(0x110000, bool)
+    present[data] = True
+    width = 64 // SHINGLE
+    if np.count_nonzero(present) > 1 << width:
+        return None
+    ranks = (np.cumsum(present, dtype=np.uint64) - np.uint64(1))[data]
+    codes = np.zeros(max(0, len(data) - SHINGLE + 1), np.uint64)
+    for j in range(SHINGLE):
+        codes = codes << np.uint64(width) | ranks[j : j + len(codes)]
+    return codes
+
+
+def within_lines(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``values``, one for each position of joined lines: those whose shingle ends in its line, and how many each has."""
+    line = np.repeat(np.arange(len(sizes)), sizes)[: len(values)]
+    whole = np.arange(len(values)) + SHINGLE <= np.cumsum(sizes)[line]
+    return values[whole], np.maximum(sizes - SHINGLE + 1, 0)
+
+
+def distinct(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's values in order and once each, and where each line's begin (one more than lines). Sorts ``values``."""
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[bounds[:-1][counts > 0]] = True
+    return values[new], np.concatenate(([0], np.cumsum(new)))[bounds]
+
+
+def shingled(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' shingles, line after line, and how many each line has."""
+    return within_lines(shingle_hashes(code_points(b"".join(forms))), lengths(forms))
+
+
+def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of BINS least hashes per line; every line has one shingle at least."""
+    line = np.repeat(np.arange(len(counts)), counts)
+    out = np.full(len(counts) * BINS, _EMPTY, np.uint64)
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(out, line * BINS + bins, hashes << np.uint64(32) | hashes >> np.uint64(32))
-    out = out.reshape(len(forms), BINS)
+    out = out.reshape(len(counts), BINS)
     filled = out != _EMPTY
     turn = 0
     rows, bins = np.nonzero(~filled)
@@ -92,17 +120,37 @@ def signatures(forms: list[bytes]) -> np.ndarray:
     return out
 
 
-def bands(forms: list[bytes]) -> np.ndarray:
-    values = signatures(forms).reshape(len(forms), BANDS, ROWS)
+def line_set(form: bytes) -> np.ndarray:
+    return distinct(*shingled([form]))[0]
+
+
+def band_values(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    values = signatures(hashes, counts).reshape(len(counts), BANDS, ROWS)
     weights = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
     return mix((values * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def bit_map(hashes: np.ndarray) -> np.ndarray:
-    """BITS bits that a set's hashes set, as longs."""
-    flags = np.zeros(BITS, bool)
-    flags[(hashes >> np.uint64(40)) % np.uint64(BITS)] = True
-    return np.packbits(flags).view(np.int64)
+def bands(forms: list[bytes]) -> np.ndarray:
+    return band_values(*shingled(forms))
+
+
+def bit_maps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BITS bits that each line's hashes set, a row of longs per line."""
+    flags = np.zeros((len(counts), BITS), bool)
+    flags[np.repeat(np.arange(len(counts)), counts), (hashes >> np.uint64(40)) % np.uint64(BITS)] = True
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
+def _runs(sizes: list[int]):
+    """(first, after the last) of neighbours of about SLICE bytes."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > SLICE:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if sizes:
+        yield first, len(sizes)
 
 
 def may_be_similar(x: str, y: str, percent: int = PERCENT):
@@ -200,29 +248,38 @@ def _sketches(batches):
     """Set size, bit map and bands of lines."""
     for batch in batches:
         forms = batch.column("form").to_pylist()
-        if not forms:
-            continue
-        sets = [line_set(x) for x in forms]
-        table = bands(forms).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_map(x) for x in sets], pa.list_(pa.int64())), pa.array(list(table), pa.list_(pa.int64()))], names=["id", "size", "bits", "bands"]
-        )
+        for first, last in _runs([len(x) for x in forms]):
+            hashes, bounds = distinct(*shingled(forms[first:last]))
+            counts = np.diff(bounds)
+            bits, table = bit_maps(hashes, counts), band_values(hashes, counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(first, last - first), pa.array(counts, pa.int64()), pa.array(list(bits), pa.list_(pa.int64())), pa.array(list(table), pa.list_(pa.int64()))], names=["id", "size", "bits", "bands"]
+            )
 
 
 def shingles(form: str) -> set[str]:
     return {form[i : i + SHINGLE] for i in range(len(form) - SHINGLE + 1)}
 
 
+def similar_lines(x: list[bytes], y: list[bytes], percent: int) -> list[bool]:
+    """Whether each pair of forms reaches the threshold, by their whole sets of shingles."""
+    forms = list({*x, *y})
+    codes = shingle_codes(code_points(b"".join(forms)))
+    if codes is None:
+        sets = {form: shingles(form.decode("utf-8", "surrogatepass")) for form in forms}
+        return [(100 + percent) * len(sets[a] & sets[b]) >= percent * (len(sets[a]) + len(sets[b])) for a, b in zip(x, y, strict=True)]
+    values, bounds = distinct(*within_lines(codes, lengths(forms)))
+    of = {form: values[a:b] for form, a, b in zip(forms, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
+    return [similar(of[a], of[b], percent) for a, b in zip(x, y, strict=True)]
+
+
 def _similar_lines(percent: int):
     def run(batches):
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            sets = {form: shingles(form.decode("utf-8", "surrogatepass")) for form in {*x, *y}}
-            keep = []
-            for a, b in zip(x, y, strict=True):
-                p, q = sets[a], sets[b]
-                n = len(p) + len(q)
-                keep.append((100 + percent) * min(len(p), len(q)) >= percent * n and (100 + percent) * len(p & q) >= percent * n)
+            keep: list[bool] = []
+            for first, last in _runs([len(a) + len(b) for a, b in zip(x, y, strict=True)]):
+                keep += similar_lines(x[first:last], y[first:last], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -494,3 +494,27 @@ def test_banding_finds_similar_lines(words, changes):
             x, y = line_dedup.bands([line, bytes(other)])
             found += bool((x == y).any())
     assert tried > 100 and found >= 0.98 * tried, (tried, found)
+
+
+@pytest.mark.parametrize("alphabet", ["abcd ", "aé€😀 ", "".join(map(chr, range(0x4E00, 0x4E00 + 6000)))])
+def test_similar_lines_and_sketches_count_whole_sets(alphabet):
+    """Pairs by packed code points, or by texts where a block has too many kinds of them; sketches of a block's lines one by one."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list(alphabet))
+    x, y = [], []
+    for i in range(200):
+        line = rng.choice(letters, rng.integers(20, 200)).tolist() * (2 if i % 3 else 1)
+        other = list(line)
+        for at in rng.integers(0, len(line), i % 9):
+            other[at] = str(rng.choice(letters))
+        x.append("".join(line).encode()), y.append("".join(other).encode())
+    sets = [(line_dedup.shingles(a.decode()), line_dedup.shingles(b.decode())) for a, b in zip(x, y, strict=True)]
+    expected = [10 * len(a & b) >= 8 * len(a | b) for a, b in sets]
+    assert line_dedup.similar_lines(x, y, 80) == expected and 0 < sum(expected) < 200
+    table = next(line_dedup._similar_lines(80)([pa.RecordBatch.from_pydict({"a": x, "b": y, "x": x, "y": y})]))
+    assert table.num_rows == sum(expected)
+    sketches = pa.Table.from_batches(line_dedup._sketches([pa.RecordBatch.from_pydict({"id": x, "form": x})]))
+    assert sketches["id"].to_pylist() == x and sketches["size"].to_pylist() == [len(a) for a, _ in sets]
+    alone = pa.Table.from_batches([b for form in x for b in line_dedup._sketches([pa.RecordBatch.from_pydict({"id": [form], "form": [form]})])])
+    assert sketches.equals(alone)
+    assert list(line_dedup._runs([3, line_dedup.SLICE, 1, 1])) == [(0, 1), (1, 2), (2, 4)] and list(line_dedup._runs([])) == []
