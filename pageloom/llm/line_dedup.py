@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import components, linked
 from .ngram_join import row_key, similar
 from .scratch import read_table, shield, small_batches, written
-from .shingles import SLICE, mix
+from .shingles import mix
 
 SHINGLE = 5
 MIN_CHARS = 20
@@ -32,6 +32,8 @@ BANDS, ROWS = 15, 6
 BINS = BANDS * ROWS
 BITS = 4096
 PERCENT = 80
+#: Bytes of lines that are hashed at once: arrays of a few hundred KB stay in a core's cache and are taken from the heap again.
+SLICE = 1 << 16
 #: Lines a task knows as sent: an equal one isn't signed again.
 REMEMBERED = 1 << 16
 
@@ -312,7 +314,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = Tr
         return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a binary, b binary")
 
     def surely(x: str, y: str):
-        return may_be_similar(x, y, percent) & first_shared(x, y)
+        return first_shared(x, y) & may_be_similar(x, y, percent)
 
     labels = components(linked(members, lambda x, y: F.lit(True), verify, details, surely, texts_of))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").filter("n > 1 or label is not null")
