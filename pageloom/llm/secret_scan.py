@@ -79,10 +79,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Every row of ``versions`` with the findings of its blob (an empty array if it has none)."""
+    """Every row of ``versions`` with its blob and that blob's findings (an empty array if it has none), which take the place
+    of columns of these names."""
     hits = ledger.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
     empty = F.array().cast(ledger.schema["findings"].dataType)
-    return blobs(versions).drop("text").join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
+    return blobs(versions.drop("findings")).drop("text").join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -247,6 +247,16 @@ def test_ledger_is_incremental(docs, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_findings_take_the_place_of_columns_of_their_names(spark):
+    key = "AKIA" + "Z9" * 8
+    rows = [(1, key, "own", "x"), (1, key, "own", "x"), (None, None, None, None), (2, "", "own", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, findings string, blob string")
+    got = secret_scan.findings_by_path(docs, secret_scan.scan(docs)).collect()
+    assert sorted((r.doc_id or 0, r.blob, [(f.kind, f.start, f.end) for f in r.findings]) for r in got) == sorted(
+        (r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest(), [("access", 0, 20)] if r[1] else []) for r in rows
+    )
+
+
 # Operator 6.
 
 
