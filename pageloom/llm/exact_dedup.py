@@ -2,10 +2,12 @@
 
 A text is hashed in chunks, H(chunk) = sum of byte * BASE^(bytes after it) modulo a prime, for two bases. Chunks
 combine by shifting: H(ab) = H(a) * BASE^len(b) + H(b), so chunk hashes made anywhere in any grouping give the
-fingerprint of the whole text. Rows of equal fingerprint and length are then compared byte by byte, in chunks, with the
-first row of their group; rows that differ form a new group and are compared again, until none is left. Groups are
-split over salts for the comparison, each with a copy of the first row's text, so that a text with a third of all rows
-is many tasks.
+fingerprint of the whole text. A text of several chunks is rows of chunks, which are hashed in tasks of their own and
+combined in order; a text has 2^31 bytes at most, so 32,768 hashes. Rows of equal fingerprint and length are then
+compared byte by byte, chunk with chunk, with the first row of their group; rows of which a chunk differs form a new
+group and are compared again, until none is left. Groups are split over salts for the comparison, each with a copy of
+the first row's chunks, so that a text with a third of all rows is many tasks, and no task holds more than a chunk of
+each side at a time.
 
 Nulls count as empty texts and empty texts are equal. A null doc_id sorts last. A row that repeats a doc_id with an
 equal text is a copy too: only one of them is kept. No rows give no rows.
@@ -15,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import read_table, written
+from .ngram_join import row_key
+from .scratch import read_table, small_batches, written
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 69_069_017)
@@ -51,7 +55,7 @@ def powers(n: int = CHUNK) -> list[np.ndarray]:
     return _powers[n]
 
 
-def chunk_hash(chunk: bytes | memoryview) -> tuple[int, int, int]:
+def chunk_hash(chunk) -> tuple[int, int, int]:
     """(hash by base 0, hash by base 1, bytes) of at most CHUNK bytes: sums stay below 2^55."""
     data = np.frombuffer(chunk, dtype=np.uint8).astype(np.uint64)
     n = len(data)
@@ -65,41 +69,75 @@ def combine(left: tuple[int, int, int], right: tuple[int, int, int]) -> tuple[in
     return a, b, left[2] + right[2]
 
 
-def fingerprint(data: bytes) -> tuple[int, int]:
-    """(62-bit fingerprint, bytes)."""
-    view, whole = memoryview(data), (0, 0, 0)
-    for at in range(0, len(data), CHUNK):
-        whole = combine(whole, chunk_hash(view[at : at + CHUNK]))
-    return whole[0] << 31 | whole[1], whole[2]
+def chunks(data: bytes) -> list[memoryview]:
+    """Neighbouring parts of CHUNK bytes, the last one shorter; an empty text is one empty chunk."""
+    view = memoryview(data)
+    return [view[at : at + CHUNK] for at in range(0, max(len(data), 1), CHUNK)]
 
 
-def same_bytes(a: bytes, b: bytes, step: int = CHUNK) -> bool:
-    """Chunk by chunk, ending at the first chunk that differs."""
-    if len(a) != len(b):
-        return False
-    x, y = memoryview(a), memoryview(b)
-    return all(x[i : i + step] == y[i : i + step] for i in range(0, len(a), step))
+def whole(parts) -> tuple[int, int]:
+    """(62-bit fingerprint, bytes) of the text whose chunks have the hashes ``parts``, in order."""
+    a, b, n = reduce(combine, parts, (0, 0, 0))
+    return a << 31 | b, n
 
 
-def _fingerprints(bits: int):
-    def run(batches):
-        for batch in batches:
-            prints, sizes, shas = [], [], []
-            for text in batch.column("text"):
-                data = normalised(text.as_py())
-                fp, n = fingerprint(data)
-                prints.append(fp & ((1 << bits) - 1))
-                sizes.append(n)
-                shas.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "row_key", "fp", "n_bytes", "text_sha256"])
+def _headed(batches):
+    """For each row its number of bytes and SHA-256, and its fingerprint if it is one chunk; else a row for each chunk too."""
+    for batch in batches:
+        at, fps, sizes, shas, numbers, parts = [], [], [], [], [], []
+
+        def add(i, fp, size, sha, number, part):
+            at.append(i), fps.append(fp), sizes.append(size), shas.append(sha), numbers.append(number), parts.append(part)
+
+        for i, text in enumerate(batch.column("text")):
+            data = normalised(text.as_py())
+            own = chunks(data)
+            add(i, whole([chunk_hash(data)])[0] if len(own) == 1 else None, len(data), hashlib.sha256(data).hexdigest(), None, None)
+            for number, part in enumerate(own if len(own) > 1 else ()):
+                add(i, None, None, None, number, bytes(part))
+        rows = pa.array(at, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())],
+            names=["doc_id", "row_key", "fp", "n_bytes", "text_sha256", "chunk", "bytes"],
+        )
 
-    return run
+
+def _hashed(batches):
+    """Hashes of chunks."""
+    for batch in batches:
+        found = [chunk_hash(part.as_buffer()) for part in batch.column("bytes")]
+        columns = [pa.array([h[k] for h in found], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("chunk"), *columns], names=["row_key", "chunk", "a", "b", "n"])
+
+
+def _combined(batches):
+    """Fingerprints of rows from their chunks' hashes, in order."""
+    for batch in batches:
+        fps = [whole((h["a"], h["b"], h["n"]) for h in parts.as_py())[0] for parts in batch.column("parts")]
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(fps, pa.int64())], names=["row_key", "combined"])
 
 
-def _differing(batches):
+def _cut(batches):
+    """Chunks of normalised texts, one row each."""
     for batch in batches:
-        keep = [not same_bytes(normalised(a.as_py()), normalised(b.as_py())) for a, b in zip(batch.column("text"), batch.column("rep_text"), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row_key").filter(pa.array(keep, pa.bool_()))], names=["row_key"])
+        for i, text in enumerate(batch.column("text")):
+            parts = [bytes(part) for part in chunks(normalised(text.as_py()))]
+            rows = pa.array([i] * len(parts), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("row_key", "rep_key", "salts")), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["row_key", "rep_key", "salts", "chunk", "bytes"])
+
+
+def fingerprints(rows: DataFrame, bits: int = 62) -> DataFrame:
+    """(doc_id, row_key, fp, n_bytes, text_sha256) of ``rows`` (doc_id, row_key, text)."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    headed = written(rows.mapInArrow(_headed, f"doc_id {id_type}, row_key binary, fp long, n_bytes long, text_sha256 string, chunk int, bytes binary"), "exact-heads")
+    heads = headed.filter("chunk is null").drop("chunk", "bytes")
+    # Equal rows have equal keys, and equal chunks under them.
+    parts = headed.filter("chunk is not null").select("row_key", "chunk", "bytes").repartition("row_key", "chunk")
+    hashed = parts.mapInArrow(_hashed, "row_key binary, chunk int, a long, b long, n long").distinct()
+    listed = hashed.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("chunk", "a", "b", "n"))).alias("parts"))
+    combined = written(listed.mapInArrow(_combined, "row_key binary, combined long"), "exact-combined")
+    long = heads.filter("fp is null").join(combined, "row_key").withColumn("fp", F.col("combined")).select(*heads.columns)
+    return heads.filter("fp is not null").union(long).withColumn("fp", F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)))
 
 
 def exact_groups(docs: DataFrame, *, bits: int = 62, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -107,9 +145,9 @@ def exact_groups(docs: DataFrame, *, bits: int = 62, rows_per_salt: int = ROWS_P
 
     ``bits`` keeps so many bits of a fingerprint (tests lower it to force collisions).
     """
-    id_type = docs.schema["doc_id"].dataType
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    prints = written(rows.mapInArrow(_fingerprints(bits), f"doc_id {id_type.simpleString()}, row_key long, fp long, n_bytes long, text_sha256 string"), "exact-prints")
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("row_key"))
+    prints = written(fingerprints(rows, bits), "exact-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key"))
     classes, todo, turn = prints.withColumn("turn", F.lit(0)), prints, 0
     while True:
@@ -120,12 +158,14 @@ def exact_groups(docs: DataFrame, *, bits: int = 62, rows_per_salt: int = ROWS_P
             .agg(F.max("n").alias("n"))
             .withColumn("salts", F.ceil(F.col("n") / rows_per_salt).cast("int"))
         )
-        salt = F.when(F.col("row_key") == F.col("rep_key"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64(F.col("row_key")), F.col("salts")).cast("int")))
-        texts = rows.select("row_key", "text").join(members, "row_key")
-        dealt = texts.withColumn("salt", F.explode(salt)).select("rep_key", "salt", "row_key", "text")
-        order = Window.partitionBy("rep_key", "salt").orderBy((F.col("row_key") != F.col("rep_key")).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-        pairs = dealt.withColumn("rep_text", F.first("text").over(order)).filter("row_key != rep_key").select("row_key", "text", "rep_text")
-        differ = written(pairs.mapInArrow(_differing, "row_key long").distinct(), "exact-differ")
+        texts = rows.select("row_key", "text").join(members, "row_key").select("row_key", "rep_key", "salts", "text")
+        parts = texts.mapInArrow(_cut, "row_key binary, rep_key binary, salts int, chunk int, bytes binary")
+        leads = F.col("row_key") == F.col("rep_key")
+        salt = F.when(leads, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row_key"), F.col("salts")).cast("int")))
+        dealt = parts.withColumn("salt", F.explode(salt)).select("rep_key", "salt", "chunk", "row_key", "bytes")
+        order = Window.partitionBy("rep_key", "salt", "chunk").orderBy((~leads).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+        differ = dealt.withColumn("lead", F.first("bytes").over(order)).filter(~leads & (F.col("bytes") != F.col("lead")))
+        differ = written(differ.select("row_key").distinct(), "exact-differ")
         if differ.isEmpty():
             break
         turn += 1

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.sources.scratch import dropped, setting, written
+from pageloom.sources.scratch import dropped, scratch_root, setting, written
 
-__all__ = ["dropped", "partitions", "read_table", "setting", "shield", "small_batches", "streamed", "written"]
+__all__ = ["dropped", "partitions", "read_table", "scratch_root", "setting", "shield", "small_batches", "streamed", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,9 +1,10 @@
 """Secret scans by an incremental blob ledger (operator 4). DataFrame functions only.
 
 A blob is one distinct content, named by its SHA-256; every historical version of a path is a row that names its blob.
-The ledger holds one row per (blob, rule version) that has been scanned, with its findings. A run scans only the pairs
-that the ledger lacks, once per blob however many paths hold it, and joins the findings back to all paths. Scanned pairs
-without findings are in the ledger too, so they aren't scanned again.
+The ledger is a Parquet folder of one row per (blob, rule version) that has been scanned, with its findings. A run scans
+only the pairs that the ledger lacks, once per blob however many paths hold it, appends them, and joins the findings back
+to all paths. Scanned pairs without findings are in the ledger too, so they aren't scanned again. Two runs that append at
+once may both scan a pair; their rows are equal and count once.
 
 Spans are found with split and regexp_extract_all: the pieces between matches and the matches alternate, so running sums
 of their lengths are the positions, in code points. Nulls count as empty texts; empty texts have no spans. Repeated rows
@@ -12,12 +13,13 @@ are paths of one blob. No rows give no rows.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import read_table, written
+from .scratch import read_table, scratch_root
 
 #: Kind, pattern, group whose length counts (0: the match), least length. The first three are the base.
 RULES = (
@@ -29,6 +31,9 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 RULE_VERSION = "1"
+LEDGER = "blob string, rule_version string, findings array<struct<start:int,ord:int,end:int,kind:string>>"
+#: Setting that names the ledger's folder. Unset: the query begins a ledger of its own.
+LEDGER_SETTING = "pageloom.secrets.ledger"
 
 #: What a text must hold for a kind to be looked for at all: implied by its pattern, and cheap to search.
 HINTS = {"hex": r"[0-9a-f]{32}"}
@@ -66,9 +71,12 @@ def blobs(versions: DataFrame) -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """New ledger rows (blob, rule_version, findings) for the pairs that ``ledger`` lacks."""
-    named = blobs(versions.select("doc_id", "text")).withColumn("row_key", F.xxhash64("doc_id", "blob"))
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, path: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """New ledger rows (blob, rule_version, findings) for the pairs that ``ledger`` lacks.
+
+    ``path``: the columns that name a row of ``versions`` beside its text, such as a file's path and version.
+    """
+    named = blobs(versions.select(*path, "text")).withColumn("row_key", F.xxhash64(*path, "blob"))
     chosen = named.groupBy("blob").agg(F.min("row_key").alias("row_key"))
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
@@ -78,18 +86,32 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str
     return unseen.select("blob", F.lit(rule_version).alias("rule_version"), F.array_sort(each).alias("findings"))
 
 
+def ledger_at(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger in ``folder``, None if there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(LEDGER).parquet(folder) if there else None
+
+
+def record(versions: DataFrame, folder: str, rule_version: str = RULE_VERSION, path: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Scan what the ledger in ``folder`` lacks, append it there, and return the ledger."""
+    spark = versions.sparkSession
+    scan(versions, ledger_at(spark, folder), rule_version, path).write.mode("append").parquet(folder)
+    return ledger_at(spark, folder)
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """Every row of ``versions`` with its blob and that blob's findings (an empty array if it has none), which take the place
     of columns of these names."""
-    hits = ledger.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
+    hits = ledger.filter((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings").dropDuplicates(["blob"])
     empty = F.array().cast(ledger.schema["findings"].dataType)
     return blobs(versions.drop("findings")).drop("text").join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = written(scan(docs), "secret-ledger")
-    found = findings_by_path(docs, ledger)
+    folder = spark.conf.get(LEDGER_SETTING, None) or f"{scratch_root(spark)}/secret-ledger-{uuid.uuid4().hex[:12]}"
+    found = findings_by_path(docs, record(docs, folder))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",

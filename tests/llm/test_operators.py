@@ -76,7 +76,7 @@ def test_exact_groups_survive_collisions(docs, odd, nothing):
 
 def test_fingerprints_compose():
     data = np.random.default_rng(0).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
-    whole = exact_dedup.fingerprint(data)
+    whole = exact_dedup.whole(map(exact_dedup.chunk_hash, exact_dedup.chunks(data)))
     parts = [exact_dedup.chunk_hash(data[i : i + 30_000]) for i in range(0, len(data), 30_000)]
     left = parts[0]
     for p in parts[1:]:
@@ -87,6 +87,20 @@ def test_fingerprints_compose():
     assert whole == (left[0] << 31 | left[1], left[2]) == (right[0] << 31 | right[1], right[2])
 
 
+def test_long_texts_are_hashed_and_compared_by_chunks(spark):
+    """Texts of several chunks that differ in one byte only, in a chunk's edge, in their space, or not at all; repeated rows, null ids."""
+    n = exact_dedup.CHUNK
+    base = ("abcdefg " * (n // 2))[: 3 * n + 17].rstrip() + "."
+    texts = [base, base[:n] + "#" + base[n + 1 :], base[: n - 1] + "#" + base[n:], base[:-1] + "#", base.replace(" ", " \t\n", 9), base[:n], base[: 2 * n], base, "é" * n, base]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, base), (None, None)]
+    want = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bits in (62, 1):
+        got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_groups(docs, bits=bits, rows_per_salt=2).collect())
+        least = lambda t: min((i for (i, _), w in zip(rows, want, strict=True) if w == t and i is not None), default=None)
+        assert got == collections.Counter((i, least(w), want.count(w), hashlib.sha256(w.encode()).hexdigest()) for (i, _), w in zip(rows, want, strict=True))
+
+
 # Operator 1.
 
 
@@ -247,6 +261,52 @@ def test_ledger_is_incremental(docs, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_ledger_in_a_folder_takes_only_unseen_pairs(spark, tmp_path):
+    """Versions of paths, with null and repeated names; the second run adds two blobs, the third none, a new rule version all."""
+    key, folder = "AKIA" + "Q7" * 8, str(tmp_path / "ledger")
+    first = [("a.env", 1, key), ("a.env", 1, key), ("b.env", 1, key), (None, None, "clean"), ("c", 1, None), ("c", 2, "")]
+    later = first + [("a.env", 2, "token: abcdefgh"), ("c", 3, "x " + key)]
+    kind = "path string, version int, text string"
+    scanned = []
+    for rows, rule_version in ((first, "1"), (later, "1"), (later, "1"), (later, "2")):
+        ledger = secret_scan.record(spark.createDataFrame(rows, kind), folder, rule_version, ("path", "version"))
+        scanned.append(ledger.count())
+    assert scanned == [3, 5, 5, 10]
+    ledger.filter("rule_version = '1'").write.mode("append").parquet(str(tmp_path / "twice"))
+    ledger.filter("rule_version = '1'").write.mode("append").parquet(str(tmp_path / "twice"))
+    for folder in (folder, str(tmp_path / "twice")):
+        got = secret_scan.findings_by_path(spark.createDataFrame(later, kind), secret_scan.ledger_at(spark, folder)).collect()
+        told = [(r.path, r.version, [(f.kind, f.start, f.end) for f in r.findings]) for r in got]
+        want = [(p, v, [("access", t.index("AKIA"), t.index("AKIA") + 20)] if t and "AKIA" in t else [("assign", 0, 15)] if t and "token" in t else []) for p, v, t in later]
+        assert sorted(told, key=repr) == sorted(want, key=repr)
+    assert secret_scan.record(spark.createDataFrame([], kind), str(tmp_path / "none"), path=("path", "version")).count() == 0
+
+
+def test_secret_query_goes_on_with_its_ledger(spark, small, tmp_path):
+    spark.conf.set(secret_scan.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        runs = [sorted(map(tuple, QUERIES["op4_secret_scan"](spark, small).collect())) for _ in range(2)]
+        n = spark.read.parquet(str(tmp_path / "ledger")).count()
+    finally:
+        spark.conf.unset(secret_scan.LEDGER_SETTING)
+    assert runs[0] == runs[1] and n == spark.read.parquet(f"{small}/documents.parquet").selectExpr("coalesce(text, '') t").distinct().count()
+
+
+def test_base_spans_by_plain_search(docs, spark):
+    """The contract's rules by ``re``, one hit after the other, on texts with near misses."""
+    import itertools
+
+    assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    names, seams, values = ("PassWord", "api_key", "APIKEY", "tokens", "secret"), ("=", " : ", "\"='", "\n=", "=="), ("1234567", "12345678", "é2345678", "AKIA" + "X" * 12, "AKIA" + "x" * 20, "0f" * 15, "0f" * 16 + "G")
+    texts = TEXTS + [f"é {a}{b}{c} {c}" for a, b, c in itertools.product(names, seams, values)] + ["token=secret=abcdefgh token='x' " * 40]
+    got = rows_of(secret_scan.findings_by_path(d := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret_scan.scan(d)))
+    for i, t in enumerate(texts):
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(t or "") if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 32]
+        assert [(f.start, f.ord, f.end) for f in got[i]["findings"] if f.ord < 3] == sorted(want), t
+
+
 def test_findings_take_the_place_of_columns_of_their_names(spark):
     key = "AKIA" + "Z9" * 8
     rows = [(1, key, "own", "x"), (1, key, "own", "x"), (None, None, None, None), (2, "", "own", None)]
