@@ -204,16 +204,16 @@ def _found(batches):
 
 
 def _banded(batches):
-    """(key, id) of each band of the lines of MIN_CHARS characters at least; a task sends a line again only if it has met many others."""
+    """(id, keys): a line's bands, of the lines of MIN_CHARS characters at least; a task sends a line again only if it has met many others."""
     seen: set[bytes] = set()
     forms: list[bytes] = []
     names: list[bytes] = []
     held = 0
 
     def out():
-        table = bands(forms)
-        ids = pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(forms)), BANDS)))
-        return pa.RecordBatch.from_arrays([pa.array(table.astype(np.int64).ravel()), ids], names=["key", "id"])
+        ends = pa.array(np.arange(len(forms) + 1, dtype=np.int32) * BANDS)
+        keys = pa.ListArray.from_arrays(ends, pa.array(bands(forms).astype(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), keys], names=["id", "keys"])
 
     for batch in batches:
         for text in batch.column("text"):
@@ -254,9 +254,8 @@ def _sketches(batches):
             hashes, bounds = distinct(*shingled(forms[first:last]))
             counts = np.diff(bounds)
             bits, table = bit_maps(hashes, counts), band_values(hashes, counts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(first, last - first), pa.array(counts, pa.int64()), pa.array(list(bits), pa.list_(pa.int64())), pa.array(list(table), pa.list_(pa.int64()))], names=["id", "size", "bits", "bands"]
-            )
+            listed = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bits, table)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), pa.array(counts, pa.int64()), *listed], names=["id", "size", "bits", "bands"])
 
 
 def shingles(form: str) -> set[str]:
@@ -295,7 +294,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = Tr
     found = written(rows.mapInArrow(_found, f"doc_id {id_type}, row_key binary, place int, line binary"), "line-places")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
     firsts = written(found.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    members = rows.select("text").mapInArrow(_banded, "key long, id binary")
+    members = rows.select("text").mapInArrow(_banded, "id binary, keys array<long>").select(F.explode("keys").alias("key"), "id")
     forms: list[DataFrame] = []
 
     def texts_of(ids: DataFrame) -> None:
