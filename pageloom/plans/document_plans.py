@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.dates import document_date, xmp_date
 from pageloom.functions.geometry import MODES, RGB_MODES, blend, blend_rgb, rotation
 from pageloom.functions.labels import format_label
-from pageloom.operators.graph import chain_ends, reachable
+from pageloom.operators.graph import chain_ends, reachable, tree_entries as flattened
 from pageloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -49,17 +49,17 @@ def format_label_query(spark, sf_dir):
 @query("page_label_asof", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS page FROM events),
 r AS (SELECT user_id, page AS from_page, CASE event_type WHEN 'signup' THEN 'r' ELSE 'A' END AS style, CAST(substr(props, 7, length(props) - 7) AS BIGINT) AS start FROM p WHERE event_type IN ('signup', 'purchase')),
 j AS (SELECT p.event_id, p.page, r.from_page, r.style, r.start FROM p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.page >= r.from_page)
-SELECT event_id, CASE WHEN from_page IS NULL THEN CAST(page + 1 AS VARCHAR) ELSE {label_sql('style', '(start + page - from_page)')} END AS label FROM j""")
+SELECT event_id, CASE WHEN from_page IS NULL THEN CAST(page + 1 AS VARCHAR) ELSE CASE style WHEN 'A' THEN 'A-' ELSE '' END || {label_sql('style', '(start + page - from_page)')} END AS label FROM j""")
 def page_label_asof(spark, sf_dir):
-    """Each page takes the last label range that starts at or before it: the range is carried forward by a window."""
+    """Each page takes the last label range that starts at or before it, its prefix first: the range is carried forward by a window."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pages = table(spark, sf_dir, "events").withColumn("page", (F.row_number().over(order) - 1).cast("long"))
     begins = F.col("event_type").isin("signup", "purchase")
     style = F.when(F.col("event_type") == "signup", "r").otherwise("A")
     start = F.get_json_object("props", "$.k").cast("long")
-    last = F.last(F.when(begins, F.struct(F.col("page").alias("at"), style.alias("style"), start.alias("start"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(begins, F.struct(F.col("page").alias("at"), style.alias("style"), start.alias("start"), F.when(style == "A", "A-").otherwise("").alias("prefix"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = pages.withColumn("r", last)
-    label = F.when(F.col("r").isNull(), (F.col("page") + 1).cast("string")).otherwise(format_label(F.col("r.style"), F.col("r.start") + F.col("page") - F.col("r.at")))
+    label = F.when(F.col("r").isNull(), (F.col("page") + 1).cast("string")).otherwise(F.concat("r.prefix", format_label(F.col("r.style"), F.col("r.start") + F.col("page") - F.col("r.at"))))
     return rows.select("event_id", label.alias("label"))
 
 
@@ -420,3 +420,12 @@ def resolve_references(spark, sf_dir):
     links = orders.select(F.col("o_orderkey").alias("src"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderkey") - 4 * (F.col("o_custkey") % 5)).alias("dst"))
     ends = chain_ends(links, 32).join(orders.select(F.col("o_orderkey").alias("end"), F.col("o_orderpriority").alias("value")), "end", "left")
     return ends.select(F.col("src").alias("o_orderkey"), "value", F.coalesce("steps", F.lit(-1)).alias("steps"))
+
+
+@query("number_tree", """WITH RECURSIVE down AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey < 3 UNION ALL SELECT p.p_partkey, depth + 1 FROM down JOIN part p ON p.p_partkey // 3 = node WHERE p.p_partkey >= 3 AND depth < 32)
+SELECT node, p_size AS key, p_name AS value, CAST(depth AS INT) AS depth FROM down JOIN part ON p_partkey = node WHERE p_size % 10 > 0""")
+def number_tree(spark, sf_dir):
+    """A tree of numbers, each node the parent of three, flattened level by level; keys that aren't whole are passed over."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") % 10 > 0, F.col("p_size")).alias("key"), F.col("p_name").alias("value"))
+    kids = parts.filter("node >= 3").select(F.floor(F.col("node") / 3).cast("long").alias("src"), F.col("node").alias("dst"))
+    return flattened(parts, kids, parts.filter("node < 3").select("node")).filter("key is not null").select("node", "key", "value", "depth")

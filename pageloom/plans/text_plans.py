@@ -10,6 +10,7 @@ from pageloom.functions.geometry import character_range, contains, intersects
 from pageloom.functions.text import dehyphenate, flatten_space
 from pageloom.operators import chains as C
 from pageloom.operators import redact as R
+from pageloom.operators.spans import apply_splices, merge_spans
 from pageloom.sources.tables import RUNS_SQL, lines, runs, table
 
 QUERIES: dict = {}
@@ -374,3 +375,27 @@ def decode_text_strings(spark, sf_dir):
     narrow = F.decode(F.when(marked, F.unhex(F.lit(""))).otherwise(F.col("raw")), "ISO-8859-1")
     broad = F.decode(F.when(marked, F.expr("substring(raw, 3)")).otherwise(F.unhex(F.lit(""))), "UTF-16BE")
     return docs.withColumn("raw", raw).select("doc_id", F.sha2(F.when(marked, broad).otherwise(narrow), 256).alias("text_sha256"))
+
+
+@query("merge_spans", """WITH s AS (SELECT conv_id, turn, text, role IN ('user', 'system') AS plain, length(text) % 3 = 0 AS inserted, CASE WHEN turn % 5 = 4 THEN 1.0 ELSE 0.0 END AS gap FROM conversations),
+m AS (SELECT *, lag(plain) OVER w AS p, lag(inserted) OVER w AS i, lag(gap) OVER w AS g FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+n AS (SELECT *, sum(CASE WHEN p = plain AND i = inserted AND g = 0 AND gap = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM m)
+SELECT conv_id, min(turn) AS ord, CAST(count(*) AS INT) AS n_spans, sha256(string_agg(text, '' ORDER BY turn)) AS text_sha256 FROM n GROUP BY conv_id, part""")
+def merge_spans_query(spark, sf_dir):
+    """Turns as spans: a role gives the style, a text's length whether it was inserted, every fifth turn has a gap before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text", F.col("role").isin("user", "system").alias("style"), (F.length("text") % 3 == 0).alias("inserted"), F.when(F.col("turn") % 5 == 4, 1.0).otherwise(0.0).alias("gap"), F.lit(False).alias("line_break"))
+    return merge_spans(turns, ["conv_id"]).select("conv_id", "ord", "n_spans", F.sha2("text", 256).alias("text_sha256"))
+
+
+_REGULAR_SQL = "[^\\x00\\t\\n\\f\\r ()<>\\[\\]{}/%\\x01\\x02]"
+
+
+@query("apply_splices", f"""WITH m AS (SELECT doc_id, replace(replace(text, 'an', chr(1) || 'X' || chr(2)), chr(2) || chr(1), ' ') AS t FROM documents)
+SELECT doc_id, sha256(translate(regexp_replace(regexp_replace(t, '({_REGULAR_SQL})\\x01', '\\1 ', 'g'), '\\x02({_REGULAR_SQL})', ' \\1', 'g'), chr(1) || chr(2), '')) AS text_sha256 FROM m""")
+def apply_splices_query(spark, sf_dir):
+    """Every hit of a literal, in words too, as an ordered rewrite of its text that keeps tokens apart."""
+    ends = F.transform(F.split("text", "an", -1), lambda p: F.length(p))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    places = F.aggregate(F.slice(ends, F.lit(1), F.size(ends) - 1), start, lambda acc, n: F.struct((acc["at"] + n + 2).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")))["out"]
+    splices = F.transform(places, lambda lo: F.struct(lo.alias("lo"), (lo + 2).alias("hi"), F.lit("X").alias("new")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(apply_splices(F.col("text"), splices), 256).alias("text_sha256"))

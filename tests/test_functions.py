@@ -7,8 +7,9 @@ from pageloom.functions.geometry import blend_rgb
 from pageloom.functions.labels import format_label
 from pageloom.functions.text import anywhere_hits, bounded_hits, bounded_spans, dehyphenate, needs_space, replace_bounded
 from pageloom.operators.chains import grouped_lines
-from pageloom.operators.graph import chain_ends, reachable
+from pageloom.operators.graph import chain_ends, reachable, tree_entries
 from pageloom.operators.redact import expand_variants, matches_any_rule, merge_ranges
+from pageloom.operators.spans import apply_splices, merge_spans
 
 BOUNDED = [
     ("Frau Keller, Ärztin", "Keller", 1), ("Kellerei am Hang", "Keller", 0), ("Keller", "Keller", 1), ("(Keller)", "Keller", 1), ("Keller/Keller", "Keller", 2), ("Weinkeller Keller", "Keller", 1),
@@ -107,3 +108,30 @@ def test_lines_keep_the_first_baseline(spark):
 def test_a_cycle_ends(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     assert {r.node for r in reachable(edges, spark.createDataFrame([("a",)], "node string")).collect()} == {"a", "b", "c"}
+
+
+def test_splices_keep_tokens_apart(spark):
+    cases = [
+        ("ab cd", [(3, 5, "X")], "ab X"), ("abcd", [(1, 3, "X")], "a X d"), ("a(b)c", [(2, 3, "X")], "a(X)c"), ("abcd", [(1, 3, "")], "a d"), ("abcd", [(0, 4, "")], ""), ("abcd", [(2, 4, "Y"), (0, 2, "X")], "X Y"),
+        ("abcd", [(0, 3, "X"), (2, 4, "Y")], None), ("abcd", [(2, 5, "X")], None), ("abcd", [(3, 2, "X")], None), ("abcd", [], "abcd"), ("", [], ""), ("a b", [(1, 1, "/N")], "a/N b"), (None, [(0, 1, "X")], None),
+    ]
+    rows = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(cases)], "i int, t string, s array<struct<lo:int,hi:int,new:string>>")
+    got = {r.i: r.out for r in rows.select("i", apply_splices(F.col("t"), F.col("s")).alias("out")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_spans_of_one_style_merge(spark):
+    rows = [(1, 0, "a", "x", False, 0.0, False), (1, 1, "b", "x", False, 0.0, False), (1, 2, "c", "x", True, 0.0, False), (1, 3, None, "x", True, 0.0, False), (1, 4, "e", "y", True, 0.0, False), (1, 5, "f", "y", True, 2.0, False), (1, 6, "g", "y", True, 0.0, False)]
+    rows += [(2, 0, "h", "y", True, 0.0, True), (2, 1, "i", "y", True, 0.0, False), (None, 0, "j", None, False, None, None), (None, 1, "k", None, False, None, None)]
+    spans = spark.createDataFrame(rows, "doc int, ord int, text string, style string, inserted boolean, gap double, line_break boolean")
+    got = [(r.doc, r.ord, r.text) for r in merge_spans(spans, ["doc"]).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 0, "ab"), (1, 2, "c"), (1, 4, "e"), (1, 5, "f"), (1, 6, "g"), (2, 0, "h"), (2, 1, "i"), (None, 0, "jk")], key=repr)
+
+
+def test_trees_are_walked_to_a_limit(spark):
+    nodes = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "node int, value string")
+    kids = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (3, 1), (2, 9), (4, 5), (None, 5)], "src int, dst int")
+    roots = spark.createDataFrame([(0,), (None,)], "node int")
+    got = [(r.node, r.value, r.depth) for r in tree_entries(nodes, kids, roots, 4).collect()]
+    assert sorted(got) == [(0, "v0", 0), (1, "v1", 1), (1, "v1", 3), (2, "v2", 1), (3, "v3", 2), (3, "v3", 4)]
+    assert tree_entries(nodes, kids, roots.filter("false")).count() == 0
