@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import needs_space
+from pageloom.functions.text import HYPHENS, needs_space
 
 
 def chains(runs: DataFrame) -> DataFrame:
@@ -25,6 +25,28 @@ def chains(runs: DataFrame) -> DataFrame:
     return out.drop("new").withColumn("hi", hi).withColumn("lo", F.col("hi") - F.length("text"))
 
 
+def hyphenated_chains(runs: DataFrame) -> DataFrame:
+    """``chains`` in which a word that a hyphen breaks goes on in the next line: the hyphen leaves the chain's text.
+
+    The chain must end in a letter or digit and a hyphen, which may be a run of its own; the next run begins with one and
+    lies lower, by two and a half of the size at most. A run's ``cut`` is how many characters it gave up: lo and hi are
+    places of what is left of it.
+    """
+    page = Window.partitionBy("doc_id", "page").orderBy("ln", "wn")
+    plain = chains(runs).withColumn("starts", F.coalesce(F.lag("chain").over(page) != F.col("chain"), F.lit(True)))
+    text, y, size = (F.lag(c).over(page) for c in ("text", "y", "size"))
+    size = F.when(size > 0, size).otherwise(F.col("size"))
+    alone = text.rlike(f"^[{HYPHENS}]$") & ~F.lag("starts").over(page) & (F.lag("sep").over(page) == "") & F.lag("text", 2).over(page).rlike(r"[\p{L}\p{Nd}]\z")
+    goes_on = (text.rlike(rf"[\p{{L}}\p{{Nd}}][{HYPHENS}]\z") | alone) & F.col("text").rlike(r"^[\p{L}\p{Nd}]") & (F.col("y") > y) & (F.col("y") - y <= 2.5 * size)
+    out = plain.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
+    out = out.withColumns({"cut": F.coalesce(F.lead("goes_on").over(page), F.lit(False)).cast("int"), "sep": F.when(F.col("goes_on"), F.lit("")).otherwise(F.col("sep"))})
+    out = out.withColumn("text", F.substring("text", F.lit(1), F.length("text") - F.col("cut")))
+    out = out.withColumn("chain", F.sum((F.col("starts") & ~F.col("goes_on")).cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("doc_id", "page", "chain").orderBy("ln", "wn").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("hi", F.sum(F.length("sep") + F.length("text")).over(inside))
+    return out.drop("starts", "goes_on").withColumn("lo", F.col("hi") - F.length("text"))
+
+
 def chain_texts(chained: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("ln", "wn", F.concat("sep", "text").alias("part"))))
     return chained.groupBy("doc_id", "page", "chain").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))

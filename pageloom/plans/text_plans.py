@@ -399,3 +399,24 @@ def apply_splices_query(spark, sf_dir):
     places = F.aggregate(F.slice(ends, F.lit(1), F.size(ends) - 1), start, lambda acc, n: F.struct((acc["at"] + n + 2).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")))["out"]
     splices = F.transform(places, lambda lo: F.struct(lo.alias("lo"), (lo + 2).alias("hi"), F.lit("X").alias("new")))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(apply_splices(F.col("text"), splices), 256).alias("text_sha256"))
+
+
+_HYPHENS_SQL = "[-\\x{AD}\\x{2010}\\x{2011}]"
+
+
+@query("hyphenated_chains", f"""WITH broken AS (SELECT doc_id, replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), 'ing ', 'i - ' || chr(10) || 'ng ') AS text FROM documents), {CHAINS_SQL.replace("FROM documents", "FROM broken")}, t AS (
+  SELECT c.*, k.y, lag(c.text) OVER w AS pt, lag(c.text, 2) OVER w AS ptt, lag(k.y) OVER w AS py, lag(c.sep) OVER w AS psep, coalesce(lag(c.chain) OVER w <> c.chain, true) AS starts
+  FROM chained c JOIN runs k USING (doc_id, page, ln, wn) WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
+), g AS (
+  SELECT *, coalesce((regexp_matches(pt, '[\\p{{L}}\\p{{Nd}}]{_HYPHENS_SQL}$') OR (regexp_matches(pt, '^{_HYPHENS_SQL}$') AND NOT lag(starts) OVER w AND psep = '' AND regexp_matches(ptt, '[\\p{{L}}\\p{{Nd}}]$')))
+    AND regexp_matches(text, '^[\\p{{L}}\\p{{Nd}}]') AND y > py AND y - py <= 25.0, false) AS goes_on FROM t WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
+), h AS (
+  SELECT doc_id, page, ln, wn, CASE WHEN goes_on THEN '' ELSE sep END || CASE WHEN coalesce(lead(goes_on) OVER w, false) THEN text[:-2] ELSE text END AS part, coalesce(lead(goes_on) OVER w, false) AS gave,
+         sum(CASE WHEN starts AND NOT goes_on THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ln, wn ROWS UNBOUNDED PRECEDING) AS chain FROM g WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
+) SELECT doc_id, page, CAST(chain AS BIGINT) AS chain, string_agg(part, '' ORDER BY ln, wn) AS text, count(*) FILTER (gave) AS n_joined FROM h GROUP BY doc_id, page, chain""")
+def hyphenated_chains(spark, sf_dir):
+    """Chains of texts whose words are broken over lines, the hyphen in its word's run or in one of its own."""
+    broken = F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit("ing "), F.lit("i - \nng "))
+    chained = C.hyphenated_chains(runs(table(spark, sf_dir, "documents").select("doc_id", broken.alias("text"))))
+    joined = chained.groupBy("doc_id", "page", "chain").agg(F.sum("cut").alias("n_joined"))
+    return C.chain_texts(chained).join(joined, ["doc_id", "page", "chain"])

@@ -6,7 +6,7 @@ from pageloom.functions.dates import document_date, xmp_date
 from pageloom.functions.geometry import blend_rgb
 from pageloom.functions.labels import format_label
 from pageloom.functions.text import anywhere_hits, bounded_hits, bounded_spans, dehyphenate, needs_space, replace_bounded
-from pageloom.operators.chains import grouped_lines
+from pageloom.operators.chains import chain_texts, grouped_lines, hyphenated_chains
 from pageloom.operators.graph import chain_ends, reachable, tree_entries
 from pageloom.operators.redact import expand_variants, matches_any_rule, merge_ranges
 from pageloom.operators.spans import apply_splices, merge_spans
@@ -135,3 +135,19 @@ def test_trees_are_walked_to_a_limit(spark):
     got = [(r.node, r.value, r.depth) for r in tree_entries(nodes, kids, roots, 4).collect()]
     assert sorted(got) == [(0, "v0", 0), (1, "v1", 1), (1, "v1", 3), (2, "v2", 1), (3, "v3", 2), (3, "v3", 4)]
     assert tree_entries(nodes, kids, roots.filter("false")).count() == 0
+
+
+def test_hyphenated_words_go_on_in_the_next_line(spark):
+    def page_of(doc, *found):  # (text, x, y) in order
+        return [(doc, 0, i, 0, t, float(x), float(y), 5.0 * len(t), 10.0, 5.0) for i, (t, x, y) in enumerate(found)]
+
+    rows = page_of(1, ("gar-", 0, 0), ("den", 0, 14), ("wall", 20, 14)) + page_of(2, ("gar", 0, 0), ("-", 15, 0), ("den", 0, 14)) + page_of(3, ("gar-", 0, 0), ("den", 0, 26)) + page_of(4, ("gar-", 0, 14), ("den", 0, 0))
+    rows += page_of(5, ("4-", 0, 0), ("2", 0, 14)) + page_of(6, ("gar -", 0, 0), ("den", 0, 14)) + page_of(7, ("gar-", 0, 0), ("(den", 0, 14)) + page_of(8, ("-", 0, 0), ("den", 0, 14)) + page_of(9, ("a\u00ad", 0, 0), ("b\u2010", 0, 14), ("c", 0, 28))
+    rows += page_of(10, ("gar", 0, 0), ("-", 25, 0), ("den", 0, 14))
+    runs = spark.createDataFrame(rows, "doc_id int, page int, ln int, wn int, text string, x double, y double, width double, size double, space_w double")
+    chained = hyphenated_chains(runs)
+    got = {}
+    for r in sorted(chain_texts(chained).collect(), key=lambda r: r.chain):
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {1: ["garden wall"], 2: ["garden"], 3: ["gar-", "den"], 4: ["gar-", "den"], 5: ["42"], 6: ["gar -", "den"], 7: ["gar-", "(den"], 8: ["-", "den"], 9: ["abc"], 10: ["gar -", "den"]}
+    assert [(r.lo, r.hi, r.cut) for r in sorted(chained.filter("doc_id = 2").collect(), key=lambda r: r.ln)] == [(0, 3, 0), (3, 3, 1), (3, 6, 0)]
