@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import let
+from pageloom.functions.folds import let
 
 Box = tuple[Column, Column, Column, Column]
 

@@ -1,66 +1,140 @@
-"""Runs to lines, chains and paragraphs."""
+"""Runs to chains, lines and paragraphs, inside the row of their page: arrays in, arrays out, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.folds import bisect, heads_where, let, runs_at, scan
 from pageloom.functions.text import HYPHENS, needs_space
 
+#: Fixed values, in sizes of type: how far off the baseline, back and ahead of its end a chain goes on; how far down a broken word does.
+OFF_BASELINE, BACK, AHEAD, DOWN = 0.3, 0.5, 2.5, 2.5
+#: How far baselines of one line, left edges and steps of one paragraph may differ; the least step.
+SAME_LINE, SAME_EDGE, SAME_STEP, SAME_SIZE, LEAST_STEP = 0.5, 0.5, 0.5, 0.01, 0.1
 
-def chains(runs: DataFrame) -> DataFrame:
-    """``runs`` with chain (number in the page), sep ('' or ' ') and lo, hi in the chain's text.
+CHAINED = "struct<ln:int,wn:int,text:string,sep:string,chain:bigint,lo:int,hi:int,cut:int,joined:boolean,begins:boolean>"
+_WORD, _HYPHEN = r"[\p{L}\p{Nd}]", f"[{HYPHENS}]"
 
-    A chain ends where the next run is off the baseline by over 0.3 of the size, back by over half of it or ahead by over
-    two and a half of it.
-    """
-    page = Window.partitionBy("doc_id", "page").orderBy("ln", "wn")
-    end, y, text = (F.lag(c).over(page) for c in (F.col("x") + F.col("width"), F.col("y"), F.col("text")))
-    gap = F.col("x") - end
-    breaks = end.isNull() | (F.abs(F.col("y") - y) > 0.3 * F.col("size")) | (gap < -0.5 * F.col("size")) | (gap > 2.5 * F.col("size"))
-    out = runs.withColumn("new", breaks.cast("int")).withColumn("sep", F.when((~breaks) & needs_space(text, F.col("text"), gap, F.col("space_w")), F.lit(" ")).otherwise(F.lit("")))
-    out = out.withColumn("chain", F.sum("new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("doc_id", "page", "chain").orderBy("ln", "wn").rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum(F.length("sep") + F.length("text")).over(inside)
-    return out.drop("new").withColumn("hi", hi).withColumn("lo", F.col("hi") - F.length("text"))
-
-
-def hyphenated_chains(runs: DataFrame) -> DataFrame:
-    """``chains`` in which a word that a hyphen breaks goes on in the next line: the hyphen leaves the chain's text.
-
-    The chain must end in a letter or digit and a hyphen, which may be a run of its own; the next run begins with one and
-    lies lower, by two and a half of the size at most. A run's ``cut`` is how many characters it gave up: lo and hi are
-    places of what is left of it.
+
+def chained(runs: Column) -> Column:
+    """An array of CHAINED for an array of runs (ln, wn, text, x, y, width, size, space_w) of one page, in drawing order.
+
+    A chain ends where the next run is off the baseline, goes back or is far ahead; else a gap may read as a space (sep). Where
+    it would end, but its text ends in a letter or digit and a hyphen, and the run begins with one and lies lower by DOWN at
+    most, the word goes on: the hyphen leaves the chain's text. The run that gave it up has cut 1, the one that goes on is
+    joined. lo and hi are places in the chain's text of what is left of a run; chains are numbered from 1. Runs without text
+    are no part of a chain; of a size that isn't known, the next run's counts, and without either the chain ends.
     """
-    page = Window.partitionBy("doc_id", "page").orderBy("ln", "wn")
-    plain = chains(runs).withColumn("starts", F.coalesce(F.lag("chain").over(page) != F.col("chain"), F.lit(True)))
-    text, y, size = (F.lag(c).over(page) for c in ("text", "y", "size"))
-    size = F.when(size > 0, size).otherwise(F.col("size"))
-    alone = text.rlike(f"^[{HYPHENS}]$") & ~F.lag("starts").over(page) & (F.lag("sep").over(page) == "") & F.lag("text", 2).over(page).rlike(r"[\p{L}\p{Nd}]\z")
-    goes_on = (text.rlike(rf"[\p{{L}}\p{{Nd}}][{HYPHENS}]\z") | alone) & F.col("text").rlike(r"^[\p{L}\p{Nd}]") & (F.col("y") > y) & (F.col("y") - y <= 2.5 * size)
-    out = plain.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    out = out.withColumns({"cut": F.coalesce(F.lead("goes_on").over(page), F.lit(False)).cast("int"), "sep": F.when(F.col("goes_on"), F.lit("")).otherwise(F.col("sep"))})
-    out = out.withColumn("text", F.substring("text", F.lit(1), F.length("text") - F.col("cut")))
-    out = out.withColumn("chain", F.sum((F.col("starts") & ~F.col("goes_on")).cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("doc_id", "page", "chain").orderBy("ln", "wn").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("hi", F.sum(F.length("sep") + F.length("text")).over(inside))
-    return out.drop("starts", "goes_on").withColumn("lo", F.col("hi") - F.length("text"))
-
-
-def chain_texts(chained: DataFrame) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("ln", "wn", F.concat("sep", "text").alias("part"))))
-    return chained.groupBy("doc_id", "page", "chain").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text"))
-
-
-def grouped_lines(runs: DataFrame) -> DataFrame:
-    """``runs`` with line: a run belongs to the line whose FIRST run's baseline is within 0.5 (an ordered fold)."""
-    ordered = F.array_sort(F.collect_list(F.struct("ln", "wn", "y")))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, r):
-        new = acc["anchor"].isNull() | (F.abs(r["y"] - acc["anchor"]) > 0.5)
-        line = acc["line"] + new.cast("int")
-        return F.struct(line.alias("line"), F.when(new, r["y"]).otherwise(acc["anchor"]).alias("anchor"), F.array_append(acc["out"], line).alias("out"))
-
-    folded = runs.groupBy("doc_id", "page").agg(ordered.alias("runs")).withColumn("lines", F.aggregate("runs", start, step)["out"])
-    return folded.select("doc_id", "page", F.explode(F.arrays_zip("runs", "lines")).alias("z")).select("doc_id", "page", "z.runs.ln", "z.runs.wn", F.col("z.lines").alias("line"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("chain"), F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit("").alias("text"),
+        *(F.lit(None).cast("double").alias(c) for c in ("end", "y", "size", "space_w")),
+    )
+
+    def step(s: Column, r: Column) -> Column:
+        size = F.when(s["size"] > 0, s["size"]).otherwise(r["size"])
+        gap, down = r["x"] - s["end"], r["y"] - s["y"]
+        apart = s["end"].isNull() | (size <= 0) | (F.abs(down) > OFF_BASELINE * size) | (gap < -BACK * size) | (gap > AHEAD * size)
+        goes_on = apart & s["tail"].rlike(f"{_WORD}{_HYPHEN}\\z") & r["text"].rlike(f"^{_WORD}") & (down > 0) & (down <= DOWN * size)
+
+        def placed(k: Column) -> Column:
+            at = F.when(k["begins"], 0).otherwise(s["at"] - k["joined"].cast("int") + F.length(k["sep"]))
+            tail = F.right(F.concat(F.when(k["begins"], F.lit("")).otherwise(s["tail"]), k["sep"], r["text"]), F.lit(2))
+            chain = s["chain"] + k["begins"].cast("int")
+            hi = at + F.length(r["text"])
+            state = F.struct(chain.alias("chain"), hi.alias("at"), tail.alias("tail"), r["text"].alias("text"), (r["x"] + r["width"]).alias("end"), r["y"].alias("y"), r["size"].alias("size"), r["space_w"].alias("space_w"))
+            out = F.struct(r["ln"].alias("ln"), r["wn"].alias("wn"), r["text"].alias("text"), k["sep"].alias("sep"), chain.alias("chain"), at.alias("lo"), hi.alias("hi"), F.lit(0).alias("cut"), k["joined"].alias("joined"), k["begins"].alias("begins"))
+            return F.struct(state.alias("state"), out.alias("out"))
+
+        spaced = F.when(~apart & needs_space(s["text"], r["text"], gap, s["space_w"]), F.lit(" ")).otherwise(F.lit(""))
+        joined = F.coalesce(goes_on, F.lit(False))
+        return let(F.struct(spaced.alias("sep"), joined.alias("joined"), (F.coalesce(apart, F.lit(True)) & ~joined).alias("begins")), placed)
+
+    def cut(a: Column) -> Column:
+        gave = lambda i: F.coalesce(F.get(a, i + 1)["joined"], F.lit(False)).cast("int")
+        left = lambda r, c: r.withField("cut", c).withField("hi", r["hi"] - c).withField("text", F.substring(r["text"], F.lit(1), F.length(r["text"]) - c))
+        return F.transform(a, lambda r, i: F.when(gave(i) > 0, left(r, gave(i))).otherwise(r))
+
+    return let(scan(F.filter(runs, lambda r: r["text"] != ""), start, step, CHAINED), cut)
+
+
+def chains(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, chain, runs) of ``pages`` (doc_id, page, runs): a row for each chain, its runs as CHAINED."""
+    each = let(chained(F.col("runs")), lambda a: runs_at(a, heads_where(a, lambda r, i: r["begins"])))
+    found = pages.select("doc_id", "page", F.explode(each).alias("runs"))
+    return found.select("doc_id", "page", F.get("runs", F.lit(0))["chain"].alias("chain"), "runs")
+
+
+def chain_text(runs: Column) -> Column:
+    return F.array_join(F.transform(runs, lambda r: F.concat(r["sep"], r["text"])), "")
+
+
+def chain_ranges(runs: Column, lo: Column, hi: Column) -> Column:
+    """Array of (ln, wn, lo, hi): what [lo, hi) of a chain's text covers of its runs, in their own characters, found by binary
+    search. Spaces between runs aren't theirs; a hyphen that left the text goes with the character before it."""
+    first = bisect(F.size(runs), lambda i: F.get(runs, i)["hi"] <= lo)
+    last = bisect(F.size(runs), lambda i: F.get(runs, i)["lo"] < hi)
+
+    def own(r: Column) -> Column:
+        to = F.least(hi, r["hi"])
+        return F.struct(r["ln"].alias("ln"), r["wn"].alias("wn"), (F.greatest(lo, r["lo"]) - r["lo"]).alias("lo"), (to - r["lo"] + F.when(to == r["hi"], r["cut"]).otherwise(0)).alias("hi"))
+
+    met = F.transform(F.slice(runs, first + 1, F.greatest(last - first, F.lit(0))), own)
+    return F.filter(met, lambda m: m["lo"] < m["hi"])
+
+
+def page_text(runs: Column) -> Column:
+    """A page's text as drawn: a new line where the line changes, a space where the gap calls for one; hyphens stay."""
+    drawn = F.filter(runs, lambda r: r["text"] != "")
+    sep = lambda a: lambda c, i: F.when((i > 0) & (F.get(a, i - 1)["ln"] != c["ln"]), F.lit("\n")).otherwise(c["sep"])
+    return let(chained(runs), lambda a: F.array_join(F.zip_with(F.transform(a, sep(a)), F.transform(drawn, lambda r: r["text"]), lambda x, y: F.concat(x, y)), ""))
+
+
+def line_numbers(runs: Column) -> Column:
+    """The line of each of an array of runs (y, ...): a line goes on while the step from its FIRST run is below SAME_LINE."""
+    start = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("y"))
+
+    def step(s: Column, r: Column) -> Column:
+        new = s["y"].isNull() | (F.abs(r["y"] - s["y"]) >= SAME_LINE)
+        line = s["line"] + new.cast("int")
+        return F.struct(F.struct(line.alias("line"), F.when(new, r["y"]).otherwise(s["y"]).alias("y")).alias("state"), line.alias("out"))
+
+    return scan(runs, start, step, "int")
+
+
+def grouped_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, ln, wn, line, place): each run of ``pages`` with its line, and its place from left to right in it."""
+    lined = lambda runs: let(line_numbers(runs), lambda n: F.transform(runs, lambda r, i: F.struct(F.get(n, i).alias("line"), r["x"].alias("x"), i.alias("i"), r["ln"].alias("ln"), r["wn"].alias("wn"))))
+    # Lines are numbered in order, so sorting by (line, x, order of drawing) sorts each line from left to right.
+    ordered = lambda a: let(F.array_sort(a), lambda o: let(heads_where(o, lambda r, i: (i == 0) | (F.get(o, i - 1)["line"] != r["line"])), lambda heads: F.transform(o, lambda r, i: F.struct(r["ln"].alias("ln"), r["wn"].alias("wn"), r["line"].alias("line"), (i - F.get(heads, r["line"])).alias("place")))))
+    return pages.select("doc_id", "page", F.inline(let(lined(F.col("runs")), ordered)))
+
+
+def paragraph_numbers(lines: Column) -> Column:
+    """The paragraph of each of an array of lines (x, y, size): one goes on at the same left edge and size as its first line, at
+    a step of LEAST_STEP to 2.5 sizes, and, from the third line on, at the step it has had (within SAME_STEP of the last one)."""
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(-1).alias("para"), none.alias("x"), none.alias("size"), none.alias("y"), none.alias("leading"))
+
+    def step(s: Column, r: Column) -> Column:
+        gap = r["y"] - s["y"]
+        same = (F.abs(r["x"] - s["x"]) <= SAME_EDGE) & (s["size"] > 0) & (F.abs(r["size"] - s["size"]) <= SAME_SIZE)
+        goes_on = F.coalesce(same & (gap > LEAST_STEP) & (gap <= DOWN * s["size"]) & (s["leading"].isNull() | (F.abs(gap - s["leading"]) <= SAME_STEP)), F.lit(False))
+        para = s["para"] + (~goes_on).cast("int")
+        first = lambda c: F.when(goes_on, s[c]).otherwise(r[c]).alias(c)
+        state = F.struct(para.alias("para"), first("x"), first("size"), r["y"].alias("y"), F.when(goes_on, gap).alias("leading"))
+        return F.struct(state.alias("state"), para.alias("out"))
+
+    return scan(lines, start, step, "int")
+
+
+def wrapped(words: Column, width: int) -> Column:
+    """Lines of at most ``width`` characters from an array of words, longer words alone: where lines begin, then slices."""
+    start = F.lit(-1)
+
+    def step(used: Column, w: Column) -> Column:
+        fits = (used >= 0) & (used + 1 + F.length(w) <= width)
+        return F.struct(F.when(fits, used + 1 + F.length(w)).otherwise(F.length(w)).alias("state"), (~fits).alias("out"))
+
+    heads = lambda new: F.filter(F.transform(new, lambda n, i: F.when(n, i)), lambda i: i.isNotNull())
+    return let(words, lambda v: F.transform(runs_at(v, heads(scan(v, start, step, "boolean"))), lambda line: F.array_join(line, " ")))

@@ -39,16 +39,16 @@ def spans(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.select("doc_id", "n", "rule_id", "s.lo", "s.hi")
 
 
-#: What may stand around a recognised word, and the length from which a literal's words count alone.
+#: What may stand around a recognised word, and the bytes from which a literal's words count alone.
 AROUND_WORD, LEAST_PART = ".,;:()[]{}\"'`?!", 3
 
 
-def matches_any_rule(word: Column, literals: list[str], patterns: list[str]) -> Column:
-    """Whether a single recognised word is covered by a rule: a literal stands in it as words, it is one of a literal's
-    words of LEAST_PART characters at least (what stands around it aside), or a pattern is found in it."""
+def matches_any_rule(word: Column, literals: list[str], patterns: list[str], bounded: bool = True) -> Column:
+    """Whether a single recognised word is covered by a rule: a literal stands in it (as words, or anywhere), it is one of a
+    literal's words of LEAST_PART bytes of UTF-8 at least (what stands around it aside), or a pattern is found in it."""
     bare = F.trim(word, F.lit(AROUND_WORD))
-    tests = [bounded_hits(word, x) > 0 for x in literals]
-    parts = sorted({p for x in literals for p in x.split() if len(p) >= LEAST_PART})
+    tests = [(bounded_hits if bounded else anywhere_hits)(word, x) > 0 for x in literals if x]
+    parts = sorted({p for x in literals for p in x.split() if len(p.encode()) >= LEAST_PART})
     tests += [bare.isin(*parts)] if parts else []
     tests += [word.rlike(x) for x in patterns]
     return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import let
+from pageloom.functions.folds import let
 
 #: White space and delimiters, which end a token by themselves.
 ENDS_TOKEN = "\x00\t\n\x0c\r ()<>[]{}/%"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_plans, text_plans
+from . import document_plans, reading_plans, text_plans  # noqa: F401  (they register)
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict = text_plans.QUERIES | document_plans.QUERIES
-ORACLES: dict[str, str] = text_plans.ORACLES | document_plans.ORACLES
+__all__ = ["ORACLES", "QUERIES"]

@@ -17,19 +17,7 @@ from pageloom.functions.labels import format_label
 from pageloom.operators.graph import chain_ends, reachable, tree_entries as flattened
 from pageloom.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
+from .registry import query
 
 ROMAN_SQL = "(['','m','mm','mmm'])[CAST({n} AS BIGINT) // 1000 % 10 + 1] || (['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'])[CAST({n} AS BIGINT) // 100 % 10 + 1] || (['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'])[CAST({n} AS BIGINT) // 10 % 10 + 1] || (['','i','ii','iii','iv','v','vi','vii','viii','ix'])[CAST({n} AS BIGINT) % 10 + 1]"
 
@@ -89,14 +77,6 @@ def overlay_objects(spark, sf_dir):
     return old.join(new, "num", "left").select("num", F.coalesce("new", "p_retailprice").alias("price"), F.col("new").isNotNull().alias("replaced"))
 
 
-@query("resolve_references", "SELECT o_orderkey, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def resolve_references(spark, sf_dir):
-    """A chain of references followed to the value at its end."""
-    t = lambda n: table(spark, sf_dir, n)
-    found = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return found.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "r_name")
-
-
 def _edges(spark, sf_dir) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
@@ -360,20 +340,22 @@ def fit_size(spark, sf_dir):
 
 _AT = "(o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400))"
 DATES_SQL = f"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN date_trunc('second', {_AT}) WHEN 1 THEN date_trunc('minute', {_AT}) WHEN 2 THEN date_trunc('hour', {_AT}) WHEN 3 THEN date_trunc('day', {_AT}) END::TIMESTAMP AS at,
-CASE o_orderkey % 6 WHEN 0 THEN date_trunc('second', {_AT}) WHEN 1 THEN date_trunc('minute', {_AT}) WHEN 2 THEN date_trunc('day', {_AT}) WHEN 3 THEN date_trunc('month', {_AT}) WHEN 4 THEN date_trunc('year', {_AT}) END::TIMESTAMP AS xmp_at FROM orders"""
+CASE o_orderkey % 9 WHEN 0 THEN date_trunc('second', {_AT}) WHEN 1 THEN date_trunc('minute', {_AT}) WHEN 2 THEN date_trunc('day', {_AT}) WHEN 3 THEN date_trunc('month', {_AT}) WHEN 4 THEN date_trunc('year', {_AT}) WHEN 6 THEN date_trunc('second', {_AT}) + INTERVAL 250 MILLISECONDS WHEN 7 THEN date_trunc('second', {_AT}) + INTERVAL 500 MILLISECONDS END::TIMESTAMP AS xmp_at FROM orders"""
 
 
 @query("parse_dates", DATES_SQL)
 def parse_dates(spark, sf_dir):
-    """Dates of every layout, and three that aren't dates: an odd length, a zone after eight digits, a month that isn't."""
+    """Dates of every layout, and some that aren't dates: an odd length, a zone after eight digits or after minutes, a month that isn't."""
     at = F.expr("timestampadd(SECOND, o_orderkey % 86400, o_orderdate)")
     form = lambda pattern, tail="": F.concat(F.lit("D:"), F.date_format(at, pattern), F.lit(tail))
     kind = F.col("o_orderkey") % 7
     raw = F.when(kind == 0, form("yyyyMMddHHmmss", "+02'00'")).when(kind == 1, form("yyyyMMddHHmm")).when(kind == 2, form("yyyyMMddHH")).when(kind == 3, form("yyyyMMdd"))
     raw = raw.when(kind == 4, form("yyyyMMdd", "123")).when(kind == 5, form("yyyyMMdd", "+02'00'")).otherwise(F.concat(F.lit("D:"), F.date_format(at, "yyyy"), F.lit("1340")))
-    kind = F.col("o_orderkey") % 6
+    kind = F.col("o_orderkey") % 9
     xmp = F.when(kind == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm")).when(kind == 2, F.date_format(at, "yyyy-MM-dd")).when(kind == 3, F.date_format(at, "yyyy-MM"))
-    xmp = xmp.when(kind == 4, F.date_format(at, "yyyy")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
+    seconds = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    xmp = xmp.when(kind == 4, F.date_format(at, "yyyy")).when(kind == 6, F.concat(seconds, F.lit(".25"))).when(kind == 7, F.concat(seconds, F.lit(".5+02:00")))
+    xmp = xmp.when(kind == 8, F.date_format(at, "yyyy-MM-dd'T'HH:mm'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
     return table(spark, sf_dir, "orders").select("o_orderkey", document_date(raw).alias("at"), xmp_date(xmp).alias("xmp_at"))
 
 

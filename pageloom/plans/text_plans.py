@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import character_range, contains, intersects
-from pageloom.functions.text import dehyphenate, flatten_space
+from pageloom.functions.folds import heads_where, let, running_sums
+from pageloom.functions.text import anywhere_spans, dehyphenate, flatten_space
 from pageloom.operators import chains as C
 from pageloom.operators import redact as R
 from pageloom.operators.spans import apply_splices, merge_spans
-from pageloom.sources.tables import RUNS_SQL, lines, runs, table
+from pageloom.sources.tables import RUNS_SQL, lines, page_runs, runs, spread, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .registry import query
 
 #: The rules of these queries.
 RULES = [R.Rule(1, "the", "<T1>"), R.Rule(2, "tion", "<T2>"), R.Rule(3, "of the", "<T3>"), R.Rule(4, "de la", "<T4>")]
 PATTERNS = [R.Rule(11, pattern=r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+"), R.Rule(12, pattern=r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), R.Rule(13, pattern=r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")]
 RECTS = [(0, 0.0, 0.0, 120.0, 60.0), (0, 200.0, 10.0, 320.0, 120.0), (1, 50.0, 700.0, 400.0, 760.0)]
 
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
 def _bounded(p: str, i: str, lit: str) -> str:
     """Whether hit i of pieces p is bounded, in the oracle's SQL."""
     word = r"'^[\p{L}\p{Nd}]$'"
@@ -195,11 +182,11 @@ WORD_RULE_SQL = " OR ".join(f"regexp_matches(w, '(^|[^\\p{{L}}\\p{{Nd}}]){r.lite
 
 
 @query("word_rules", f"""SELECT doc_id, count(*) AS n_words FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents)
-WHERE length(w) % 10 >= 3 AND ({WORD_RULE_SQL} OR trim(w, '.,;:()[]{{}}"''`?!') IN ('the', 'tion') OR regexp_matches(w, '[0-9]{{3}}-[0-9]{{4}}')) GROUP BY doc_id""")
+WHERE length(w) % 10 >= 3 AND ({WORD_RULE_SQL} OR trim(w, '.,;:()[]{{}}"''`?!') IN ('the', 'tion', 'ßß') OR regexp_matches(w, '[0-9]{{3}}-[0-9]{{4}}')) GROUP BY doc_id""")
 def word_rules(spark, sf_dir):
     """Single words of enough confidence (their length stands in for it) that a rule covers, counted."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("w")).filter(F.length("w") % 10 >= 3)
-    return words.filter(R.matches_any_rule(F.col("w"), [r.literal for r in RULES], [r"[0-9]{3}-[0-9]{4}"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+    return words.filter(R.matches_any_rule(F.col("w"), [*(r.literal for r in RULES), "ßß au"], [r"[0-9]{3}-[0-9]{4}"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 RECTS_SQL = "rects(page, x0, y0, x1, y1) AS (VALUES " + ", ".join(f"({p}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for p, a, b, c, d in RECTS) + ")"
@@ -237,59 +224,78 @@ def area_characters(spark, sf_dir):
     return met.select("doc_id", "ln", "wn", c("a.x0").alias("rx"), lo.alias("lo"), hi.alias("hi")).filter("lo < hi")
 
 
-@query("group_lines", f"""WITH RECURSIVE {RUNS_SQL}, seq AS (SELECT doc_id, page, ln, wn, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln, wn) AS k FROM runs
+@query("group_lines", f"""WITH RECURSIVE {RUNS_SQL}, seq AS (SELECT doc_id, page, ln, wn, x, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln, wn) AS k FROM runs
 ), fold AS (
   SELECT doc_id, page, k, y AS anchor, 0 AS line FROM seq WHERE k = 1
   UNION ALL
-  SELECT f.doc_id, f.page, s.k, CASE WHEN abs(s.y - f.anchor) > 0.5 THEN s.y ELSE f.anchor END, CASE WHEN abs(s.y - f.anchor) > 0.5 THEN f.line + 1 ELSE f.line END FROM fold f JOIN seq s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1
-) SELECT doc_id, page, ln, wn, line FROM fold JOIN seq USING (doc_id, page, k)""")
+  SELECT f.doc_id, f.page, s.k, CASE WHEN abs(s.y - f.anchor) < 0.5 THEN f.anchor ELSE s.y END, CASE WHEN abs(s.y - f.anchor) < 0.5 THEN f.line ELSE f.line + 1 END FROM fold f JOIN seq s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1
+) SELECT doc_id, page, ln, wn, line, CAST(row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x, k) - 1 AS INT) AS place FROM fold JOIN seq USING (doc_id, page, k)""")
 def group_lines(spark, sf_dir):
-    """Runs to lines by the first run's baseline: an ordered fold."""
-    return C.grouped_lines(runs(table(spark, sf_dir, "documents")))
+    """Runs to lines by the first run's baseline (an ordered fold), each line from left to right."""
+    return C.grouped_lines(page_runs(table(spark, sf_dir, "documents")))
 
 
+_HYPHENS_SQL = "[-\\x{AD}\\x{2010}\\x{2011}]"
+_WORD_SQL = "[\\p{L}\\p{Nd}]"
 CHAINS_SQL = f"""{RUNS_SQL}, prev AS (
-  SELECT *, lag(x + width) OVER w AS pe, lag(y) OVER w AS py, lag(text) OVER w AS pt FROM runs WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
+  SELECT *, lag(x + width) OVER w AS pe, lag(y) OVER w AS py, lag(text) OVER w AS pt, lag(text, 2) OVER w AS ptt FROM runs WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
 ), cutted AS (
-  SELECT *, CASE WHEN pe IS NULL OR abs(y - py) > 0.3::DOUBLE * 10.0 OR x - pe < -5.0 OR x - pe > 25.0 THEN 1 ELSE 0 END AS new,
+  SELECT *, pe IS NULL OR abs(y - py) > 0.3::DOUBLE * 10.0 OR x - pe < -5.0 OR x - pe > 25.0 AS new,
          x - pe > 0.70::DOUBLE * 5.0 AND NOT regexp_matches(right(pt, 1), '[\\s\\x{{A0}}]') AND NOT regexp_matches(left(text, 1), '[\\s\\x{{A0}}]') AS wide FROM prev
+), told AS (
+  SELECT *, CASE WHEN NOT new AND wide THEN ' ' ELSE '' END AS sep, lag(new) OVER w AS pnew, lag(NOT new AND wide) OVER w AS pwide FROM cutted WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
+), going AS (
+  SELECT *, new AND coalesce((regexp_matches(pt, '{_WORD_SQL}{_HYPHENS_SQL}$') OR (regexp_matches(pt, '^{_HYPHENS_SQL}$') AND NOT pnew AND NOT pwide AND regexp_matches(ptt, '{_WORD_SQL}$')))
+    AND regexp_matches(text, '^{_WORD_SQL}') AND y > py AND y - py <= 25.0, false) AS goes_on FROM told
+), gave AS (
+  SELECT *, coalesce(lead(goes_on) OVER w, false) AS cut FROM going WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
 ), chained AS (
-  SELECT doc_id, page, ln, wn, text, CASE WHEN new = 0 AND wide THEN ' ' ELSE '' END AS sep, sum(new) OVER (PARTITION BY doc_id, page ORDER BY ln, wn ROWS UNBOUNDED PRECEDING) AS chain FROM cutted
+  SELECT doc_id, page, ln, wn, text AS drawn, CASE WHEN cut THEN text[:-2] ELSE text END AS text, sep, CAST(cut AS INT) AS cut, new,
+         sum(CASE WHEN new AND NOT goes_on THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ln, wn ROWS UNBOUNDED PRECEDING) AS chain FROM gave
 )"""
+#: Texts whose words are broken over lines, the hyphen in its word's run or in one of its own, or inside a line, where it stays.
+BROKEN_SQL = "broken AS (SELECT doc_id, replace(replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), 'ing ', 'i - ' || chr(10) || 'ng '), 'ent', 'e- nt') AS text FROM documents)"
+
+
+def _broken_pages(spark, sf_dir):
+    broken = F.replace(F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit("ing "), F.lit("i - \nng ")), F.lit("ent"), F.lit("e- nt"))
+    return page_runs(table(spark, sf_dir, "documents").select("doc_id", broken.alias("text")))
 
 
 @query("build_chains", f"WITH {CHAINS_SQL} SELECT doc_id, page, CAST(chain AS BIGINT) AS chain, string_agg(sep || text, '' ORDER BY ln, wn) AS text FROM chained GROUP BY doc_id, page, chain")
 def build_chains(spark, sf_dir):
-    return C.chain_texts(C.chains(runs(table(spark, sf_dir, "documents"))))
+    chained = C.chains(page_runs(table(spark, sf_dir, "documents")))
+    return chained.select("doc_id", "page", "chain", C.chain_text(F.col("runs")).alias("text"))
+
+
+@query("hyphenated_chains", f"WITH {BROKEN_SQL}, {CHAINS_SQL.replace('FROM documents', 'FROM broken')} SELECT doc_id, page, CAST(chain AS BIGINT) AS chain, string_agg(sep || text, '' ORDER BY ln, wn) AS text, CAST(sum(cut) AS BIGINT) AS n_joined FROM chained GROUP BY doc_id, page, chain")
+def hyphenated_chains(spark, sf_dir):
+    """Chains of texts whose words are broken over lines."""
+    joined = F.size(F.filter("runs", lambda r: r["joined"])).cast("long")
+    return C.chains(_broken_pages(spark, sf_dir)).select("doc_id", "page", "chain", C.chain_text(F.col("runs")).alias("text"), joined.alias("n_joined"))
 
 
-@query("chain_map_back", f"""WITH {CHAINS_SQL}, placed AS (
+@query("chain_map_back", f"""WITH {BROKEN_SQL}, {CHAINS_SQL.replace('FROM documents', 'FROM broken')}, placed AS (
   SELECT *, sum(length(sep) + length(text)) OVER (PARTITION BY doc_id, page, chain ORDER BY ln, wn ROWS UNBOUNDED PRECEDING) AS hi FROM chained
 ), joined AS (SELECT doc_id, page, chain, string_agg(sep || text, '' ORDER BY ln, wn) AS t FROM chained GROUP BY ALL
-), hits AS (SELECT doc_id, page, chain, list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * 4 AS lo FROM (SELECT doc_id, page, chain, string_split(t, 'tion') AS p FROM joined), unnest(range(1, len(p))) AS u(i))
-SELECT p.doc_id, p.page, p.ln, p.wn, CAST(greatest(h.lo - (p.hi - length(p.text)), 0) AS BIGINT) AS run_lo, CAST(least(h.lo + 4, p.hi) - (p.hi - length(p.text)) AS BIGINT) AS run_hi
-FROM placed p JOIN hits h ON p.doc_id = h.doc_id AND p.page = h.page AND p.chain = h.chain AND h.lo < p.hi AND p.hi - length(p.text) < h.lo + 4""")
+), hits AS (SELECT doc_id, page, chain, list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * 4 AS lo FROM (SELECT doc_id, page, chain, string_split(t, 'tion') AS p FROM joined), unnest(range(1, len(p))) AS u(i)),
+met AS (SELECT p.doc_id, p.page, p.ln, p.wn, CAST(greatest(h.lo - (p.hi - length(p.text)), 0) AS INT) AS run_lo, CAST(least(h.lo + 4, p.hi) - (p.hi - length(p.text)) + CASE WHEN h.lo + 4 >= p.hi THEN p.cut ELSE 0 END AS INT) AS run_hi
+  FROM placed p JOIN hits h ON p.doc_id = h.doc_id AND p.page = h.page AND p.chain = h.chain AND h.lo < p.hi AND p.hi - length(p.text) < h.lo + 4
+  UNION ALL SELECT p.doc_id, p.page, p.ln, p.wn, 0, 1 FROM placed p JOIN hits h ON p.doc_id = h.doc_id AND p.page = h.page AND p.chain = h.chain AND p.text = '' AND p.cut = 1 AND h.lo < p.hi AND p.hi < h.lo + 4)
+SELECT doc_id, page, ln, wn, run_lo, run_hi FROM met WHERE run_lo < run_hi""")
 def chain_map_back(spark, sf_dir):
-    """Hits in a chain's text as ranges of its runs: an interval join inside the chain."""
-    chained = C.chains(runs(table(spark, sf_dir, "documents"))).drop("sep")
-    key = F.struct("doc_id", "page", "chain")
-    texts = C.chain_texts(C.chains(runs(table(spark, sf_dir, "documents")))).filter(F.contains("text", F.lit("tion")))
-    parts = F.split("text", "tion", -1)
-    starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.get(acc, F.size(acc) - 1) + 4, F.lit(0)) + F.length(p)))
-    hits = texts.select(key.alias("k"), F.explode(starts).alias("at"))
-    met = hits.join(chained.withColumn("k", key), "k").filter((F.col("at") < F.col("hi")) & (F.col("lo") < F.col("at") + 4))
-    return met.select("doc_id", "page", "ln", "wn", F.greatest(F.col("at") - F.col("lo"), F.lit(0)).cast("long").alias("run_lo"), (F.least(F.col("at") + 4, F.col("hi")) - F.col("lo")).cast("long").alias("run_hi"))
-
-
-@query("page_text", f"WITH {CHAINS_SQL} SELECT doc_id, page, sha256(string_agg(CASE WHEN wn = first_wn AND NOT first_row THEN chr(10) ELSE sep END || text, '' ORDER BY ln, wn)) AS text_sha256 FROM (SELECT *, min(wn) OVER (PARTITION BY doc_id, page, ln) AS first_wn, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln, wn) = 1 AS first_row FROM chained) GROUP BY doc_id, page")
+    """Hits in a chain's text as ranges of its runs: inside the chain's row, by binary search."""
+    hits = F.explode(anywhere_spans(C.chain_text(F.col("runs")), "tion"))
+    found = C.chains(_broken_pages(spark, sf_dir)).select("doc_id", "page", "runs", hits.alias("h"))
+    met = found.select("doc_id", "page", F.inline(C.chain_ranges(F.col("runs"), F.col("h.lo"), F.col("h.hi"))))
+    return met.withColumnsRenamed({"lo": "run_lo", "hi": "run_hi"})
+
+
+@query("page_text", f"WITH {CHAINS_SQL} SELECT doc_id, page, sha256(string_agg(CASE WHEN wn = first_wn AND NOT first_row THEN chr(10) ELSE sep END || drawn, '' ORDER BY ln, wn)) AS text_sha256 FROM (SELECT *, min(wn) OVER (PARTITION BY doc_id, page, ln) AS first_wn, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln, wn) = 1 AS first_row FROM chained) GROUP BY doc_id, page")
 def page_text(spark, sf_dir):
     """A page's text: a new line where the line changes, a space where the gap calls for one."""
-    chained = C.chains(runs(table(spark, sf_dir, "documents")))
-    page = Window.partitionBy("doc_id", "page")
-    first = F.col("wn") == F.min("wn").over(Window.partitionBy("doc_id", "page", "ln"))
-    rows = chained.withColumn("sep", F.when(first & (F.row_number().over(page.orderBy("ln", "wn")) > 1), F.lit("\n")).otherwise(F.col("sep")))
-    parts = F.array_sort(F.collect_list(F.struct("ln", "wn", F.concat("sep", "text").alias("part"))))
-    return rows.groupBy("doc_id", "page").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["part"]), ""), 256).alias("text_sha256"))
+    pages = page_runs(table(spark, sf_dir, "documents")).filter(F.size("runs") > 0)
+    return pages.select("doc_id", "page", F.sha2(C.page_text(F.col("runs")), 256).alias("text_sha256"))
 
 
 WRAP = 40
@@ -298,17 +304,9 @@ WRAP = 40
 @query("greedy_wrap", f"""WITH l AS (SELECT doc_id, u.i - 1 AS ln, ls[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i))
 SELECT doc_id, CAST(ln AS INT) AS ln, array_to_string(regexp_extract_all(trim(regexp_replace(line, ' +', ' ', 'g')), '([^ ](?:.{{0,{WRAP - 2}}}[^ ])?)(?: |$)|([^ ]+)(?: |$)', 0), '|') AS wrapped FROM l""")
 def greedy_wrap(spark, sf_dir):
-    """Words to lines of at most 40 characters, longer words alone: a fold over the words."""
-    rows = lines(table(spark, sf_dir, "documents"))
+    """Words to lines of at most 40 characters, longer words alone: where lines begin is a fold over the words."""
     words = F.filter(F.split("line", " +"), lambda w: w != "")
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("done"))
-
-    def step(acc, w):
-        fits = F.length(acc["now"]) + 1 + F.length(w) <= WRAP
-        return F.when(acc["now"].isNull(), F.struct(w.alias("now"), acc["done"].alias("done"))).when(fits, F.struct(F.concat(acc["now"], F.lit(" "), w).alias("now"), acc["done"].alias("done"))).otherwise(F.struct(w.alias("now"), F.array_append(acc["done"], F.concat(acc["now"], F.lit(" "))).alias("done")))
-
-    folded = F.aggregate(words, start, step)
-    return rows.withColumn("f", folded).select("doc_id", "ln", F.when(F.col("f.now").isNull(), F.lit("")).otherwise(F.array_join(F.array_append("f.done", F.col("f.now")), "|")).alias("wrapped"))
+    return lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "ln", F.array_join(C.wrapped(words, WRAP), " |").alias("wrapped"))
 
 
 PARA_SQL = """lines AS (SELECT doc_id, u.i - 1 AS ln, ls[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)
@@ -318,39 +316,32 @@ PARA_SQL = """lines AS (SELECT doc_id, u.i - 1 AS ln, ls[u.i] AS line FROM (SELE
 @query("paragraphs", f"""WITH RECURSIVE {PARA_SQL}, fold AS (
   SELECT doc_id, ln, x AS fx, 0 AS para, NULL::DOUBLE AS pitch FROM geo WHERE ln = 0
   UNION ALL
-  SELECT doc_id, ln, CASE WHEN j THEN fx ELSE x END, CASE WHEN j THEN para ELSE para + 1 END, CASE WHEN NOT j THEN NULL ELSE coalesce(pitch, gap) END
+  SELECT doc_id, ln, CASE WHEN j THEN fx ELSE x END, CASE WHEN j THEN para ELSE para + 1 END, CASE WHEN j THEN gap END
   FROM (SELECT g.doc_id, g.ln, f.fx, f.para, f.pitch, g.x, g.gap, abs(g.x - f.fx) <= 0.5 AND g.gap > 0.1 AND g.gap <= 25 AND (f.pitch IS NULL OR abs(g.gap - f.pitch) <= 0.5) AS j FROM fold f JOIN geo g ON g.doc_id = f.doc_id AND g.ln = f.ln + 1)
 ) SELECT doc_id, para, CAST(min(ln) AS INT) AS first_ln, count(*) AS n_lines FROM fold GROUP BY doc_id, para""")
 def paragraphs(spark, sf_dir):
-    """Lines with one left edge and one leading, taken from the second line on: an ordered fold per document."""
-    rows = lines(table(spark, sf_dir, "documents")).select("doc_id", "ln", F.when(F.contains("line", F.lit("|")), 20.0).otherwise(0.0).alias("x"), F.when(F.length("line") % 4 == 0, 18.0).otherwise(14.0).alias("gap"))
-    ordered = F.array_sort(F.collect_list(F.struct("ln", "x", "gap")))
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit(-1).alias("para"), none.alias("fx"), none.alias("leading"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, r):
-        join = F.coalesce((F.abs(r["x"] - acc["fx"]) <= 0.5) & (r["gap"] > 0.1) & (r["gap"] <= 25) & (acc["leading"].isNull() | (F.abs(r["gap"] - acc["leading"]) <= 0.5)), F.lit(False))
-        para = acc["para"] + (~join).cast("int")
-        return F.struct(para.alias("para"), F.when(join, acc["fx"]).otherwise(r["x"]).alias("fx"), F.when(join, F.coalesce(acc["leading"], r["gap"])).alias("leading"), F.array_append(acc["out"], para).alias("out"))
-
-    folded = rows.groupBy("doc_id").agg(ordered.alias("rows")).withColumn("paras", F.aggregate("rows", start, step)["out"])
-    flat = folded.select("doc_id", F.explode(F.arrays_zip("rows", "paras")).alias("z")).select("doc_id", F.col("z.paras").alias("para"), F.col("z.rows.ln").alias("ln"))
-    return flat.groupBy("doc_id", "para").agg(F.min("ln").alias("first_ln"), F.count(F.lit(1)).alias("n_lines"))
+    """Lines with one left edge and one leading: an ordered fold inside each document's row."""
+    texts = spread(table(spark, sf_dir, "documents")).select("doc_id", F.split("text", "\n").alias("lines"))
+    gaps = F.transform("lines", lambda l: F.when(F.length(l) % 4 == 0, 18.0).otherwise(14.0))
+    placed = let(running_sums(gaps, "double"), lambda y: F.transform("lines", lambda l, i: F.struct(F.when(F.contains(l, F.lit("|")), 20.0).otherwise(0.0).alias("x"), F.get(y, i).alias("y"), F.lit(10.0).alias("size"))))
+    # Paragraphs are numbered in order: each begins at the head of its run of numbers.
+    heads = let(C.paragraph_numbers(placed), lambda n: let(heads_where(n, lambda p, i: (i == 0) | (F.get(n, i - 1) != p)), lambda h: F.transform(h, lambda at, i: F.struct(i.alias("para"), at.alias("first_ln"), (F.coalesce(F.get(h, i + 1), F.size(n)) - at).cast("long").alias("n_lines")))))
+    return texts.select("doc_id", F.inline(heads))
 
 
 @query("flow_shift", f"WITH {PARA_SQL} SELECT doc_id, CAST(ln AS INT) AS ln, CAST(coalesce(sum(n // 80) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * 14 AS shift FROM geo")
 def flow_shift(spark, sf_dir):
     """How far each paragraph moves down for the lines that those above it gained."""
-    rows = lines(table(spark, sf_dir, "documents"))
-    above = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("doc_id", "ln", (F.coalesce(F.sum(F.floor(F.length("line") / 80)).over(above), F.lit(0)) * 14).cast("long").alias("shift"))
+    gained = F.transform(F.split("text", "\n"), lambda l: F.floor(F.length(l) / 80).cast("long"))
+    shifts = let(gained, lambda g: F.zip_with(running_sums(g, "long"), g, lambda s, own: (s - own) * 14))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(shifts).alias("ln", "shift"))
 
 
 @query("single_run_blocks", f"WITH {RUNS_SQL} SELECT doc_id, ln, any_value(text) AS text FROM runs GROUP BY doc_id, ln HAVING count(*) = 1")
 def single_run_blocks(spark, sf_dir):
     """Blocks take lines of one run; a line of several runs isn't emitted."""
-    found = runs(table(spark, sf_dir, "documents")).groupBy("doc_id", "ln").agg(F.count(F.lit(1)).alias("n"), F.any_value("text").alias("text"))
-    return found.filter("n = 1").select("doc_id", "ln", "text")
+    alone = lambda a: F.filter(F.transform(a, lambda r, i: F.when(~F.coalesce(F.get(a, i - 1)["ln"] == r["ln"], F.lit(False)) & ~F.coalesce(F.get(a, i + 1)["ln"] == r["ln"], F.lit(False)), F.struct(r["ln"].alias("ln"), r["text"].alias("text")))), lambda r: r.isNotNull())
+    return page_runs(table(spark, sf_dir, "documents")).select("doc_id", F.inline(alone(F.col("runs"))))
 
 
 @query("strict_tokens", """WITH allowed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark), t AS (
@@ -394,29 +385,5 @@ _REGULAR_SQL = "[^\\x00\\t\\n\\f\\r ()<>\\[\\]{}/%\\x01\\x02]"
 SELECT doc_id, sha256(translate(regexp_replace(regexp_replace(t, '({_REGULAR_SQL})\\x01', '\\1 ', 'g'), '\\x02({_REGULAR_SQL})', ' \\1', 'g'), chr(1) || chr(2), '')) AS text_sha256 FROM m""")
 def apply_splices_query(spark, sf_dir):
     """Every hit of a literal, in words too, as an ordered rewrite of its text that keeps tokens apart."""
-    ends = F.transform(F.split("text", "an", -1), lambda p: F.length(p))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    places = F.aggregate(F.slice(ends, F.lit(1), F.size(ends) - 1), start, lambda acc, n: F.struct((acc["at"] + n + 2).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")))["out"]
-    splices = F.transform(places, lambda lo: F.struct(lo.alias("lo"), (lo + 2).alias("hi"), F.lit("X").alias("new")))
+    splices = F.transform(anywhere_spans(F.col("text"), "an"), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.lit("X").alias("new")))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(apply_splices(F.col("text"), splices), 256).alias("text_sha256"))
-
-
-_HYPHENS_SQL = "[-\\x{AD}\\x{2010}\\x{2011}]"
-
-
-@query("hyphenated_chains", f"""WITH broken AS (SELECT doc_id, replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), 'ing ', 'i - ' || chr(10) || 'ng ') AS text FROM documents), {CHAINS_SQL.replace("FROM documents", "FROM broken")}, t AS (
-  SELECT c.*, k.y, lag(c.text) OVER w AS pt, lag(c.text, 2) OVER w AS ptt, lag(k.y) OVER w AS py, lag(c.sep) OVER w AS psep, coalesce(lag(c.chain) OVER w <> c.chain, true) AS starts
-  FROM chained c JOIN runs k USING (doc_id, page, ln, wn) WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
-), g AS (
-  SELECT *, coalesce((regexp_matches(pt, '[\\p{{L}}\\p{{Nd}}]{_HYPHENS_SQL}$') OR (regexp_matches(pt, '^{_HYPHENS_SQL}$') AND NOT lag(starts) OVER w AND psep = '' AND regexp_matches(ptt, '[\\p{{L}}\\p{{Nd}}]$')))
-    AND regexp_matches(text, '^[\\p{{L}}\\p{{Nd}}]') AND y > py AND y - py <= 25.0, false) AS goes_on FROM t WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
-), h AS (
-  SELECT doc_id, page, ln, wn, CASE WHEN goes_on THEN '' ELSE sep END || CASE WHEN coalesce(lead(goes_on) OVER w, false) THEN text[:-2] ELSE text END AS part, coalesce(lead(goes_on) OVER w, false) AS gave,
-         sum(CASE WHEN starts AND NOT goes_on THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ln, wn ROWS UNBOUNDED PRECEDING) AS chain FROM g WINDOW w AS (PARTITION BY doc_id, page ORDER BY ln, wn)
-) SELECT doc_id, page, CAST(chain AS BIGINT) AS chain, string_agg(part, '' ORDER BY ln, wn) AS text, count(*) FILTER (gave) AS n_joined FROM h GROUP BY doc_id, page, chain""")
-def hyphenated_chains(spark, sf_dir):
-    """Chains of texts whose words are broken over lines, the hyphen in its word's run or in one of its own."""
-    broken = F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit("ing "), F.lit("i - \nng "))
-    chained = C.hyphenated_chains(runs(table(spark, sf_dir, "documents").select("doc_id", broken.alias("text"))))
-    joined = chained.groupBy("doc_id", "page", "chain").agg(F.sum("cut").alias("n_joined"))
-    return C.chain_texts(chained).join(joined, ["doc_id", "page", "chain"])
