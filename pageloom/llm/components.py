@@ -2,10 +2,11 @@
 
 ``linked`` finds links of the members of a bucket without making all pairs. Buckets with one member go in a stream of
 sorted rows, which also names a lead of each bucket, its smallest id. Every member is compared with its lead, and
-components of what is linked so far are formed; further leads, those that share most buckets, may follow. Then only
-members outside their first lead's component are compared with the others of their bucket, in blocks of bounded size, if
-they are in different components. What a lead gathers costs its
-size, not the square, and no link that joins two components is missed.
+components of what is linked so far are formed. Buckets of several components stay open; while they call for more than
+CROWD pairs a member, they get further leads, the member that shares most buckets, one a round, until a round links nothing.
+Then only members outside their first lead's component are compared with the others of their bucket, in blocks of bounded
+size, if they are in different components. What a lead gathers costs its size, not the square, and no link that joins two
+components is missed. Buckets that stay crowded hold members that don't link, and are the ones whose pairs are all looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .scratch import dropped, partitions, streamed, written
 
 #: Members of a bucket that meet one row in a task.
 BLOCK = 512
+#: Pairs a member of open buckets up to which no further lead is chosen.
+CROWD = 4
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -107,13 +110,13 @@ def _shared(extra: list[str]):
     return run
 
 
-def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, surely: Callable[[str, str], Column] | None = None, before: Callable[[DataFrame], None] | None = None, block: int = BLOCK, rounds: int = 1) -> DataFrame:
+def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: Callable[[DataFrame], DataFrame] | None = None, surely: Callable[[str, str], Column] | None = None, before: Callable[[DataFrame], None] | None = None, here: Callable[[str, str], Column] | None = None, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """Links (a, b), a < b, among members of a bucket: ``members`` has (key, id, ...); equal rows count once.
 
     ``may_link`` is a necessary condition on two members' columns, given their aliases, and ``surely`` one on the columns
-    that ``details`` gives by id, for a table of the ids that are left; ``verify`` keeps the pairs (a, b) that do link.
-    ``before`` gets the ids of shared buckets first. ``rounds``: leads that a bucket has, one after the other. Links inside a
-    component that the leads have formed aren't all listed.
+    that ``details`` gives by id, for a table of the ids that are left; ``here`` says, by the same columns, that a pair is
+    looked at in this bucket and in no other. ``verify`` keeps the pairs (a, b) that do link. ``before`` gets the ids of shared
+    buckets first. Links inside a component that the leads have formed aren't all listed.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
     kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
@@ -129,31 +132,46 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     own = F.struct("id", *extra).alias("l")
     lead = F.struct(F.col("lead_id").alias("id"), *(F.col(f"lead_{c}").alias(c) for c in extra)).alias("r")
     links = written(verify(paired(shared.filter("id <> lead_id").select(own, lead).filter(may_link("l", "r")))), "links")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return written(rows.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-
-    rest = labelled(shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads"), F.col("lead_id").alias("first")))
-    for _ in range(rounds - 1):
+    rest = shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads"), F.col("lead_id").alias("first"))
+    rest = written(rest.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    rest = _open(rest, block)
+    if details is not None:
+        rest = written(rest.join(written(details(rest.select("id").distinct()), "open-members"), "id"), "open-details")
+    likely = (lambda x, y: may_link(x, y)) if surely is None else (lambda x, y: may_link(x, y) & surely(x, y))
+    while True:
+        minor = rest.filter("not leads and label <> major").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        crowded = minor.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").agg(F.sum(F.col("m") * F.col("n")), F.sum("n")).first()
+        if not crowded[0] or crowded[0] <= crowd * crowded[1]:
+            break
         # A further lead: the member that shares most buckets. It is compared with all that its bucket's others don't join to it.
         often = written(rest.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "met")
-        chosen = rest.filter("not leads").join(often, "id").groupBy("key").agg(F.max(F.struct("met", "id", "label", *extra)).alias("m")).select("key", "m.*")
-        chosen = written(chosen, "leads")
-        met = rest.filter("not leads").alias("l").join(chosen.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & may_link("l", "r"))
-        links = links.union(written(verify(paired(met)), "links"))
+        best = rest.filter("not leads").join(often, "id").groupBy("key").agg(F.max(F.struct("met", "id")).alias("m")).select("key", F.col("m.id").alias("id"))
+        chosen = written(rest.drop("leads", "first", "major", "blocks").join(best, ["key", "id"]).dropDuplicates(["key"]), "leads")
+        met = rest.filter("not leads").alias("l").join(chosen.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & likely("l", "r"))
+        found = written(verify(paired(met)), "links")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        named = rest.select("id", "label").distinct()
+        ends = lambda end, name: named.select(F.col("id").alias(end), F.col("label").alias(name))
+        new = components(found.join(ends("a", "x"), "a").join(ends("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
         flags = chosen.select("key", F.col("id").alias("_lead"))
-        rest = rest.drop("label").join(flags, "key", "left").withColumn("leads", F.col("leads") | F.coalesce(F.col("id") == F.col("_lead"), F.lit(False))).drop("_lead")
-        rest = labelled(rest)
-    keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("id") == F.col("first"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("n"))
-    keys = keys.filter("x <> y").select("key", "major", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rest = written(rest.join(keys, "key"), "open-buckets")
-    if details is not None:
-        rest = rest.join(written(details(rest.select("id").distinct()), "open-members"), "id")
-    minor = rest.filter("not leads and label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        moved = rest.join(new.select(F.col("id").alias("label"), F.col("label").alias("_new")), "label", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+        moved = moved.join(flags, "key", "left").withColumn("leads", F.col("leads") | F.coalesce(F.col("id") == F.col("_lead"), F.lit(False)))
+        rest = _open(written(moved.drop("_lead", "major", "blocks"), "labelled"), block)
+    split = rest.filter("not leads and label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = rest.filter("not leads").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    apart = (F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))) & may_link("l", "r")
+    apart = (F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))) & likely("l", "r")
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
-    more = minor.alias("l").join(others.alias("r"), same & (apart if surely is None else apart & surely("l", "r")))
+    more = split.alias("l").join(others.alias("r"), same & (apart if here is None else apart & here("l", "r")))
     more = written(verify(paired(more)), "links")
     dropped(shared)
     return links.union(more)
+
+
+def _open(rest: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members (key, id, leads, first, label, ...) of buckets with several components, with their first lead's component
+    (major) and in how many blocks the bucket is."""
+    keys = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("id") == F.col("first"), F.col("label"))).alias("major"), F.count(F.lit(1)).alias("n"))
+    keys = keys.filter("x <> y").select("key", "major", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    return written(rest.join(keys, "key"), "open-buckets")

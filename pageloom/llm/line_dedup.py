@@ -9,8 +9,8 @@ of their whole sets; components of verified links are formed by joins, and the f
 of each component stays, all others go.
 
 Equal lines collapse to one before anything else, by a map-side minimum, so a line in a third of all texts costs one row
-a task. Lines of fewer than MIN_CHARS characters are copies only if they are equal: too short to tell near copies from
-chance. Lines of white space are left as they are. Documents never go, but a document may keep no line; its text is then empty. Texts that lose no line stay as they are, nulls too.
+a task. Lines of fewer than ``min_chars`` characters are copies only if they are equal; by default these are the ones
+without a whole shingle. Lines of white space are left as they are. Documents never go, but a document may keep no line; its text is then empty. Texts that lose no line stay as they are, nulls too.
 A null doc_id sorts last; repeated rows keep their lines once. No rows give no rows.
 """
 
@@ -27,7 +27,6 @@ from .scratch import read_table, shield, small_batches, written
 from .shingles import mix
 
 SHINGLE = 5
-MIN_CHARS = 20
 BANDS, ROWS = 15, 6
 BINS = BANDS * ROWS
 BITS = 4096
@@ -203,36 +202,40 @@ def _found(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_key").take(at), pa.array(places, pa.int32()), pa.array(lines, pa.binary())], names=["doc_id", "row_key", "place", "line"])
 
 
-def _banded(batches):
-    """(id, keys): a line's bands, of the lines of MIN_CHARS characters at least; a task sends a line again only if it has met many others."""
-    seen: set[bytes] = set()
-    forms: list[bytes] = []
-    names: list[bytes] = []
-    held = 0
+def _banded(min_chars: int):
+    """(id, keys): a line's bands, of the lines of ``min_chars`` characters at least; a task sends a line again only if it has met many others."""
 
-    def out():
-        ends = pa.array(np.arange(len(forms) + 1, dtype=np.int32) * BANDS)
-        keys = pa.ListArray.from_arrays(ends, pa.array(bands(forms).astype(np.int64).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), keys], names=["id", "keys"])
+    def run(batches):
+        seen: set[bytes] = set()
+        forms: list[bytes] = []
+        names: list[bytes] = []
+        held = 0
 
-    for batch in batches:
-        for text in batch.column("text"):
-            for _, form in _lines(_bytes(text)):
-                if len(form) < MIN_CHARS or (len(form) < 4 * MIN_CHARS and lengths([form])[0] < MIN_CHARS):
-                    continue
-                name = line_id(form)
-                if name in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(name)
-                forms.append(form), names.append(name)
-                held += len(form)
-                if held > SLICE:
-                    yield out()
-                    forms, names, held = [], [], 0
-    if forms:
-        yield out()
+        def out():
+            ends = pa.array(np.arange(len(forms) + 1, dtype=np.int32) * BANDS)
+            keys = pa.ListArray.from_arrays(ends, pa.array(bands(forms).astype(np.int64).ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), keys], names=["id", "keys"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                for _, form in _lines(_bytes(text)):
+                    if len(form) < min_chars or (len(form) < 4 * min_chars and lengths([form])[0] < min_chars):
+                        continue
+                    name = line_id(form)
+                    if name in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                    forms.append(form), names.append(name)
+                    held += len(form)
+                    if held > SLICE:
+                        yield out()
+                        forms, names, held = [], [], 0
+        if forms:
+            yield out()
+
+    return run
 
 
 def _forms(batches):
@@ -286,7 +289,7 @@ def _similar_lines(percent: int):
     return run
 
 
-def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = True) -> tuple[DataFrame, DataFrame]:
+def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = True, min_chars: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line) of all lines, and
     (line, label, keep) of those that occur twice or are linked; ``keep`` is the place that stays. ``repeated``: whether
     some rows may be equal."""
@@ -294,7 +297,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = Tr
     found = written(rows.mapInArrow(_found, f"doc_id {id_type}, row_key binary, place int, line binary"), "line-places")
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
     firsts = written(found.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    members = rows.select("text").mapInArrow(_banded, "id binary, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    members = rows.select("text").mapInArrow(_banded(max(min_chars, SHINGLE)), "id binary, keys array<long>").select(F.explode("keys").alias("key"), "id")
     forms: list[DataFrame] = []
 
     def texts_of(ids: DataFrame) -> None:
@@ -312,10 +315,7 @@ def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = Tr
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a binary, b binary")
 
-    def surely(x: str, y: str):
-        return first_shared(x, y) & may_be_similar(x, y, percent)
-
-    labels = components(linked(members, lambda x, y: F.lit(True), verify, details, surely, texts_of))
+    labels = components(linked(members, lambda x, y: F.lit(True), verify, details, lambda x, y: may_be_similar(x, y, percent), texts_of, first_shared))
     named = firsts.join(labels, firsts["line"] == labels["id"], "left").filter("n > 1 or label is not null")
     named = named.select("line", F.coalesce("label", "line").alias("label"), "first")
     least = named.groupBy("label").agg(F.min("first").alias("keep"))
@@ -341,7 +341,7 @@ def _without(columns: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, min_chars: int = SHINGLE) -> DataFrame:
     """``docs`` without the lines that copy an earlier one; n_chars, if there, follows. Adds n_lines and n_removed, which
     take the place of columns of these names."""
     small_batches(docs.sparkSession)
@@ -352,7 +352,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     rows = keyed.select("doc_id", F.col("_row_key").alias("row_key"), "text")
     repeats = keyed.groupBy("_row_key").count().filter("count > 1").select("_row_key", F.lit(True).alias("_repeats"))
     repeated = not repeats.isEmpty()
-    found, parts = line_components(rows, percent, repeated)
+    found, parts = line_components(rows, percent, repeated, min_chars)
     here = (F.col("keep.row_key") == F.col("row_key")) & (F.col("keep.place") == F.col("place"))
     held = found.join(parts, "line").select(F.col("row_key").alias("_row_key"), "place", here.alias("here"))
     gone = held.filter("not here").distinct().groupBy("_row_key").agg(F.collect_list("place").alias("_gone"))

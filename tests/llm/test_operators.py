@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from pageloom.llm import exact_dedup, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup
+from pageloom.llm import components, exact_dedup, fingerprints, html_text, line_dedup, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup
 from pageloom.llm.queries import ORACLES, QUERIES
 
 WORDS = "river stone bright quiet amber folding lantern harbor meadow copper winter saddle marble thunder velvet orchard".split()
@@ -510,7 +511,7 @@ def plain_lines(texts):
     lower = {c: c + 32 for c in range(65, 91)}
     forms = [(i, k, " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", line.translate(lower)) if x)) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))]
     forms = [x for x in forms if x[2]]
-    return forms, [{f[j : j + 5] for j in range(len(f) - 4)} if len(f) >= 20 else {f} for _, _, f in forms]
+    return forms, [{f[j : j + 5] for j in range(len(f) - 4)} or {f} for _, _, f in forms]
 
 
 def test_line_dedup(docs, odd, nothing):
@@ -549,15 +550,20 @@ def test_line_dedup_of_short_and_slightly_changed_lines(spark):
     assert line_dedup.lengths(["aé".encode(), b"", "€".encode()]).tolist() == [2, 0, 1]
 
 
-@pytest.mark.parametrize("words,changes", [(10, 1), (30, 4)])
-def test_banding_finds_similar_lines(words, changes):
+@pytest.mark.parametrize("chars,changes,most", [((60, 70), 1, 300), ((170, 180), 4, 300), ((5, 20), 0, 1500), ((20, 41), 0, 1500)])
+def test_banding_finds_similar_lines(chars, changes, most):
+    """Letters changed anywhere; in short lines also the last one, or one more put before or behind."""
     rng = np.random.default_rng(3)
     found = tried = 0
-    for seed in range(300):
-        line = prose(seed, words).encode()
+    for seed in range(most):
+        line = prose(seed, 40)[seed % 7 :][: rng.integers(*chars)].strip().encode()
         other = bytearray(line)
         for at in rng.integers(0, len(line), changes):
             other[at] = 122
+        if not changes:
+            other = [other[:-1] + b"z", b"z" + other, other + b"z", other[1:]][seed % 4]
+        if len(line) < line_dedup.SHINGLE or len(other) < line_dedup.SHINGLE or bytes(other) == line:
+            continue
         a, b = (set(line_dedup.line_set(x).tolist()) for x in (line, bytes(other)))
         if len(a & b) >= 0.8 * len(a | b):
             tried += 1
@@ -566,6 +572,29 @@ def test_banding_finds_similar_lines(words, changes):
     assert tried > 100 and found >= 0.98 * tried, (tried, found)
 
 
+def test_line_dedup_of_short_near_copies(spark):
+    rows = [(1, "fourteen chars\nabcd"), (2, "fourteen charz\nabce"), (3, "fourteen chars..\nABCD"), (4, "abcde\nabcdf\nabcdefg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.text for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == ["fourteen chars\nabcd", "abce", "", "abcde\nabcdf\nabcdefg"]
+    assert [r.n_removed for r in line_dedup.dedup_lines(docs, min_chars=20).orderBy("doc_id").collect()] == [0, 0, 1, 0]
+
+
+@pytest.mark.parametrize("crowd", [8, 1000])
+def test_links_of_crowded_buckets(spark, crowd):
+    """One bucket of several groups and of members that link with nothing: numbers link if they are 3 apart at most."""
+    rng = np.random.default_rng(1)
+    numbers = sorted({*range(0, 90, 2), *range(200, 290, 3), *range(400, 600, 7), *(int(x) for x in rng.integers(700, 5000, 60))})
+    members = spark.createDataFrame([(k, n) for n in numbers for k in (1, 10 + n // 100)], "key long, id long").repartition(3)
+    verify = lambda pairs: pairs.filter("b - a <= 3")
+    labels = {r.id: r.label for r in components.components(components.linked(members, lambda x, y: F.lit(True), verify, block=16, crowd=crowd)).collect()}
+    want, first = {}, None
+    for a, b in zip([-99, *numbers], numbers, strict=False):
+        first = b if b - a > 3 else first
+        want[b] = first
+    alone = [n for n in numbers if list(want.values()).count(want[n]) == 1]
+    assert labels == {n: c for n, c in want.items() if n not in alone}
+
+
 @pytest.mark.parametrize("alphabet", ["abcd ", "aé€😀 ", "".join(map(chr, range(0x4E00, 0x4E00 + 6000)))])
 def test_similar_lines_and_sketches_count_whole_sets(alphabet):
     """Pairs by packed code points, or by texts where a block has too many kinds of them; sketches of a block's lines one by one."""
