@@ -3,8 +3,8 @@
 ``linked`` finds links of the members of a bucket without making all pairs. Buckets with one member go in a stream of
 sorted rows, which also names a lead of each bucket, its smallest id. Every member is compared with its lead, and
 components of what is linked so far are formed. Buckets of several components stay open; while they call for more than
-CROWD pairs a member, they get further leads, the member that shares most buckets, one a round, until a round links nothing.
-Then only members outside their first lead's component are compared with the others of their bucket, in blocks of bounded
+CROWD pairs for each row of all buckets, they get further leads, the member that shares most buckets, one a round, until a
+round doesn't halve the pairs. Then only members outside their first lead's component are compared with the others of their bucket, in blocks of bounded
 size, if they are in different components. What a lead gathers costs its size, not the square, and no link that joins two
 components is missed. Buckets that stay crowded hold members that don't link, and are the ones whose pairs are all looked at.
 """
@@ -22,8 +22,8 @@ from .scratch import dropped, partitions, streamed, written
 
 #: Members of a bucket that meet one row in a task.
 BLOCK = 512
-#: Pairs a member of open buckets up to which no further lead is chosen.
-CROWD = 4
+#: Pairs for each row of all shared buckets up to which open ones get no further lead.
+CROWD = 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,16 +133,20 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
     lead = F.struct(F.col("lead_id").alias("id"), *(F.col(f"lead_{c}").alias(c) for c in extra)).alias("r")
     links = written(verify(paired(shared.filter("id <> lead_id").select(own, lead).filter(may_link("l", "r")))), "links")
     rest = shared.select("key", "id", *extra, (F.col("id") == F.col("lead_id")).alias("leads"), F.col("lead_id").alias("first"))
-    rest = written(rest.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-    rest = _open(rest, block)
+    rows, last = shared.count(), None
+    labelled = written(rest.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    rest = _open(labelled, block)
+    dropped(shared, labelled)
     if details is not None:
-        rest = written(rest.join(written(details(rest.select("id").distinct()), "open-members"), "id"), "open-details")
+        rest, had = written(rest.join(details(rest.select("id").distinct()), "id"), "open-details"), rest
+        dropped(had)
     likely = (lambda x, y: may_link(x, y)) if surely is None else (lambda x, y: may_link(x, y) & surely(x, y))
     while True:
         minor = rest.filter("not leads and label <> major").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-        crowded = minor.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").agg(F.sum(F.col("m") * F.col("n")), F.sum("n")).first()
-        if not crowded[0] or crowded[0] <= crowd * crowded[1]:
+        pairs = minor.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+        if pairs <= crowd * rows or (last is not None and 2 * pairs > last):
             break
+        last = pairs
         # A further lead: the member that shares most buckets. It is compared with all that its bucket's others don't join to it.
         often = written(rest.groupBy("id").agg(F.count(F.lit(1)).alias("met")), "met")
         best = rest.filter("not leads").join(often, "id").groupBy("key").agg(F.max(F.struct("met", "id")).alias("m")).select("key", F.col("m.id").alias("id"))
@@ -158,14 +162,15 @@ def linked(members: DataFrame, may_link: Callable[[str, str], Column], verify: C
         flags = chosen.select("key", F.col("id").alias("_lead"))
         moved = rest.join(new.select(F.col("id").alias("label"), F.col("label").alias("_new")), "label", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
         moved = moved.join(flags, "key", "left").withColumn("leads", F.col("leads") | F.coalesce(F.col("id") == F.col("_lead"), F.lit(False)))
-        rest = _open(written(moved.drop("_lead", "major", "blocks"), "labelled"), block)
+        rest, had = _open(moved.drop("_lead", "major", "blocks"), block), rest
+        dropped(had, often, chosen)
     split = rest.filter("not leads and label <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = rest.filter("not leads").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     apart = (F.col("l.label") != F.col("r.label")) & ((F.col("r.label") == F.col("r.major")) | (F.col("l.id") < F.col("r.id"))) & likely("l", "r")
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block"))
     more = split.alias("l").join(others.alias("r"), same & (apart if here is None else apart & here("l", "r")))
     more = written(verify(paired(more)), "links")
-    dropped(shared)
+    dropped(rest)
     return links.union(more)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .scratch import partitions, read_table, shield, small_batches, written
+from .scratch import dropped, partitions, read_table, shield, small_batches, written
 from .shingles import mix, shingle_sets
 
 #: Counters for shingle frequencies: 2^22 of 4 bytes, whatever the corpus size. Broadcast, 16 MB.
@@ -177,7 +177,9 @@ def similarity_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, log2_c
         chosen = classes.join(needed, "set_id").select("set_id", F.col("first.row_key").alias("row_key"))
         sets = written(rows.select("row_key", "text").join(chosen, "row_key").dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(_sets(n), "set_id binary, hashes binary"), "ngram-sets")
         both = near.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_similar_pairs(percent), "a binary, b binary")
+        found = written(both.select("a", "b", "x", "y").mapInArrow(_similar_pairs(percent), "a binary, b binary"), "similar-pairs")
+        dropped(near, sets)
+        return found
 
     links = linked(members, may_link, verify, ranges, surely)
     labels = components(links)

@@ -10,6 +10,10 @@ from pageloom.sources.scratch import dropped, scratch_root, setting, written
 __all__ = ["dropped", "partitions", "read_table", "scratch_root", "setting", "shield", "small_batches", "streamed", "written"]
 
 
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 1 << 24
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -19,13 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows that carry whole texts go to Python in batches of at most ``rows``, so a batch of long texts fits in memory.
+    """Rows that carry whole texts go to Python in batches of at most ``rows`` and about BATCH_BYTES, so a batch of long texts
+    fits in memory.
 
-    The setting stays, as a DataFrame that is returned runs later; a lower one of the caller's is left alone.
+    The settings stay, as a DataFrame that is returned runs later; lower ones of the caller's are left alone.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(str(spark.conf.get(key)).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def streamed(df: DataFrame, name: str, rows: int = 16_384) -> DataFrame:

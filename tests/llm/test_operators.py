@@ -579,7 +579,7 @@ def test_line_dedup_of_short_near_copies(spark):
     assert [r.n_removed for r in line_dedup.dedup_lines(docs, min_chars=20).orderBy("doc_id").collect()] == [0, 0, 1, 0]
 
 
-@pytest.mark.parametrize("crowd", [8, 1000])
+@pytest.mark.parametrize("crowd", [0, 1000])
 def test_links_of_crowded_buckets(spark, crowd):
     """One bucket of several groups and of members that link with nothing: numbers link if they are 3 apart at most."""
     rng = np.random.default_rng(1)
