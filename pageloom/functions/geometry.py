@@ -18,6 +18,11 @@ def contains(outer: Box, inner: Box) -> Column:
     return (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (inner[2] <= outer[2]) & (inner[3] <= outer[3])
 
 
+def valid(box: Box) -> Column:
+    """Whether a box has a width and a height."""
+    return (box[2] > box[0]) & (box[3] > box[1])
+
+
 def character_range(x: Column, width: Column, n: Column, x0: Column, x1: Column) -> tuple[Column, Column]:
     """[lo, hi) of the characters of a run, all of one width, whose middle lies within x0 and x1."""
     each = width / n

@@ -40,18 +40,3 @@ def chain_ends(links: DataFrame, limit: int) -> DataFrame:
         jumps, reach = written(jumps, "jumps"), reach * 2
     near = F.col("steps") <= limit
     return jumps.select("src", F.when(near, F.col("end")).alias("end"), F.when(near, F.col("steps")).alias("steps"))
-
-
-def tree_entries(nodes: DataFrame, kids: DataFrame, roots: DataFrame, limit: int = 32) -> DataFrame:
-    """``nodes`` (node, ...) that ``roots`` (node) reach over ``kids`` (src, dst), with their depth, once for each way to them.
-
-    Nodes more than ``limit`` steps down are left out, so a loop ends there. A step writes its level alone.
-    """
-    level = written(roots.select("node", F.lit(0).alias("depth")), "level")
-    levels = level
-    for depth in range(1, limit + 1):
-        level = written(level.join(kids, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth")), "level")
-        if level.isEmpty():
-            break
-        levels = levels.unionByName(level)
-    return levels.join(nodes, "node")

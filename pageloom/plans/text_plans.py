@@ -19,7 +19,7 @@ RULES = [R.Rule(1, "the", "<T1>"), R.Rule(2, "tion", "<T2>"), R.Rule(3, "of the"
 PATTERNS = [R.Rule(11, pattern=r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+"), R.Rule(12, pattern=r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), R.Rule(13, pattern=r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")]
 RECTS = [(0, 0.0, 0.0, 120.0, 60.0), (0, 200.0, 10.0, 320.0, 120.0), (1, 50.0, 700.0, 400.0, 760.0)]
 
-def _bounded(p: str, i: str, lit: str) -> str:
+def bounded_sql(p: str, i: str, lit: str) -> str:
     """Whether hit i of pieces p is bounded, in the oracle's SQL."""
     word = r"'^[\p{L}\p{Nd}]$'"
     before = f"CASE WHEN length({p}[{i}]) > 0 OR {i} = 1 THEN right({p}[{i}], 1) ELSE right({lit}, 1) END"
@@ -31,7 +31,7 @@ RULES_SQL = "rules(rule_id, lit, token) AS (VALUES " + ", ".join(f"({r.rule_id},
 HITS_SQL = f"""{RULES_SQL}, cut AS (
   SELECT doc_id, rule_id, lit, string_split(text, lit) AS p FROM documents, rules
 ), hit AS (
-  SELECT doc_id, rule_id, lit, p, u.i FROM cut, unnest(range(1, len(p))) AS u(i) WHERE {_bounded('p', 'u.i', 'lit')}
+  SELECT doc_id, rule_id, lit, p, u.i FROM cut, unnest(range(1, len(p))) AS u(i) WHERE {bounded_sql('p', 'u.i', 'lit')}
 )"""
 PATTERNS_SQL = "\n  UNION ALL ".join(f"SELECT doc_id, {r.rule_id} AS rule_id, u.i - 1 AS ord, m[u.i] AS match FROM (SELECT doc_id, regexp_extract_all(text, '{r.pattern}') AS m FROM documents), unnest(range(1, len(m) + 1)) AS u(i)" for r in PATTERNS)
 
@@ -41,7 +41,7 @@ def replaced_sql(column: str, rules: list[R.Rule]) -> str:
     out = column
     for r in R.longest_first(rules):
         p = f"string_split({out}, '{r.literal}')"
-        hit = _bounded("p", "i", f"'{r.literal}'")
+        hit = bounded_sql("p", "i", f"'{r.literal}'")
         out = f"list_aggregate(list_apply([{p}], lambda p: array_to_string(list_apply(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i = len(p) THEN '' WHEN {hit} THEN '{r.token}' ELSE '{r.literal}' END), '')), 'first')"
     return out
 
