@@ -579,14 +579,14 @@ def test_line_dedup_of_short_near_copies(spark):
     assert [r.n_removed for r in line_dedup.dedup_lines(docs, min_chars=20).orderBy("doc_id").collect()] == [0, 0, 1, 0]
 
 
-@pytest.mark.parametrize("crowd", [0, 1000])
-def test_links_of_crowded_buckets(spark, crowd):
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_links_of_crowded_buckets(spark, rounds):
     """One bucket of several groups and of members that link with nothing: numbers link if they are 3 apart at most."""
     rng = np.random.default_rng(1)
     numbers = sorted({*range(0, 90, 2), *range(200, 290, 3), *range(400, 600, 7), *(int(x) for x in rng.integers(700, 5000, 60))})
     members = spark.createDataFrame([(k, n) for n in numbers for k in (1, 10 + n // 100)], "key long, id long").repartition(3)
     verify = lambda pairs: pairs.filter("b - a <= 3")
-    labels = {r.id: r.label for r in components.components(components.linked(members, lambda x, y: F.lit(True), verify, block=16, crowd=crowd)).collect()}
+    labels = {r.id: r.label for r in components.components(components.linked(members, lambda x, y: F.lit(True), verify, block=16, rounds=rounds)).collect()}
     want, first = {}, None
     for a, b in zip([-99, *numbers], numbers, strict=False):
         first = b if b - a > 3 else first
