@@ -13,12 +13,15 @@ are paths of one blob. No rows give no rows.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.folds import let, running_sums
+
 from .scratch import read_table, scratch_root
 
 #: Kind, pattern, group whose length counts (0: the match), least length. The first three are the base.
@@ -30,7 +33,8 @@ RULES = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
-RULE_VERSION = "1"
+#: A changed pattern is another version: its findings aren't those of the old one.
+RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 LEDGER = "blob string, rule_version string, findings array<struct<start:int,ord:int,end:int,kind:string>>"
 #: Setting that names the ledger's folder. Unset: the query begins a ledger of its own.
 LEDGER_SETTING = "pageloom.secrets.ledger"
@@ -44,22 +48,20 @@ def spans(text: Column, kind: str, order: int) -> Column:
     _, pattern, group, least = next(r for r in RULES if r[0] == kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+
+    def placed(pieces: Column) -> Column:
+        """Where each match ends is a running sum, so none is appended to the ones before it."""
+        reach = running_sums(F.transform(pieces, lambda p: p["gap"] + F.coalesce(p["len"], F.lit(0))))
+        spans = F.zip_with(pieces, reach, lambda p, end: F.struct((end - F.coalesce(p["len"], F.lit(0))).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), (F.coalesce(p["size"], F.lit(0)) >= least).alias("enough")))
+        return F.transform(F.filter(spans, lambda s: s["enough"]), lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"]))
+
     parts = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"),
         F.transform(found, lambda x: F.length(x)).alias("len"),
         F.transform(sized, lambda x: F.length(x)).alias("size"),
     )
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"))
-        long_enough = F.coalesce(x["size"], F.lit(0)) >= least
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(HINTS.get(kind, pattern)), F.aggregate(parts, state, step)["out"]).otherwise(empty)
+    return F.when(text.rlike(HINTS.get(kind, pattern)), let(parts, placed)).otherwise(empty)
 
 
 def digest(found: Column) -> Column:
