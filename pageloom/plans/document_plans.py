@@ -106,8 +106,11 @@ def unreachable_objects(spark, sf_dir):
     return table(spark, sf_dir, "part").join(live, "p_partkey", "left_anti").select("p_partkey")
 
 
-#: A heading, a leaf block: from its tag, with or without attributes, to the end tag; inner tags are no text.
-HEADING, BLOCK = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", r"(?is)<(?:h1|p|li)(?:\s[^>]*)?>.*?</(?:h1|p|li)\s*>"
+#: A heading: from its tag, with or without attributes, to the end tag; inner tags are no text.
+HEADING = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"
+#: What no reader sees, and the tags between which blocks of text lie.
+UNSEEN = r"(?is)<!--.*?-->|<(?:head|script|style|template)\b[^>]*>.*?</(?:head|script|style|template)\s*>"
+BLOCK_TAG = r"(?is)</?(?:h[1-6]|p|li|ul|ol|dl|dt|dd|table|thead|tbody|tr|td|th|caption|blockquote|pre|figure|figcaption|div|section|article|main|aside|header|footer|nav|form|fieldset|address|body|html|hr|br)\b[^>]*>"
 TEXT_SQL = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
@@ -126,11 +129,15 @@ def struct_outline(spark, sf_dir):
     return found.select("page_id", "ord", F.substring("h", 3, 1).cast("int").alias("level"), _inner_text(F.col("h")).alias("title"))
 
 
-@query("struct_text", f"SELECT page_id, count(*) AS n_nodes, sha256(string_agg({TEXT_SQL.format('h')}, chr(10) ORDER BY ord)) AS text_sha256 FROM ({_each_sql(BLOCK)}) GROUP BY page_id")
+_PARTS_SQL = f"[trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) FOR x IN string_split(regexp_replace(regexp_replace(html, '{UNSEEN}', '', 'g'), '{BLOCK_TAG}', chr(1), 'g'), chr(1))]"
+
+
+@query("struct_text", f"SELECT page_id, CAST(len(b) AS BIGINT) AS n_nodes, sha256(array_to_string(b, chr(10))) AS text_sha256 FROM (SELECT page_id, list_filter({_PARTS_SQL}, lambda x: x <> '') AS b FROM pages) WHERE len(b) > 0")
 def struct_text(spark, sf_dir):
-    """Text of the leaf blocks in order, a line each."""
-    blocks = F.regexp_extract_all("html", F.lit(BLOCK), F.lit(0))
-    return table(spark, sf_dir, "pages").select("page_id", blocks.alias("b")).filter(F.size("b") > 0).select("page_id", F.size("b").cast("long").alias("n_nodes"), F.sha2(F.array_join(F.transform("b", _inner_text), "\n"), 256).alias("text_sha256"))
+    """Text of all leaf blocks in order, a line each: whatever lies between the tags of blocks, of every kind."""
+    seen = F.regexp_replace(F.regexp_replace("html", UNSEEN, ""), BLOCK_TAG, "\x01")
+    blocks = F.filter(F.transform(F.split(seen, "\x01"), _inner_text), lambda t: t != "")
+    return table(spark, sf_dir, "pages").select("page_id", blocks.alias("b")).filter(F.size("b") > 0).select("page_id", F.size("b").cast("long").alias("n_nodes"), F.sha2(F.array_join("b", "\n"), 256).alias("text_sha256"))
 
 
 HREF = r"""(?i)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
@@ -144,11 +151,27 @@ def link_annotations(spark, sf_dir):
     return found.withColumn("url", F.regexp_replace("url", "^[\"']|[\"']$", ""))
 
 
-@query("metadata_fields", "SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(html, 'charset=\"([^\"]+)\"', 1) AS charset FROM pages")
+#: Fields by the pattern that finds them: an element's whole text, or a value in double, single or no quotes.
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
+METADATA = {
+    "title": r"(?is)<title\b[^>]*>(.*?)</title\s*>",
+    "lang": rf"(?is)<html\b[^>]*?\slang\s*=\s*{_VALUE}",
+    "charset": r"""(?is)<meta\b[^>]*?\bcharset\s*=\s*["']?([A-Za-z0-9_:.-]+)""",
+    **{name: rf"""(?is)<meta\b[^>]*?\sname\s*=\s*["']?{name}["']?\s[^>]*?\bcontent\s*=\s*{_VALUE}""" for name in ("author", "description", "keywords", "generator")},
+}
+
+
+def _field_sql(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    found = f"regexp_extract(html, '{quoted}', 1)"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({found}, '^[\"'']|[\"'']$', '', 'g'), '<[^>]*>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query("metadata_fields", "SELECT page_id, " + ", ".join(f"{_field_sql(p)} AS {n}" for n, p in METADATA.items()) + " FROM pages")
 def metadata_fields(spark, sf_dir):
     """Descriptive fields found by searching the text, not by parsing it."""
-    find = lambda p: F.regexp_extract("html", p, 1)
-    return table(spark, sf_dir, "pages").select("page_id", find("<title>([^<]*)").alias("title"), find('<html lang="([a-z]+)"').alias("lang"), find('charset="([^"]+)"').alias("charset"))
+    find = lambda p: _inner_text(F.regexp_replace(F.regexp_extract("html", p, 1), "^[\"']|[\"']$", ""))
+    return table(spark, sf_dir, "pages").select("page_id", *(find(p).alias(n) for n, p in METADATA.items()))
 
 
 _STRIPPED = ("title", "script", "style")

@@ -1,13 +1,15 @@
-"""Queries of joined readings: replacement inside styled spans."""
+"""Queries of joined readings: replacement inside styled spans, and tokens set to the width of what they replace."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.functions.fitting import FitRule, fitted, with_tokens
 from pageloom.operators.reading import joined_reading, reading_hits, replace_in_spans, span_pieces
 from pageloom.sources.tables import LINES_PER_PAGE, spread, table
 
 from .registry import query
+from .text_plans import bounded_sql
 
 #: Texts in which a common word is broken over lines, or has a hyphen inside a line, where it stays.
 _BROKEN_SQL = "broken AS (SELECT doc_id, replace(replace(text, ' the ', ' t-' || chr(10) || 'he '), ' de ', ' d-e ') AS text FROM documents)"
@@ -65,3 +67,40 @@ def reading_map_back(spark, sf_dir):
     read = _pages(spark, sf_dir).select("doc_id", "page", joined_reading(F.col("spans")).alias("r"))
     hits = read.select("doc_id", "page", "r.starts", F.explode(reading_hits(F.col("r"), "the")).alias("h"))
     return hits.select("doc_id", "page", F.col("h.lo").alias("hit"), F.inline(span_pieces(F.col("starts"), F.col("h.lo"), F.col("h.hi"))))
+
+
+#: Fixed values of this query: rules in order, the second of which can't fit, and spacing in points.
+FIT_RULES = [FitRule("of the", "[LONGER]", 0.3), FitRule("the", "[FAR TOO LONG FOR IT]"), FitRule("de la", "*"), FitRule("an", "AA"), FitRule("the", "[ART]", 0.2)]
+_CHAR_SPACING, _WORD_SPACING = 0.1, 0.25
+_ADVANCE_SQL = "(list_sum([CASE WHEN c = ' ' THEN 278 ELSE 400 + unicode(c) % 8 * 50 END FOR c IN string_split({0}, '')]) / 1000.0::DOUBLE * {1} + length({0}) * 0.1::DOUBLE + (length({0}) - length(replace({0}, ' ', ''))) * 0.25::DOUBLE)"
+
+
+def _fit_sql() -> str:
+    """The rules one after the other, each over what those before it have taken."""
+    size = "(10 + length(line) % 3)::DOUBLE"
+    steps = [f"s0 AS (SELECT doc_id, ln, line, {size} AS size, []::STRUCT(lo BIGINT, hi BIGINT, token VARCHAR, size DOUBLE)[] AS t FROM ls)"]
+    for i, r in enumerate(FIT_RULES):
+        lit, token, n = f"'{r.literal}'", f"'{r.token}'", len(r.literal)
+        full, half, want = (_ADVANCE_SQL.format(x, y) for x, y in ((token, "size"), (token, "(size / 2)"), (lit, "size")))
+        hits = f"[{{'lo': CAST(list_sum([length(x) FOR x IN p[1:k]]) + (k - 1) * {n} AS BIGINT), 'hi': CAST(list_sum([length(x) FOR x IN p[1:k]]) + k * {n} AS BIGINT)}} FOR k IN range(1, len(p)) IF {bounded_sql('p', 'k', lit)}]"
+        free = "[h FOR h IN hits IF len([x FOR x IN t IF h.lo < x.hi AND x.lo < h.hi]) = 0]"
+        steps += [
+            f"h{i} AS (SELECT *, {hits} AS hits FROM (SELECT *, string_split(line, {lit}) AS p FROM s{i}))",
+            f"m{i} AS (SELECT doc_id, ln, line, size, t, {free} AS free, {full} AS w, ({full} - {half}) / (size / 2) AS k, {want} AS want FROM h{i})",
+            f"e{i} AS (SELECT *, CASE WHEN w <= want THEN size ELSE (want - (w - k * size)) / k END AS fit FROM m{i})",
+            f"s{i + 1} AS MATERIALIZED (SELECT doc_id, ln, line, size, CASE WHEN fit >= size * {r.share()}::DOUBLE THEN list_concat(t, [{{'lo': h.lo, 'hi': h.hi, 'token': {token}, 'size': fit}} FOR h IN free]) ELSE t END AS t FROM e{i})",
+        ]
+    return ", ".join(steps)
+
+
+@query("fitted_rules", f"""WITH ls AS (SELECT doc_id, u.i - 1 AS ln, l[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)), {_fit_sql()},
+f AS (SELECT doc_id, ln, line, list_sort(t) AS t FROM s{len(FIT_RULES)} WHERE len(t) > 0)
+SELECT doc_id, CAST(ln AS INT) AS ln, CAST(len(t) AS INT) AS n_tokens, round(list_sum([x.size FOR x IN t]), 4) AS sizes,
+  sha256(array_to_string([line[(CASE WHEN k = 1 THEN 0 ELSE t[k - 1].hi END) + 1:t[k].lo] || t[k].token FOR k IN range(1, len(t) + 1)], '') || line[t[len(t)].hi + 1:]) AS text_sha256 FROM f""")
+def fitted_rules(spark, sf_dir):
+    """Tokens at the width of the words they replace, rule after rule; one that can't be set small enough undoes itself alone."""
+    width = lambda c: F.when(c == " ", 278).otherwise(400 + F.ascii(c) % 8 * 50).cast("double")
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "text"))
+    placed = fitted(rows, FIT_RULES, (F.length("text") % 3 + 10).cast("double"), width, _CHAR_SPACING, _WORD_SPACING).filter(F.size("placed") > 0)
+    sizes = F.round(F.aggregate("placed", F.lit(0.0), lambda acc, x: acc + x["size"]), 4)
+    return placed.select("doc_id", "ln", F.size("placed").alias("n_tokens"), sizes.alias("sizes"), F.sha2(with_tokens(F.col("text"), F.col("placed")), 256).alias("text_sha256"))
