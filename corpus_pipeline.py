@@ -4,6 +4,12 @@ Each stage takes all rows that the one before it kept, as a table. Documents the
 an earlier line go; of each group of near copies (five-word shingles, similarity 0.8) one document stays; sources are
 mixed to their weights, whole epochs as rows of their own; what is left is packed. All stages but the last return the
 columns of ``documents``.
+
+Nulls, empties and ties, by stage: a null or empty text has the labelled documents' share of quality, and stays if that reaches the threshold;
+it has no lines to lose, no copies, no words to mix (so it isn't in the mix), and would be packed as a separator alone.
+A null id sorts last; rows with one are told apart by their texts, and repeated rows lose the lines and the place that
+the first one keeps. Of equal lines or near copies the smallest id stays. Columns that aren't those of documents pass
+through whatever their names. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +47,7 @@ STAGES = [
     ("source_mix", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
-#: The classifier, MinHash and tokenizer stages have no SQL form; tests hold each stage against a brute-force version.
+#: The classifier, MinHash and tokenizer stages have no SQL form; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
