@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components, linked
 from .ngram_join import row_key, similar
-from .scratch import read_table, shield, small_batches, written
+from .scratch import BATCH_BYTES, read_table, shield, small_batches, written
 from .shingles import mix
 
 SHINGLE = 5
@@ -347,7 +347,7 @@ def _without(columns: list[str]):
 def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, min_chars: int = SHINGLE) -> DataFrame:
     """``docs`` without the lines that copy an earlier one; n_chars, if there, follows. Adds n_lines and n_removed, which
     take the place of columns of these names."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, most_bytes=BATCH_BYTES)
     extra = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*extra)
     shielded, restore = shield(docs, ("doc_id", "text", "n_chars"))

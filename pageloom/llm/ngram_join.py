@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .scratch import partitions, read_table, shield, small_batches, written
+from .scratch import BATCH_BYTES, partitions, read_table, shield, small_batches, written
 from .shingles import mix, shingle_sets
 
 #: Counters for shingle frequencies: 2^22 of 4 bytes, whatever the corpus size. Broadcast, 16 MB.
@@ -145,7 +145,7 @@ def _similar_pairs(percent: int):
 def similarity_classes(docs: DataFrame, *, n: int = 5, percent: int = 80, log2_counters: int = LOG2_COUNTERS) -> DataFrame:
     """Per row of ``docs``: doc_id, row_key (hash of id and text), n_shingles, set_id, component_id."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, most_bytes=BATCH_BYTES)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text")
     counters = spark.sparkContext.broadcast(shingle_counters(rows, n, log2_counters))

@@ -10,7 +10,7 @@ from pageloom.sources.scratch import dropped, scratch_root, setting, written
 __all__ = ["dropped", "partitions", "read_table", "scratch_root", "setting", "shield", "small_batches", "streamed", "written"]
 
 
-#: Bytes of rows that go to Python at once.
+#: Bytes that go to Python at once where rows hold two texts.
 BATCH_BYTES = 1 << 24
 
 
@@ -22,14 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows that carry whole texts go to Python in batches of at most ``rows`` and about BATCH_BYTES, so a batch of long texts
-    fits in memory.
+def small_batches(spark: SparkSession, rows: int = 1024, most_bytes: int | None = None) -> None:
+    """Rows that carry whole texts go to Python in batches of at most ``rows``, and about ``most_bytes`` if that is given, so a
+    batch of long texts fits in memory.
 
     The settings stay, as a DataFrame that is returned runs later; lower ones of the caller's are left alone.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(str(spark.conf.get(key)).removesuffix("b")) <= most:
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        if most is not None and not 0 < int(str(spark.conf.get(key)).removesuffix("b")) <= most:
             spark.conf.set(key, str(most))
 
 
