@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.folds import heads_where, let, runs_at, scan
 from pageloom.functions.text import anywhere_hits, bounded_hits, bounded_spans, replace_bounded
 
 
@@ -80,6 +81,22 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
+def merged_ranges(ranges: Column, n: Column) -> Column:
+    """``merge_ranges`` of an array of (lo, hi) inside its row, cut to [0, n]: in order, a range opens where none before reaches it."""
+    cut = F.transform(ranges, lambda r: F.struct(F.greatest(r["lo"], F.lit(0)).alias("lo"), F.least(r["hi"], n).alias("hi")))
+    ordered = F.array_sort(F.filter(cut, lambda r: r["lo"] < r["hi"]))
+
+    def step(reach: Column, r: Column) -> Column:
+        return F.struct(F.greatest(reach, r["hi"]).alias("state"), (r["lo"] > reach).alias("out"))
+
+    def joined(v: Column) -> Column:
+        opens = scan(v, F.lit(-1), step, "boolean")
+        heads = let(opens, lambda new: heads_where(v, lambda r, i: F.get(new, i)))
+        return F.transform(runs_at(v, heads), lambda run: F.struct(F.get(run, F.lit(0))["lo"].alias("lo"), F.array_max(F.transform(run, lambda r: r["hi"])).alias("hi")))
+
+    return let(ordered, joined)
+
+
 def _respelled(forms: Column, old: str, new: str) -> Column:
     return F.transform(forms, lambda f: F.replace(f, F.lit(old), F.lit(new)))
 

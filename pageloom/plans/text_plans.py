@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.geometry import character_range, contains, intersects
 from pageloom.functions.folds import heads_where, let, running_sums
-from pageloom.functions.text import anywhere_spans, dehyphenate, flatten_space
+from pageloom.functions.text import anywhere_spans, bounded_spans, dehyphenate, flatten_space
 from pageloom.operators import chains as C
 from pageloom.operators import redact as R
 from pageloom.operators.spans import apply_splices, merge_spans
@@ -19,6 +19,11 @@ RULES = [R.Rule(1, "the", "<T1>"), R.Rule(2, "tion", "<T2>"), R.Rule(3, "of the"
 PATTERNS = [R.Rule(11, pattern=r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+"), R.Rule(12, pattern=r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"), R.Rule(13, pattern=r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}")]
 RECTS = [(0, 0.0, 0.0, 120.0, 60.0), (0, 200.0, 10.0, 320.0, 120.0), (1, 50.0, 700.0, 400.0, 760.0)]
 
+def documents(spark, sf_dir):
+    """The documents, dealt to all cores where they are few row groups."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def bounded_sql(p: str, i: str, lit: str) -> str:
     """Whether hit i of pieces p is bounded, in the oracle's SQL."""
     word = r"'^[\p{L}\p{Nd}]$'"
@@ -48,24 +53,24 @@ def replaced_sql(column: str, rules: list[R.Rule]) -> str:
 
 @query("literal_bounded_hits", f"WITH {HITS_SQL} SELECT doc_id, rule_id, count(*) AS hits FROM hit GROUP BY doc_id, rule_id")
 def literal_bounded_hits(spark, sf_dir):
-    return R.literal_marks(table(spark, sf_dir, "documents"), RULES)
+    return R.literal_marks(documents(spark, sf_dir), RULES)
 
 
 @query("literal_anywhere_hits", f"WITH {RULES_SQL} SELECT doc_id, rule_id, len(string_split(text, lit)) - 1 AS hits FROM documents, rules WHERE contains(text, lit)")
 def literal_anywhere_hits(spark, sf_dir):
-    return R.literal_marks(table(spark, sf_dir, "documents"), RULES, bounded=False)
+    return R.literal_marks(documents(spark, sf_dir), RULES, bounded=False)
 
 
 @query("pattern_marks", PATTERNS_SQL)
 def pattern_marks(spark, sf_dir):
-    return R.pattern_marks(table(spark, sf_dir, "documents"), PATTERNS)
+    return R.pattern_marks(documents(spark, sf_dir), PATTERNS)
 
 
 @query("marks_plan", f"""WITH {HITS_SQL}, found AS ({PATTERNS_SQL}), marks AS (
   SELECT doc_id, rule_id, 'literal' AS kind, count(*) AS n FROM hit GROUP BY ALL UNION ALL SELECT doc_id, rule_id, 'pattern', count(*) FROM found GROUP BY ALL)
 SELECT source, kind, rule_id, CAST(sum(n) AS BIGINT) AS hits, count(*) AS n_docs FROM marks JOIN documents USING (doc_id) GROUP BY source, kind, rule_id""")
 def marks_plan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     text = R.literal_marks(docs.withColumn("doc_id", F.struct("source", "doc_id")), RULES).withColumn("kind", F.lit("literal"))
     found = R.pattern_marks(docs.withColumn("doc_id", F.struct("source", "doc_id")), PATTERNS).groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("hits")).withColumn("kind", F.lit("pattern"))
     return text.unionByName(found).groupBy("doc_id.source", "kind", "rule_id").agg(F.sum("hits").cast("long").alias("hits"), F.count(F.lit(1)).alias("n_docs"))
@@ -73,20 +78,20 @@ def marks_plan(spark, sf_dir):
 
 @query("redact_text", f"SELECT doc_id, sha256({replaced_sql('text', [RULES[0]])}) AS redacted_sha256, CAST(length({replaced_sql('text', [RULES[0]])}) - length(text) AS BIGINT) AS grown FROM documents")
 def redact_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.length("text").alias("n"))
     out = R.substitute(docs, [RULES[0]])
     return out.select("doc_id", F.sha2("text", 256).alias("redacted_sha256"), (F.length("text") - F.col("n")).cast("long").alias("grown"))
 
 
 @query("pseudonymize_text", f"WITH r AS MATERIALIZED (SELECT doc_id, {replaced_sql('text', RULES[2:])} AS t FROM documents) SELECT doc_id, sha256({replaced_sql('t', RULES[:2])}) AS text_sha256 FROM r")
 def pseudonymize_text(spark, sf_dir):
-    return R.substitute(table(spark, sf_dir, "documents"), RULES).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return R.substitute(documents(spark, sf_dir), RULES).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("residue_check", f"WITH r AS (SELECT doc_id, {replaced_sql('text', [RULES[1]])} AS t FROM documents) SELECT doc_id, len(string_split(t, 'tion')) - 1 AS residue FROM r WHERE contains(t, 'tion')")
 def residue_check(spark, sf_dir):
     """Where a substituted literal is still there, inside words: such a document is withheld."""
-    out = R.substitute(table(spark, sf_dir, "documents").select("doc_id", "text"), [RULES[1]])
+    out = R.substitute(documents(spark, sf_dir).select("doc_id", "text"), [RULES[1]])
     return R.literal_marks(out, [RULES[1]], bounded=False).select("doc_id", F.col("hits").alias("residue"))
 
 
@@ -94,7 +99,7 @@ def residue_check(spark, sf_dir):
 SELECT d.source, count(*) AS n_wanted, count(*) FILTER (contains(r.t, '<T1>')) AS n_arrived FROM wanted JOIN r USING (doc_id) JOIN documents d USING (doc_id) GROUP BY d.source""")
 def arrival_check(spark, sf_dir):
     """Documents with hits, and those whose token arrived."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("before", F.col("text"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text").withColumn("before", F.col("text"))
     hits = R.bounded_hits(F.col("before"), RULES[0].literal)
     out = R.substitute(docs, RULES[:1]).filter(hits > 0)
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n_wanted"), F.count_if(F.contains("text", F.lit(RULES[0].token))).alias("n_arrived"))
@@ -129,7 +134,7 @@ def variant_expand(spark, sf_dir):
 @query("variant_hits", "SELECT doc_id, len(string_split(replace(text, ' ', chr(160)), 'of' || chr(160) || 'the')) - 1 AS hits FROM documents WHERE contains(text, 'of the')")
 def variant_hits(spark, sf_dir):
     """A literal found in its hard-space spelling."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit(" ")).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit(" "), F.lit(" ")).alias("text"))
     return R.literal_marks(docs, [R.Rule(1, "of the")], bounded=False).select("doc_id", "hits")
 
 
@@ -141,27 +146,28 @@ def dehyphenate_query(spark, sf_dir):
     """Texts with breaks inside words, which are joined, and hyphens of their own before a break, which stay."""
     broken = F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit(" de "), F.lit(" de -\n"))
     n = F.size(F.split(broken, "-\n", -1)) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(dehyphenate(broken), 256).alias("text_sha256"), n.alias("n_breaks"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(dehyphenate(broken), 256).alias("text_sha256"), n.alias("n_breaks"))
 
 
 @query("flatten_space", "SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS text_sha256 FROM documents")
 def flatten_space_query(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(flatten_space(F.col("text")), 256).alias("text_sha256"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(flatten_space(F.col("text")), 256).alias("text_sha256"))
 
 
 @query("word_agreement", "WITH w AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS a, list_distinct(string_split(lower(text), ' ')) AS b FROM documents) SELECT doc_id, len(list_intersect(a, b)) AS n_both, len(list_distinct(list_concat(a, b))) AS n_any FROM w")
 def word_agreement(spark, sf_dir):
     """Words that two readings of a document share, and all of them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("a"), F.array_distinct(F.split(F.lower("text"), " ")).alias("b"))
+    docs = documents(spark, sf_dir).select("doc_id", F.array_distinct(F.split("text", " ")).alias("a"), F.array_distinct(F.split(F.lower("text"), " ")).alias("b"))
     return docs.select("doc_id", F.size(F.array_intersect("a", "b")).alias("n_both"), F.size(F.array_union("a", "b")).alias("n_any"))
 
 
 @query("replace_text", "SELECT doc_id, count(*) FILTER (contains(line, 'on')) AS n_runs, sha256(string_agg(replace(line, 'on', 'ON'), chr(10) ORDER BY ln)) AS text_sha256 FROM (SELECT doc_id, u.i AS ln, ls[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)) GROUP BY doc_id")
 def replace_text(spark, sf_dir):
     """Plain replacement inside single runs; the count is of runs rewritten."""
-    rows = lines(table(spark, sf_dir, "documents")).withColumn("new", F.replace("line", F.lit("on"), F.lit("ON")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "new"))), lambda x: x["new"]), "\n")
-    return rows.groupBy("doc_id").agg(F.count_if(F.contains("line", F.lit("on"))).alias("n_runs"), F.sha2(joined, 256).alias("text_sha256"))
+    rows = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l"))
+    changed = F.size(F.filter("l", lambda x: F.contains(x, F.lit("on")))).cast("long")
+    new = F.array_join(F.transform("l", lambda x: F.replace(x, F.lit("on"), F.lit("ON"))), "\n")
+    return rows.select("doc_id", changed.alias("n_runs"), F.sha2(new, 256).alias("text_sha256"))
 
 
 SPANS_SQL = f"""{HITS_SQL}, span AS (
@@ -173,9 +179,10 @@ r AS (SELECT doc_id, lo, hi, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi R
 i AS (SELECT doc_id, lo, hi, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT doc_id, CAST(min(lo) AS INT) AS lo, CAST(max(hi) AS INT) AS hi FROM i GROUP BY doc_id, island""")
 def range_merge(spark, sf_dir):
-    """Hits with three characters around them, cut to their text and merged."""
-    wide = R.spans(table(spark, sf_dir, "documents"), RULES).withColumns({"lo": F.col("lo") - 3, "hi": F.col("hi") + 3})
-    return R.merge_ranges(wide, ["doc_id"]).select("doc_id", "lo", "hi")
+    """Hits with three characters around them, cut to their text and merged, inside the text's row."""
+    found = F.flatten(F.array(*(bounded_spans(F.col("text"), r.literal) for r in RULES)))
+    wide = F.transform(found, lambda s: F.struct((s["lo"] - 3).alias("lo"), (s["hi"] + 3).alias("hi")))
+    return documents(spark, sf_dir).select("doc_id", F.inline(R.merged_ranges(wide, F.length("text"))))
 
 
 WORD_RULE_SQL = " OR ".join(f"regexp_matches(w, '(^|[^\\p{{L}}\\p{{Nd}}]){r.literal}([^\\p{{L}}\\p{{Nd}}]|$)')" for r in RULES if " " not in r.literal)
@@ -185,7 +192,7 @@ WORD_RULE_SQL = " OR ".join(f"regexp_matches(w, '(^|[^\\p{{L}}\\p{{Nd}}]){r.lite
 WHERE length(w) % 10 >= 3 AND ({WORD_RULE_SQL} OR trim(w, '.,;:()[]{{}}"''`?!') IN ('the', 'tion', 'ßß') OR regexp_matches(w, '[0-9]{{3}}-[0-9]{{4}}')) GROUP BY doc_id""")
 def word_rules(spark, sf_dir):
     """Single words of enough confidence (their length stands in for it) that a rule covers, counted."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("w")).filter(F.length("w") % 10 >= 3)
+    words = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "[ \\n]+")).alias("w")).filter(F.length("w") % 10 >= 3)
     return words.filter(R.matches_any_rule(F.col("w"), [*(r.literal for r in RULES), "ßß au"], [r"[0-9]{3}-[0-9]{4}"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
 
 
@@ -194,7 +201,7 @@ BOXES_SQL = f"{RUNS_SQL}, {RECTS_SQL}, boxes AS (SELECT *, x AS bx0, y - 7.5 AS
 
 
 def _boxes(spark, sf_dir):
-    found = runs(table(spark, sf_dir, "documents")).selectExpr("doc_id", "page", "ln", "wn", "x AS x0", "y - 7.5D AS y0", "x + width AS x1", "y + 2.5D AS y1").alias("f")
+    found = runs(documents(spark, sf_dir)).selectExpr("doc_id", "page", "ln", "wn", "x AS x0", "y - 7.5D AS y0", "x + width AS x1", "y + 2.5D AS y1").alias("f")
     areas = F.broadcast(spark.createDataFrame(RECTS, "page int, x0 double, y0 double, x1 double, y1 double")).alias("a")
     f, a = (tuple(F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")) for t in ("f", "a"))
     return found.join(areas, (F.col("f.page") == F.col("a.page")) & intersects(f, a)).select("f.*", contains(a, f).alias("whole"))
@@ -214,7 +221,7 @@ def area_partial_or_whole(spark, sf_dir):
 FROM runs b JOIN rects r ON b.page = r.page AND x < r.x1 AND r.x0 < x + width AND y - 7.5 < r.y1 AND r.y0 < y + 2.5) SELECT doc_id, ln, wn, rx, lo, hi FROM met WHERE lo < hi""")
 def area_characters(spark, sf_dir):
     """Characters of runs whose middle lies in an area."""
-    found = runs(table(spark, sf_dir, "documents")).alias("f")
+    found = runs(documents(spark, sf_dir)).alias("f")
     areas = F.broadcast(spark.createDataFrame(RECTS, "page int, x0 double, y0 double, x1 double, y1 double")).alias("a")
     c = lambda n: F.col(n)
     box = (c("f.x"), c("f.y") - 7.5, c("f.x") + c("f.width"), c("f.y") + 2.5)
@@ -232,7 +239,7 @@ def area_characters(spark, sf_dir):
 ) SELECT doc_id, page, ln, wn, line, CAST(row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x, k) - 1 AS INT) AS place FROM fold JOIN seq USING (doc_id, page, k)""")
 def group_lines(spark, sf_dir):
     """Runs to lines by the first run's baseline (an ordered fold), each line from left to right."""
-    return C.grouped_lines(page_runs(table(spark, sf_dir, "documents")))
+    return C.grouped_lines(page_runs(documents(spark, sf_dir)))
 
 
 _HYPHENS_SQL = "[-\\x{AD}\\x{2010}\\x{2011}]"
@@ -259,12 +266,12 @@ BROKEN_SQL = "broken AS (SELECT doc_id, replace(replace(replace(text, 'tion', 't
 
 def _broken_pages(spark, sf_dir):
     broken = F.replace(F.replace(F.replace("text", F.lit("tion"), F.lit("ti-\non")), F.lit("ing "), F.lit("i - \nng ")), F.lit("ent"), F.lit("e- nt"))
-    return page_runs(table(spark, sf_dir, "documents").select("doc_id", broken.alias("text")))
+    return page_runs(documents(spark, sf_dir).select("doc_id", broken.alias("text")))
 
 
 @query("build_chains", f"WITH {CHAINS_SQL} SELECT doc_id, page, CAST(chain AS BIGINT) AS chain, string_agg(sep || text, '' ORDER BY ln, wn) AS text FROM chained GROUP BY doc_id, page, chain")
 def build_chains(spark, sf_dir):
-    chained = C.chains(page_runs(table(spark, sf_dir, "documents")))
+    chained = C.chains(page_runs(documents(spark, sf_dir)))
     return chained.select("doc_id", "page", "chain", C.chain_text(F.col("runs")).alias("text"))
 
 
@@ -294,7 +301,7 @@ def chain_map_back(spark, sf_dir):
 @query("page_text", f"WITH {CHAINS_SQL} SELECT doc_id, page, sha256(string_agg(CASE WHEN wn = first_wn AND NOT first_row THEN chr(10) ELSE sep END || drawn, '' ORDER BY ln, wn)) AS text_sha256 FROM (SELECT *, min(wn) OVER (PARTITION BY doc_id, page, ln) AS first_wn, row_number() OVER (PARTITION BY doc_id, page ORDER BY ln, wn) = 1 AS first_row FROM chained) GROUP BY doc_id, page")
 def page_text(spark, sf_dir):
     """A page's text: a new line where the line changes, a space where the gap calls for one."""
-    pages = page_runs(table(spark, sf_dir, "documents")).filter(F.size("runs") > 0)
+    pages = page_runs(documents(spark, sf_dir)).filter(F.size("runs") > 0)
     return pages.select("doc_id", "page", F.sha2(C.page_text(F.col("runs")), 256).alias("text_sha256"))
 
 
@@ -306,7 +313,7 @@ SELECT doc_id, CAST(ln AS INT) AS ln, array_to_string(regexp_extract_all(trim(re
 def greedy_wrap(spark, sf_dir):
     """Words to lines of at most 40 characters, longer words alone: where lines begin is a fold over the words."""
     words = F.filter(F.split("line", " +"), lambda w: w != "")
-    return lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "ln", F.array_join(C.wrapped(words, WRAP), " |").alias("wrapped"))
+    return lines(documents(spark, sf_dir)).select("doc_id", "ln", F.array_join(C.wrapped(words, WRAP), " |").alias("wrapped"))
 
 
 PARA_SQL = """lines AS (SELECT doc_id, u.i - 1 AS ln, ls[u.i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)
@@ -321,7 +328,7 @@ PARA_SQL = """lines AS (SELECT doc_id, u.i - 1 AS ln, ls[u.i] AS line FROM (SELE
 ) SELECT doc_id, para, CAST(min(ln) AS INT) AS first_ln, count(*) AS n_lines FROM fold GROUP BY doc_id, para""")
 def paragraphs(spark, sf_dir):
     """Lines with one left edge and one leading: an ordered fold inside each document's row."""
-    texts = spread(table(spark, sf_dir, "documents")).select("doc_id", F.split("text", "\n").alias("lines"))
+    texts = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
     gaps = F.transform("lines", lambda l: F.when(F.length(l) % 4 == 0, 18.0).otherwise(14.0))
     placed = let(running_sums(gaps, "double"), lambda y: F.transform("lines", lambda l, i: F.struct(F.when(F.contains(l, F.lit("|")), 20.0).otherwise(0.0).alias("x"), F.get(y, i).alias("y"), F.lit(10.0).alias("size"))))
     # Paragraphs are numbered in order: each begins at the head of its run of numbers.
@@ -334,14 +341,14 @@ def flow_shift(spark, sf_dir):
     """How far each paragraph moves down for the lines that those above it gained."""
     gained = F.transform(F.split("text", "\n"), lambda l: F.floor(F.length(l) / 80).cast("long"))
     shifts = let(gained, lambda g: F.zip_with(running_sums(g, "long"), g, lambda s, own: (s - own) * 14))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(shifts).alias("ln", "shift"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(shifts).alias("ln", "shift"))
 
 
 @query("single_run_blocks", f"WITH {RUNS_SQL} SELECT doc_id, ln, any_value(text) AS text FROM runs GROUP BY doc_id, ln HAVING count(*) = 1")
 def single_run_blocks(spark, sf_dir):
     """Blocks take lines of one run; a line of several runs isn't emitted."""
     alone = lambda a: F.filter(F.transform(a, lambda r, i: F.when(~F.coalesce(F.get(a, i - 1)["ln"] == r["ln"], F.lit(False)) & ~F.coalesce(F.get(a, i + 1)["ln"] == r["ln"], F.lit(False)), F.struct(r["ln"].alias("ln"), r["text"].alias("text")))), lambda r: r.isNotNull())
-    return page_runs(table(spark, sf_dir, "documents")).select("doc_id", F.inline(alone(F.col("runs"))))
+    return page_runs(documents(spark, sf_dir)).select("doc_id", F.inline(alone(F.col("runs"))))
 
 
 @query("strict_tokens", """WITH allowed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark), t AS (
@@ -351,7 +358,7 @@ def strict_tokens(spark, sf_dir):
     """The first token of each document that isn't on the allow-list."""
     token = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0))
     allowed = table(spark, sf_dir, "benchmark").select(F.explode(token("text")).alias("token")).distinct()
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(token("text")).alias("pos", "token"))
+    tokens = documents(spark, sf_dir).select("doc_id", F.posexplode(token("text")).alias("pos", "token"))
     found = tokens.join(allowed, "token", "left_anti")
     return found.groupBy("doc_id").agg(F.min("pos").alias("pos"), F.min_by("token", "pos").alias("token"))
 
@@ -359,7 +366,7 @@ def strict_tokens(spark, sf_dir):
 @query("decode_text_strings", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
 def decode_text_strings(spark, sf_dir):
     """Text strings are UTF-16BE behind a byte order mark, else a byte a character."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     wide = F.col("text").rlike(r"[^\x00-\xFF]")
     raw = F.when(wide, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))).otherwise(F.encode(F.when(~wide, F.col("text")).otherwise(F.lit("")), "ISO-8859-1"))
     marked = F.hex(F.substring("raw", 1, 2)) == "FEFF"
@@ -386,4 +393,4 @@ SELECT doc_id, sha256(translate(regexp_replace(regexp_replace(t, '({_REGULAR_SQL
 def apply_splices_query(spark, sf_dir):
     """Every hit of a literal, in words too, as an ordered rewrite of its text that keeps tokens apart."""
     splices = F.transform(anywhere_spans(F.col("text"), "an"), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.lit("X").alias("new")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(apply_splices(F.col("text"), splices), 256).alias("text_sha256"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(apply_splices(F.col("text"), splices), 256).alias("text_sha256"))

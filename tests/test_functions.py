@@ -7,7 +7,7 @@ from pageloom.functions.geometry import blend_rgb
 from pageloom.functions.labels import format_label
 from pageloom.functions.text import anywhere_hits, bounded_hits, bounded_spans, dehyphenate, needs_space, replace_bounded
 from pageloom.operators.graph import chain_ends, reachable
-from pageloom.operators.redact import expand_variants, matches_any_rule, merge_ranges
+from pageloom.operators.redact import expand_variants, matches_any_rule, merge_ranges, merged_ranges
 from pageloom.operators.spans import apply_splices, merge_spans
 
 BOUNDED = [
@@ -60,6 +60,13 @@ def test_ranges_are_cut_to_their_text(spark):
     assert sorted((r.lo, r.hi) for r in merge_ranges(rows, ["doc_id"]).collect()) == [(0, 2), (6, 8)]
 
 
+def test_ranges_merge_inside_a_row(spark):
+    cases = [([(5, 9), (0, 2), (2, 3), (6, 7), (12, 13)], 99, [(0, 3), (5, 9), (12, 13)]), ([(-3, 2), (4, 4), (6, 11), (9, 12)], 8, [(0, 2), (6, 8)]), ([(0, 9), (1, 2), (9, 10), (11, 12)], 50, [(0, 10), (11, 12)]), ([], 5, [])]
+    rows = spark.createDataFrame([(i, r, n) for i, (r, n, _) in enumerate(cases)], "i int, r array<struct<lo:int,hi:int>>, n int")
+    got = {x.i: [tuple(r) for r in x.m] for x in rows.select("i", merged_ranges(F.col("r"), F.col("n")).alias("m")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
 def test_dates(spark):
     ask = lambda f, t: one(spark, f(F.col("t")).cast("string"), t=t)
     for text, want in (("D:20310405060708Z", "2031-04-05 06:07:08"), ("D:203104050607", "2031-04-05 06:07:00"), ("D:2031040506", "2031-04-05 06:00:00"), ("D:20310405", "2031-04-05 00:00:00"), ("D:2031", None), ("20310405", None), ("D:20310431", None)):
