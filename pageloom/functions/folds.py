@@ -56,8 +56,11 @@ def bisect(n: Column, below: Callable[[Column], Column]) -> Column:
 
 def runs_at(values: Column, heads: Column) -> Column:
     """``values`` as an array of arrays, one from each of ``heads`` (ascending indexes, the first 0) to the next."""
-    until = lambda i: F.coalesce(F.get(heads, i + 1), F.size(values))
-    return F.transform(heads, lambda h, i: F.slice(values, h + 1, until(i) - h))
+
+    def cut(h: Column) -> Column:
+        return F.transform(h, lambda at, i: F.slice(values, at + 1, F.coalesce(F.get(h, i + 1), F.size(values)) - at))
+
+    return let(heads, cut)
 
 
 def heads_where(values: Column, begins: Callable[[Column, Column], Column]) -> Column:

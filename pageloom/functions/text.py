@@ -86,4 +86,4 @@ def flatten_space(text: Column) -> Column:
 def needs_space(before: Column, after: Column, gap: Column, space_width: Column) -> Column:
     """Whether two runs read as two words: a gap of more than WORD_GAP of a space, and no white space at the seam."""
     seam = F.right(before, F.lit(1)).rlike("[\\s ]") | F.left(after, F.lit(1)).rlike("[\\s ]")
-    return ~seam & (gap > WORD_GAP * F.when(space_width <= 0, F.lit(1.0)).otherwise(space_width))
+    return (gap > WORD_GAP * F.when(space_width <= 0, F.lit(1.0)).otherwise(space_width)) & ~seam
