@@ -276,7 +276,7 @@ def test_ledger_in_a_folder_takes_only_unseen_pairs(spark, tmp_path):
     ledger.filter("rule_version = '1'").write.mode("append").parquet(str(tmp_path / "twice"))
     ledger.filter("rule_version = '1'").write.mode("append").parquet(str(tmp_path / "twice"))
     for folder in (folder, str(tmp_path / "twice")):
-        got = secret_scan.findings_by_path(spark.createDataFrame(later, kind), secret_scan.ledger_at(spark, folder)).collect()
+        got = secret_scan.findings_by_path(spark.createDataFrame(later, kind), secret_scan.ledger_at(spark, folder), "1").collect()
         told = [(r.path, r.version, [(f.kind, f.start, f.end) for f in r.findings]) for r in got]
         want = [(p, v, [("access", t.index("AKIA"), t.index("AKIA") + 20)] if t and "AKIA" in t else [("assign", 0, 15)] if t and "token" in t else []) for p, v, t in later]
         assert sorted(told, key=repr) == sorted(want, key=repr)
