@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements whose outputs are appended one by one: an append copies the array, so long ones are put together from blocks.
-BLOCK = 128
+BLOCK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -32,23 +32,35 @@ def chained(runs: Column) -> Column:
     )
 
     def step(s: Column, r: Column) -> Column:
+        """What several parts need is computed once: an expression that is named twice is evaluated twice."""
         size = F.when(s["size"] > 0, s["size"]).otherwise(r["size"])
-        gap, down = r["x"] - s["end"], r["y"] - s["y"]
-        apart = s["end"].isNull() | (size <= 0) | (F.abs(down) > OFF_BASELINE * size) | (gap < -BACK * size) | (gap > AHEAD * size)
-        goes_on = apart & s["tail"].rlike(f"{_WORD}{_HYPHEN}\\z") & r["text"].rlike(f"^{_WORD}") & (down > 0) & (down <= DOWN * size)
+        known = F.struct(size.alias("size"), (r["x"] - s["end"]).alias("gap"), (r["y"] - s["y"]).alias("down"))
+
+        def related(k: Column) -> Column:
+            apart = s["end"].isNull() | (k["size"] <= 0) | (F.abs(k["down"]) > OFF_BASELINE * k["size"]) | (k["gap"] < -BACK * k["size"]) | (k["gap"] > AHEAD * k["size"])
+            return let(F.coalesce(apart, F.lit(True)), lambda far: let(F.when(far, broken(k)).otherwise(spaced(k)), placed))
+
+        def spaced(k: Column) -> Column:
+            sep = F.when(needs_space(s["text"], r["text"], k["gap"], s["space_w"]), F.lit(" ")).otherwise(F.lit(""))
+            return F.struct(sep.alias("sep"), F.lit(False).alias("joined"), F.lit(False).alias("begins"))
+
+        def broken(k: Column) -> Column:
+            goes_on = (k["down"] > 0) & (k["down"] <= DOWN * k["size"]) & s["tail"].rlike(f"{_WORD}{_HYPHEN}\\z") & r["text"].rlike(f"^{_WORD}")
+            return let(F.coalesce(goes_on, F.lit(False)), lambda joined: F.struct(F.lit("").alias("sep"), joined.alias("joined"), (~joined).alias("begins")))
 
         def placed(k: Column) -> Column:
             at = F.when(k["begins"], 0).otherwise(s["at"] - k["joined"].cast("int") + F.length(k["sep"]))
+            where = F.struct(at.alias("at"), (s["chain"] + k["begins"].cast("int")).alias("chain"))
+            return let(where, lambda w: told(k, w))
+
+        def told(k: Column, w: Column) -> Column:
             tail = F.right(F.concat(F.when(k["begins"], F.lit("")).otherwise(s["tail"]), k["sep"], r["text"]), F.lit(2))
-            chain = s["chain"] + k["begins"].cast("int")
-            hi = at + F.length(r["text"])
-            state = F.struct(chain.alias("chain"), hi.alias("at"), tail.alias("tail"), r["text"].alias("text"), (r["x"] + r["width"]).alias("end"), r["y"].alias("y"), r["size"].alias("size"), r["space_w"].alias("space_w"))
-            out = F.struct(r["ln"].alias("ln"), r["wn"].alias("wn"), r["text"].alias("text"), k["sep"].alias("sep"), chain.alias("chain"), at.alias("lo"), hi.alias("hi"), F.lit(0).alias("cut"), k["joined"].alias("joined"), k["begins"].alias("begins"))
+            hi = w["at"] + F.length(r["text"])
+            state = F.struct(w["chain"].alias("chain"), hi.alias("at"), tail.alias("tail"), r["text"].alias("text"), (r["x"] + r["width"]).alias("end"), r["y"].alias("y"), r["size"].alias("size"), r["space_w"].alias("space_w"))
+            out = F.struct(r["ln"].alias("ln"), r["wn"].alias("wn"), r["text"].alias("text"), k["sep"].alias("sep"), w["chain"].alias("chain"), w["at"].alias("lo"), hi.alias("hi"), F.lit(0).alias("cut"), k["joined"].alias("joined"), k["begins"].alias("begins"))
             return F.struct(state.alias("state"), out.alias("out"))
 
-        spaced = F.when(~apart & needs_space(s["text"], r["text"], gap, s["space_w"]), F.lit(" ")).otherwise(F.lit(""))
-        joined = F.coalesce(goes_on, F.lit(False))
-        return let(F.struct(spaced.alias("sep"), joined.alias("joined"), (F.coalesce(apart, F.lit(True)) & ~joined).alias("begins")), placed)
+        return let(known, related)
 
     def cut(a: Column) -> Column:
         gave = lambda i: F.coalesce(F.get(a, i + 1)["joined"], F.lit(False)).cast("int")
