@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions.sampled import exponential, interpolated, normalized, stitched, unpacked
-from pageloom.operators.boxes import annotation_box, box_join, kept_annotations
+from pageloom.operators.boxes import annotation_box, box_join, kept_annotations, places_met
 from pageloom.operators.numbering import merge_objects
 from pageloom.operators.visibility import layer_states, membership_states
 from pageloom.sources.scratch import written
@@ -51,8 +51,10 @@ def _line_boxes(spark, sf_dir):
 @query("image_area_marks", f"WITH {_PART_AREAS_SQL}, b AS ({_LINE_BOX_SQL}) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n_areas, count(*) FILTER (a.x0 <= b.x0 AND a.y0 <= b.y0 AND b.x1 <= a.x1 AND b.y1 <= a.y1) AS n_whole, min(p_partkey) AS first_area FROM b JOIN a ON a.page = b.page AND b.x0 < a.x1 AND a.x0 < b.x1 AND b.y0 < a.y1 AND a.y0 < b.y1 GROUP BY ALL")
 def image_area_marks(spark, sf_dir):
     """Images against areas of both small and page size, each pair once."""
-    met = box_join(_line_boxes(spark, sf_dir), _part_areas(spark, sf_dir), ["page"])
-    return met.groupBy(*(F.col(f"box_{c}").alias(c) for c in _LINE)).agg(F.count(F.lit(1)).alias("n_areas"), F.count_if("whole").alias("n_whole"), F.min("area_p_partkey").alias("first_area"))
+    boxes = _line_boxes(spark, sf_dir)
+    met = boxes.join(places_met(boxes, _part_areas(spark, sf_dir), ["page"], "p_partkey"), ["page", "x0", "y0", "x1", "y1"])
+    # A line may be listed twice, as in the SQL's groups.
+    return met.groupBy(*_LINE).agg(F.sum("n_areas").alias("n_areas"), F.sum("n_whole").alias("n_whole"), F.min("first_area").alias("first_area"))
 
 
 @query("kept_annotations", f"""WITH {_PART_AREAS_SQL}, b AS ({_LINE_BOX_SQL}), n AS (SELECT *, l_orderkey % 4 = 3 AS none, 800 - y1 AS top, 800 - y0 AS low FROM b)

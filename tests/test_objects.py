@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions.sampled import exponential, interpolated, normalized, stitched, unpacked
-from pageloom.operators.boxes import annotation_box, box_join, kept_annotations
+from pageloom.operators.boxes import annotation_box, box_join, kept_annotations, places_met
 from pageloom.operators.numbering import merge_objects, numbered
 from pageloom.operators.publish import publish, published, publisher
 from pageloom.operators.rules import redacted, rule_spans, waiting
@@ -43,6 +43,16 @@ def test_texts_meet_only_literals_that_stand_in_them(spark):
     assert there <= met and len(met - there) <= 4 and (7, long + "y") in met and (7, long + "y") not in there
 
 
+def test_copies_of_boxes_and_areas_make_no_pairs(spark):
+    """2,000 copies of a box in 2,000 of an area were 4 million pairs."""
+    sides = "x0 double, y0 double, x1 double, y1 double"
+    boxes = [(i, 0, 10.0, 10.0, 20.0, 20.0) for i in range(2000)] + [(2000, 0, 35.0, 10.0, 45.0, 20.0), (2001, 1, 10.0, 10.0, 20.0, 20.0), (2002, 0, None, 10.0, 20.0, 20.0)]
+    areas = [(i, 0, 0.0, 0.0, 40.0, 40.0) for i in range(7, 2007)] + [(3, 0, 19.0, 0.0, 900.0, 900.0), (1, 0, 20.0, 0.0, 30.0, 30.0), (2, 0, 5.0, 5.0, 5.0, 50.0)]
+    met = places_met(spark.createDataFrame(boxes, f"id int, page int, {sides}"), spark.createDataFrame(areas, f"n int, page int, {sides}"), ["page"], "n")
+    assert {(r.x0, r.n_areas, r.n_whole, r.first_area) for r in met.collect()} == {(10.0, 2001, 2000, 3), (35.0, 2001, 1, 3)}
+    assert met.count() == 2
+
+
 def test_only_proven_documents_are_published(spark, tmp_path):
     folder = str(tmp_path / "out")
     rules = spark.createDataFrame([(1, "Keller"), (2, "Grete Ohm")], "rule_id int, literal string")
