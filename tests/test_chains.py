@@ -155,8 +155,9 @@ def test_replacement_keeps_styles(spark):
 
 
 def test_chains_of_a_batch_are_those_of_its_pages(spark):
-    """Pages of all lengths beside each other, null and empty ones among them: each has the chains that it has alone. Folds inside the
-    row took 40 microseconds a word; words of a batch are now asked together."""
+    """Pages of all lengths beside each other, null and empty ones among them: each has the chains that it has alone.
+
+    Folds inside the row asked one run after the other; those of a batch are now asked together."""
     words = ["tion-", "on", "-", "a", "b\u00a0", "", "d-", "E\u0301t", "\U0001d4d0-", "9"]
     run = lambda i: (i // 3, i, words[i * 7 % 10], float(i * 13 % 40), 14.0 * (i // 3), 5.0 * (i % 4), [10.0, 0.0, None, 10.0][i % 4], [5.0, 0.0, None][i % 3])
     pages = [None, *([run(i + n) for i in range(n)] for n in (0, 1, 2, 40, 0, 3, 100))]
