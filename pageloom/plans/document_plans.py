@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.dates import document_date, xmp_date
-from pageloom.functions.geometry import MODES, RGB_MODES, blend, blend_rgb, rotation
+from pageloom.functions.geometry import MODES, blend, blended_rgb, nearest_whole, rotation
 from pageloom.functions.labels import format_label
 from pageloom.operators.graph import chain_ends, reachable
 from pageloom.sources.tables import table
@@ -282,7 +282,7 @@ BLEND_SQL = {
 def blend_modes(spark, sf_dir):
     """Each blend mode summed over an object's samples, in ten-thousandths."""
     b, s = F.col("l_discount") * 10, F.col("l_tax") * 10
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*(F.sum(F.round(blend(m, b, s) * 10000).cast("long")).alias(m) for m in MODES))
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*(F.sum(nearest_whole(blend(m, b, s) * 10000)).alias(m) for m in MODES))
     return sums.unpivot("l_partkey", list(MODES), "mode", "total")
 
 
@@ -306,10 +306,8 @@ def blend_colours(spark, sf_dir):
     c = F.col
     backdrop, source = F.array(c("l_discount") * 10, c("l_tax") * 10, c("l_quantity") / 50), F.array(c("l_tax") * 12, c("l_quantity") / 50, c("l_discount") * 9)
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", backdrop.alias("b"), source.alias("s"))
-    each = F.array(*(F.struct(F.lit(mode).alias("mode"), blend_rgb(mode, c("b"), c("s")).alias("c")) for mode in RGB_MODES))
-    mixed = rows.select("l_partkey", F.explode(each).alias("m")).select("l_partkey", "m.mode", "m.c")
-    total = lambda i, name: F.sum(F.round(F.get("c", F.lit(i)) * 1000).cast("long")).alias(name)
-    return mixed.groupBy("l_partkey", "mode").agg(total(0, "r"), total(1, "g"), total(2, "b"))
+    total = lambda i: F.sum(nearest_whole(c(f"c{i}") * 1000))
+    return blended_rgb(rows, "b", "s", ["l_partkey"]).groupBy("l_partkey", "mode").agg(total(0).alias("r"), total(1).alias("g"), total(2).alias("b"))
 
 
 def _channel_sql(ink: str) -> str:

@@ -99,6 +99,30 @@ def test_chains_of_links(spark):
     assert got == {i: (9, 9 - i) if i > 0 else (None, None) for i in range(10)} | {20: (None, None), 21: (None, None), 30: (None, None)}
 
 
+def test_colours_of_tables(spark):
+    """Rows of all kinds as the column gives them, without an interpreted lambda."""
+    from pageloom.functions.geometry import blended_rgb
+
+    colours = [(0.2, 0.2, 0.2), (1.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.9, 0.95, 0.1), (1.2, -0.3, 0.5), (None, 0.1, 0.4)]
+    rows = spark.createDataFrame([(i, list(b), list(s)) for i, (b, s) in enumerate((b, s) for b in colours for s in colours)], "i int, b array<double>, s array<double>")
+    mixed = blended_rgb(rows, "b", "s", ["i"])
+    assert "lambda" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.i, r.mode): [r.c0, r.c1, r.c2] for r in mixed.collect()}
+    for mode in ("Hue", "Saturation", "Color", "Luminosity"):
+        want = {r.i: r.c for r in rows.select("i", blend_rgb(mode, F.col("b"), F.col("s")).alias("c")).collect()}
+        assert all(got[i, mode] == c for i, c in want.items())
+    assert len(got) == 4 * len(colours) ** 2
+
+
+def test_whole_numbers(spark):
+    """As ``round`` has them, without its decimals."""
+    from pageloom.functions.geometry import nearest_whole
+
+    values = [0.0, -0.0, 0.49999999999999994, 0.5, -0.5, 1.5, 2.5, -2.5, -0.2, 1e15 + 0.5, 2.0**52 - 0.5, 2.0**53, -(2.0**60), None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(nearest_whole(F.col("x")).alias("n"), F.round("x").cast("long").alias("r")).collect()
+    assert [r.n for r in rows] == [r.r for r in rows] and rows[2].n == 0
+
+
 def test_variants(spark):
     rows = spark.createDataFrame([(1, "a b-c"), (2, "a b"), (3, "a b")], "rule_id int, literal string")
     got = expand_variants(rows).collect()
