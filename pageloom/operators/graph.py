@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.sources.scratch import written
+from pageloom.sources.scratch import dropped, written
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -14,12 +14,14 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     Each step joins the frontier with the edges and drops what has been seen. Each frontier is written once; what has been
     seen is all frontiers together.
     """
-    edges = edges.select("src", "dst").distinct()
+    # Written, as every step reads them; a link to itself leads nowhere new.
+    edges = written(edges.select("src", "dst").filter("not (src <=> dst)").distinct(), "edges")
     seen = frontier = written(roots.distinct(), "frontier")
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
+    dropped(edges)
     return seen
 
 

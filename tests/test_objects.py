@@ -164,6 +164,25 @@ def test_merged_objects_get_dense_numbers(spark):
     assert all(r.k == r.n for r in numbered(shuffled, ["k"], "n").collect()) and numbered(shuffled.filter("false"), ["k"], "n").count() == 0
 
 
+def counted(spark, rows, schema):
+    """A table, and how many of its rows have been read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(one), schema), seen
+
+
+def test_reachability_reads_its_links_once(spark):
+    from pageloom.operators.graph import reachable
+
+    edges, seen = counted(spark, [(i, i + 1) for i in range(8)] + [(3, 3), (8, 2), (50, 51)], "src int, dst int")
+    assert {r.node for r in reachable(edges, spark.createDataFrame([(0,)], "node int")).collect()} == set(range(9))
+    assert seen.value == 11
+
+
 def test_layers(spark):
     groups = spark.createDataFrame([(f, n) for f in (1, 2, 3) for n in (1, 2, 3)], "file int, node long")
     configurations = spark.createDataFrame([(1, False), (2, True)], "file int, base_off boolean")
