@@ -29,16 +29,17 @@ def chain_ends(links: DataFrame, limit: int) -> DataFrame:
     """(src, end, steps): where the chain from each src of ``links`` (src, dst) ends, a null dst being an end.
 
     ``end`` and ``steps`` are null where a link names nothing or after more than ``limit`` steps, loops included. The reach of
-    every link is doubled again and again, so ``limit`` steps take a logarithm of joins.
+    every link is doubled again and again, so ``limit`` steps take a logarithm of joins. Only links that still lead on are joined:
+    an ended one has no place to look up, and all of them would meet in one task.
     """
-    here = links.select("src", F.col("dst").alias("at"), F.when(F.col("dst").isNull(), F.col("src")).alias("end"), F.when(F.col("dst").isNull(), 0).alias("steps"), F.lit(1).alias("far"))
-    jumps = written(here, "jumps")
-    reach = 1
+    here = F.when(F.col("dst").isNull(), F.struct(F.col("src").alias("end"), F.lit(0).alias("steps")))
+    state = written(links.select("src", F.col("dst").alias("at"), here["end"].alias("end"), here["steps"].alias("steps")), "jumps")
+    going, ended, reach = state.filter("at is not null"), state.filter("at is null"), 1
     while reach < limit + 1:
-        other = jumps.select(F.col("src").alias("at"), F.col("at").alias("_at"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("far").alias("_far"))
-        met = jumps.join(other, "at", "left")
-        done = F.col("end").isNotNull()
-        jumps = met.select("src", F.when(~done, F.col("_at")).alias("at"), F.when(done, F.col("end")).otherwise(F.col("_end")).alias("end"), F.when(done, F.col("steps")).otherwise(F.col("far") + F.col("_steps")).alias("steps"), F.when(done, F.col("far")).otherwise(F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"))
-        jumps, reach = written(jumps, "jumps"), reach * 2
+        other = ended.unionByName(going).select(F.col("src").alias("at"), F.col("at").alias("_at"), F.col("end").alias("_end"), F.col("steps").alias("_steps"))
+        met = going.drop("end", "steps").join(other, "at", "left")
+        state = written(met.select("src", F.col("_at").alias("at"), F.col("_end").alias("end"), (F.col("_steps") + reach).alias("steps")), "jumps")
+        going, ended, reach = state.filter("at is not null"), ended.unionByName(state.filter("at is null")), reach * 2
     near = F.col("steps") <= limit
-    return jumps.select("src", F.when(near, F.col("end")).alias("end"), F.when(near, F.col("steps")).alias("steps"))
+    found = ended.unionByName(going)
+    return found.select("src", F.when(near, F.col("end")).alias("end"), F.when(near, F.col("steps")).alias("steps"))

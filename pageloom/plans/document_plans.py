@@ -15,6 +15,7 @@ from pageloom.functions.dates import document_date, xmp_date
 from pageloom.functions.geometry import MODES, blend, blended_rgb, nearest_whole, rotation
 from pageloom.functions.labels import format_label
 from pageloom.operators.graph import chain_ends, reachable
+from pageloom.sources.scratch import written
 from pageloom.sources.tables import table
 
 from .registry import query
@@ -383,5 +384,9 @@ def resolve_references(spark, sf_dir):
     """What a reference names in the end, through at most 32 others; null, after -1 steps, where a link is broken or the chain is longer."""
     orders = table(spark, sf_dir, "orders")
     links = orders.select(F.col("o_orderkey").alias("src"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderkey") - 4 * (F.col("o_custkey") % 5)).alias("dst"))
-    ends = chain_ends(links, 32).join(orders.select(F.col("o_orderkey").alias("end"), F.col("o_orderpriority").alias("value")), "end", "left")
-    return ends.select(F.col("src").alias("o_orderkey"), "value", F.coalesce("steps", F.lit(-1)).alias("steps"))
+    ends = written(chain_ends(links, 32), "ends")
+    values = orders.select(F.col("o_orderkey").alias("end"), F.col("o_orderpriority").alias("value"))
+    # Those without an end have no value to look up; their nulls would all meet in one task.
+    found = ends.filter("end is not null").join(values, "end", "left").select("src", "value", "steps")
+    lost = ends.filter("end is null").select("src", F.lit(None).cast("string").alias("value"), "steps")
+    return found.unionByName(lost).select(F.col("src").alias("o_orderkey"), "value", F.coalesce("steps", F.lit(-1)).alias("steps"))

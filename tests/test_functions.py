@@ -99,6 +99,21 @@ def test_chains_of_links(spark):
     assert got == {i: (9, 9 - i) if i > 0 else (None, None) for i in range(10)} | {20: (None, None), 21: (None, None), 30: (None, None)}
 
 
+def test_ended_links_do_not_meet(spark, tmp_path):
+    """Links that have ended, and those that lead nowhere, aren't joined on a place that they don't have: one task would get them all."""
+    n = 4000
+    links = spark.range(n).selectExpr("id AS src", "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 4 = 1 THEN id - 1 ELSE -id END AS dst")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ends = chain_ends(links, 4)
+        got = {r.src: (r.end, r.steps) for r in ends.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: (i, 0) if i % 2 == 0 else (i - 1, 1) if i % 4 == 1 else (None, None) for i in range(n)}
+    plan = ends._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") > 2  # ended links stay where they were written
+
+
 def test_colours_of_tables(spark):
     """Rows of all kinds as the column gives them, without an interpreted lambda."""
     from pageloom.functions.geometry import blended_rgb
