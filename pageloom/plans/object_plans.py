@@ -108,13 +108,13 @@ def _layers(spark, sf_dir):
     groups = lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("node")).distinct()
     configurations = orders.filter("o_custkey % 10 > 0").select(F.col("o_orderkey").alias("file"), (F.col("o_orderstatus") == "P").alias("base_off"))
     listed = lines.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("node"), F.when(F.col("l_returnflag") == "N", "on").otherwise("off").alias("list"))
-    return groups, written(layer_states(groups, configurations, listed), "states")
+    return written(layer_states(groups, configurations, listed), "states")
 
 
 @query("layer_states", f"WITH {_LAYERS_SQL} SELECT file, node, hidden FROM st")
 def layer_states_query(spark, sf_dir):
     """Groups that a configuration hides: a base state with its exceptions."""
-    return _layers(spark, sf_dir)[1]
+    return _layers(spark, sf_dir)
 
 
 _HIDDEN_SQL = "CASE WHEN n = 0 THEN false WHEN policy = 'AllOn' THEN shown <> n WHEN policy = 'AnyOff' THEN shown = n WHEN policy = 'AllOff' THEN shown <> 0 ELSE shown = 0 END"
@@ -127,7 +127,8 @@ _LEVELS_SQL = ", ".join(
 @query("membership_states", f"WITH {_LAYERS_SQL}, {_LEVELS_SQL} SELECT file, node, hidden FROM v5")
 def membership_states_query(spark, sf_dir):
     """Memberships of groups and of other memberships, five deep, under all policies; the last of each file is empty."""
-    groups, states = _layers(spark, sf_dir)
+    states = _layers(spark, sf_dir)
+    groups = states.select("file", "node")
     kinds = F.array(*map(F.lit, _POLICIES))
     memberships = groups.select("file").distinct().select("file", F.explode(F.array(*(F.lit(k) for k in range(6)))).alias("k"))
     memberships = memberships.select("file", (F.col("k") + 100).cast("long").alias("node"), F.get(kinds, ((F.col("file") + F.col("k")) % 5).cast("int")).alias("policy"))

@@ -208,6 +208,17 @@ def test_layers(spark):
     assert got == {200 + i: hidden(200 + i) for i in range(n)} | {300: False}
 
 
+def test_members_are_read_once_for_all_levels(spark):
+    """The number of levels doesn't multiply what is exchanged: members are read for the links alone. No level joins by a new exchange."""
+    rows = [(f, 100 + i, 99 + i if i else 1) for f in range(5) for i in range(12)]
+    members, seen = counted(spark, rows, "file int, node long, member long")
+    memberships = spark.createDataFrame([(f, n, "AllOff") for f, n, _ in rows], "file int, node long, policy string")
+    states = spark.createDataFrame([(f, n, n == 2) for f in range(5) for n in (1, 2)], "file int, node long, hidden boolean")
+    got = {(r.file, r.node): r.hidden for r in membership_states(memberships, members, states).collect()}
+    assert got == {(f, 100 + i): i % 2 == 0 if i <= 8 else True for f in range(5) for i in range(12)} | {(f, 109 + j): got[f, 109 + j] for f in range(5) for j in range(3)}
+    assert seen.value <= 2 * len(rows)
+
+
 def test_functions_of_numbers(spark):
     ask = lambda column: spark.range(1).select(column.alias("x")).first()["x"]
     one = lambda *x: F.array(*(F.lit(float(v)) for v in x))
