@@ -54,13 +54,16 @@ def _taken(rule: FitRule, size: Column, measured: Callable[[Column, Column], Col
     """What is taken once a rule has had its turn. Every hit of a rule has the same text, so it is measured once; what was
     taken before is named once, so that expressions of many rules don't multiply."""
     token, literal = F.lit(rule.token), F.lit(rule.literal)
-    fit = fit_size(size, measured(token, size), measured(token, size / 2), measured(literal, size), rule.share())
+    # Named once: the fit asks for each of them several times, and a measurement goes through all characters.
+    widths = F.struct(measured(token, size).alias("full"), measured(token, size / 2).alias("half"), measured(literal, size).alias("want"))
+    fit = let(widths, lambda w: fit_size(size, w["full"], w["half"], w["want"], rule.share()))
     span = lambda f: lambda h: F.struct(h["lo"].alias("lo"), h["hi"].alias("hi"), token.alias("token"), f["size"].alias("size"))
 
     def after(before: Column) -> Column:
         apart = lambda h: ~F.exists(before, lambda t: (h["lo"] < t["hi"]) & (t["lo"] < h["hi"]))
         free = lambda f: F.transform(F.filter(bounded_spans(F.col("text"), rule.literal), apart), span(f))
-        return let(fit, lambda f: F.when(f["fits"], F.concat(before, free(f))).otherwise(before))
+        # A text without the literal is left before anything is measured or cut.
+        return F.when(F.contains(F.col("text"), literal), let(fit, lambda f: F.when(f["fits"], F.concat(before, free(f))).otherwise(before))).otherwise(before)
 
     return after
 

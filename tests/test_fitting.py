@@ -33,3 +33,10 @@ def test_a_rule_that_does_not_fit_undoes_itself_alone(spark):
     assert [(p.lo, p.hi, p.token, p["size"]) for p in out[0].placed] == [(0, 3, "[X]", 10.0), (8, 20, "[NAME]", 10.0), (24, 27, "[X]", 10.0)]
     tight = fitted(rows, [FitRule("Ada", "[NAME]"), FitRule("at", "[PLACES]", 0.01)], F.lit(10.0), WIDTH).first().placed
     assert [(p.token, p["size"]) for p in tight] == [("[NAME]", 5.0), ("[NAME]", 5.0), ("[PLACES]", 2.5), ("[NAME]", 5.0)]
+
+
+def test_texts_without_a_literal_are_not_measured(spark):
+    rows = spark.createDataFrame([("nothing here",), ("",), (None,)], "text string")
+    broken = lambda c: F.raise_error(F.concat(F.lit("measured "), c)).cast("double")
+    out = fitted(rows, [FitRule("Ada", "[NAME]"), FitRule("at", "@")], F.lit(10.0), broken).collect()
+    assert [r.placed or [] for r in out] == [[], [], []]
