@@ -20,14 +20,14 @@ def roman(n: Column) -> Column:
     return F.when(n > 3999, n.cast("string")).otherwise(F.concat(*places))
 
 
-def letters(n: Column) -> Column:
-    """a to z, then aa to zz, by repetition."""
-    return F.repeat(F.char(97 + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
+def letters(n: Column, first: Column | int = 97) -> Column:
+    """a to z, then aa to zz, by repetition; ``first`` is the code of the first letter. Capitals are repeated as such: putting
+    a long label in upper case would read and copy it once more."""
+    return F.repeat(F.char(first + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
 
 
 def format_label(style: Column, n: Column) -> Column:
     """Style D, r, R, a, A or none, of a number; nothing below 1."""
-    label = (
-        F.when(style == "D", n.cast("string")).when(style == "r", roman(n)).when(style == "R", F.upper(roman(n))).when(style == "a", letters(n)).when(style == "A", F.upper(letters(n)))
-    )
+    first = F.when(style == "A", 65).otherwise(97)
+    label = F.when(style == "D", n.cast("string")).when(style == "r", roman(n)).when(style == "R", F.upper(roman(n))).when(style.isin("a", "A"), letters(n, first))
     return F.when(n < 1, F.lit("")).otherwise(F.coalesce(label, F.lit("")))

@@ -16,7 +16,7 @@ from pageloom.functions.geometry import MODES, blend, blended_rgb, nearest_whole
 from pageloom.functions.labels import format_label
 from pageloom.operators.graph import chain_ends, reachable
 from pageloom.sources.scratch import written
-from pageloom.sources.tables import table
+from pageloom.sources.tables import spread, table
 
 from .registry import query
 
@@ -31,8 +31,9 @@ def label_sql(style: str, n: str) -> str:
 
 @query("format_label", f"SELECT p_partkey AS n, s.style, {label_sql('s.style', 'p_partkey')} AS label FROM part, (VALUES ('D'), ('r'), ('R'), ('a'), ('A'), ('none')) AS s(style)")
 def format_label_query(spark, sf_dir):
+    """Every part's key in six styles. A label of letters is as long as its number is large, so keys are dealt to all cores."""
     styles = F.explode(F.array(*map(F.lit, ("D", "r", "R", "a", "A", "none"))))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), styles.alias("style")).withColumn("label", format_label(F.col("style"), F.col("n")))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"))).select("n", styles.alias("style")).withColumn("label", format_label(F.col("style"), F.col("n")))
 
 
 @query("page_label_asof", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS page FROM events),

@@ -9,6 +9,7 @@ from pageloom.functions.text import anywhere_hits, bounded_hits, bounded_spans,
 from pageloom.operators.graph import chain_ends, reachable
 from pageloom.operators.redact import expand_variants, matches_any_rule, merge_ranges, merged_ranges
 from pageloom.operators.spans import apply_splices, merge_spans
+from pageloom.plans import catalog
 
 BOUNDED = [
     ("Frau Keller, Ärztin", "Keller", 1), ("Kellerei am Hang", "Keller", 0), ("Keller", "Keller", 1), ("(Keller)", "Keller", 1), ("Keller/Keller", "Keller", 2), ("Weinkeller Keller", "Keller", 1),
@@ -45,6 +46,12 @@ def test_labels(spark):
     assert all(r["got"] == r["label"] for r in rows), rows
 
 
+def test_long_labels_are_dealt_to_all_tasks(spark, small):
+    labels = catalog.QUERIES["format_label"](spark, small).groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.length("label")).alias("letters"))
+    letters = [r.letters for r in labels.collect()]
+    assert max(letters) < sum(letters) / 3
+
+
 def test_needs_space(spark):
     ask = lambda a, b, gap: one(spark, needs_space(F.col("a"), F.col("b"), F.col("g"), F.lit(5.0)), a=a, b=b, g=gap)
     assert ask("one", "two", 4.0) and not ask("one", "two", 3.4) and not ask("one ", "two", 9.0) and not ask("one", " two", 9.0)
