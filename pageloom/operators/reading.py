@@ -7,56 +7,84 @@ of the reading; they are sorted both ways, so a place is found in either by bina
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.folds import bisect, heads_where, let, running_sums, runs_at, scan
+from pageloom.functions.folds import bisect, heads_where, let, runs_at
 from pageloom.functions.text import HYPHENS, anywhere_spans, bounded_spans
 
 #: A word and the hyphen that breaks it; how a word goes on.
 _BROKEN, _GOES_ON = rf"[\p{{L}}\p{{Nd}}][{HYPHENS}]\z", r"^[\p{L}\p{Nd}]"
+#: A reading as a struct.
+READING = "struct<flat:string,starts:array<int>,segments:array<struct<at:int,lo:int,hi:int>>,text:string>"
 
 
 def _text(span: Column) -> Column:
     return F.coalesce(span["text"], F.lit(""))
 
 
+def _read(texts: pa.Array, breaks: pa.Array) -> pa.Array:
+    """Readings of some paragraphs, all spans at once: a break asks the last text before it and the next one, nothing else."""
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy()
+    first = np.cumsum(sizes) - sizes
+    own = pc.if_else(pc.is_null(texts.flatten()), "", texts.flatten())  # a copy: its bytes are without gaps
+    at = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int32)
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[: at[-1]] if len(own) else np.zeros(0, np.uint8)
+    ends = np.concatenate(([0], np.cumsum(pc.utf8_length(own).to_numpy())))  # in characters, over all paragraphs
+    begins = np.concatenate((first, [len(own)]))  # where a paragraph's spans begin
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+
+    # The last span with text before each one, and the next after it.
+    index, some = np.arange(len(own)), np.diff(at) > 0
+    before = np.concatenate(([-1], np.maximum.accumulate(np.where(some, index, -1))))[: len(own)]
+    after = np.append(np.minimum.accumulate(np.where(some, index, len(own))[::-1])[::-1], len(own))[1:]
+    asked = np.flatnonzero(pc.fill_null(breaks.flatten(), False).to_numpy(zero_copy_only=False))
+    asked = asked[(before[asked] >= begins[owner[asked]]) & (after[asked] < begins[owner[asked] + 1])]
+    broken = pc.match_substring_regex(own.take(pa.array(before[asked])), _BROKEN).to_numpy(zero_copy_only=False)
+    goes_on = pc.match_substring_regex(own.take(pa.array(after[asked])), _GOES_ON).to_numpy(zero_copy_only=False)
+    joins = asked[broken & goes_on]
+    # Breaks without text between the same two texts join them once.
+    joins = joins[np.concatenate(([True], ends[joins[1:] + 1] > ends[joins[:-1] + 1]))[: len(joins)]]
+
+    # The hyphen of one to three bytes goes with its break.
+    last = data[at[joins] - 1]
+    hyphen = np.where(last < 0x80, 1, np.where(data[at[joins] - 2] == 0xC2, 2, 3))
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[at[joins] - hyphen] += 1
+    edges[at[joins + 1]] -= 1
+    kept = np.cumsum(edges[:-1], dtype=np.int8) == 0
+    read = np.concatenate(([0], np.cumsum(kept)))[at[begins]].astype(np.int32)
+
+    # Each paragraph has one segment more than it has joins, some of them empty.
+    page, base, total = owner[joins], ends[begins], len(sizes) + len(joins)
+    lo, hi = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    nth = np.arange(len(joins)) + page
+    hi[nth], lo[nth + 1] = ends[joins] - 1 - base[page], ends[joins + 1] - base[page]
+    n_joins = np.bincount(page, minlength=len(sizes))
+    hi[np.cumsum(n_joins + 1) - 1] = np.diff(base)
+    page = np.repeat(np.arange(len(sizes)), n_joins + 1)
+    full = lo < hi
+    lo, hi, page = lo[full], hi[full], page[full]
+    place = np.concatenate(([0], np.cumsum(hi - lo)))
+    bounds = np.searchsorted(page, np.arange(len(sizes) + 1))
+    segments = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (place[:-1] - place[bounds[page]], lo, hi)], ["at", "lo", "hi"])
+
+    string = lambda to, held: pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.ascontiguousarray(to)), pa.py_buffer(np.ascontiguousarray(held)))
+    starts = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array((ends[:-1] - base[owner]).astype(np.int32)))
+    columns = {"flat": string(at[begins], data), "starts": starts, "segments": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), segments), "text": string(read, data[kept])}
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns), mask=pc.is_null(texts))
+
+
 def joined_reading(spans: Column) -> Column:
-    """struct(flat, starts, segments, text) of an array of spans (text, line_break, ...).
+    """struct(flat, starts, segments, text) of an array of spans (text, line_break, ...); null of null.
 
     A break joins if the last span with text before it ends in a letter or digit and a hyphen, and the next one with text begins
     with a letter or digit. A hyphen inside a line stays, as does one that is a span of its own.
     """
-
-    def edge(side) -> Column:
-        return lambda seen, s: F.struct(F.when(F.length(_text(s)) > 0, side(_text(s))).otherwise(seen).alias("state"), seen.alias("out"))
-
-    def of(v: Column) -> Column:
-        texts = F.transform(v, _text)
-        before = scan(v, F.lit(""), edge(lambda t: F.right(t, F.lit(2))), "string")
-        after = F.reverse(scan(F.reverse(v), F.lit(""), edge(lambda t: F.left(t, F.lit(1))), "string"))
-        return let(F.struct(texts.alias("texts"), running_sums(F.transform(texts, lambda t: F.length(t))).alias("ends"), before.alias("before"), after.alias("after")), lambda k: cut(v, k))
-
-    def cut(v: Column, k: Column) -> Column:
-        begin = lambda i: F.get(k["ends"], i) - F.length(F.get(k["texts"], i))
-        joins = lambda s, i: F.coalesce(s["line_break"], F.lit(False)) & F.get(k["before"], i).rlike(_BROKEN) & F.get(k["after"], i).rlike(_GOES_ON)
-        out = F.array_distinct(F.filter(F.transform(v, lambda s, i: F.when(joins(s, i), F.struct((begin(i) - 1).alias("lo"), F.get(k["ends"], i).alias("hi")))), lambda r: r.isNotNull()))
-        whole = F.struct(F.array_join(k["texts"], "").alias("flat"), F.transform(k["texts"], lambda t, i: begin(i)).alias("starts"), out.alias("gone"))
-        return let(whole, segmented)
-
-    def segmented(w: Column) -> Column:
-        edges = F.concat(w["gone"], F.array(F.struct(F.length(w["flat"]).alias("lo"), F.length(w["flat"]).alias("hi"))))
-        kept = F.filter(F.transform(edges, lambda e, i: F.struct(F.coalesce(F.get(w["gone"], i - 1)["hi"], F.lit(0)).alias("lo"), e["lo"].alias("hi"))), lambda s: s["lo"] < s["hi"])
-
-        def read(s: Column) -> Column:
-            at = running_sums(F.transform(s, lambda x: x["hi"] - x["lo"]))
-            placed = F.zip_with(s, at, lambda x, end: F.struct((end - (x["hi"] - x["lo"])).alias("at"), x["lo"].alias("lo"), x["hi"].alias("hi")))
-            text = F.array_join(F.transform(s, lambda x: F.substring(w["flat"], x["lo"] + 1, x["hi"] - x["lo"])), "")
-            return F.struct(w["flat"].alias("flat"), w["starts"].alias("starts"), placed.alias("segments"), text.alias("text"))
-
-        return let(kept, read)
-
-    return let(spans, of)
+    return F.arrow_udf(_read, READING)(spans["text"], spans["line_break"])
 
 
 def to_flat(segments: Column, place: Column) -> Column:
@@ -88,6 +116,59 @@ def span_pieces(starts: Column, lo: Column, hi: Column) -> Column:
     return F.filter(each, lambda p: p["lo"] < p["hi"])
 
 
+def _word(c: str) -> bool:
+    return c.isalpha() or c.isdecimal()
+
+
+def _found(text: str, literal: str, bounded: bool) -> list[int]:
+    """Where the hits of a literal begin, as ``reading_hits`` has them: one that is turned down still uses up its text."""
+    out, at, n = [], text.find(literal), len(literal)
+    while at >= 0:
+        if not bounded or not (at and _word(text[at - 1]) or _word(text[at + n : at + n + 1])):
+            out.append(at)
+        at = text.find(literal, at + n)
+    return out
+
+
+def _ranges(literal: str, bounded: bool):
+    """Hits of some paragraphs, all at once: places of all paragraphs are one axis, on which segments and spans are in order."""
+
+    def of(texts: pa.Array, breaks: pa.Array) -> pa.Array:
+        r = _read(texts, breaks)
+        flat, starts, segments, text = (pc.fill_null(x, "") if pa.types.is_string(x.type) else x for x in (r.field(i) for i in range(4)))
+        base, read = (np.concatenate(([0], np.cumsum(pc.utf8_length(x).to_numpy()))).astype(np.int64) for x in (flat, text))
+        met = [_found(t, literal, bounded) for t in text.to_pylist()]
+        page = np.repeat(np.arange(len(met)), [len(x) for x in met])
+        place = np.array([x for one in met for x in one], np.int64) + read[page]
+        begins, at = (base[:-1].repeat(pc.list_value_length(starts).to_numpy()) + starts.flatten().to_numpy(), read[:-1].repeat(pc.list_value_length(segments).to_numpy()))
+        at, lo = at + segments.flatten().field("at").to_numpy(), segments.flatten().field("lo").to_numpy()
+
+        def back(x: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(at, x, side="right") - 1
+            return base[page] + lo[k] + x - at[k]
+
+        low, high = back(place), back(place + len(literal) - 1) + 1
+        first, last = np.searchsorted(begins, low, side="right") - 1, np.searchsorted(begins, high) - 1
+        n = last - first + 1
+        hit = np.repeat(np.arange(len(place)), n)
+        span = first[hit] + np.arange(len(hit)) - (np.cumsum(n) - n)[hit]
+        here = begins[span]
+        cut_lo, cut_hi = np.maximum(low[hit], here) - here, np.minimum(high[hit], np.append(begins, base[-1])[span + 1]) - here
+        some = cut_lo < cut_hi
+        hit, span, cut_lo, cut_hi = hit[some], span[some], cut_lo[some], cut_hi[some]
+        own = page[hit]
+        bounds = np.searchsorted(own, np.arange(len(met) + 1)).astype(np.int32)
+        columns = {"hit": low[hit] - base[own], "span": span - starts.offsets.to_numpy()[own], "lo": cut_lo, "hi": cut_hi}
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in columns.values()], list(columns)))
+
+    return of
+
+
+def hit_ranges(spans: Column, literal: str, bounded: bool = True) -> Column:
+    """Array of (hit, span, lo, hi): where each hit of ``reading_hits`` begins in the flat text, and its ``span_pieces``."""
+    return F.arrow_udf(_ranges(literal, bounded), "array<struct<hit:int,span:int,lo:int,hi:int>>")(spans["text"], spans["line_break"])
+
+
 def merged(spans: Column) -> Column:
     """Neighbours that share style and insertedness, without a gap or a forced break, as one span."""
 
@@ -136,4 +217,5 @@ def replace_in_spans(spans: Column, literal: str | Column, token: str | Column,
         kept = F.transform(v, lambda s: F.struct(s["text"].alias("text"), s["style"].alias("style"), s["inserted"].alias("inserted"), s["line_break"].alias("line_break"), s["gap"].cast("double").alias("gap")))
         return F.struct(F.when((F.size(hits) > 0) & (n > 0), merged(rest)).otherwise(kept).alias("spans"), F.size(hits).alias("hits"))
 
-    return let(spans, lambda v: let(joined_reading(v), lambda r: let(reading_hits(r, literal, bounded), lambda h: rewritten(v, r, h))))
+    read = F.struct(spans.alias("spans"), joined_reading(spans).alias("reading"))
+    return let(read, lambda k: let(reading_hits(k["reading"], literal, bounded), lambda h: rewritten(k["spans"], k["reading"], h)))

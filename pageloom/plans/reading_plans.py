@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions.fitting import FitRule, fitted, with_tokens
-from pageloom.operators.reading import joined_reading, reading_hits, replace_in_spans, span_pieces
+from pageloom.operators.reading import hit_ranges, replace_in_spans
 from pageloom.sources.tables import LINES_PER_PAGE, spread, table
 
 from .registry import query
@@ -64,9 +64,7 @@ def replace_in_spans_query(spark, sf_dir):
 @query("reading_map_back", f"WITH {_SPANS_SQL} SELECT p.doc_id, p.page, CAST(p.lo - 1 AS INT) AS hit, CAST(c.sp - 1 AS INT) AS span, CAST(min(c.own) - 1 AS INT) AS lo, CAST(max(c.own) AS INT) AS hi FROM placed p JOIN ch c ON c.doc_id = p.doc_id AND c.page = p.page AND c.pos BETWEEN p.lo AND p.hi GROUP BY p.doc_id, p.page, p.lo, c.sp")
 def reading_map_back(spark, sf_dir):
     """Each hit of the joined reading as ranges of the spans it covers."""
-    read = _pages(spark, sf_dir).select("doc_id", "page", joined_reading(F.col("spans")).alias("r"))
-    hits = read.select("doc_id", "page", "r.starts", F.explode(reading_hits(F.col("r"), "the")).alias("h"))
-    return hits.select("doc_id", "page", F.col("h.lo").alias("hit"), F.inline(span_pieces(F.col("starts"), F.col("h.lo"), F.col("h.hi"))))
+    return _pages(spark, sf_dir).select("doc_id", "page", F.inline(hit_ranges(F.col("spans"), "the")))
 
 
 #: Fixed values of this query: rules in order, the second of which can't fit, and spacing in points.

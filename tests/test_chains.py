@@ -1,12 +1,14 @@
 """Golden cases of folds, chains, lines, paragraphs, wrapping and joined readings."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions.folds import bisect, heads_where, running_sums, runs_at, scan
 from pageloom.functions.text import anywhere_spans, bounded_spans
 from pageloom.operators.chains import chain_ranges, chain_text, chained, chains, grouped_lines, page_text, paragraph_numbers, wrapped
-from pageloom.operators.reading import joined_reading, reading_hits, replace_in_spans, span_pieces, to_flat, to_reading
+from pageloom.operators.reading import hit_ranges, joined_reading, reading_hits, replace_in_spans, span_pieces, to_flat, to_reading
 
 RUNS = "doc_id int, page int, runs array<struct<ln:int,wn:int,text:string,x:double,y:double,width:double,size:double,space_w:double>>"
 
@@ -140,6 +142,20 @@ def test_readings_join_broken_words(spark):
     assert [tuple(x) for x in hit.select(F.inline(span_pieces(F.col("r.starts"), F.col("h.lo"), F.col("h.hi")))).collect()] == [(0, 3, 8), (1, 0, 1), (2, 0, 4)]
 
 
+def test_hits_of_many_paragraphs_are_placed_at_once(spark):
+    texts = ["", "to Lund\u2011", "b\u00e9rg x", "-", None, "x", "Lund-", "xx x", "7\u00ad", "\u00e9"]
+    draw, rows = random.Random(3), []
+    for i in range(400):
+        spans = [(draw.choice(texts), "p", False, draw.choice([False, None]), 0.0) if draw.random() < 0.6 else (draw.choice([" ", "", None]), "p", False, True, 0.0) for _ in range(draw.randrange(10))]
+        rows.append((i, spans))
+    pages = spark.createDataFrame([*rows, (400, None)], f"i int, {SPANS}").repartition(2)
+    for literal, bounded in (("x", True), ("x", False), ("Lundb\u00e9rg", True), ("dx", False)):
+        hits = pages.select("i", joined_reading(F.col("spans")).alias("r")).select("i", "r.starts", F.explode(reading_hits(F.col("r"), literal, bounded)).alias("h"))
+        each = hits.select("i", F.col("h.lo").alias("hit"), F.inline(span_pieces(F.col("starts"), F.col("h.lo"), F.col("h.hi"))))
+        want = sorted(map(tuple, each.collect()))
+        assert want == sorted(map(tuple, pages.select("i", F.inline(hit_ranges(F.col("spans"), literal, bounded))).collect())) and want
+
+
 def test_replacement_keeps_styles(spark):
     assert replaced(spark, [("to Lund-", "p"), BREAK, ("berg now", "q")], "Lundberg", "[N]") == (1, [("to ", "p", False), ("[N]", "p", True), (" now", "q", False)])
     # Over three spans: what is put in has the style of the first character it replaces.
