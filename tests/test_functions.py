@@ -1,5 +1,7 @@
 """Golden cases of the text functions, labels and ranges."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pageloom.functions.dates import document_date, xmp_date
@@ -8,7 +10,7 @@ from pageloom.functions.labels import format_label
 from pageloom.functions.text import anywhere_hits, bounded_hits, bounded_spans, dehyphenate, needs_space, replace_bounded
 from pageloom.operators.graph import chain_ends, reachable
 from pageloom.operators.redact import expand_variants, matches_any_rule, merge_ranges, merged_ranges
-from pageloom.operators.spans import apply_splices, merge_spans
+from pageloom.operators.spans import apply_splices, literal_splices, merge_spans
 from pageloom.plans import catalog
 
 BOUNDED = [
@@ -167,6 +169,14 @@ def test_splices_keep_tokens_apart(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
 
 
+def test_splices_of_a_long_text_take_time_in_proportion(spark):
+    text = "bänder an " * 60_000
+    spliced = apply_splices(F.col("t"), literal_splices(F.col("t"), "an", "X"))
+    began = time.time()
+    got = spark.createDataFrame([(text,), (None,), ("anan",), ("",)], "t string").select(spliced.alias("out")).collect()
+    assert [r.out for r in got] == ["bänder X " * 60_000, None, "X X", ""] and time.time() - began < 30
+
+
 def test_spans_of_one_style_merge(spark):
     rows = [(1, 0, "a", "x", False, 0.0, False), (1, 1, "b", "x", False, 0.0, False), (1, 2, "c", "x", True, 0.0, False), (1, 3, None, "x", True, 0.0, False), (1, 4, "e", "y", True, 0.0, False), (1, 5, "f", "y", True, 2.0, False), (1, 6, "g", "y", True, 0.0, False)]
     rows += [(2, 0, "h", "y", True, 0.0, True), (2, 1, "i", "y", True, 0.0, False), (None, 0, "j", None, False, None, None), (None, 1, "k", None, False, None, None)]
