@@ -301,7 +301,8 @@ def _cut(batches):
 
 
 def _worked_off(table: pa.Table, length: int) -> pa.RecordBatch:
-    """Neighbouring shards: stretches of each context to remove, and the windows of split anchors (shard >= 0) for the merge."""
+    """Neighbouring shards: stretches of each context to remove, and for the merge the windows of split anchors
+    (shard >= 0) that stay: the first documents' of each kind, so common passages send one window a shard."""
     table = table.combine_chunks()
     value, context, shard, doc = (table.column(c).to_numpy() for c in ("value", "context", "shard", "doc"))
     column = table.column("bytes").chunk(0)
@@ -316,7 +317,7 @@ def _worked_off(table: pa.Table, length: int) -> pa.RecordBatch:
     new[1:] = (hit[1:] != hit[:-1]) | (at[1:] > at[:-1] + length)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(hit)) - 1 if len(heads) else heads
-    split = np.flatnonzero(shard[home] >= 0)
+    split = np.flatnonzero((shard[home] >= 0) & ~gone)  # one that goes already has no say in the merge: a smaller document's does
     row = np.concatenate((hit[heads], home[split]))
     begin = np.concatenate((at[heads], start[split]))
     end = np.concatenate((at[tails], start[split])) + length

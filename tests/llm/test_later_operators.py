@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pageloom.llm import decontamination, fill_middle, vector_codes
@@ -212,3 +213,16 @@ def test_fill_in_middle(spark):
             want = (len(units), "psm", len(before), len(middle), f"<P>{before}<S>{after}<M>{middle}")
         assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == want
     assert fill_middle.fill_in_middle(docs.filter("false")).count() == 0
+
+
+def test_split_anchors_send_windows_that_stay():
+    from pageloom.llm.suffix_dedup import _shards
+
+    common = bytes(range(60, 120))  # 60 bytes: 11 windows
+    contexts = [bytes([i]) * 10 + common + bytes([i + 20]) * 10 for i in range(1, 9)]
+    columns = {"value": [7] * 8, "context": list(range(8)), "shard": [0] * 8, "doc": list(range(8)), "bytes": contexts}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in columns.items()], names=list(columns))
+    rows = [r for out in _shards(50, 1 << 19)([batch]) for r in out.to_pylist()]
+    windows = [r for r in rows if r["window"] is not None]
+    assert len(windows) == 8 * 20 + 11 and {r["doc"] for r in windows if r["window"] in common} == {0}
+    assert [(r["context"], r["begin"], r["end"]) for r in rows if r["window"] is None] == [(i, 10, 70) for i in range(1, 8)]
