@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, linked
+from .components import MOST_HELD, joined, packed, packed_buckets
 from .ngram_join import row_key, similar
-from .scratch import BATCH_BYTES, read_table, shield, small_batches, written
+from .scratch import BATCH_BYTES, partitions, read_table, shield, small_batches, written
 from .shingles import mix
 
 SHINGLE = 5
@@ -35,6 +35,12 @@ PERCENT = 80
 SLICE = 1 << 16
 #: Lines a task knows as sent: an equal one isn't signed again.
 REMEMBERED = 1 << 16
+#: Pairs of lines that are compared at once.
+MET = 1 << 12
+#: Bits of the table that tells the lines whose forms are needed from most others: of fixed size, as it goes to all tasks.
+LOG2_MARKS = 25
+#: Lines whose bands are sent at once.
+SENT = 1 << 15
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WEIGHTS = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -46,29 +52,35 @@ def line_form(line: bytes) -> bytes:
 
 
 def code_points(form: bytes) -> np.ndarray:
+    if form.isascii():
+        return np.frombuffer(form, np.uint8)
     return np.frombuffer(form.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def lengths(forms: list[bytes]) -> np.ndarray:
     """Code points of each form: its bytes that don't continue one."""
-    ends = np.cumsum(np.fromiter(map(len, forms), np.int64, len(forms)))
-    starts = np.cumsum((np.frombuffer(b"".join(forms), np.uint8) & 0xC0) != 0x80)
-    return np.diff(np.concatenate(([0], starts))[ends], prepend=0)
+    sizes, joined_forms = np.fromiter(map(len, forms), np.int64, len(forms)), b"".join(forms)
+    if joined_forms.isascii():
+        return sizes
+    starts = np.cumsum((np.frombuffer(joined_forms, np.uint8) & 0xC0) != 0x80)
+    return np.diff(np.concatenate(([0], starts))[np.cumsum(sizes)], prepend=0)
 
 
 def shingle_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the SHINGLE code points from each position on."""
-    sums = np.zeros(max(0, len(data) - SHINGLE + 1), np.uint64)
-    wide = data.astype(np.uint64) + np.uint64(1)
+    wide = data.astype(np.uint64)
+    wide += np.uint64(1)
+    n = max(0, len(data) - SHINGLE + 1)
+    sums, term = np.zeros(n, np.uint64), np.empty(n, np.uint64)
     for j in range(SHINGLE):
-        sums += wide[j : j + len(sums)] * _WEIGHTS[j]
+        sums += np.multiply(wide[j : j + n], _WEIGHTS[j], out=term)
     return mix(sums)
 
 
 def shingle_codes(data: np.ndarray) -> np.ndarray | None:
     """A number of the SHINGLE code points from each position on, a different one for different code points. None if
     ``data`` has too many kinds of them for 64 bits."""
-    present = np.zeros(0x110000, bool)
+    present = np.zeros(int(data.max(initial=0)) + 1, bool)
     present[data] = True
     width = 64 // SHINGLE
     if np.count_nonzero(present) > 1 << width:
@@ -103,13 +115,18 @@ def shingled(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return within_lines(shingle_hashes(code_points(b"".join(forms))), lengths(forms))
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One row of BINS least hashes per line; every line has one shingle at least."""
-    line = np.repeat(np.arange(len(counts)), counts)
-    out = np.full(len(counts) * BINS, _EMPTY, np.uint64)
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(out, line * BINS + bins, hashes << np.uint64(32) | hashes >> np.uint64(32))
-    out = out.reshape(len(counts), BINS)
+def signatures(hashes: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """One row of BINS least hashes for each of ``n`` lines; every line has one shingle at least. Hashes of line ``n`` go nowhere."""
+    high = hashes >> np.uint64(32)
+    values = hashes << np.uint64(32)
+    values |= high
+    high *= np.uint64(BINS)
+    high >>= np.uint64(32)
+    at = high.view(np.int64)
+    at += line * BINS
+    out = np.full((n + 1) * BINS, _EMPTY, np.uint64)
+    np.minimum.at(out, at, values)
+    out = out[: n * BINS].reshape(n, BINS)
     filled = out != _EMPTY
     turn = 0
     rows, bins = np.nonzero(~filled)
@@ -125,14 +142,23 @@ def line_set(form: bytes) -> np.ndarray:
     return distinct(*shingled([form]))[0]
 
 
-def band_values(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    values = signatures(hashes, counts).reshape(len(counts), BANDS, ROWS)
+def _bands(least: np.ndarray) -> np.ndarray:
+    values = least.reshape(len(least), BANDS, ROWS)
     weights = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
     return mix((values * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
+def band_values(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return _bands(signatures(hashes, np.repeat(np.arange(len(counts)), counts), len(counts)))
+
+
 def bands(forms: list[bytes]) -> np.ndarray:
-    return band_values(*shingled(forms))
+    """Bands of lines that have a shingle each."""
+    hashes, sizes = shingle_hashes(code_points(b"".join(forms))), lengths(forms)
+    line = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
+    across = (np.cumsum(sizes)[:, None] - np.arange(1, SHINGLE)).ravel()  # shingles from here on end in the next line
+    line[across[across < len(hashes)]] = len(sizes)
+    return _bands(signatures(hashes, line, len(sizes)))
 
 
 def bit_maps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -154,22 +180,102 @@ def _runs(sizes: list[int]):
         yield first, len(sizes)
 
 
-def may_be_similar(x: str, y: str, percent: int = PERCENT):
-    """An exact bound: a bit that only one line sets stands for a shingle that only that line has."""
+def _numbers(ids: pa.Array) -> np.ndarray:
+    """Two numbers for each id, in the same order."""
+    return np.frombuffer(b"".join(ids.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """An exact bound for pairs of lines, by sizes and bit maps: a bit that only one line sets stands for a shingle that only that line has."""
+    least = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return (100 + percent) * np.minimum(least, np.minimum(n, m)) >= percent * (n + m)
+
+
+class _Rows:
+    """Rows of a batch as arrays: those of one bucket's block, or a part."""
+
+    NAMES = ("key", "id", "label", "major", "size", "bits", "bands", "minor")
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = columns
+        for name, column in zip(self.NAMES, columns, strict=True):
+            setattr(self, name, column)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        listed = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for c in ("bits", "bands"))
+        own = (batch.column(c) for c in ("id", "label", "major"))
+        return cls(batch.column("key").to_numpy().view(np.uint64), *map(_numbers, own), batch.column("size").to_numpy(), *listed, batch.column("minor").to_numpy(zero_copy_only=False))
+
+    def __getitem__(self, at) -> _Rows:
+        return _Rows(*(x[at] for x in self.columns))
+
+    def __add__(self, more: _Rows) -> _Rows:
+        return _Rows(*map(np.concatenate, zip(self.columns, more.columns, strict=True)))
+
+
+def _pairs(minor: _Rows, others: _Rows, percent: int) -> np.ndarray:
+    """Four numbers (the smaller id, the larger one) for each pair that may be similar and meets in the first band it shares."""
+    label = (minor.label[:, None] != others.label[None]).any(axis=2)
+    a, b = minor.id[:, None], others.id[None]
+    before = (a[..., 0] < b[..., 0]) | ((a[..., 0] == b[..., 0]) & (a[..., 1] < b[..., 1]))
+    i, k = np.nonzero(label & ((others.label == others.major).all(axis=1)[None] | before))
+    found = []
+    for at in range(0, len(i), MET):
+        p, q = i[at : at + MET], k[at : at + MET]
+        n, m = minor.size[p], others.size[q]
+        near = (100 + percent) * np.minimum(n, m) >= percent * (n + m)
+        p, q = p[near], q[near]
+        same = minor.bands[p] == others.bands[q]
+        first = minor.bands[p, same.argmax(axis=1)] == minor.key[p]
+        p, q = p[first], q[first]
+        near = may_be_similar(minor.size[p], others.size[q], minor.bits[p], others.bits[q], percent)
+        found.append(np.stack((minor.id[p[near]], others.id[q[near]]), axis=1))
+    out = np.concatenate(found) if found else np.zeros((0, 2, 2), np.uint64)
+    turn = (out[:, 0, 0] > out[:, 1, 0]) | ((out[:, 0, 0] == out[:, 1, 0]) & (out[:, 0, 1] > out[:, 1, 1]))
+    out[turn] = out[turn][:, ::-1]
+    return out
+
+
+def _meet(percent: int):
+    """Pairs (a, b) of lines that may be similar; a bucket's block is held at a time, and minor lines of other blocks stream by."""
 
-    def apart(a: str, b: str):
-        own = F.zip_with(f"{a}.bits", f"{b}.bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(own, F.lit(0), lambda acc, n: acc + n)
+    def table(pairs: list[np.ndarray]):
+        raw = np.concatenate(pairs).astype(">u8")
+        ids = [pa.Array.from_buffers(pa.binary(16), len(raw), [None, pa.py_buffer(raw[:, end].tobytes())]).cast(pa.binary()) for end in (0, 1)]
+        return pa.RecordBatch.from_arrays(ids, names=["a", "b"])
 
-    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
-    enough = lambda common: (100 + percent) * common >= percent * (n + m)
-    return enough(F.least(n, m)) & enough(n - apart(x, y)) & enough(m - apart(y, x))
+    def run(batches):
+        place, others, done = None, None, True
+
+        def close():
+            """Pairs inside the block itself, once all of it is there."""
+            return [] if done or others is None else [_pairs(others[others.minor], others, percent)]
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, out = _Rows.of(batch), []
+            block, other = batch.column("block").to_numpy(), batch.column("other").to_numpy(zero_copy_only=False)
+            new = (rows.key[1:] != rows.key[:-1]) | (block[1:] != block[:-1]) | (other[1:] != other[:-1])
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(block)]
+            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+                here, part = (rows.key[first], block[first]), rows[first:last]
+                if here != place:
+                    out += close()
+                    place, others, done = here, None, False
+                if other[first]:
+                    others = part if others is None else others + part
+                elif others is not None:
+                    out += close()
+                    done = True
+                    out.append(_pairs(part, others, percent))
+            if out:
+                yield table(out)
+        if out := close():
+            yield table(out)
 
-def first_shared(x: str, y: str):
-    """Whether the bucket that two lines meet in is the first band they share."""
-    shared = F.filter(F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
-    return F.get(shared, F.lit(0)) == F.col(f"{x}.key")
+    return run
 
 
 def line_id(form: bytes) -> bytes:
@@ -181,10 +287,11 @@ def line_id(form: bytes) -> bytes:
 
 def _lines(text: bytes):
     """(position, form) of the lines that aren't white space."""
-    for i, line in enumerate(text.split(b"\n")):
-        form = line_form(line)
-        if form:
-            yield i, form
+    forms = text.lower().split(b"\n")
+    # Most texts have single spaces between words and no others: their lines are forms but for A-Z.
+    if b"  " in text or b"\t" in text or b"\r" in text or b"\v" in text or b"\f" in text or any(x[:1] == b" " or x[-1:] == b" " for x in forms):
+        forms = map(line_form, forms)
+    return [x for x in enumerate(forms) if x[1]]
 
 
 def _bytes(text) -> bytes:
@@ -192,30 +299,30 @@ def _bytes(text) -> bytes:
 
 
 def _found(batches):
-    """(row_key, place, line) of every line."""
+    """(doc_id, row_key, place, line, head) of every line; ``head``: the first of its row."""
     for batch in batches:
-        rows, places, lines = [], [], []
-        for i, text in enumerate(batch.column("text")):
-            for place, form in _lines(_bytes(text)):
-                rows.append(i), places.append(place), lines.append(line_id(form))
-        at = pa.array(rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_key").take(at), pa.array(places, pa.int32()), pa.array(lines, pa.binary())], names=["doc_id", "row_key", "place", "line"])
-
-
-def _banded(min_chars: int):
-    """(id, keys): a line's bands, of the lines of ``min_chars`` characters at least; a task sends a line again only if it has met many others."""
+        counts, places, lines = [], [], []
+        for text in batch.column("text"):
+            found = _lines(_bytes(text))
+            counts.append(len(found))
+            places += [place for place, _ in found]
+            lines += [line_id(form) for _, form in found]
+        at = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        head = np.diff(at, prepend=-1) > 0
+        at = pa.array(at)
+        columns = [batch.column("doc_id").take(at), batch.column("row_key").take(at), pa.array(places, pa.int32()), pa.array(lines, pa.binary()), pa.array(head)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "place", "line", "head"])
+
+
+def _banded(min_chars: int, shards: int):
+    """Packed bands of the lines of ``min_chars`` characters at least; a task sends a line again only if it has met many others."""
 
     def run(batches):
         seen: set[bytes] = set()
         forms: list[bytes] = []
         names: list[bytes] = []
+        keys: list[np.ndarray] = []
         held = 0
-
-        def out():
-            ends = pa.array(np.arange(len(forms) + 1, dtype=np.int32) * BANDS)
-            keys = pa.ListArray.from_arrays(ends, pa.array(bands(forms).astype(np.int64).ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), keys], names=["id", "keys"])
-
         for batch in batches:
             for text in batch.column("text"):
                 for _, form in _lines(_bytes(text)):
@@ -230,23 +337,50 @@ def _banded(min_chars: int):
                     forms.append(form), names.append(name)
                     held += len(form)
                     if held > SLICE:
-                        yield out()
-                        forms, names, held = [], [], 0
+                        keys.append(bands(forms))
+                        forms, held = [], 0
+                        if len(names) >= SENT:
+                            yield packed(names, np.concatenate(keys), shards)
+                            names, keys = [], []
         if forms:
-            yield out()
+            keys.append(bands(forms))
+        if names:
+            yield packed(names, np.concatenate(keys), shards)
 
     return run
 
 
-def _forms(batches):
-    """(id, form) of the wanted places."""
-    for batch in batches:
-        ids, forms = [], []
-        for wanted, text in zip(batch.column("wanted"), batch.column("text"), strict=True):
-            parts = _bytes(text).split(b"\n")
-            for w in wanted.as_py():
-                ids.append(w["line"]), forms.append(line_form(parts[w["place"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(forms, pa.binary())], names=["id", "form"])
+def line_marks(ids: DataFrame) -> np.ndarray:
+    """A table of 2^LOG2_MARKS bits in which each id's first bits are set."""
+    bit = F.shiftright(F.conv(F.hex(F.substring("id", 1, 4)), 16, 10).cast("long"), 32 - LOG2_MARKS)
+    words = ids.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("at"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).toArrow()
+    table = np.zeros(1 << LOG2_MARKS - 6, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table
+
+
+def _forms(marks):
+    """(id, form) of the lines whose id is marked; a task sends a line again only if it has met many others."""
+
+    def run(batches):
+        table = np.frombuffer(marks.value, np.uint64)
+        seen: set[bytes] = set()
+        for batch in batches:
+            found = [form for text in batch.column("text") for _, form in _lines(_bytes(text))]
+            ids = [line_id(form) for form in found]
+            bit = np.frombuffer(b"".join(ids), ">u4").astype(np.uint64)[::4] >> np.uint64(32 - LOG2_MARKS)
+            marked = table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)
+            sent, forms = [], []
+            for i in np.flatnonzero(marked).tolist():
+                if ids[i] not in seen:
+                    seen.add(ids[i])
+                    sent.append(ids[i]), forms.append(found[i])
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(sent, pa.binary()), pa.array(forms, pa.binary())], names=["id", "form"])
+
+    return run
 
 
 def _sketches(batches):
@@ -289,40 +423,44 @@ def _similar_lines(percent: int):
     return run
 
 
-def line_components(rows: DataFrame, percent: int = PERCENT, repeated: bool = True, min_chars: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, components) of ``rows`` (doc_id, row_key, text): (doc_id, row_key, place, line) of all lines, and
-    (line, label, keep) of those that occur twice or are linked; ``keep`` is the place that stays. ``repeated``: whether
-    some rows may be equal."""
+def line_components(rows: DataFrame, percent: int = PERCENT, min_chars: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(occurrences, components, repeats) of ``rows`` (doc_id, row_key, text), and whether there are repeats: (label,
+    doc_id, row_key, place) of the lines that occur twice or are linked; (label, keep), ``keep`` is the place that stays;
+    the row_key of the rows with lines that are there several times."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    found = written(rows.mapInArrow(_found, f"doc_id {id_type}, row_key binary, place int, line binary"), "line-places")
-    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
-    firsts = written(found.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    members = rows.select("text").mapInArrow(_banded(max(min_chars, SHINGLE)), "id binary, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    found = written(rows.mapInArrow(_found, f"doc_id {id_type}, row_key binary, place int, line binary, head boolean"), "line-places")
+    repeats = found.filter("head").groupBy("row_key").count().filter("count > 1").select("row_key")
+    repeated = not repeats.isEmpty()
+    equal = written(found.groupBy("line").count().filter("count > 1").select("line"), "equal-lines")
+    shards = max(partitions(rows.sparkSession), BANDS * found.count() // MOST_HELD)
+    members = rows.select("text").mapInArrow(_banded(max(min_chars, SHINGLE), shards), "shard int, keys binary, ids binary")
     forms: list[DataFrame] = []
 
     def texts_of(ids: DataFrame) -> None:
-        """Forms of the lines that share a bucket: their texts are read once."""
-        wanted = firsts.join(ids.select(F.col("id").alias("line")), "line").groupBy(F.col("first.row_key").alias("row_key"))
-        wanted = wanted.agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
-        texts = rows.select("row_key", "text").join(wanted, "row_key").select("wanted", "text").mapInArrow(_forms, "id binary, form binary")
-        forms.append(written(texts.dropDuplicates(["id"]) if repeated else texts, "line-forms"))
+        """Forms of the lines that share a bucket: all texts are read again, but only marked lines are moved."""
+        ids = written(ids, "line-ids")
+        marks = rows.sparkSession.sparkContext.broadcast(line_marks(ids).tobytes())
+        texts = rows.select("text").mapInArrow(_forms(marks), "id binary, form binary")
+        forms.append(written(texts.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "line-forms"))
+        marks.destroy()
 
     def details(ids: DataFrame) -> DataFrame:
-        return forms[0].join(ids, "id", "left_semi").mapInArrow(_sketches, "id binary, size long, bits array<long>, bands array<long>")
+        return forms[0].join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sketches, "id binary, size long, bits array<long>, bands array<long>")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda end, name: forms[0].select(F.col("id").alias(end), F.col("form").alias(name))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        both = pairs.join(side("a", "x").hint("shuffle_hash"), "a").join(side("b", "y").hint("shuffle_hash"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_similar_lines(percent), "a binary, b binary")
 
-    def surely(x: str, y: str):
-        return first_shared(x, y) & may_be_similar(x, y, percent)
+    def meet(open_rows: DataFrame) -> DataFrame:
+        return open_rows.select(*_Rows.NAMES, "block", "other").mapInArrow(_meet(percent), "a binary, b binary")
 
-    labels = components(linked(members, lambda x, y: F.lit(True), verify, details, surely, texts_of))
-    named = firsts.join(labels, firsts["line"] == labels["id"], "left").filter("n > 1 or label is not null")
-    named = named.select("line", F.coalesce("label", "line").alias("label"), "first")
-    least = named.groupBy("label").agg(F.min("first").alias("keep"))
-    return found, written(named.select("line", "label").join(least, "label"), "line-parts")
+    labels = joined(packed_buckets(members, shards), verify, details, meet, texts_of)
+    named = equal.join(labels, equal["line"] == labels["id"], "full_outer").select(F.coalesce("line", "id").alias("line"), F.coalesce("label", "line").alias("label"))
+    held = written(found.join(named.hint("shuffle_hash"), "line").select("label", "doc_id", "row_key", "place"), "line-parts")
+    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key", "place")
+    # Written, so Spark can split a crowded component's rows when they meet the place that stays.
+    return held, written(held.groupBy("label").agg(F.min(place).alias("keep")), "line-keeps"), repeats, repeated
 
 
 def _without(columns: list[str]):
@@ -353,22 +491,21 @@ def dedup_lines(docs: DataFrame, *, percent: int = PERCENT, min_chars: int = SHI
     shielded, restore = shield(docs, ("doc_id", "text", "n_chars"))
     keyed = shielded.withColumn("_row_key", row_key("doc_id", "text"))
     rows = keyed.select("doc_id", F.col("_row_key").alias("row_key"), "text")
-    repeats = keyed.groupBy("_row_key").count().filter("count > 1").select("_row_key", F.lit(True).alias("_repeats"))
-    repeated = not repeats.isEmpty()
-    found, parts = line_components(rows, percent, repeated, min_chars)
+    found, parts, repeats, repeated = line_components(rows, percent, min_chars)
     here = (F.col("keep.row_key") == F.col("row_key")) & (F.col("keep.place") == F.col("place"))
-    held = found.join(parts, "line").select(F.col("row_key").alias("_row_key"), "place", here.alias("here"))
-    gone = held.filter("not here").distinct().groupBy("_row_key").agg(F.collect_list("place").alias("_gone"))
-    joined = keyed.join(gone, "_row_key", "left")
+    held = found.join(parts.hint("shuffle_hash"), "label").select(F.col("row_key").alias("_row_key"), "place", here.alias("here"))
+    gone = held.filter("not here")
+    gone = (gone.distinct() if repeated else gone).groupBy("_row_key").agg(F.collect_list("place").alias("_gone"))
+    whole = keyed.join(gone.hint("shuffle_hash"), "_row_key", "left")
     # Of rows that repeat a document wholly, the later ones lose the lines that the first one keeps.
     again = F.lit(1)
     if repeated:
-        joined = joined.join(repeats, "_row_key", "left")
+        whole = whole.join(repeats.select(F.col("row_key").alias("_row_key"), F.lit(True).alias("_repeats")), "_row_key", "left")
         again = F.when(F.col("_repeats"), F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))).otherwise(F.lit(1))
-    joined = joined.select(*shielded.columns, "_gone", again.alias("_again"))
+    whole = whole.select(*shielded.columns, "_gone", again.alias("_again"))
     columns = [*shielded.columns, "_lines_", "_removed_"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shielded.schema.fields), "_lines_ long", "_removed_ long"])
-    out = joined.mapInArrow(_without(columns), schema).withColumnsRenamed({"_lines_": "n_lines", "_removed_": "n_removed"})
+    out = whole.mapInArrow(_without(columns), schema).withColumnsRenamed({"_lines_": "n_lines", "_removed_": "n_removed"})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return restore(out, "n_lines", "n_removed")

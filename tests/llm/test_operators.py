@@ -617,3 +617,75 @@ def test_similar_lines_and_sketches_count_whole_sets(alphabet):
     alone = pa.Table.from_batches([b for form in x for b in line_dedup._sketches([pa.RecordBatch.from_pydict({"id": [form], "form": [form]})])])
     assert sketches.equals(alone)
     assert list(line_dedup._runs([3, line_dedup.SLICE, 1, 1])) == [(0, 1), (1, 2), (2, 4)] and list(line_dedup._runs([])) == []
+
+
+def test_packed_buckets_are_those_of_rows(spark):
+    """Keys and ids as one string a shard: the same buckets as row by row, also when a shard's crowded keys are handed out in between."""
+    rng = np.random.default_rng(7)
+    names = [rng.bytes(16) for _ in range(300)]
+    keys = rng.integers(0, 1 << 63, (300, 4)).astype(np.uint64)
+    keys[40:90, 1] = keys[40, 1]  # crowded
+    keys[100:130:2, 2] = keys[101:131:2, 2]  # pairs
+    sent = [components.packed(names[a:b], keys[a:b], 3) for a, b in ((0, 120), (110, 300), (0, 60))]  # some members twice
+    assert [b.num_rows for b in sent] == [3, 3, 3]
+    rows = [(int(k), n) for n, own in zip(names, keys.view(np.int64).tolist(), strict=True) for k in own]
+    want = components.shared_buckets(spark.createDataFrame(rows, "key long, id binary")).collect()
+    ids = collections.defaultdict(set)
+    for r in want:
+        ids[r.key].add(bytes(r.id))
+    table = pa.Table.from_batches(sent).sort_by("shard")
+    for most in (50, 1 << 20):
+        got, leads, more = collections.defaultdict(set), collections.defaultdict(set), {}
+        for r in pa.Table.from_batches(components._shared_of_shards(most)(table.to_batches(max_chunksize=1))).to_pylist():
+            got[r["key"]] |= {r["id"], r["lead_id"]}
+            leads[r["key"]].add(r["lead_id"])
+            more[r["key"]] = r["more"]
+        assert got == ids and all(len(x) == 1 for x in leads.values())
+        assert more == {k: len(x) > 2 for k, x in ids.items()}
+    df = spark.createDataFrame(table.to_pandas(), "shard int, keys binary, ids binary")
+    assert {(r.key, bytes(r.id)) for r in components.packed_buckets(df, 3).collect()} >= {(k, i) for k, x in ids.items() for i in x if i != min(x)}
+
+
+def test_open_buckets_meet_as_by_loops():
+    """Rows of a bucket in blocks: each pair in different components, once, in the first band it shares, if sizes and bits allow it."""
+    rng = np.random.default_rng(9)
+    lines = [prose(seed % 9, 12).encode()[: 60 + seed % 5] + b" %d" % (seed % 7) for seed in range(60)]
+    lines = sorted({*lines})
+    sketches = pa.Table.from_batches(line_dedup._sketches([pa.RecordBatch.from_pydict({"id": lines, "form": lines})])).to_pylist()
+    names = {x["id"]: line_dedup.line_id(x["id"]) for x in sketches}
+    for x in sketches:
+        x["id"], x["label"] = names[x["id"]], bytes([rng.integers(0, 3)] * 16)
+    buckets = collections.defaultdict(list)
+    for x in sketches:
+        for k in x["bands"]:
+            buckets[k].append(x)
+    blocks, major, rows, want = 2, bytes([1] * 16), [], set()
+    for k, own in buckets.items():
+        for at, x in enumerate(own):
+            minor, home = x["label"] != major, at % blocks
+            rows += [{**x, "key": k, "major": major, "minor": minor, "block": b, "other": b == home} for b in (range(blocks) if minor else [home])]
+            for y in own[:at]:
+                far = lambda p, q: sum((i & ~j & (1 << 64) - 1).bit_count() for i, j in zip(p["bits"], q["bits"], strict=True))
+                n, m = x["size"], y["size"]
+                if x["label"] != y["label"] and 180 * min(n - far(x, y), m - far(y, x), n, m) >= 80 * (n + m):
+                    want.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
+    rows.sort(key=lambda r: (r["key"], r["block"], not r["other"]))
+    schema = pa.schema([("key", pa.int64()), ("id", pa.binary()), ("label", pa.binary()), ("major", pa.binary()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("minor", pa.bool_()), ("block", pa.int32()), ("other", pa.bool_())])
+    assert len(want) > 20
+    for size in (1, 7, 10_000):
+        got = [(r["a"], r["b"]) for b in line_dedup._meet(80)(pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
+def test_components_joined_step_by_step(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 10)], "a long, b long")
+    labels = components.merged(None, links)
+    more = spark.createDataFrame([(3, 8), (20, 10), (30, 31), (31, 32)], "a long, b long")
+    want = {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 9, 10: 9, 20: 9, 30: 30, 31: 30, 32: 30}
+    rows = components.merged(labels, more).collect()
+    assert {r.id: r.label for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("text", [b"Ab c\n\nd", b" ab\nc", b"ab \nc", b"a  b\nc", b"a\tb\n\r\nc", b"a\vb\x0c\n \n", b"", b"\n"])
+def test_forms_of_lines(text):
+    assert line_dedup._lines(text) == [(i, line_dedup.line_form(x)) for i, x in enumerate(text.split(b"\n")) if x.split()]
