@@ -12,6 +12,7 @@ from pageloom.operators.publish import publish, published, publisher
 from pageloom.operators.rules import redacted, rule_spans, waiting
 from pageloom.operators.trees import field_names, in_order, inherited, structure, structure_lines, structure_outline
 from pageloom.operators.visibility import layer_states, membership_states
+from pageloom.sources.scratch import setting, written
 
 NBSP, SHY = " ", "­"
 
@@ -219,6 +220,21 @@ def test_members_are_read_once_for_all_levels(spark):
     assert seen.value <= 2 * len(rows)
 
 
+def test_layers_send_no_table_through_the_driver(spark):
+    """However small written rows look as files, no join broadcasts a side: it would grow with the input."""
+    executions = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = executions().size()
+    rows = [(f, 100 + i, 99 + i if i else 1) for f in range(5) for i in range(3)]
+    memberships, members = spark.createDataFrame([(f, n, "AllOff") for f, n, _ in rows], "file int, node long, policy string"), spark.createDataFrame(rows, "file int, node long, member long")
+    groups = spark.createDataFrame([(f, n) for f in range(5) for n in (1, 2)], "file int, node long")
+    configurations, listed = spark.createDataFrame([(f, False) for f in range(4)], "file int, base_off boolean"), spark.createDataFrame([(f, 1, "off") for f in range(3)], "file int, node long, list string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "1g"):
+        got = {(r.file, r.node): r.hidden for r in membership_states(memberships, members, written(layer_states(groups, configurations, listed), "states")).collect()}
+    assert got == {(f, 100 + i): f < 3 and i == 1 for f in range(5) for i in range(3)}
+    plans = [executions().apply(k).physicalPlanDescription() for k in range(before, executions().size())]
+    assert len(plans) > 2 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_functions_of_numbers(spark):
     ask = lambda column: spark.range(1).select(column.alias("x")).first()["x"]
     one = lambda *x: F.array(*(F.lit(float(v)) for v in x))
