@@ -184,3 +184,26 @@ def test_chains_of_a_batch_are_those_of_its_pages(spark):
     assert alone == together and {r[0] for r in together} == {2, 3, 4, 6, 7}
     got = spark.createDataFrame(rows, schema).coalesce(1).select(chained(F.col("runs")).alias("c")).collect()
     assert got[0].c is None and got[1].c == [] and [r for c in got if c.c for r in c.c] == [x for r in together for x in r[3]]
+
+
+def test_chains_of_texts_stay_in_one_step(spark):
+    """Rows made of laid out texts are those of the column forms, and runs leave no task: nothing but the rows goes back to Spark."""
+    from pageloom.operators.chains import chain_hits, chain_rows, page_texts
+    from pageloom.plans.catalog import QUERIES
+    from pageloom.sources.tables import page_runs
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(["ti-\non", "tion", "tiontion", "na-", "-", "- \non", "a.", "b,", "\n", "", "😀tion", "ti- on", "é­\non", "\n" * 60])
+    found = [(i, " ".join(word() for _ in range(rng.randrange(90)))) for i in range(60)] + [(90, ""), (91, None), (92, "\n"), (93, "tion")]
+    docs = spark.createDataFrame(found, "doc_id int, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    cut = chains(page_runs(docs)).cache()
+    joined = F.size(F.filter("runs", lambda r: r["joined"])).cast("long")
+    assert rows(chain_rows(docs)) == rows(cut.select("doc_id", "page", "chain", chain_text(F.col("runs")), joined)) != []
+    hits = cut.select("doc_id", "page", "runs", F.explode(anywhere_spans(chain_text(F.col("runs")), "tion")).alias("h"))
+    assert rows(chain_hits(docs, "tion")) == rows(hits.select("doc_id", "page", F.inline(chain_ranges(F.col("runs"), F.col("h.lo"), F.col("h.hi"))))) != []
+    assert rows(page_texts(docs)) == rows(page_runs(docs).filter(F.size("runs") > 0).select("doc_id", "page", page_text(F.col("runs"))))
+    cut.unpersist()
+    for name in ("build_chains", "hyphenated_chains", "chain_map_back", "page_text"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Generate" not in plan, name
