@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions.sampled import exponential, interpolated, normalized, stitched, unpacked
-from pageloom.operators.boxes import annotation_box, box_join, kept_annotations, places_met
+from pageloom.operators.boxes import annotation_box, kept_annotations, places_met, run_marks
 from pageloom.operators.numbering import merge_objects
 from pageloom.operators.visibility import layer_states, membership_states
 from pageloom.sources.scratch import written
-from pageloom.sources.tables import RUNS_SQL, runs, table
+from pageloom.sources.tables import RUNS_SQL, table
 
 from .registry import query
 
@@ -25,9 +25,8 @@ def _doc_areas(spark, sf_dir):
 
 @query("area_table_marks", f"WITH {RUNS_SQL}, {_DOC_AREAS_SQL} SELECT r.doc_id, ln, wn, a.x0 <= x AND x + width <= a.x1 AND a.y0 <= y - 7.5 AND y + 2.5 <= a.y1 AS whole FROM runs r JOIN a ON a.doc_id = r.doc_id AND a.page = r.page AND x < a.x1 AND a.x0 < x + width AND y - 7.5 < a.y1 AND a.y0 < y + 2.5 WHERE a.x1 > a.x0 AND a.y1 > a.y0")
 def area_table_marks(spark, sf_dir):
-    """Runs that meet an area of a table, on tiles; whether they lie inside."""
-    boxes = runs(table(spark, sf_dir, "documents")).selectExpr("doc_id", "page", "ln", "wn", "x AS x0", "y - 7.5D AS y0", "x + width AS x1", "y + 2.5D AS y1")
-    return box_join(boxes, _doc_areas(spark, sf_dir), ["doc_id", "page"]).select("doc_id", F.col("box_ln").alias("ln"), F.col("box_wn").alias("wn"), "whole")
+    """Runs that meet an area of a table; whether they lie inside."""
+    return run_marks(table(spark, sf_dir, "documents"), _doc_areas(spark, sf_dir)).drop("page")
 
 
 #: Lines of orders as boxes on ten pages, parts as areas; each thirteenth part is as large as a page.

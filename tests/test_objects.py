@@ -80,6 +80,32 @@ def test_places_are_counted_without_pairs(spark):
     assert rows and max(rows) <= 3000
 
 
+def test_runs_meet_their_areas_where_they_are_laid_out(spark, monkeypatch):
+    """The rows of the join on tiles, without a written or dealt run."""
+    from pageloom.operators import boxes as B
+    from pageloom.sources import tables as T
+    from pageloom.sources.tables import runs
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join("wort" * rng.randrange(4) for _ in range(9)) for _ in range(rng.randrange(130)))) for i in range(12)] + [(20, None), (21, "")], "doc_id long, text string")
+    side = lambda: (x := rng.randrange(0, 90) * 2.5, y := rng.randrange(0, 700) * 1.1, x + rng.choice([0, 40, 500]), y + rng.choice([-3, 20, 4000]))
+    rows = [(rng.choice([0, 1, 2, 5, 20, 21, 99, None]), rng.choice([0, 1, 2, 3, -1, None]), *side()) for _ in range(300)] + [(1, 0, None, 0.0, 9.0, 9.0), (1, 0, float("nan"), 0.0, 9.0, 9.0)]
+    areas = spark.createDataFrame(rows, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    boxes = runs(docs).selectExpr("doc_id", "page", "ln", "wn", "x AS x0", "y - 7.5D AS y0", "x + width AS x1", "y + 2.5D AS y1")
+    want = sorted((r.doc_id, r.page, r.box_ln, r.box_wn, r.whole) for r in box_join(boxes, areas, ["doc_id", "page"]).collect())
+    monkeypatch.setattr(B, "BESIDE", 7)
+    names = []
+    monkeypatch.setattr(B, "written", lambda df, name: names.append(name))
+    assert sorted(map(tuple, B.run_marks(docs, areas).collect())) == want != [] and not names
+    # The same from small parts and few pairs at a time.
+    monkeypatch.setattr(T, "PART", 100)
+    monkeypatch.setattr(B, "PAIRS", 50)
+    lists = areas.filter("page is not null and x0 < x1 and y0 < y1").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("page").cast("long").alias("page"), "x0", "y0", "x1", "y1")).alias("areas"))
+    batches = docs.filter("text is not null").join(lists, "doc_id").toArrow().combine_chunks().to_batches()
+    columns = ["doc_id", "page", "ln", "wn", "whole"]
+    assert sorted(tuple(r[c] for c in columns) for b in T._parts(B._marks, columns[2:], ("areas",))(batches) for r in b.to_pylist()) == want
+
+
 def test_only_proven_documents_are_published(spark, tmp_path):
     folder = str(tmp_path / "out")
     rules = spark.createDataFrame([(1, "Keller"), (2, "Grete Ohm")], "rule_id int, literal string")
