@@ -41,7 +41,8 @@ def _pages(spark, sf_dir):
     cut = lambda line: F.transform(F.regexp_extract_all(line, F.lit(".{1,7}"), F.lit(0)), lambda c, i: span(c, F.concat(F.lit("s"), (i % 3).cast("string")), False))
     none = F.slice(F.array(span(F.lit(""), F.lit("s0"), True)), 1, 0)
     spans = F.flatten(F.transform("l", lambda line, i: F.concat(F.when(i > 0, F.array(span(F.lit(" "), F.lit("s0"), True))).otherwise(none), cut(line))))
-    return pages.select("doc_id", "page", spans.alias("spans")).filter(F.size("spans") > 0)
+    # A page with spans is told by its lines: asked of the spans, they would be made twice.
+    return pages.filter((F.size("l") > 1) | F.get("l", F.lit(0)).rlike(".")).select("doc_id", "page", spans.alias("spans"))
 
 
 @query("replace_in_spans", f"""WITH {_SPANS_SQL}, n AS (SELECT doc_id, page, count(*) AS hits FROM placed GROUP BY ALL

@@ -207,3 +207,45 @@ def test_chains_of_texts_stay_in_one_step(spark):
     for name in ("build_chains", "hyphenated_chains", "chain_map_back", "page_text"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Generate" not in plan, name
+
+
+def test_many_paragraphs_are_replaced_in_at_once(spark):
+    """As letter by letter; no fold runs over a paragraph's spans."""
+    draw, rows = random.Random(8), []
+    texts = ["", "to Lund‐", "bérg x", "-", None, "x", "Lund-", "xx x", "7­", "é", "😀x", "Lundbérg"]
+    for i in range(500):
+        span = lambda: (draw.choice(texts) if draw.random() < 0.6 else draw.choice([" ", "", None]), draw.choice(["p", "q", None]), draw.choice([True, False, False, None]), draw.choice([True, False, None]), draw.choice([0.0, 2.0, None]))
+        rows.append((i, [span() for _ in range(draw.randrange(12))], draw.choice(["x", "Lundbérg", "none", "dx", None]), draw.choice(["", "[é😀]", None])))
+    rows.append((500, None, "x", "y"))
+    pages = spark.createDataFrame(rows, f"i int, {SPANS}, l string, t string").repartition(2)
+
+    def by_letters(spans, hits, token):
+        if not hits:
+            return [tuple(s) for s in spans]
+        letters, out, at = [(c, k) for k, s in enumerate(spans) for c in s.text or ""], [], 0
+        ends = [sum(len(s.text or "") for s in spans[: k + 1]) for k in range(len(spans))]
+        while at < len(letters):
+            hit = next((h for h in hits if h.lo == at), None)
+            k = letters[at][1]
+            if hit:
+                piece, at = (token or "", spans[k].style, True, False), hit.hi
+            else:
+                to = min([h.lo for h in hits if h.lo > at] + [ends[k]])
+                piece = ("".join(c for c, _ in letters[at:to]), spans[k].style, bool(spans[k].inserted), bool(spans[k].line_break) and at == 0 and to == ends[k])
+                at = to
+            if piece[0] and out and out[-1][1:] == piece[1:] and not piece[3]:
+                out[-1] = (out[-1][0] + piece[0], *piece[1:])
+            elif piece[0]:
+                out.append(piece)
+        return [(*p, 0.0) for p in out]
+
+    for bounded in (True, False):
+        got = pages.withColumn("k", joined_reading(F.col("spans"))).select("*", reading_hits(F.col("k"), F.col("l"), bounded).alias("h"), replace_in_spans(F.col("spans"), F.col("l"), F.col("t"), bounded).alias("r")).collect()
+        assert sum(r.r.hits for r in got) > 10
+        for r in got:
+            assert r.r.hits == len(r.h)
+            assert (None if r.spans is None else by_letters(r.spans, r.h, r.t)) == (None if r.r.spans is None else [tuple(s) for s in r.r.spans]), r
+        same = pages.filter("l = 'x'").select("i", replace_in_spans(F.col("spans"), "x", "yy", bounded).alias("r"))
+        column = pages.filter("l = 'x'").select("i", replace_in_spans(F.col("spans"), F.col("l"), F.lit("yy"), bounded).alias("r"))
+        assert sorted(map(repr, same.collect())) == sorted(map(repr, column.collect()))
+    assert "aggregate(" not in same._jdf.queryExecution().executedPlan().toString()
